@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP7_SQL, op7
 from .decontaminate import OP8_SQL, op8
 from .language_id import op1
+from .near_dedup import op10
 from .packing import op3
 from .quality_rules import OP4_SQL, op4
 from .secret_scan import op9
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_chat_formatting": op7,
     "op8_benchmark_decontamination": op8,
     "op9_secret_scans": op9,
+    "op10_minhash_near_dedup": op10,
 }
 ORACLE_SQL = {
     "op4_quality_rules": OP4_SQL,
