@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The tokenizer file that the token contracts name.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -47,3 +48,9 @@ def batch_rows(spark: SparkSession, n: int) -> None:
     """Rows per Arrow batch, lower than the default so that batches of long texts stay small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > n:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
+def as_row(docs: DataFrame, text: str) -> DataFrame:
+    """All columns as one struct `__row`, the text again as `__in`: whatever the columns of a table are called, they
+    cannot clash with those an operator adds. `select("__row.*")` gives them back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), docs[f"`{text}`"].alias("__in"))

@@ -2,11 +2,10 @@
 
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. The windows of an item are its runs of 10
 words, or the whole item if it is shorter. A shard is a bounded stretch of documents of one task. Its words become
-symbols: the benchmark's words keep their number, and a stretch in which no window can lie - one that is broken by a
-word or by a pair of neighbours that no window has, or is shorter than the shortest window - becomes a separator. That
-loses no occurrence, and the index holds what may match instead of the whole shard. Windows are found by backward
-search through wavelet ranks, occurrences are located by sampled suffix positions, and overlapping or touching ones are
-merged into removal spans.
+symbols: the benchmark's words keep their number, any other word, which no window has, becomes a separator, and a run
+of the benchmark's words too short for the shortest window is left out. That loses no occurrence. Windows are found by
+backward search through wavelet ranks, occurrences are located by sampled suffix positions, and overlapping or touching
+ones are merged into removal spans.
 
 The windows are broadcast in blocks of at most BLOCK_BYTES of benchmark text; a larger benchmark takes several passes
 over the documents, each adding to the spans and items found so far, so that any size works.
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, table
+from .common import as_row, batch_rows, table
 from .fm_index import SEPARATOR, FMIndex
 
 WINDOW = 10
@@ -43,17 +42,12 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-_PAIRS = 1 << 22
 
 
 def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def _pair_slot(a, b):
-    return (a * 1000003 + b * 7919) % _PAIRS
-
-
 @dataclass
 class Windows:
     """The distinct windows of a block of items, as rows of word numbers, and the items of each."""
@@ -62,7 +56,6 @@ class Windows:
     rows: np.ndarray
     lengths: np.ndarray
     items: list[tuple[str, ...]]
-    pairs: np.ndarray
     shortest: int
 
     @classmethod
@@ -75,26 +68,17 @@ class Windows:
                 owners[tuple(ids[i : i + window])].add(item)
         rows = np.zeros((len(owners), window), np.int64)
         lengths = np.array([len(w) for w in owners], np.int64)
-        pairs = np.zeros(_PAIRS, bool)
         for k, w in enumerate(owners):
             rows[k, : len(w)] = w
-            a = np.array(w, np.int64)
-            pairs[_pair_slot(a[:-1], a[1:])] = True
-        return cls(words, rows, lengths, [tuple(sorted(x)) for x in owners.values()], pairs, int(lengths.min(initial=window)))
-
-
-def candidate_runs(ids: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the stretches in which a window can lie. ids: word numbers, 0 for words of no window."""
-    known = ids > 0
-    link = np.zeros(len(ids), bool)
-    link[:-1] = known[:-1] & known[1:]
-    both = np.flatnonzero(link)
-    link[both] = windows.pairs[_pair_slot(ids[both], ids[both + 1])]
-    starts = known.copy()
-    starts[1:] &= ~link[:-1]
-    begin, end = np.flatnonzero(starts), np.flatnonzero(known & ~link)
-    size = end - begin + 1
-    enough = size >= windows.shortest
+        return cls(words, rows, lengths, [tuple(sorted(x)) for x in owners.values()], int(lengths.min(initial=window)))
+
+
+def candidate_runs(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of the benchmark's words (numbers over 0) that can hold the shortest window."""
+    known = np.concatenate([[False], ids > 0, [False]])
+    change = np.flatnonzero(known[1:] != known[:-1])
+    begin, size = change[::2], change[1::2] - change[::2]
+    enough = size >= shortest
     return begin[enough], size[enough]
 
 
@@ -120,7 +104,7 @@ class Shard:
             starts.append(at)
             at += len(words) + 1
         ids = np.concatenate([*parts, np.zeros(1, np.int64)])
-        begin, size = candidate_runs(ids, self.windows)
+        begin, size = candidate_runs(ids, self.windows.shortest)
         if len(begin):
             doc = np.searchsorted(np.array(starts), begin, "right") - 1
             # every run is followed by one separator
@@ -252,18 +236,18 @@ def _pass(windows, kept: int, names: list[str]):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", text: str = "text", **how) -> DataFrame:
     """Documents in their own columns: contaminated ones dropped, or (action "excise") without their spans."""
-    names = docs.columns
-    found = find_contamination(docs, benchmark, text, keep=tuple(c for c in names if c != text), **how)
-    if action == "drop":
-        return found.where(F.size("spans") == 0).withColumnRenamed("__text", text).select(*names)
-    if action != "excise":
+    if action not in ("drop", "excise"):
         raise ValueError("action is drop or excise")
+    found = find_contamination(as_row(docs, text), benchmark, "__in", keep=("__row",), **how)
+    if action == "drop":
+        return found.where(F.size("spans") == 0).select("__row.*")
 
     @F.udf("string", useArrow=True)
     def without(t, spans):
         return None if t is None else excise(t, [tuple(x) for x in spans])
 
-    return found.withColumn(text, F.when(F.size("spans") == 0, F.col("__text")).otherwise(without("__text", "spans"))).select(*names)
+    new = F.when(F.size("spans") == 0, F.col("__text")).otherwise(without("__text", "spans"))
+    return found.select(F.col("__row").withField(text, new).alias("__row")).select("__row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP7_SQL, op7
 from .decontaminate import OP8_SQL, op8
 from .language_id import op1
+from .license_scan import op2
 from .near_dedup import op10
 from .packing import op3
 from .quality_rules import OP4_SQL, op4
@@ -14,6 +15,7 @@ from .warc import OP6_SQL, op6
 
 QUERIES = {
     "op1_language_id": op1,
+    "op2_license_scans": op2,
     "op3_best_fit_packing": op3,
     "op4_quality_rules": op4,
     "op5_token_counts": op5,
