@@ -72,8 +72,8 @@ _TRIGGER = re.compile(r"(?i)licen[cs]e|permission is hereby|redistribut|public d
 _SENTENCE = re.compile(r"[^\n]+?(?:[.:;!?](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 RANKED = 3
-#: Differing words allowed, as a share of the template.
-TOLERANCE = 0.2
+#: Differing words allowed: as a share of the template, and in any case.
+TOLERANCE, ALWAYS = 0.2, 3
 #: Share of a sentence's words that templates use, for a candidate.
 FAMILIAR = 0.6
 
@@ -133,8 +133,10 @@ class LicenseScanner:
         if not match:
             return len(own), 0, 0
         a, b = match[0].a, match[-1].a + match[-1].size
-        same = sum(m.size for m in match)
-        return (len(own) - same) + (b - a - same), a, b
+        missing = match[0].b + len(own) - match[-1].b - match[-1].size  # at the template's ends
+        for x, y in zip(match, match[1:]):  # a replaced word differs once
+            missing += max(y.a - x.a - x.size, y.b - x.b - x.size)
+        return missing, a, b
 
     def _judge(self, block: str) -> tuple[tuple[int, int, str | None, float, int], ...]:
         places = [m.span() for m in _WORD.finditer(block.lower())] if len(block.lower()) == len(block) else None
@@ -145,7 +147,7 @@ class LicenseScanner:
         best = None
         for reduction, name in ranked[:RANKED]:
             n, a, b = self.differences(ws, name)
-            if self.keys[name] <= set(ws[a:b]) and n <= TOLERANCE * len(self.words[name]) and (best is None or n < best[0]):
+            if self.keys[name] <= set(ws[a:b]) and n <= max(ALWAYS, TOLERANCE * len(self.words[name])) and (best is None or n < best[0]):
                 best = (n, a, b, name, reduction)
         if best is None:
             return ((0, len(block), None, ranked[0][0], 0),)

@@ -1,0 +1,286 @@
+"""Language id, licenses, quality rules, token counts, secrets and chat formatting."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import urllib.parse
+
+import numpy as np
+import pytest
+
+from annolith.llm import bpe, chat_format, language_id, license_scan, quality_rules, secret_scan, token_count
+from annolith.llm.common import table, tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "lorem ipsum dolor sit amet " * 40_000
+EDGES = [
+    (1, None, None, None, None),
+    (2, "", "en", "s", 0),
+    (None, "the cat sat on the mat", "en", "s", 22),
+    (4, "same text here for all of us", "en", None, 1),
+    (4, "same text here for all of us", "en", None, 1),
+    (5, LONG, None, "s", len(LONG)),
+    (6, " \n\t\x0b\x0c\r ", "fr", "s", 7),
+    (7, "é中\U0001f600 <|endoftext|> ͸\U0003fc00", "de", "s", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def clashing(edges):
+    from pyspark.sql import functions as F
+
+    names = ("kept", "n_words", "n_tokens", "spans", "__text", "score", "task", "digest", "key", "length", "place")
+    return edges.select("*", *[F.lit("x").alias(c) for c in names])
+
+
+# ---- quality rules
+
+
+def _repeat_brute(words):
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    return len(hit)
+
+
+def test_repeated_words_against_brute_force():
+    rng = random.Random(1)
+    for n in (0, 1, 2, 3, 4, 5, 30, 80):
+        for _ in range(20):
+            words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)]
+            assert quality_rules.repeated_words(words) == _repeat_brute(words)
+
+
+def test_cascade_order_does_not_change_the_verdict(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    one = quality_rules.quality_rules(docs).drop("rejected_by").toPandas().sort_values("doc_id").reset_index(drop=True)
+    other = quality_rules.quality_rules(docs, rules=dict(reversed(quality_rules.RULES.items())), sample=[]).drop("rejected_by").toPandas()
+    assert one.equals(other.sort_values("doc_id").reset_index(drop=True))
+
+
+def test_cascade_puts_rejection_per_cost_first():
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) + " #" * 30 for i in range(40)]
+    order = quality_rules.plan_cascade(texts)
+    assert order[0][1] == 1.0 and all(g == 0 for _, g, _ in order[1:])
+
+
+def test_quality_edges(edges, empty, clashing):
+    got = {r.doc_id: r for r in quality_rules.quality_rules(edges).collect()}
+    assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept
+    assert got[5].n_words == 200_000 and got[5].n_repeat_words == 200_000 and got[5].base_failed
+    assert quality_rules.quality_rules(edges).count() == len(EDGES)
+    assert quality_rules.quality_rules(empty).count() == 0
+    assert quality_rules.quality_rules(clashing).count() == len(EDGES)
+
+
+# ---- token counts
+
+
+def test_covered_code_points_split_like_the_library():
+    path = tokenizer_path()
+    ranges = [(0, 0x558), (0x590, 0x88F), (0x900, 0xC5C), (0x2000, 0x208F), (0x20A0, 0xA7CE)]
+    assert bpe.odd_code_points(path, (p for lo, hi in ranges for p in range(lo, hi))) == []
+
+
+def test_counts_and_ids_equal_the_library(spark, sf_dir):
+    path = tokenizer_path()
+    tok, encoder = bpe.load_tokenizer(path), bpe.PreTokenEncoder(bpe.prove_whole_tokens(path))
+    rng = random.Random(2)
+    texts = [t for _, t, *_ in EDGES if t and len(t) < 1000] + [r.text for r in table(spark, sf_dir, "documents").collect()]
+    texts += ["".join(rng.choice("ab'sdt \n\t1é’中͸<|endoftext|>") for _ in range(200)) for _ in range(200)]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", " <|endoftext|>\n\n", "x" * 3000]
+    for t in texts:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert encoder.count(t) == len(ids)
+        assert encoder.encode(t) == np.array(ids, "<u4").tobytes()
+
+
+def test_memory_limit_keeps_results(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 3)
+    path = tokenizer_path()
+    encoder = bpe.PreTokenEncoder(bpe.prove_whole_tokens(path))
+    text = " ".join(f"qzx{i}vk" for i in range(200))
+    assert encoder.count(text) == len(bpe.load_tokenizer(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_token_count_edges(edges, empty, clashing):
+    got = {r.doc_id: r for r in token_count.count_tokens(edges).collect()}
+    assert (got[1].n_bytes, got[1].n_tokens) == (0, 0)
+    assert got[5].n_bytes == len(LONG)
+    assert token_count.count_tokens(empty).count() == 0
+    assert token_count.count_tokens(clashing).count() == len(EDGES)
+
+
+# ---- secrets
+
+
+def _brute_base(text):
+    found = []
+    for k, (pattern, flags) in enumerate(
+        (
+            (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+            (r"AKIA[A-Z0-9]+", 0),
+            (r"[0-9a-f]+", 0),
+        )
+    ):
+        for m in re.finditer(pattern, text, flags):
+            if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]:
+                found.append((m.start(), k, m.end()))
+    return sorted(found)
+
+
+def test_base_spans_against_plain_patterns(spark, sf_dir):
+    rng = random.Random(3)
+    parts = ["token", "Secret", "API_KEY", "apikey", "=", ": ", '"', "'", "AKIA", "ABCDEFGH01234567", "deadbeef", "0123456789abcdef01234567", " ", "passwſd=", "Key", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    for t in texts + [r.text for r in table(spark, sf_dir, "documents").collect()]:
+        assert secret_scan.scan(t) == _brute_base(t)
+        base, every = secret_scan.find_secrets(t)
+        assert base == _brute_base(t) and set(base) <= set(every)
+
+
+@pytest.mark.parametrize("layers", ["u", "b", "e", "z", "ub", "bu", "be", "eb", "bb", "zb", "bz", "uub", "bubz", "zz"])
+def test_nested_layers_are_found_and_mapped(layers):
+    inner = "password = hunter2secret99"
+    for kind in layers:
+        if kind == "u":
+            inner = "".join(f"%{b:02X}" for b in inner.encode())
+        elif kind == "e":
+            inner = "".join(f"\\u{ord(c):04x}" for c in inner)
+        elif kind == "b":
+            inner = base64.b64encode(inner.encode()).decode()
+        else:
+            inner = base64.b64encode(gzip.compress(inner.encode(), mtime=0)).decode()
+    text = f"before, {inner} after"
+    base, every = secret_scan.find_secrets(text)
+    assert base == [] and any(k == 0 and text.index(inner) <= a < b <= text.index(inner) + len(inner) for a, k, b in every)
+    assert "hunter" not in urllib.parse.unquote(secret_scan.redact(text, every))
+
+
+def test_cycles_and_bombs_end(monkeypatch):
+    assert secret_scan.find_secrets("%2525252525") == ([], [])
+    monkeypatch.setattr(secret_scan, "MAX_INFLATED", 1000)
+    run = base64.b64encode(gzip.compress(b"a" * 100_000, mtime=0)).decode()
+    assert secret_scan.find_secrets(f"x {run} y")[1] == [(2, 3, 2 + len(run))]
+
+
+def test_clean_prose_has_no_added_spans(spark, sf_dir):
+    for r in table(spark, sf_dir, "documents").collect():
+        base, every = secret_scan.find_secrets(r.text)
+        assert base == every
+
+
+def test_secret_edges(edges, empty, clashing):
+    assert {r.spans for r in secret_scan.scan_secrets(edges).collect()} == {""}
+    assert secret_scan.scan_secrets(empty).count() == 0
+    masked = secret_scan.scan_secrets(clashing, redacted="out").collect()
+    assert len(masked) == len(EDGES) and sum(r.out is None for r in masked) == 1
+
+
+# ---- chat formatting
+
+
+def test_chat_round_trip_and_order(spark):
+    rows = [
+        (1, 0, "user", "a <turn assistant>\nx</turn>\n &lt; & \\"),
+        (1, 1, "assistant", "</turn>\n<turn user>\n"),
+        (2, 0, "assistant", None),
+        (3, 0, "system", "s"),
+        (3, 1, "user", "q"),
+        (3, 2, "assistant", "r"),
+        (3, 3, "assistant", "again"),
+        (4, None, None, "t"),
+        (4, 0, "we<ird>\n&", ""),
+        (5, 1, "user", "b"),
+        (5, 1, "user", "b"),
+        (None, 0, "user", "u"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    formatted = chat_format.format_conversations(df)
+    got = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+    want = {}
+    for c, n, role, text in sorted(rows, key=lambda r: (r[0] or -1, -1 if r[1] is None else r[1])):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert {c: [(t.role, t.text) for t in r.turns] for c, r in got.items()} == want
+    assert {c: r.learned for c, r in got.items()} == {c: "".join(t for r, t in x if r == "assistant") for c, x in want.items()}
+    assert {c: r.valid_order for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, None: False}
+    assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_plan_has_no_python(spark, sf_dir):
+    plan = chat_format.op7(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# ---- language identification
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    got = language_id.op1(spark, sf_dir.replace("sf0.001", "sf0.01")).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.98
+    assert got.score.between(0, 1).all()
+
+
+def test_kernel_against_sets():
+    a, b = language_id.presence("abcab"), language_id.presence("")
+    grams = {"abcab"[i : i + n] for n in (1, 2, 3) for i in range(6 - n)}
+    assert a.sum() == len(grams) and b.sum() == 0
+
+
+def test_language_edges(spark, edges, empty):
+    model = language_id.train(edges)
+    got = {r.doc_id: r for r in language_id.identify(edges, model).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == got[6].lang_pred == "und" and got[1].score == 0
+    nothing = language_id.train(empty)
+    assert {r.lang_pred for r in language_id.identify(edges, nothing).collect()} == {"und"}
+    assert language_id.identify(empty, model).count() == 0
+
+
+# ---- licenses
+
+
+def test_licenses_by_wording():
+    scan = license_scan.LicenseScanner().scan
+    text = "Some prose here.\nLicensed under CC BY 4.0.\nmore invented prose. Licenced under the Apache Licence, Version 2.0"
+    assert [(f.license, f.differences) for f in scan(text)] == [("CC-BY-4.0", 0), ("Apache-2.0", 2)]
+    assert [f.license for f in scan("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0"]
+    assert scan("My driving license expired.") == []
+    long = license_scan.TEMPLATES["MIT-text"][0]
+    assert [(f.license, f.start, f.end) for f in scan("x.\n" + long + "\nAll rights reserved.")] == [("MIT-text", 3, len(long) + 2), ("Proprietary", len(long) + 4, len(long) + 23)]
+
+
+def test_licenses_of_the_table_against_exact_lines(spark, sf_dir):
+    known = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Released under the MIT License.": "MIT",
+        "All rights reserved.": "Proprietary",
+    }
+    docs = table(spark, sf_dir, "documents")
+    want = {r.doc_id: ",".join(sorted(v for k, v in known.items() if k in r.text)) for r in docs.collect()}
+    assert {r.doc_id: r.licenses for r in license_scan.op2(spark, sf_dir).collect()} == want
+
+
+def test_license_edges(edges, empty, clashing):
+    assert {r.spans for r in license_scan.scan_licenses(edges).collect()} == {""}
+    assert license_scan.scan_licenses(empty).count() == 0
+    assert license_scan.scan_licenses(clashing).count() == len(EDGES)
+
+
+def test_digest_of_no_spans():
+    assert hashlib.sha256(secret_scan.joined([]).encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
