@@ -11,9 +11,13 @@
    falls into BANDS buckets.
 4. In every bucket, each node is compared with the bucket's smallest node: weighted Jaccard of the whole shingle sets,
    SIMILARITY or more makes a link. A leader of very many nodes is copied to as many tasks as they need.
-5. A node that does not reach its leader may still be linked to others of the bucket. Those are compared with all nodes
-   of the bucket that are not yet in the same component, in blocks that are dealt out as a grid, by their
-   signatures; pairs whose samples agree enough are verified as before. No bucket, partner or candidate is capped.
+5. A node that is not in its leader's component may still be linked to others of the bucket. In a group of near copies
+   that is mostly because the leader is a copy and not their original, so first each bucket's hub is looked for: the
+   node whose samples agree most with a block of the bucket's unlinked nodes. All unlinked nodes are verified against
+   it, and this is repeated while it links any. What is still unlinked is compared with every node of the bucket that
+   is in another component, in blocks dealt out as a grid: pairs whose samples agree enough (three standard deviations
+   under the threshold) are verified in place, and only links leave the task. No bucket, partner or candidate is
+   capped, no pair of a group is emitted unless it is a link or a node with its hub.
 6. Classes are the connected components of the links, with all copies of each node. The class id is the smallest doc_id.
 
 Defined cases: a text without words (null, empty) is a class of its own; repeated rows share a class; a null doc_id
@@ -46,8 +50,8 @@ IDF_GAIN = 0.25
 #: Document share at and below which idf is 1.
 RARE = 1e-4
 _TABLE = 1 << 14
-#: Samples that must agree before a pair of step 5 is verified: four standard deviations under the threshold.
-_AGREE = 0.8 - 4 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
+#: Share of samples that must agree before a pair of step 5 is verified.
+_AGREE = 0.8 - 3 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of a leader verified in one task, and the side of a block of step 5.
 _PER_TASK, _BLOCK = 2000, 1500
 _WORDS_KEPT = 1 << 20
@@ -156,8 +160,8 @@ def _read(docs: DataFrame, text: str, key: str) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 words = split_words(t or "")
                 digests.append(digest_of(words) if words else None)
-                slots = np.unique((shingles(words)[0] >> np.uint64(64 - 18)).astype(np.int64))
-                df[slots] += 1
+                slots = (shingles(words)[0] >> np.uint64(64 - 18)).astype(np.int64)  # sorted, as the hashes are
+                df[slots[np.append(True, slots[1:] != slots[:-1])] if len(slots) else slots] += 1
                 documents += 1
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
@@ -270,36 +274,76 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return ordered.mapInArrow(run, "member binary, leader binary, similar boolean")
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of step 5. members: bucket, digest, component, signature, rest (whether it missed its leader)."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("rest"), 1)).alias("m")).where("m > 0").select(
-        "bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("down"), F.ceil(F.col("m") / _BLOCK).cast("int").alias("across")
-    )
+def _grid(members: DataFrame, unlinked_blocks: int | None = None) -> DataFrame:
+    """Buckets with unlinked nodes as a grid of cells (bucket, i, j): block i of the unlinked, block j of all nodes.
+    members: bucket, digest, component, unlinked and what the cells need. With `unlinked_blocks` only the first ones."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("unlinked"), 1)).alias("m")).where("m > 0")
+    across = F.ceil(F.col("m") / _BLOCK).cast("int")
+    used = across if unlinked_blocks is None else F.least(across, F.lit(unlinked_blocks))
+    sizes = sizes.select("bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("down"), across.alias("across"), used.alias("used"))
     dealt = members.join(sizes, "bucket")
-    hashed = F.xxhash64("digest")
+    hashed, rest = F.xxhash64("digest"), [c for c in members.columns if c not in ("bucket", "unlinked")]
+    every = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("used") - 1)).alias("i"), F.pmod(hashed, F.col("down")).cast("int").alias("j"), F.lit(False).alias("left"), *rest)
+    left = dealt.where("unlinked").withColumn("i", F.pmod(hashed, F.col("across")).cast("int")).where("i < used")
+    left = left.select("bucket", "i", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), F.lit(True).alias("left"), *rest)
+    return every.unionByName(left).groupBy("bucket", "i", "j")
+
+
+def _cell(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, components and signatures of a cell's rows, and the rows of its unlinked and of all its nodes."""
+    flags = cell.column("left").to_numpy()
+    digest = np.array(cell.column("digest").to_pylist(), object)
+    component = np.unique(np.array(cell.column("component").to_pylist(), "S16"), return_inverse=True)[1]
+    signature = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return digest, component, signature, np.flatnonzero(flags), np.flatnonzero(~flags)
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """Pairs (member, leader) of the unlinked nodes with the hub of their bucket."""
+
+    def best(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
+        digest, component, signature, a, b = _cell(cell)
+        total = np.zeros(len(b))
+        for x in a:
+            agree = (signature[b] == signature[x]).mean(axis=1)
+            total += np.where((agree >= _AGREE) & (component[b] != component[x]), agree, 0)
+        k = int(total.argmax()) if len(b) else 0
+        found = len(b) > 0 and total[k] > 0
+        return pa.table({"bucket": pa.array([key[0].as_py()] if found else [], pa.int64()), "hub": pa.array([digest[b[k]]] if found else [], pa.binary()), "total": pa.array([total[k]] if found else [], pa.float64())})
+
+    hubs = _grid(members.select("bucket", "digest", "component", "signature", "unlinked"), 1).applyInArrow(best, "bucket long, hub binary, total double")
+    hubs = hubs.groupBy("bucket").agg(F.max(F.struct("total", "hub")).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
+    unlinked = members.where("unlinked").select("bucket", "digest").join(hubs, "bucket").where("digest != hub")
+    return unlinked.select(F.greatest("digest", "hub").alias("member"), F.least("digest", "hub").alias("leader")).distinct()
 
-    def side(rows: DataFrame, own: str, other: str, left: bool) -> DataFrame:
-        block = F.pmod(hashed, F.col(own)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        rows = rows.select("bucket", "digest", "component", "signature", block.alias("__own"), copies.alias("__other"))
-        i, j = ("__other", "__own") if left else ("__own", "__other")
-        return rows.select("bucket", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(left).alias("rest"), "digest", "component", "signature")
 
-    grid = side(dealt, "down", "across", False).unionByName(side(dealt.where("rest"), "across", "down", True))
+def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between unlinked nodes and nodes of other components of their buckets."""
+    shared = members.groupBy("bucket").agg(F.max("unlinked").alias("u"), F.count_distinct("component").alias("c")).where("u AND c > 1").select("bucket")
+    whole = members.join(shared, "bucket", "left_semi").select("bucket", "digest", "component", "signature", "unlinked").join(texts, "digest")
 
     def compare(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
-        flags = cell.column("rest").to_numpy()
-        digest, comp = np.array(cell.column("digest").to_pylist(), object), np.array(cell.column("component").to_pylist(), object)
-        sig = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        a, b = np.flatnonzero(flags), np.flatnonzero(~flags)
-        found = []
+        digest, component, signature, a, b = _cell(cell)
+        texts, features, found = cell.column("text"), {}, []
+        root = np.arange(int(component.max()) + 1)
+
+        def of(row: int) -> tuple[np.ndarray, np.ndarray]:
+            if row not in features:
+                h, n = shingles(split_words(texts[row].as_py()))
+                features[row] = h, weights_of(h, n, idf.value)
+            return features[row]
+
         for x in a:
-            agree = (sig[b] == sig[x]).mean(axis=1)
-            y = b[agree >= _AGREE]
-            found += [(digest[x], digest[k]) for k in y if comp[k] != comp[x]]
-        return pa.table({"member": pa.array([max(p) for p in found], pa.binary()), "leader": pa.array([min(p) for p in found], pa.binary())})
+            agree = (signature[b] == signature[x]).mean(axis=1)
+            near = np.flatnonzero(agree >= _AGREE)
+            for y in b[near[np.argsort(-agree[near], kind="stable")]]:
+                p, q = root[component[x]], root[component[y]]
+                if p != q and weighted_jaccard(of(int(x)), of(int(y))) >= SIMILARITY:
+                    found.append((digest[x], digest[y]))
+                    root[root == p] = q
+        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    return grid.groupBy("bucket", "i", "j").applyInArrow(compare, "member binary, leader binary").distinct()
+    return _grid(whole).applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -325,17 +369,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     judged = stored(_verify(pairs, texts, idf), "dedup-judged")
     links = judged.where("similar").select(F.col("member").alias("a"), F.col("leader").alias("b"))
     labels = components(links)
-    missed = judged.where("NOT similar").select(F.col("member").alias("digest"), "leader")
-    if not missed.isEmpty():
-        known = signed.select("digest", "signature").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-        known = known.withColumn("component", F.coalesce("component", "digest"))
-        flagged = members.join(missed.withColumn("rest", F.lit(True)), ["digest", "leader"], "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
-        hit = flagged.where("rest").select("bucket").distinct()
-        rest = stored(_rest_pairs(flagged.join(hit, "bucket", "left_semi").join(known, "digest")).join(judged.select("member", "leader"), ["member", "leader"], "left_anti"), "dedup-rest")
-        if not rest.isEmpty():
-            more = stored(_verify(rest, texts, idf).where("similar").select(F.col("member").alias("a"), F.col("leader").alias("b")), "dedup-more")
-            if not more.isEmpty():
-                labels = components(links.union(more))
+    signatures = signed.select("digest", "signature")
+
+    def open_buckets() -> DataFrame:
+        """Nodes of the buckets in which a node is not in its leader's component."""
+        of = labels.select(F.col("node").alias("digest"), "component")
+        lead = members.select("leader").distinct().join(of.withColumnRenamed("digest", "leader").withColumnRenamed("component", "lead"), "leader", "left")
+        known = members.join(of, "digest", "left").join(lead, "leader", "left")
+        known = known.withColumn("component", F.coalesce("component", "digest")).withColumn("unlinked", F.col("component") != F.coalesce("lead", "leader"))
+        hit = known.where("unlinked").select("bucket").distinct()
+        return stored(known.join(hit, "bucket", "left_semi").join(signatures, "digest"), "dedup-open")
+
+    rest = open_buckets()
+    while not rest.isEmpty():
+        hubs = stored(_hubs(rest).join(judged.select("member", "leader"), ["member", "leader"], "left_anti"), "dedup-hubs")
+        if hubs.isEmpty():
+            break
+        more = stored(_verify(hubs, texts, idf), "dedup-judged")
+        judged = judged.unionByName(more)
+        new = more.where("similar").select(F.col("member").alias("a"), F.col("leader").alias("b"))
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        labels = components(links)
+        rest = open_buckets()
+    if not rest.isEmpty():
+        new = stored(_links_in_cells(rest, texts, idf), "dedup-links")
+        if not new.isEmpty():
+            labels = components(links.unionByName(new))
 
     linked = copies.join(labels.withColumnRenamed("node", "digest"), "digest")
     classes = linked.groupBy("component").agg(F.min("key").alias("class_id"))

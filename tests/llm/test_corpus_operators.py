@@ -359,3 +359,21 @@ def test_pipeline_edges(spark, sf_dir):
             frame = corpus_pipeline.stored(stage(spark, frame, sf_dir), "test-stage")
             assert frame.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir).count() == 0
+
+
+def test_copies_are_linked_through_their_original(spark):
+    """Copies of a short text, an edit each: only the original is similar to them, and it is rarely a bucket's leader."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 150):
+        copy = list(base)
+        copy[rng.randrange(4, 56)] = f"edit{i}"
+        docs.append((i, " ".join(copy)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    counts = np.zeros(near_dedup.DF_SLOTS)
+    for _, t in docs:
+        h, _ = near_dedup.shingles(decontaminate.split_words(t))
+        counts[np.unique((h >> np.uint64(64 - 18)).astype(np.int64))] += 1
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == _classes(docs, near_dedup.idf_of(counts, len(docs)))
