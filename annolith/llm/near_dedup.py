@@ -9,12 +9,14 @@
    weighted similarity of copies would fall far below the plain one.
 3. Each node is sampled by BANDS * ROWS improved consistent weighted samples (random numbers by hash from a table) and
    falls into BANDS buckets.
-4. In every bucket, each node is compared with the bucket's smallest node: weighted Jaccard of the whole shingle sets,
-   SIMILARITY or more makes a link. A leader of very many nodes is copied to as many tasks as they need.
-5. A node that is not in its leader's component may still be linked to others of the bucket. In a group of near copies
-   that is mostly because the leader is a copy and not their original, so first each bucket's hub is looked for: the
-   node whose samples agree most with a block of the bucket's unlinked nodes. All unlinked nodes are verified against
-   it, and this is repeated while it links any. What is still unlinked is compared with every node of the bucket that
+4. The leader of a bucket is the node that shares most places in buckets with others: in a group of near copies that is
+   their original, in all its buckets, while two copies are often too far from each other. Each node of a bucket is
+   compared with its leader: weighted Jaccard of the whole shingle sets, SIMILARITY or more makes a link. A leader of
+   very many nodes is copied to as many tasks as they need.
+5. A node that is not in its leader's component may still be linked to others of the bucket. Where that leaves many
+   comparisons, each bucket's hub is looked for: the node whose samples agree most with a block of the bucket's unlinked
+   nodes. All unlinked nodes are verified against it, and this is repeated while it links any. What is still unlinked is
+   compared with every node of the bucket that
    is in another component, in blocks dealt out as a grid: pairs whose samples agree enough (three standard deviations
    under the threshold) are verified in place, and only links leave the task. No bucket, partner or candidate is
    capped, no pair of a group is emitted unless it is a link or a node with its hub.
@@ -49,11 +51,14 @@ DF_SLOTS = 1 << 18
 IDF_GAIN = 0.25
 #: Document share at and below which idf is 1.
 RARE = 1e-4
-_TABLE = 1 << 14
+#: Rows of the table of random numbers; with more of them it no longer stays in a core's cache.
+_TABLE = 1 << 12
 #: Share of samples that must agree before a pair of step 5 is verified.
 _AGREE = 0.8 - 3 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of a leader verified in one task, and the side of a block of step 5.
 _PER_TASK, _BLOCK = 2000, 1500
+#: Comparisons of unlinked nodes with those of their buckets up to which step 5 goes without hubs.
+_FEW = 5_000_000
 _WORDS_KEPT = 1 << 20
 
 
@@ -314,7 +319,13 @@ def _hubs(members: DataFrame) -> DataFrame:
     hubs = _grid(members.select("bucket", "digest", "component", "signature", "unlinked"), 1).applyInArrow(best, "bucket long, hub binary, total double")
     hubs = hubs.groupBy("bucket").agg(F.max(F.struct("total", "hub")).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
     unlinked = members.where("unlinked").select("bucket", "digest").join(hubs, "bucket").where("digest != hub")
-    return unlinked.select(F.greatest("digest", "hub").alias("member"), F.least("digest", "hub").alias("leader")).distinct()
+    return unlinked.select(F.col("digest").alias("member"), F.col("hub").alias("leader")).distinct()
+
+
+def _not_in(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Pairs that are not judged yet, in either direction."""
+    low, high = F.least("member", "leader").alias("__low"), F.greatest("member", "leader").alias("__high")
+    return pairs.select("*", low, high).join(judged.select(low, high), ["__low", "__high"], "left_anti").select("member", "leader")
 
 
 def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -357,8 +368,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     signed = stored(_sign(docs, text, idf).dropDuplicates(["digest"]), "dedup-signed")
     placed = signed.select("digest", F.explode("buckets").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(placed.join(buckets, "bucket").select("bucket", "digest", "leader"), "dedup-members")
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(placed.join(sizes, "bucket").select("bucket", "digest", "n"), "dedup-shared")
+    places = shared.groupBy("digest").agg(F.sum("n").alias("places"))
+    most = shared.join(places, "digest").groupBy("bucket").agg(F.max(F.struct("places", "digest")).alias("l"))
+    members = stored(shared.join(most, "bucket").select("bucket", "digest", F.col("l.digest").alias("leader")), "dedup-members")
     pairs = stored(members.where("digest != leader").select(F.col("digest").alias("member"), "leader").distinct(), "dedup-pairs")
 
     copies = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"))
@@ -380,9 +394,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         hit = known.where("unlinked").select("bucket").distinct()
         return stored(known.join(hit, "bucket", "left_semi").join(signatures, "digest"), "dedup-open")
 
+    def comparisons() -> int:
+        per = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("unlinked"), 1)).alias("m"))
+        return per.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
     rest = open_buckets()
-    while not rest.isEmpty():
-        hubs = stored(_hubs(rest).join(judged.select("member", "leader"), ["member", "leader"], "left_anti"), "dedup-hubs")
+    while comparisons() > _FEW:
+        hubs = stored(_not_in(_hubs(rest), judged), "dedup-hubs")
         if hubs.isEmpty():
             break
         more = stored(_verify(hubs, texts, idf), "dedup-judged")
