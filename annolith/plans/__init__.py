@@ -1 +1,6 @@
-"""annolith.plans"""
+"""The registered queries and the SQL that checks them."""
+
+from . import matrix, search, tables
+
+QUERIES = {**search.QUERY, **matrix.QUERY, **tables.QUERY}
+ORACLE_SQL = {**search.SQL, **matrix.SQL, **tables.SQL}
