@@ -1,6 +1,6 @@
 """Sources: MatrixMarket triples, vocabularies, tables of vectors and labels, binary index files, maps, registries.
 
-S1, S7-S11, S13-S21. Everything goes through Spark's readers, so any store that Spark reads will do.
+S9-S11, S13-S21 (S1: cells). Everything goes through Spark's readers, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ import json
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,16 +156,3 @@ def models(spark: SparkSession, path: str, user_indexes: DataFrame | None = None
     """Name, kind, id: models by line, empty lines left out, then user indexes."""
     base = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("name"), F.lit("model").alias("kind"), F.trim("value").alias("id"))
     return base if user_indexes is None else base.unionByName(user_indexes.select("name", F.lit("user").alias("kind"), "id"))
-
-
-def cells_file(path: str) -> pd.DataFrame:
-    """Obs names of an HDF5 cell file; needs h5py, which is optional."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise RuntimeError("reading HDF5 cell files needs h5py; convert them to Parquet or MatrixMarket, or install it") from e
-    with h5py.File(path, "r") as f:
-        from .discovery import CELL_NAMES, first_present
-
-        key = first_present(list(f["obs"].keys()), CELL_NAMES, "cell names")
-        return pd.DataFrame({"cell_id": [x.decode() for x in f["obs"][key][:]]})

@@ -131,7 +131,7 @@ def test_csr_round_trip(spark):
     rows = spark.createDataFrame([(1, 4, 2.0), (1, 0, 1.0), (2, 3, 5.0)], "cell_id long, gene_idx int, value double")
     assert sorted(map(tuple, features.from_csr(features.to_csr(rows)).collect())) == sorted(map(tuple, rows.collect()))
     flat = spark.createDataFrame([(i, float(i)) for i in range(6)], "pos long, value double")
-    assert [(r.cell_id, r.gene_idx) for r in features.from_flat(flat, 3).orderBy("pos" if False else "value").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
+    assert [(r.cell_id, r.gene_idx) for r in features.from_flat(flat, 3).orderBy("value").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
     indptr = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (3, 70_000)], "pos long, start long")
     entries = spark.range(70_003).select(F.col("id").alias("pos"), F.lit(1).alias("gene_idx"), F.lit(1.0).alias("value"))
     got = {r.cell_id: r["count"] for r in features.csr_slices(indptr, entries).groupBy("cell_id").count().collect()}
@@ -200,3 +200,33 @@ def test_replaceable_request(spark):
 def test_onnx_is_optional():
     e = encoder.OnnxEncoder(b"", 3)
     assert "_session" not in e.__getstate__()
+
+
+def _cell_file(tmp_path, name, **datasets):
+    with open(tmp_path / name, "wb") as f:
+        np.savez(f, **{k.replace("__", "/"): v for k, v in datasets.items()})
+    return f"{tmp_path}/{name}"
+
+
+@pytest.mark.parametrize("form", ["csr", "dense", "flat"])
+def test_cell_files(spark, tmp_path, form):
+    from annolith.sources import cells
+
+    cells.register(spark)
+    x = np.array([[0, 2, 0], [1, 0, 3], [0, 0, 0], [4, 5, 6]], np.float32)
+    obs = {"obs__barcode__categories": np.array([b"A", b"B"]), "obs__barcode__codes": np.array([0, 1, -1, 0], np.int8)}
+    var = {"var__feature_name": np.array(["ENSG1", "ENSG2", "ENSG3"]), "var__symbol": np.array(["actb", "GAPDH", "zz"])}
+    if form == "csr":
+        matrix = {"layers__counts__data": x[x > 0], "layers__counts__indices": np.nonzero(x)[1], "layers__counts__indptr": np.array([0, 1, 3, 3, 6]), "X": x * 100}
+    else:
+        matrix = {"raw__X": x if form == "dense" else x.ravel(), "X": x * 100}
+    path = _cell_file(tmp_path, "c.h5ad", **obs, **var, **matrix)
+    got = spark.read.format("cells").option("path", path).option("rows", 2).load()
+    assert got.rdd.getNumPartitions() == 2
+    want = [(["A", "B", "", "A"][i], j, ["ACTB", "GAPDH", "ZZ"][j], float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert spark.read.format("cells").option("path", path).option("limit", 1).load().count() == 1
+    assert [r.cell_id for r in spark.read.format("cells").option("path", path).option("table", "obs").load().collect()] == ["A", "B", "", "A"]
+    (tmp_path / "no.h5ad").write_bytes(b"no cells here")
+    with pytest.raises(Exception, match="Failed to extract"):
+        spark.read.format("cells").option("path", f"{tmp_path}/no.h5ad").load().collect()
