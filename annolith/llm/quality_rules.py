@@ -92,7 +92,7 @@ _CASES = bytes(
 #: Rules that reject, by name; all are exact integer comparisons over the whole text.
 RULES: dict[str, Callable[[Stats], bool]] = {
     "symbols": lambda s: 10 * s.n_symbols > len(s.words),
-    "duplicate_lines": lambda s: 10 * s.n_dup_lines > 3 * s.n_lines,
+    "duplicate_lines": lambda s: 2 * s.n_dup_lines > s.n_lines,
     "long_words": lambda s: s.word_chars > 20 * len(s.words),
     "short_words": lambda s: s.word_chars < 2 * len(s.words),
     "shouting": _upper_words,
@@ -193,7 +193,7 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (10 * n_symbols > n_words)
-    AND NOT (10 * n_dup_lines > 3 * n_lines) AND NOT (word_chars > 20 * n_words) AND NOT (word_chars < 2 * n_words)
+    AND NOT (2 * n_dup_lines > n_lines) AND NOT (word_chars > 20 * n_words) AND NOT (word_chars < 2 * n_words)
     AND NOT (10 * n_upper > 6 * n_words) AS kept
 FROM s
 """
