@@ -13,7 +13,10 @@ BYTE_BPE = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
-    """Place of an installed public tokenizer file; resolved on each machine, as installs may differ."""
+    """Place of a tokenizer file: a path as it is, or the name of an installed public one, which each machine resolves
+    for itself, as installs may differ."""
+    if "/" in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -35,19 +38,38 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/annolith-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it cuts the lineage, survives the loss of
     any executor, and unlike a checkpoint of rows is columnar and compressed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/annolith/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables and archives this application has stored; results that read them are gone with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def batch_rows(spark: SparkSession, n: int) -> None:
-    """Rows per Arrow batch, lower than the default so that batches of long texts stay small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > n:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    """Rows and bytes per Arrow batch, lower than the defaults so that batches of long texts stay small."""
+    for key, most, default in (("maxRecordsPerBatch", n, 10_000), ("maxBytesPerBatch", 32 << 20, 2**31 - 1)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if _bytes(spark.conf.get(name, str(default))) > most:
+            spark.conf.set(name, str(most))
+
+
+def _bytes(value: str) -> int:
+    scale = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    value = value.lower().removesuffix("b") or "0"
+    return int(value) if value.lstrip("-").isdigit() else int(value[:-1]) * scale[value[-1]]
 
 
 def as_row(docs: DataFrame, text: str) -> DataFrame:

@@ -57,6 +57,8 @@ _TABLE = 1 << 12
 _AGREE = 0.8 - 3 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of a leader verified in one task, and the side of a block of step 5.
 _PER_TASK, _BLOCK = 2000, 1500
+#: Leaders of more than _PER_TASK nodes up to which their list is broadcast.
+_BROADCAST = 200_000
 #: Comparisons of unlinked nodes with those of their buckets up to which step 5 goes without hubs.
 _FEW = 5_000_000
 _WORDS_KEPT = 1 << 20
@@ -251,12 +253,13 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame
 def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """pairs (member, leader) with similar: weighted Jaccard of the whole texts is SIMILARITY or more."""
     counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / _PER_TASK).cast("int").alias("tasks"))
+    large = stored(counts.where("tasks > 1"), "dedup-large")  # a _PER_TASK-th of the pairs at most
+    large = F.broadcast(large) if large.count() <= _BROADCAST else large
     named = texts.withColumnRenamed("digest", "leader")
     leaders = counts.join(named, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(None).cast("binary").alias("member"), "text")
-    members = (
-        pairs.join(counts, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("tasks")).cast("int").alias("task"))
-        .join(texts.withColumnRenamed("digest", "member"), "member").select("leader", "task", "member", "text")
-    )
+    task = F.pmod(F.xxhash64("member"), F.coalesce("tasks", F.lit(1))).cast("int").alias("task")
+    members = pairs.join(large, "leader", "left").select("leader", "member", task)
+    members = members.join(texts.withColumnRenamed("digest", "member"), "member").select("leader", "task", "member", "text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         leader, own = None, None
@@ -388,9 +391,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     def open_buckets() -> DataFrame:
         """Nodes of the buckets in which a node is not in its leader's component."""
         of = labels.select(F.col("node").alias("digest"), "component")
-        lead = members.select("leader").distinct().join(of.withColumnRenamed("digest", "leader").withColumnRenamed("component", "lead"), "leader", "left")
-        known = members.join(of, "digest", "left").join(lead, "leader", "left")
-        known = known.withColumn("component", F.coalesce("component", "digest")).withColumn("unlinked", F.col("component") != F.coalesce("lead", "leader"))
+        known = members.join(of, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        lead = known.where("digest = leader").select("bucket", F.col("component").alias("lead"))
+        known = known.join(lead, "bucket").withColumn("unlinked", F.col("component") != F.col("lead"))
         hit = known.where("unlinked").select("bucket").distinct()
         return stored(known.join(hit, "bucket", "left_semi").join(signatures, "digest"), "dedup-open")
 
