@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ivf
@@ -154,3 +154,39 @@ def n_probe_for(queries: DataFrame, vectors: DataFrame, index: ivf.IvfPqIndex, k
             exact.unpersist()
             return n_probe, got
         n_probe = min(2 * n_probe, index.n_partitions)
+
+
+def folder_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path, from their listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def sweep(queries: DataFrame, vectors: DataFrame, indexes: dict[int, ivf.IvfPqIndex], n_probes: tuple[int, ...], k: int) -> DataFrame:
+    """A row per (m, n_probe): mean recall, seconds, speedup over the exact search, storage and its reduction, bytes
+    of the lists that the run touched; and one row (m 0) for the exact search itself."""
+    import time
+
+    from .knn import exact_knn
+
+    spark = queries.sparkSession
+    began = time.perf_counter()
+    exact = exact_knn(queries, vectors, k).persist()
+    exact.count()
+    base = time.perf_counter() - began
+    n = vectors.count()
+    d = next(iter(indexes.values())).dimensions
+    rows = [(0, 0, 1.0, base, 1.0, n * d * 4, 1.0, n * d * 4)]
+    for m, index in sorted(indexes.items()):
+        storage = ivf.partition_stats(index.lists).agg(F.sum(F.col("n") * (4 + m) + 8)).first()[0] or 0
+        for p in n_probes:
+            began = time.perf_counter()
+            found = ivf.search(queries, index, p, k).persist()
+            found.count()
+            took = time.perf_counter() - began
+            recall = recall_per_query(exact, found, k).agg(F.avg("recall")).first()[0]
+            touched = bandwidth(ivf.probe(queries, index, p), index.lists, m).first().bytes
+            rows.append((m, p, recall, took, base / took, storage, n * d * 4 / max(1, storage), touched))
+            found.unpersist()
+    exact.unpersist()
+    return spark.createDataFrame(rows, "m int, n_probe int, recall double, seconds double, speedup double, storage long, reduction double, bandwidth long")
