@@ -16,11 +16,11 @@ rows are scored each; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-2
 #: Rows scored by one matrix product.
 _ROWS = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def presence(text: str) -> np.ndarray:

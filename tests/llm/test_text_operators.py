@@ -244,6 +244,7 @@ def test_kernel_against_sets():
 def test_language_edges(spark, edges, empty):
     model = language_id.train(edges)
     got = {r.doc_id: r for r in language_id.identify(edges, model).collect()}
+    assert model.predict(["12 ² Ⅷ _!", None, "a"])[0][:2] == ["und", "und"]
     assert got[1].lang_pred == got[2].lang_pred == got[6].lang_pred == "und" and got[1].score == 0
     nothing = language_id.train(empty)
     assert {r.lang_pred for r in language_id.identify(edges, nothing).collect()} == {"und"}
