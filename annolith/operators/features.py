@@ -36,17 +36,17 @@ def align(expression: DataFrame, features: DataFrame, vocabulary: DataFrame, mod
 
     expression (cell_id, gene_idx, value), features (gene_idx, symbol), vocabulary (model_idx, symbol). A symbol that the
     vocabulary has twice takes the first (or, "last", the last) place. Features of a sample that fall on one place do not
-    add up: the value of the last one, by gene_idx, stands. Features the vocabulary lacks are dropped."""
+    add up: the value of the last one, by gene_idx, stands. Features the vocabulary lacks are dropped. The rows are dealt
+    by cell, which also is what normalising and gathering a cell need: the three together shuffle once."""
     pick = {"first": F.min, "last": F.max}[model_tie]
     places = vocabulary.where("symbol IS NOT NULL").groupBy("symbol").agg(pick("model_idx").alias("model_idx"))
     mapping = features.select("gene_idx", "symbol").join(small(places), "symbol").select("gene_idx", "model_idx")
     rows = expression.select("cell_id", "gene_idx", "value").join(small(mapping), "gene_idx")
-    return rows.groupBy("cell_id", "model_idx").agg(F.max_by("value", "gene_idx").alias("value"))
+    return rows.repartition("cell_id").groupBy("cell_id", "model_idx").agg(F.max_by("value", "gene_idx").alias("value"))
 
 
 def log_normalise(aligned: DataFrame, total: float = TARGET_TOTAL) -> DataFrame:
-    """ln(1 + value * total / row sum) in doubles; a row sum of 0 counts as 1. The sum is taken over a
-    cell's rows where they are grouped already, so aligning and normalising share one shuffle on cell_id."""
+    """ln(1 + value * total / row sum) in doubles; a row sum of 0 counts as 1."""
     from pyspark.sql import Window
 
     clean = aligned.withColumn("value", nan_to_num(F.col("value")))

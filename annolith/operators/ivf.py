@@ -52,18 +52,21 @@ class IvfPqIndex:
         return len(self.centroids)
 
 
-def populate(vectors: DataFrame, centroids: np.ndarray, pq: ProductQuantizer, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def populate(
+    vectors: DataFrame, centroids: np.ndarray, pq: ProductQuantizer, id_col: str = "vec_id", vector_col: str = "embedding", partition_ids: np.ndarray | None = None
+) -> DataFrame:
     """partition_id, vec_id, codes of the residual, for every vector; one pass."""
-    shared = vectors.sparkSession.sparkContext.broadcast((centroids, pq))
+    names = np.arange(len(centroids)) if partition_ids is None else partition_ids
+    shared = vectors.sparkSession.sparkContext.broadcast((centroids, pq, names.astype(np.int32)))
 
     def run(batches):
-        c, q = shared.value
+        c, q, names = shared.value
         for batch in batches:
             x = matrix(batch.column(1), q.d)
             own, _ = nearest(x, c)
             codes = q.encode(x - c[own])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary())], ["partition_id", "vec_id", "codes"]
+                [pa.array(names[own]), batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary())], ["partition_id", "vec_id", "codes"]
             )
 
     return usable(vectors, id_col, vector_col).mapInArrow(run, "partition_id int, vec_id long, codes binary")
@@ -229,13 +232,8 @@ def refine(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, id_
 
 def artifacts(vectors: DataFrame, index: IvfPqIndex, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, partition_id of the nearest list, codes of the residual - what a user index is built from."""
-    names = index.lists.sparkSession.sparkContext.broadcast(index.partition_ids)
-
-    @F.pandas_udf("int")
-    def named(c):
-        return c.map(lambda x: int(names.value[x]))
-
-    return populate(vectors, index.centroids, index.pq, id_col, vector_col).select(F.col("vec_id").alias("query_id"), named("partition_id").alias("partition_id"), "codes")
+    rows = populate(vectors, index.centroids, index.pq, id_col, vector_col, index.partition_ids)
+    return rows.select(F.col("vec_id").alias("query_id"), "partition_id", "codes")
 
 
 def partition_stats(lists: DataFrame) -> DataFrame:

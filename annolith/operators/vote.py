@@ -65,6 +65,6 @@ def label_counts(cells: DataFrame, label: str = "label") -> DataFrame:
 def top_counts(cells: DataFrame, label: str = "label", top: int = 10) -> DataFrame:
     """The `top` labels, and one row for how many more there are."""
     ranked = label_counts(cells, label).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), label)))
-    more = F.concat(F.lit("("), (F.count("*") - 0).cast("string"), F.lit(" more)"))
+    more = F.concat(F.lit("("), F.count("*").cast("string"), F.lit(" more)"))
     rest = ranked.where(F.col("place") > top).agg(more.alias(label), F.sum("n").alias("n"), F.lit(top + 1).alias("place")).where("n > 0")
     return ranked.where(F.col("place") <= top).unionByName(rest)

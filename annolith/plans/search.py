@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import norm, residual
 from ..operators import analytics, clustering, ivf, knn, pq, user_index, vote
 from ..session import table
-from .fixed import INDEX_SQL, L2, PROBE_SQL, QUERIES, VECTORS_SQL, rule_index, search_sql, vectors_and_queries
+from .fixed import INDEX_SQL, PROBE_SQL, QUERIES, VECTORS_SQL, rule_index, search_sql, vectors_and_queries
 
 K, K_VOTE, N_PROBE = 10, 50, 4
 
@@ -432,5 +432,3 @@ def lut_distances(spark: SparkSession, d: str) -> DataFrame:
     out = rows.select("query_id", "partition_id", F.posexplode(table_of("r")).alias("p", "d"))
     return out.select("query_id", "partition_id", F.floor(F.col("p") / k).cast("int").alias("j"), (F.col("p") % k).cast("int").alias("code"), r6("d"))
 
-
-L2_SQL = L2

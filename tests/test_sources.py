@@ -230,3 +230,12 @@ def test_cell_files(spark, tmp_path, form):
     (tmp_path / "no.h5ad").write_bytes(b"no cells here")
     with pytest.raises(Exception, match="Failed to extract"):
         spark.read.format("cells").option("path", f"{tmp_path}/no.h5ad").load().collect()
+
+
+def test_align_normalise_gather_shuffle_once(spark):
+    genes = spark.createDataFrame([(i, f"g{i}") for i in range(9)], "gene_idx int, symbol string")
+    voc = genes.withColumnRenamed("gene_idx", "model_idx")
+    rows = spark.createDataFrame([(c, g, 1.0) for c in range(20) for g in range(9)], "cell_id long, gene_idx int, value double")
+    encoded = encoder.embed(features.log_normalise(features.align(rows, genes, voc)), encoder.LinearEncoder(np.eye(9), normalise=False))
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(cell_id" in line for line in plan.splitlines()) == 1
