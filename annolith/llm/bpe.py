@@ -12,6 +12,7 @@ code point outside of those goes to the library as a whole.
 from __future__ import annotations
 
 import functools
+import json
 
 import regex
 
@@ -52,8 +53,21 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def shortcut_applies(path: str) -> bool:
+    """Whether a tokenizer file splits by this module's pattern into pre-tokens of bytes, without changing the text."""
+    if not path.endswith(".json"):
+        return False
+    spec = json.loads(load_tokenizer(path).to_str())
+    split = spec["pre_tokenizer"] or {}
+    same = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    return bool(same and spec["normalizer"] is None and not spec["model"].get("continuing_subword_prefix"))
+
+
 def prove_whole_tokens(path: str) -> dict[str, int]:
-    """Vocabulary strings that are one pre-token and that the library encodes to one token: string to id."""
+    """Vocabulary strings that are one pre-token and that the library encodes to one token: string to id. None for a
+    tokenizer to which the shortcut does not apply."""
+    if not shortcut_applies(path):
+        return {}
     tok, letters, find = load_tokenizer(path), _byte_letters(), pattern().findall
     strings = []
     for s in tok.get_vocab(with_added_tokens=False):
@@ -151,3 +165,27 @@ class PreTokenEncoder:
             self.special[part].to_bytes(4, "little") if part in self.special else b"".join(map(get, self.find(part)))
             for part in self._parts(text)
         )
+
+
+class WholeTextEncoder:
+    """Counts or encodes texts by their library alone: tokenizers for .json, sentencepiece for .model."""
+
+    def __init__(self, name: str):
+        path = tokenizer_path(name)
+        if path.endswith(".model"):
+            import sentencepiece
+
+            self._ids = sentencepiece.SentencePieceProcessor(model_file=path).encode
+        else:
+            tok = load_tokenizer(path)
+            self._ids = lambda text: tok.encode(text, add_special_tokens=False).ids
+
+    def count(self, text: str) -> int:
+        return len(self._ids(text))
+
+    def encode(self, text: str) -> bytes:
+        return PreTokenEncoder._pack(self._ids(text))
+
+
+def encoder_for(name: str, whole: dict[str, int]) -> PreTokenEncoder | WholeTextEncoder:
+    return PreTokenEncoder(whole, name) if shortcut_applies(tokenizer_path(name)) else WholeTextEncoder(name)

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .bpe import PreTokenEncoder, prove_whole_tokens
-from .common import batch_rows, stored, table, tokenizer_path
+from .bpe import encoder_for, prove_whole_tokens
+from .common import BYTE_BPE, batch_rows, stored, table, tokenizer_path
 
 END_ID = 2
 CAPACITY = 1024
@@ -115,20 +115,20 @@ def cut(total: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
 _PIECES = "piece integer, start long, length long, ids_crc32 long, task integer, place long"
 
 
-def tokenize_and_cut(docs: DataFrame, text: str, keep: tuple[str, ...], capacity: int, end_id: int, with_ids: bool) -> DataFrame:
+def tokenize_and_cut(docs: DataFrame, text: str, keep: tuple[str, ...], capacity: int, end_id: int, with_ids: bool, name: str) -> DataFrame:
     """A row per piece, with its task and its place among the pieces of its length in the task."""
     spark = docs.sparkSession
     batch_rows(spark, 1000)
-    whole = spark.sparkContext.broadcast(prove_whole_tokens(tokenizer_path()))
+    whole = spark.sparkContext.broadcast(prove_whole_tokens(tokenizer_path(name)))
     schema = docs.select(*keep).schema
-    for name, kind in (x.split() for x in _PIECES.split(", ")):
-        schema = schema.add(name, kind, False)
+    for column, kind in (x.split() for x in _PIECES.split(", ")):
+        schema = schema.add(column, kind, False)
     if with_ids:
         schema = schema.add("ids", "binary", False)
     tail = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = PreTokenEncoder(whole.value)
+        encoder = encoder_for(name, whole.value)
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
@@ -178,10 +178,11 @@ def _lookup(plan: list[Match]) -> tuple[np.ndarray, ...]:
 
 
 def pack(
-    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
-) -> DataFrame:
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int = END_ID,
+    with_ids: bool = False, name: str = BYTE_BPE,
+) -> DataFrame:
     """`keep` columns, piece, start, length, ids_crc32, sequence_id, offset, and the ids if asked for."""
-    cut_ = stored(tokenize_and_cut(docs, text, keep, capacity, end_id, with_ids), "pack-pieces")
+    cut_ = stored(tokenize_and_cut(docs, text, keep, capacity, end_id, with_ids, name), "pack-pieces")
     return place_pieces(cut_, capacity)
 
 

@@ -1,4 +1,4 @@
-"""Token counts by the whole-token shortcut (see bpe).
+"""Token counts by the whole-token shortcut (see bpe); tokenizers of another kind count by their library alone.
 
 Defined cases: a null text is empty and has no tokens; texts of any length are counted whole; repeated rows are counted
 each; a null doc_id is kept; an empty table gives an empty result; other columns are ignored.
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenEncoder, prove_whole_tokens
+from .bpe import encoder_for, prove_whole_tokens
 from .common import BYTE_BPE, batch_rows, table, tokenizer_path
 
 
@@ -24,7 +24,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     schema = docs.select(*keep).schema.add("n_bytes", "long", False).add("n_tokens", "long", False)
 
     def run(batches):
-        encoder = PreTokenEncoder(whole.value, name)
+        encoder = encoder_for(name, whole.value)
         for batch in batches:
             texts = batch.column(len(keep))
             counts = [encoder.count(t) for t in texts.to_pylist()]

@@ -116,6 +116,13 @@ def test_memory_limit_keeps_results(monkeypatch):
     assert encoder.count(text) == len(bpe.load_tokenizer(path).encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers_count_by_their_library(spark, edges, name):
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(edges.where("doc_id <> 5"), name=name).collect()}
+    assert got == {i: bpe.WholeTextEncoder(name).count(t or "") for i, t, *_ in EDGES if i not in (5, None)} and got[4] > 5
+    assert bpe.prove_whole_tokens(tokenizer_path(name)) == {}
+
+
 def test_token_count_edges(edges, empty, clashing):
     got = {r.doc_id: r for r in token_count.count_tokens(edges).collect()}
     assert (got[1].n_bytes, got[1].n_tokens) == (0, 0)
