@@ -64,7 +64,7 @@ def shortcut_applies(path: str) -> bool:
 
 
 def prove_whole_tokens(path: str) -> dict[str, int]:
-    """Vocabulary strings that are one pre-token and that the library encodes to one token: string to id. None for a
+    """Vocabulary strings that are one pre-token and that the library encodes to one token: string to id. Empty for a
     tokenizer to which the shortcut does not apply."""
     if not shortcut_applies(path):
         return {}
