@@ -15,6 +15,8 @@ MARKERS = ("ACTB", "GAPDH", "MALAT1", "B2M", "PTPRC", "RPL13", "TMSB4X", "TP53")
 TARGET_TOTAL = 1e4
 #: Aligned raw values above it count as expressed.
 EXPRESSED = 0.1
+#: Entries of a block of positions.
+_BLOCK = 1 << 20
 #: Rows of a vocabulary up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -78,12 +80,13 @@ def from_csr(cells: DataFrame) -> DataFrame:
 
 def csr_slices(indptr: DataFrame, entries: DataFrame) -> DataFrame:
     """S7 on the stored triple: indptr (pos, start), entries (pos, gene_idx, value), both by position. Every stored entry
-    finds its row by its place, without a join by ranges: the starts are laid among the entries and carried on."""
+    finds its row by its place, without a join by ranges: the starts are laid among the entries of their block and carried
+    on; only the last start of each block, a row per _BLOCK entries, is ranked across blocks."""
     from pyspark.sql import Window
 
     starts = indptr.select(F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("pos").alias("cell_id"), F.lit(None).cast("int").alias("gene_idx"), F.lit(None).cast("double").alias("value"))
     rows = entries.select(F.col("pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("cell_id"), F.col("gene_idx").cast("int").alias("gene_idx"), F.col("value").cast("double").alias("value"))
-    block = F.floor(F.col("at") / 65536)
+    block = F.floor(F.col("at") / _BLOCK)
     every = starts.unionByName(rows).withColumn("block", block)
     # a block's first entries belong to the last start of an earlier block
     last = starts.withColumn("block", block).groupBy("block").agg(F.max("cell_id").alias("last"))

@@ -44,5 +44,6 @@ def stratified_sample(df: DataFrame, label: str, n: int, id_col: str = "vec_id",
     place = F.row_number().over(Window.orderBy(F.desc("__rest"), label))
     quota = shares.withColumn("__quota", F.col("__base") + F.when(place <= missing, 1).otherwise(0)).select(F.col(label).alias("__l"), "__quota")
     first = Window.partitionBy(label).orderBy(order if order is not None else F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
-    ranked = df.withColumn("__r", F.row_number().over(first))
+    # no label has a quota over n: with that constant each task sorts and sends n rows of a label at most
+    ranked = df.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n)
     return ranked.join(F.broadcast(quota), ranked[label].eqNullSafe(F.col("__l"))).where("__r <= __quota").drop("__r", "__l", "__quota")

@@ -63,8 +63,15 @@ def label_counts(cells: DataFrame, label: str = "label") -> DataFrame:
 
 
 def top_counts(cells: DataFrame, label: str = "label", top: int = 10) -> DataFrame:
-    """The `top` labels, and one row for how many more there are."""
-    ranked = label_counts(cells, label).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), label)))
-    more = F.concat(F.lit("("), F.count("*").cast("string"), F.lit(" more)"))
-    rest = ranked.where(F.col("place") > top).agg(more.alias(label), F.sum("n").alias("n"), F.lit(top + 1).alias("place")).where("n > 0")
-    return ranked.where(F.col("place") <= top).unionByName(rest)
+    """The `top` labels, and one row for how many more there are. Only `top` rows are ever ranked."""
+    counts = cells.groupBy(label).agg(F.count("*").alias("n"))
+    order = [F.desc("n"), F.col(label)]
+    first = counts.orderBy(*order).limit(top)
+    shown = first.agg(F.count("*").alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    every = counts.agg(F.count("*").alias("all_labels"), F.sum("n").alias("all_rows"))
+    more = every.join(F.broadcast(shown)).where("all_labels > labels").select(
+        F.concat(F.lit("("), (F.col("all_labels") - F.col("labels")).cast("string"), F.lit(" more)")).alias(label),
+        (F.col("all_rows") - F.col("rows")).alias("n"),
+        F.lit(top + 1).alias("place"),
+    )
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order))).unionByName(more)

@@ -225,24 +225,24 @@ def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
 # ---- user index
 
 
-@query("user_index_build", f"WITH {INDEX_SQL} SELECT CAST(partition_id AS INTEGER) AS partition_id, count(*) AS n, string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS labels FROM own JOIN v USING (vec_id) WHERE vec_id % 3 = 0 GROUP BY 1")
+@query("user_index_build", f"WITH {INDEX_SQL} SELECT CAST(partition_id AS INTEGER) AS partition_id, count(*) AS n, string_agg(CAST(label AS VARCHAR), ',' ORDER BY vec_id) AS labels FROM own JOIN v USING (vec_id) WHERE label < 3 GROUP BY 1")
 def user_index_build(spark: SparkSession, d: str) -> DataFrame:
     parts = user_index.partitions(_user_rows(spark, d)[1])
     return parts.select("partition_id", "n", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
 def _user_rows(spark: SparkSession, d: str) -> tuple[ivf.IvfPqIndex, DataFrame]:
-    """A user's cells: every third vector, labelled, with the codes the base index gives them."""
+    """A user's cells: those of three kinds, labelled, with the codes the base index gives them."""
     v = table(spark, d, "embeddings")
     base = rule_index(v)
-    own = v.where("vec_id % 3 = 0")
+    own = v.where("label < 3")
     cells = ivf.artifacts(own, base).withColumnRenamed("query_id", "pos").join(own.select(F.col("vec_id").alias("pos"), F.col("label").alias("label_id")), "pos")
     return base, user_index.entries(cells.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)}), "user-1")
 
 
 @query(
     "user_index_search",
-    f"""WITH {PROBE_SQL.replace("FROM q, c)", "FROM q, c WHERE partition_id IN (SELECT partition_id FROM own WHERE vec_id % 3 = 0))")}{search_sql(4).replace("JOIN codes USING (partition_id, j, code)", "JOIN (SELECT * FROM codes WHERE vec_id % 3 = 0) codes USING (partition_id, j, code)")}
+    f"""WITH {PROBE_SQL.replace("FROM q, c)", "FROM q, c WHERE partition_id IN (SELECT partition_id FROM own JOIN v USING (vec_id) WHERE label < 3))")}{search_sql(4).replace("JOIN codes USING (partition_id, j, code)", "JOIN (SELECT codes.* FROM codes JOIN v USING (vec_id) WHERE label < 3) codes USING (partition_id, j, code)")}
     SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(label AS BIGINT) AS label_id, round(dist, 6) AS dist FROM found JOIN v USING (vec_id)""",
 )
 def user_index_search(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +251,7 @@ def user_index_search(spark: SparkSession, d: str) -> DataFrame:
     return user_index.search(q, base, rows, N_PROBE, K).select("query_id", "rank", "label_id", r6("dist"))
 
 
-@query("user_index_round_trip", f"WITH {INDEX_SQL} SELECT CAST(partition_id AS INTEGER) AS partition_id, count(*) AS n, sum(vec_id) AS positions, CAST(sum(label) AS BIGINT) AS labels, CAST(sum(code) AS BIGINT) AS codes FROM (SELECT partition_id, vec_id, label, sum(code) AS code FROM codes JOIN v USING (vec_id) WHERE vec_id % 3 = 0 GROUP BY ALL) GROUP BY 1")
+@query("user_index_round_trip", f"WITH {INDEX_SQL} SELECT CAST(partition_id AS INTEGER) AS partition_id, count(*) AS n, sum(vec_id) AS positions, CAST(sum(label) AS BIGINT) AS labels, CAST(sum(code) AS BIGINT) AS codes FROM (SELECT partition_id, vec_id, label, sum(code) AS code FROM codes JOIN v USING (vec_id) WHERE label < 3 GROUP BY ALL) GROUP BY 1")
 def user_index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     _, rows = _user_rows(spark, d)
     meta = spark.sql("SELECT 'user-1' AS id, 'mine' AS name, 'base' AS base_model_id, timestamp'2026-01-01 00:00:00' AS created, 1L AS cell_count, 'label' AS category, array('a') AS labels")

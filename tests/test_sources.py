@@ -127,11 +127,12 @@ def test_normalisation_edges(spark):
     assert features.expressed(spark.createDataFrame([(np.float32(0.1).item(),), (0.1,)], "value double")).count() == 1
 
 
-def test_csr_round_trip(spark):
+def test_csr_round_trip(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 4, 2.0), (1, 0, 1.0), (2, 3, 5.0)], "cell_id long, gene_idx int, value double")
     assert sorted(map(tuple, features.from_csr(features.to_csr(rows)).collect())) == sorted(map(tuple, rows.collect()))
     flat = spark.createDataFrame([(i, float(i)) for i in range(6)], "pos long, value double")
     assert [(r.cell_id, r.gene_idx) for r in features.from_flat(flat, 3).orderBy("value").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
+    monkeypatch.setattr(features, "_BLOCK", 1000)
     indptr = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (3, 70_000)], "pos long, start long")
     entries = spark.range(70_003).select(F.col("id").alias("pos"), F.lit(1).alias("gene_idx"), F.lit(1.0).alias("value"))
     got = {r.cell_id: r["count"] for r in features.csr_slices(indptr, entries).groupBy("cell_id").count().collect()}
