@@ -35,7 +35,7 @@ WINDOW = 10
 BLOCK_BYTES = 32 << 20
 #: A shard ends once it holds so many indexed symbols or so many bytes of pending texts.
 SHARD_SYMBOLS = 1 << 19
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of words stay (A-Z in lower case), all others become spaces; bytes over 0x7F belong to non-ASCII characters.

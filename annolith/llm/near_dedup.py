@@ -23,24 +23,27 @@
 6. Classes are the connected components of the links, with all copies of each node. The class id is the smallest doc_id.
 
 Defined cases: a text without words (null, empty) is a class of its own; repeated rows share a class; a null doc_id
-counts for nothing in the smallest id, and a text that only rows without an id have is classed by equal words alone,
-with a null class id; texts are compared whole; an empty table gives an empty result; other columns are ignored.
+counts for nothing in the smallest id, and a class without any id has a null class id; an id may stand for several
+different texts, each of which is classed; texts are compared whole; an empty table gives an empty result; other columns
+are ignored. Ids are integers; others are an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .common import batch_rows, stored, table
+from .common import as_row, batch_rows, stored, table
 from .decontaminate import split_words
 from .graph import components
 
@@ -61,7 +64,7 @@ _PER_TASK, _BLOCK = 2000, 1500
 _BROADCAST = 200_000
 #: Comparisons of unlinked nodes with those of their buckets up to which step 5 goes without hubs.
 _FEW = 5_000_000
-_WORDS_KEPT = 1 << 20
+_WORDS_KEPT = 1 << 18
 
 
 class _WordHashes(dict):
@@ -237,8 +240,21 @@ def _sign(docs: DataFrame, text: str, idf) -> DataFrame:
     return docs.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(run, "digest binary, signature binary, buckets array<long>")
 
 
+def _with_digest(docs: DataFrame, text: str) -> DataFrame:
+    """(digest, text) of the texts that have words."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [split_words(t) for t in batch.column(0).to_pylist()]
+            digests = pa.array([digest_of(w) if w else None for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([digests, batch.column(0)], ["digest", "text"])
+
+    return docs.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(run, "digest binary, text string").where("digest IS NOT NULL")
+
+
 def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
-    """(digest, text) of the wanted (digest, key): one text for each."""
+    """(digest, text) of the wanted (digest, key): one text for each. Rows meet by their key, as the digests of all texts
+    are stored without them; only rows without a key are met by digest."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +262,9 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame
             yield batch.take(pa.array(keep, pa.int64())).select(["digest", "text"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    found = rows.join(wanted.select("digest", "key"), "key").select("digest", "text")
-    return found.mapInArrow(run, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
+    found = rows.join(wanted.select("digest", "key"), "key").select("digest", "text").mapInArrow(run, "digest binary, text string")
+    nameless = _with_digest(docs.where(F.col(key).isNull()), text).join(wanted.where("key IS NULL").select("digest"), "digest", "left_semi")
+    return found.unionByName(nameless).groupBy("digest").agg(F.first("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -360,8 +377,11 @@ def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return _grid(whole).applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per document: `key` and class_id, the smallest key of its class."""
+def _classes(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """A row per document: key, digest (null without words), component (its node, or the least one linked to it) and
+    class_id, the smallest key of the component."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is no integer")
     spark = docs.sparkSession
     batch_rows(spark, 1000)
     read = stored(_read(docs, text, key), "dedup-read")
@@ -421,19 +441,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     linked = copies.join(labels.withColumnRenamed("node", "digest"), "digest")
     classes = linked.groupBy("component").agg(F.min("key").alias("class_id"))
-    of_linked = linked.join(classes, "component").select("digest", "class_id")
-    of_copies = copies.where("n > 1").join(labels.select(F.col("node").alias("digest")), "digest", "left_anti").select("digest", F.col("key").alias("class_id"))
+    of_linked = linked.join(classes, "component").select("digest", "component", "class_id")
+    of_copies = copies.where("n > 1").join(labels.select(F.col("node").alias("digest")), "digest", "left_anti")
+    of_copies = of_copies.select("digest", F.col("digest").alias("component"), F.col("key").alias("class_id"))
     found = stored(of_linked.unionByName(of_copies), "dedup-classes")
-    return rows.join(found, "digest", "left").select(F.col("key").alias(key), F.when(F.col("class_id").isNotNull(), F.col("class_id")).otherwise(F.col("key")).alias("class_id"))
+    joined = rows.join(found.withColumn("found", F.lit(True)), "digest", "left")
+    return joined.select("key", "digest", F.coalesce("component", "digest").alias("component"), F.when(F.col("found"), F.col("class_id")).otherwise(F.col("key")).alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A row per document: `key` and class_id, the smallest key of its class."""
+    return _classes(docs, text, key).select(F.col("key").cast(docs.schema[key].dataType).alias(key), "class_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each class, that with the smallest id; one row of it, if it repeats. Documents without an id
-    are kept: nothing tells which of their class they are."""
-    classes = near_duplicates(docs, text, key)
-    kept = classes.where(F.col("class_id") == F.col(key)).select(F.col(key).alias("__key")).distinct()
-    named = docs.join(kept, docs[key].cast("long") == kept["__key"], "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+    """One document of each class: that with the smallest id, one row of it if it repeats. Of a class without ids one
+    row stays."""
+
+    @F.pandas_udf(T.BinaryType())
+    def digest(t):
+        words = (split_words(x) if x else [] for x in t)
+        return pd.Series([digest_of(w) if w else None for w in words], dtype=object)
+
+    classes = stored(_classes(docs, text, key), "dedup-kept")
+    first = classes.where("key = class_id AND digest IS NOT NULL").groupBy("component").agg(F.min(F.struct("key", "digest")).alias("f")).select("f.key", "f.digest")
+    first = first.unionByName(classes.where("key IS NOT NULL AND digest IS NULL").select("key", "digest").distinct())
+    rows = as_row(docs, text).withColumn("__key", F.col(f"__row.`{key}`").cast("long"))
+    named = rows.join(first.withColumnRenamed("digest", "__digest"), F.col("__key") == F.col("key"))
+    named = named.where(digest("__in").eqNullSafe(F.col("__digest"))).dropDuplicates(["__key", "__digest"]).select("__row")
+    nameless = rows.where("__key IS NULL").withColumn("__digest", digest("__in"))
+    alone = classes.where("key IS NULL AND class_id IS NULL").select("digest", "component").distinct()
+    one = nameless.join(alone, F.col("__digest") == F.col("digest")).dropDuplicates(["component"]).select("__row")
+    return named.unionByName(one).unionByName(nameless.where("__digest IS NULL").select("__row")).select("__row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,24 @@ def test_near_duplicate_edges(spark):
     assert sorted(rows, key=str) == sorted([(r[0], r[0]) for r in EDGES], key=str)
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
     assert collections.Counter(r.doc_id for r in near_dedup.keep_one(docs).collect()) == collections.Counter({1: 1, 2: 1, None: 1, 4: 1, 5: 1, 6: 1, 7: 1})
+    with pytest.raises(TypeError):
+        near_dedup.near_duplicates(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_missing_and_shared_ids(spark):
+    """Near copies of which some have no id, and ids that stand for several texts."""
+    words = [f"w{i}" for i in range(100)]
+    a, b, c = (" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (3, 50, 99))
+    d, e = " ".join(f"d{i}" for i in range(60)), " ".join(f"e{i}" for i in range(60))
+    rows = [(None, a), (9, b), (4, c), (None, d), (None, d), (4, d + " more"), (4, e), (7, e), (None, None), (4, e), (2, "d1 d2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect())
+    want = [(None, 4), (9, 4), (4, 4), (None, 4), (None, 4), (4, 4), (4, 4), (7, 4), (None, None), (4, 4), (2, 2)]
+    assert got == collections.Counter(want)
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
+    assert kept == collections.Counter([(4, c), (4, d + " more"), (4, e), (None, None), (2, "d1 d2")])
+    alone = spark.createDataFrame([(None, a), (None, b), (None, ""), (None, "")], "doc_id long, text string")
+    assert sorted(len(r.text) for r in near_dedup.keep_one(alone).collect()) in ([0, 0, len(a)], [0, 0, len(b)])
 
 
 # ---- pipeline
