@@ -175,6 +175,7 @@ def _read(docs: DataFrame, text: str, key: str) -> DataFrame:
                 documents += 1
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+        _hashes.clear()  # a reused worker goes on to other stages
         task = TaskContext.get().partitionId()
         key_type = pa.int64()
         yield pa.RecordBatch.from_arrays(
@@ -236,6 +237,7 @@ def _sign(docs: DataFrame, text: str, idf) -> DataFrame:
             flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), lists], ["digest", "signature", "buckets"])
+        _hashes.clear()
 
     return docs.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(run, "digest binary, signature binary, buckets array<long>")
 
@@ -294,6 +296,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.bool_())],
                 ["member", "leader", "similar"],
             )
+        _hashes.clear()
 
     ordered = leaders.unionByName(members).repartition("leader", "task").sortWithinPartitions("leader", "task", F.col("member").asc_nulls_first())
     return ordered.mapInArrow(run, "member binary, leader binary, similar boolean")
