@@ -302,7 +302,7 @@ re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, s
 ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, seen) AS place FROM la),
 mis AS (
   SELECT query_id, re.label AS exact_label, ra.label AS approx_label, re.votes / 10.0 AS exact_confidence, ra.votes / 10.0 AS approx_confidence,
-    (SELECT CAST(min(x.place) AS INTEGER) FROM re x WHERE x.query_id = re.query_id AND x.label = ra.label) AS approx_place
+    coalesce((SELECT CAST(min(x.place) AS INTEGER) FROM re x WHERE x.query_id = re.query_id AND x.label = ra.label), -1) AS approx_place
   FROM re JOIN ra USING (query_id) WHERE re.place = 1 AND ra.place = 1 AND re.label <> ra.label
 )"""
 
@@ -321,7 +321,7 @@ def _mismatch(spark: SparkSession, d: str, n_probe: int = N_PROBE) -> DataFrame:
 def mismatch_table(spark: SparkSession, d: str) -> DataFrame:
     t = _mismatch(spark, d)
     text = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("exact_top3", "approx_top3")}
-    return t.withColumns(text).select("query_id", "exact_label", "approx_label", r6("exact_confidence"), r6("approx_confidence"), "approx_place", "exact_top3", "approx_top3")
+    return t.withColumns(text).select("query_id", "exact_label", "approx_label", r6("exact_confidence"), r6("approx_confidence"), F.coalesce("approx_place", F.lit(-1)).alias("approx_place"), "exact_top3", "approx_top3")
 
 
 @query(
