@@ -189,6 +189,41 @@ def test_wrapped_base64_of_every_tail_length(secret, end):
             assert at + len(run.rstrip("=")) <= min(b for _, _, b in every) <= at + len(run), (n, after)
 
 
+@pytest.mark.parametrize(
+    "data",
+    [
+        "Write-Host x; $password='hunter2xyz'".encode("utf-16-le"),
+        "\ufeffpassword=hunter2xyz".encode("utf-16-be"),
+        b"\1" + "password=hunter2xyz".encode("utf-16-le"),
+        "Größe, password=hunter2xyz".encode("latin-1"),
+        b"HOME=/root\0password=hunter2xyz\0LANG=C\0",
+        b"\x1b[31mpassword=hunter2xyz\x1b[0m",
+        gzip.compress(b"name" + b"\0" * 508 + b"password=hunter2xyz\n" + b"\0" * 493, mtime=0),
+        gzip.compress(b"first", mtime=0) + gzip.compress(b"password=hunter2xyz", mtime=0),
+        gzip.compress(b"first", mtime=0) + b"\0" * 20 + gzip.compress(b"password=hunter2xyz", mtime=0),
+        gzip.compress(b"first", mtime=0) + b"\xff password=hunter2xyz",
+        b"\0\1\2" + base64.b64encode(b"\xff\0 password=hunter2xyz"),
+    ],
+)
+def test_data_that_are_no_plain_text_are_scanned(data):
+    run = base64.b64encode(data).decode()
+    text = f"a {run} b {run} c"
+    base, every = secret_scan.find_secrets(text)
+    assert base == []
+    found = [(a, b) for a, k, b in every if k == 0]
+    assert len(found) == 2 and all(text.index(run) <= a < b <= a + len(run) for a, b in found)
+    assert found[1][0] >= text.rindex(run)
+    assert secret_scan.redact(text, every).count("[REDACTED]") == 2
+
+
+def test_members_share_the_limit(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_INFLATED", 1000)
+    data = gzip.compress(b"a" * 600, mtime=0)
+    assert secret_scan._inflate(data) == b"a" * 600
+    run = base64.b64encode(data + data).decode()
+    assert (2, 3, 2 + len(run)) in secret_scan.find_secrets(f"x {run} y")[1]
+
+
 def test_cycles_and_bombs_end(monkeypatch):
     assert secret_scan.find_secrets("%2525252525") == ([], [])
     monkeypatch.setattr(secret_scan, "MAX_INFLATED", 1000)
