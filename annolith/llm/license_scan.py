@@ -2,10 +2,11 @@
 
 A text is cut into sentences. Candidate blocks are runs of sentences made mostly of words that the templates use, with
 a trigger word somewhere. Each block is compressed alone and with each template as a raw zstandard dictionary; the
-relative reduction ranks the templates. The best RANKED ones are aligned with the block word by word, and the block
-gets the template with the fewest exact wording differences, if they are few enough and all words that tell this
-license from its relatives are there; otherwise the block counts as unconfirmed. A long block may hold several
-notices: what a confirmed template does not cover is examined again.
+relative reduction ranks the templates. All are aligned with the block word by word, each with any stretch of it, and the
+stretch gets the template with the fewest exact wording differences (the better ranked of equal ones), if they are few
+enough and all words that tell this license from its relatives are there; otherwise the block counts as unconfirmed. A
+long block may hold several notices: what a confirmed template does not cover is examined again, and counts as
+unconfirmed if it has a trigger.
 
 Defined cases: a null text is empty and has no license; repeated rows and blocks are judged each; texts are read whole;
 an empty table gives an empty result; other columns are ignored.
@@ -13,7 +14,6 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import difflib
 import functools
 import re
 from dataclasses import dataclass
@@ -71,7 +71,6 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
 _TRIGGER = re.compile(r"(?i)licen[cs]e|permission is hereby|redistribut|public domain|rights reserved|source code form|free software")
 _SENTENCE = re.compile(r"[^\n]+?(?:[.:;!?](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
-RANKED = 3
 #: Differing words allowed: as a share of the template, and in any case.
 TOLERANCE, ALWAYS = 0.2, 3
 #: Share of a sentence's words that templates use, for a candidate.
@@ -82,6 +81,26 @@ def words_of(text: str) -> tuple[str, ...]:
     return tuple(_WORD.findall(text.lower()))
 
 
+def distances(own: tuple[str, ...], block: tuple[str, ...], anchored: bool = False) -> list[int]:
+    """For each place of the block the least number of replaced, missing and added words between `own` and a stretch
+    that ends there, from the block's start if `anchored` (Myers' bit vectors, a bit a word)."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(own):
+        at[w] = at.get(w, 0) | 1 << i
+    mask, top = (1 << len(own)) - 1, 1 << len(own) - 1
+    more, less, n, out = mask, 0, len(own), []
+    for w in block:
+        same = at.get(w, 0)
+        across = (((same & more) + more) ^ more) | same
+        down = same | less
+        up, off = (less | ~(across | more)) & mask, more & across
+        n += bool(up & top) - bool(off & top)
+        out.append(n)
+        up = up << 1 | anchored
+        more, less = (off << 1 | ~(down | up)) & mask, up & down & mask
+    return out
+
+
 @dataclass(frozen=True)
 class Finding:
     start: int
@@ -96,6 +115,11 @@ class LicenseScanner:
         self.templates = templates or TEMPLATES
         self.words = {n: words_of(t) for n, (t, _) in self.templates.items()}
         self.keys = {n: frozenset(w for k in keys for w in words_of(k)) for n, (_, keys) in self.templates.items()}
+        #: Templates that have all words of another in one piece, by that one.
+        self.longer = {
+            n: [m for m in self.words if m != n and any(self.words[m][i : i + len(ws)] == ws for i in range(len(self.words[m]) - len(ws) + 1))]
+            for n, ws in self.words.items()
+        }
         self.vocabulary = frozenset(w for ws in self.words.values() for w in ws)
         plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(level=3, **plain)
@@ -126,40 +150,53 @@ class LicenseScanner:
         alone = len(self.alone.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: tuple[str, ...], name: str) -> tuple[int, int, int]:
-        """Words that differ between the template and the stretch of the block it aligns with, and that stretch."""
-        own = self.words[name]
-        match = [m for m in difflib.SequenceMatcher(None, block, own, autojunk=False).get_matching_blocks() if m.size]
-        if not match:
-            return len(own), 0, 0
-        a, b = match[0].a, match[-1].a + match[-1].size
-        missing = match[0].b + len(own) - match[-1].b - match[-1].size  # at the template's ends
-        for x, y in zip(match, match[1:]):  # a replaced word differs once
-            missing += max(y.a - x.a - x.size, y.b - x.b - x.size)
-        return missing, a, b
+    def stretches(self, block: tuple[str, ...], name: str) -> list[tuple[int, int, int]]:
+        """(differing words, start, end) where the block has the template within its tolerance and with its telling
+        words, fewest differences first."""
+        own, keys = self.words[name], self.keys[name]
+        if not keys <= set(block):
+            return []
+        limit = max(ALWAYS, int(TOLERANCE * len(own)))
+        found = {}
+        for n, end in sorted((n, i + 1) for i, n in enumerate(distances(own, block)) if n <= limit):
+            back = distances(own[::-1], block[max(0, end - len(own) - limit) : end][::-1], anchored=True)
+            start = end - min((x, abs(i + 1 - len(own)), i + 1) for i, x in enumerate(back))[2]
+            while start < end and block[start] not in own and not _TRIGGER.search(block[start]):
+                start += 1
+            while start < end and block[end - 1] not in own and not _TRIGGER.search(block[end - 1]):
+                end -= 1
+            if keys <= set(block[start:end]):
+                found.setdefault((start, end), n)
+        return [(n, a, b) for (a, b), n in found.items()]
 
     def _judge(self, block: str) -> tuple[tuple[int, int, str | None, float, int], ...]:
-        places = [m.span() for m in _WORD.finditer(block.lower())] if len(block.lower()) == len(block) else None
-        ws = words_of(block)
+        low = block.replace("\u0130", "i").lower()  # of the same length
+        places = [m.span() for m in _WORD.finditer(low)]
+        ws = tuple(low[a:b] for a, b in places)
         if not ws:
             return ()
         ranked = self.rank(block)
-        best = None
-        for reduction, name in ranked[:RANKED]:
-            n, a, b = self.differences(ws, name)
-            if self.keys[name] <= set(ws[a:b]) and n <= max(ALWAYS, TOLERANCE * len(self.words[name])) and (best is None or n < best[0]):
-                best = (n, a, b, name, reduction)
-        if best is None:
+        confirmed = {name: (reduction, at) for reduction, name in ranked if (at := self.stretches(ws, name))}
+        for name in list(confirmed):  # a short notice inside its long form is not one of its own
+            longer = [(a, b) for m in self.longer[name] if m in confirmed for _, a, b in confirmed[m][1]]
+            at = [x for x in confirmed[name][1] if not any(a <= x[1] and x[2] <= b for a, b in longer)]
+            confirmed[name] = (confirmed[name][0], at)
+        confirmed = {name: x for name, x in confirmed.items() if x[1]}
+        if not confirmed:
             return ((0, len(block), None, ranked[0][0], 0),)
-        n, a, b, name, reduction = best
-        if places is None:  # lower case has another length: the block is reported whole
-            return ((0, len(block), name, reduction, n),)
-        start, end = places[a][0], places[b - 1][1]
-        rest = []
-        for lo, hi in ((0, start), (end, len(block))):
-            if _TRIGGER.search(block, lo, hi):
-                rest += [(lo + x[0], lo + x[1], *x[2:]) for x in self.judge(block[lo:hi]) if x[2]]
-        return tuple(sorted([(start, end, name, reduction, n), *rest]))
+        name, (reduction, at) = min(confirmed.items(), key=lambda x: x[1][1][0][0])
+        n, found, done = at[0][0], [], 0
+        for a, b in [*sorted(x[1:] for x in at if x[0] == n), (len(ws), len(ws))]:
+            if a < done:
+                continue
+            if done < a:
+                lo, hi = places[done][0], places[a - 1][1]
+                if _TRIGGER.search(block, lo, hi):
+                    found += [(lo + x[0], lo + x[1], *x[2:]) for x in self.judge(block[lo:hi])]
+            if a < b:
+                found.append((places[a][0], places[b - 1][1], name, reduction, n))
+            done = b
+        return tuple(found)
 
     def scan(self, text: str) -> list[Finding]:
         return [Finding(lo + a, lo + b, *rest) for lo, hi in self.candidates(text) for a, b, *rest in self.judge(text[lo:hi])]

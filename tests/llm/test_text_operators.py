@@ -318,6 +318,42 @@ def test_licenses_by_wording():
     assert [(f.license, f.start, f.end) for f in scan("x.\n" + long + "\nAll rights reserved.")] == [("MIT-text", 3, len(long) + 2), ("Proprietary", len(long) + 4, len(long) + 23)]
 
 
+def test_word_distances_against_a_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        own, block = (tuple(rng.choice("abcd") for _ in range(rng.randint(1, n))) for n in (9, 20))
+        for anchored in (False, True):
+            row = list(range(len(own) + 1))
+            want = []
+            for j, w in enumerate(block):
+                new = [j + 1 if anchored else 0]
+                for i, v in enumerate(own):
+                    new.append(min(row[i] + (v != w), row[i + 1] + 1, new[i] + 1))
+                row = new
+                want.append(row[-1])
+            assert license_scan.distances(own, block, anchored) == want
+
+
+def test_every_template_is_tried_and_remainders_are_kept():
+    scan = license_scan.LicenseScanner().scan
+    rng = random.Random(7)
+
+    def altered(name):  # a third of the words replaced by other words of the templates
+        ws = license_scan.TEMPLATES[name][0].split()
+        return " ".join(rng.choice(["software", "work", "the", "use", "conditions"]) if i % 3 == 1 else w for i, w in enumerate(ws))
+
+    long = " ".join(altered(n) for n in ("MIT-text", "Apache-2.0-text", "GPL-3.0-text"))
+    for notice, name in (("All rights reserved.", "Proprietary"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")):
+        found = scan(f"{long} {notice}")
+        assert (name, 0) in [(f.license, f.differences) for f in found]
+        assert not {"MIT-text", "Apache-2.0-text", "GPL-3.0-text"} & {f.license for f in found}
+        assert any(f.license is None and f.start == 0 for f in found)
+    assert [f.license for f in scan("All rights reserved.\n" * 2000)] == ["Proprietary"] * 2000
+    text = license_scan.TEMPLATES["Apache-2.0-text"][0].replace("may not", "must not")
+    assert [(f.license, f.differences) for f in scan(text)] == [("Apache-2.0-text", 1)]
+    assert [f.license for f in scan("\u0130\nLicensed under the BSD 2-Clause License.")] == ["BSD-2-Clause"]
+
+
 def test_licenses_of_the_table_against_exact_lines(spark, sf_dir):
     known = {
         "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
