@@ -1,7 +1,9 @@
 """License scan by conditional compression.
 
 A text is cut into sentences. Candidate blocks are runs of sentences made mostly of words that the templates use, with
-a trigger word somewhere. Each block is compressed alone and with each template as a raw zstandard dictionary; the
+a trigger word somewhere, and around every trigger outside the notices found in these, a window of as many words on each
+side as the longest template has, where a notice must hold a trigger itself. What has a trigger and is in no notice
+counts as unconfirmed, but for a sentence of other words with no more than the bare word `license`. Each block is compressed alone and with each template as a raw zstandard dictionary; the
 relative reduction ranks the templates. All are aligned with the block word by word, each with any stretch of it, and the
 stretch gets the template with the fewest exact wording differences (the better ranked of equal ones), if they are few
 enough and all words that tell this license from its relatives are there; otherwise the block counts as unconfirmed. A
@@ -14,6 +16,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from dataclasses import dataclass
@@ -69,6 +72,8 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "Proprietary": ("All rights reserved.", ("rights", "reserved")),
 }
 _TRIGGER = re.compile(r"(?i)licen[cs]e|permission is hereby|redistribut|public domain|rights reserved|source code form|free software")
+#: A trigger that says nothing by itself.
+_BARE = re.compile(r"(?i)\blicen[cs]es?\b(?![ -]identifier)")
 _SENTENCE = re.compile(r"[^\n]+?(?:[.:;!?](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 #: Differing words allowed: as a share of the template, and in any case.
@@ -129,11 +134,11 @@ class LicenseScanner:
         }
         self.judge = functools.lru_cache(maxsize=4096)(self._judge)
 
-    def candidates(self, text: str) -> list[tuple[int, int]]:
-        """Runs of familiar sentences with a trigger."""
+    def candidates(self, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Runs of familiar sentences with a trigger, and other sentences with a trigger."""
         if not _TRIGGER.search(text):
-            return []
-        spans, run = [], []
+            return [], []
+        spans, run, others = [], [], []
         for m in _SENTENCE.finditer(text):
             ws = words_of(m[0])
             if ws and sum(w in self.vocabulary for w in ws) >= FAMILIAR * len(ws):
@@ -141,8 +146,10 @@ class LicenseScanner:
             elif ws:
                 spans.append(run)
                 run = []
+                if _TRIGGER.search(m[0]):
+                    others.append(m.span())
         spans.append(run)
-        return [(r[0][0], r[-1][1]) for r in spans if r and _TRIGGER.search(text, r[0][0], r[-1][1])]
+        return [(r[0][0], r[-1][1]) for r in spans if r and _TRIGGER.search(text, r[0][0], r[-1][1])], others
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """Reduction of the compressed size by each template, largest first, equal ones by name."""
@@ -150,9 +157,9 @@ class LicenseScanner:
         alone = len(self.alone.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
-    def stretches(self, block: tuple[str, ...], name: str) -> list[tuple[int, int, int]]:
-        """(differing words, start, end) where the block has the template within its tolerance and with its telling
-        words, fewest differences first."""
+    def stretches(self, block: tuple[str, ...], name: str, triggers: list[bool] | None = None) -> list[tuple[int, int, int]]:
+        """(differing words, start, end) where the block has the template within its tolerance, with its telling words
+        and, if it is told which words begin triggers, with one of them, fewest differences first."""
         own, keys = self.words[name], self.keys[name]
         if not keys <= set(block):
             return []
@@ -165,18 +172,20 @@ class LicenseScanner:
                 start += 1
             while start < end and block[end - 1] not in own and not _TRIGGER.search(block[end - 1]):
                 end -= 1
-            if keys <= set(block[start:end]):
+            if keys <= set(block[start:end]) and (triggers is None or any(triggers[start:end])):
                 found.setdefault((start, end), n)
         return [(n, a, b) for (a, b), n in found.items()]
 
-    def _judge(self, block: str) -> tuple[tuple[int, int, str | None, float, int], ...]:
+    def _judge(self, block: str, window: bool = False) -> tuple[tuple[int, int, str | None, float, int], ...]:
         low = block.replace("\u0130", "i").lower()  # of the same length
         places = [m.span() for m in _WORD.finditer(low)]
         ws = tuple(low[a:b] for a, b in places)
         if not ws:
             return ()
+        begins = [m.start() for m in _TRIGGER.finditer(block)]
+        triggers = [bisect.bisect_left(begins, a) < bisect.bisect_left(begins, b) for a, b in places] if window else None
         ranked = self.rank(block)
-        confirmed = {name: (reduction, at) for reduction, name in ranked if (at := self.stretches(ws, name))}
+        confirmed = {name: (reduction, at) for reduction, name in ranked if (at := self.stretches(ws, name, triggers))}
         for name in list(confirmed):  # a short notice inside its long form is not one of its own
             longer = [(a, b) for m in self.longer[name] if m in confirmed for _, a, b in confirmed[m][1]]
             at = [x for x in confirmed[name][1] if not any(a <= x[1] and x[2] <= b for a, b in longer)]
@@ -192,14 +201,58 @@ class LicenseScanner:
             if done < a:
                 lo, hi = places[done][0], places[a - 1][1]
                 if _TRIGGER.search(block, lo, hi):
-                    found += [(lo + x[0], lo + x[1], *x[2:]) for x in self.judge(block[lo:hi])]
+                    found += [(lo + x[0], lo + x[1], *x[2:]) for x in (self._judge(block[lo:hi], True) if window else self.judge(block[lo:hi]))]
             if a < b:
                 found.append((places[a][0], places[b - 1][1], name, reduction, n))
             done = b
         return tuple(found)
 
     def scan(self, text: str) -> list[Finding]:
-        return [Finding(lo + a, lo + b, *rest) for lo, hi in self.candidates(text) for a, b, *rest in self.judge(text[lo:hi])]
+        runs, others = self.candidates(text)
+        found = [Finding(lo + a, lo + b, *rest) for lo, hi in runs for a, b, *rest in self.judge(text[lo:hi])]
+        sure = [f for f in found if f.license]
+        windows = self.windows(text, sure) if others or len(sure) < len(found) else []
+        if not windows:
+            return found
+        for lo, hi in windows:
+            sure += [Finding(lo + a, lo + b, *rest) for a, b, *rest in self._judge(text[lo:hi], True) if rest[0]]
+        sure.sort(key=lambda f: f.start)
+        unsure = [Finding(a, b, None, f.reduction, 0) for f in found if not f.license for a, b in self.rests(text, f.start, f.end, sure)]
+        firsts, ends = zip(*windows)
+        for lo, hi in others:
+            near = [(max(lo, a), min(hi, b)) for a, b in windows[bisect.bisect_right(ends, lo) : bisect.bisect_left(firsts, hi)]]
+            for a, b in (x for part in near for x in self.rests(text, *part, sure)):
+                said = _BARE.sub(" ", text[a:b])
+                if _TRIGGER.search(said) or any(w in self.vocabulary for w in words_of(said)):
+                    unsure.append(Finding(a, b, None, self.rank(text[a:b])[0][0], 0))
+        return sorted([*sure, *unsure], key=lambda f: f.start)
+
+    def windows(self, text: str, sure: list[Finding]) -> list[tuple[int, int]]:
+        """Stretches around the triggers outside the notices, without notices; where they overlap, as one."""
+        low = text.replace("\u0130", "i").lower()
+        places = [m.span() for m in _WORD.finditer(low)]
+        starts = [a for a, _ in places]
+        firsts, size = [f.start for f in sure], max(map(len, self.words.values()))
+        out: list[tuple[int, int]] = []
+        for m in _TRIGGER.finditer(text):
+            k = bisect.bisect_right(firsts, m.start())
+            if k and m.start() < sure[k - 1].end:
+                continue
+            i = max(0, bisect.bisect_right(starts, m.start()) - 1)
+            lo = max(places[max(0, i - size)][0], sure[k - 1].end if k else 0)
+            hi = min(places[min(len(places) - 1, i + size)][1], sure[k].start if k < len(sure) else len(text))
+            if out and lo < out[-1][1]:
+                out[-1] = out[-1][0], max(hi, out[-1][1])
+            else:
+                out.append((lo, hi))
+        return out
+
+    @staticmethod
+    def rests(text: str, lo: int, hi: int, sure: list[Finding]) -> list[tuple[int, int]]:
+        """What of a stretch is in no notice and has a trigger."""
+        inside = sure[bisect.bisect_right(sure, lo, key=lambda f: f.end) : bisect.bisect_left(sure, hi, key=lambda f: f.start)]
+        cuts = [lo, *(min(max(x, lo), hi) for f in inside for x in (f.start, f.end)), hi]
+        return [(a, b) for a, b in zip(cuts[::2], cuts[1::2]) if _TRIGGER.search(text, a, b)]
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

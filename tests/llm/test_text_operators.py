@@ -318,6 +318,32 @@ def test_licenses_by_wording():
     assert [(f.license, f.start, f.end) for f in scan("x.\n" + long + "\nAll rights reserved.")] == [("MIT-text", 3, len(long) + 2), ("Proprietary", len(long) + 4, len(long) + 23)]
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("The Weather Station Firmware by Jane Doe, Basel, is released under the MIT License.", ["MIT"]),
+        ("// SPDX-License-Identifier: MIT", [None]),
+        ("// SPDX-License-Identifier: ISC", [None]),
+        ("Copyright 2020 Example GmbH Zürich All rights reserved", ["Proprietary"]),
+        ("Home | News | Imprint | Shop | Hilfe | Kontakt | Karten | photos by Jo licensed under CC BY 4.0", ["CC-BY-4.0"]),
+        ("jQuery JavaScript Library v3 Copyright OpenJS Foundation Released under the MIT license", ["MIT"]),
+        ("Foobar Weather Station Zurich is distributed under the Eclipse Public License", [None]),
+        ("My driving license expired.", []),
+    ],
+)
+def test_notices_among_other_words(text, names):
+    scan = license_scan.LicenseScanner().scan
+    rng = random.Random(2)
+    prose = " ".join("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(400))
+    for before, after in (("", ""), (prose + " ", ""), ("", " " + prose), (prose + " ", " " + prose), (prose + "\n", "\n" + prose)):
+        found = scan(before + text + after)
+        assert [f.license for f in found] == names
+        assert all(f.differences == 0 and len(before) <= f.start < f.end <= len(before) + len(text) for f in found if f.license)
+    for k in range(3):
+        found = scan(" ".join([prose] + [text, prose] * k))
+        assert [f.license for f in found] == names * k
+
+
 def test_word_distances_against_a_table():
     rng = random.Random(5)
     for _ in range(300):
