@@ -17,9 +17,9 @@
    comparisons, each bucket's hub is looked for: the node whose samples agree most with a block of the bucket's unlinked
    nodes. All unlinked nodes are verified against it, and this is repeated while it links any. What is still unlinked is
    compared with every node of the bucket that
-   is in another component, in blocks dealt out as a grid: pairs whose samples agree enough (three standard deviations
-   under the threshold) are verified in place, and only links leave the task. No bucket, partner or candidate is
-   capped, no pair of a group is emitted unless it is a link or a node with its hub.
+   is in another component, in blocks dealt out as a grid: all these pairs are verified in place, those whose samples
+   agree most first, and only links leave the task. No bucket, partner or candidate is capped, no pair of a group is
+   emitted unless it is a link or a node with its hub.
 6. Classes are the connected components of the links, with all copies of each node. The class id is the smallest doc_id.
 
 Defined cases: a text without words (null, empty) is a class of its own; repeated rows share a class; a null doc_id
@@ -56,7 +56,7 @@ IDF_GAIN = 0.25
 RARE = 1e-4
 #: Rows of the table of random numbers; with more of them it no longer stays in a core's cache.
 _TABLE = 1 << 12
-#: Share of samples that must agree before a pair of step 5 is verified.
+#: Share of samples (three standard deviations under the threshold) that agree for a node to count for a hub of step 5.
 _AGREE = 0.8 - 3 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of a leader verified in one task, and the side of a block of step 5.
 _PER_TASK, _BLOCK = 2000, 1500
@@ -369,8 +369,7 @@ def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
         for x in a:
             agree = (signature[b] == signature[x]).mean(axis=1)
-            near = np.flatnonzero(agree >= _AGREE)
-            for y in b[near[np.argsort(-agree[near], kind="stable")]]:
+            for y in b[np.argsort(-agree, kind="stable")]:
                 p, q = root[component[x]], root[component[y]]
                 if p != q and weighted_jaccard(of(int(x)), of(int(y))) >= SIMILARITY:
                     found.append((digest[x], digest[y]))

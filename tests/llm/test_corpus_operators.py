@@ -306,6 +306,17 @@ def test_classes_against_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+def test_pairs_of_a_bucket_are_verified_whatever_their_samples(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    unlike = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, bytes([65 + i]) * 16, bytes([65 + i]) * 16, bytes([i]) * (near_dedup.BANDS * near_dedup.ROWS), i == 0) for i in range(3)]
+    members = spark.createDataFrame(rows, "bucket long, digest binary, component binary, signature binary, unlinked boolean")
+    texts = spark.createDataFrame([(b"A" * 16, text), (b"B" * 16, text + " x"), (b"C" * 16, unlike)], "digest binary, text string")
+    idf = spark.sparkContext.broadcast(near_dedup.idf_of(np.ones(near_dedup.DF_SLOTS), 3))
+    links = near_dedup._links_in_cells(members, texts, idf).collect()
+    assert {frozenset((bytes(r.a), bytes(r.b))) for r in links} == {frozenset((b"A" * 16, b"B" * 16))}
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     sampler = near_dedup.Sampler()
