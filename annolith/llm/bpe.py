@@ -19,7 +19,7 @@ import regex
 from .common import BYTE_BPE, tokenizer_path
 
 #: Entries of merged pre-tokens a worker keeps; reaching it empties the memory, results stay the same.
-MEMORY = 1 << 19
+MEMORY = 1 << 17
 #: Ranges in which both splitters agree on every code point.
 _COVERED = "\u0000-\u0557\u0590-\u088e\u0900-\u0c5b\u2000-\u208e\u20a0-\ua7cd"
 
@@ -119,10 +119,15 @@ class PreTokenEncoder:
         self.uncovered = regex.compile(f"[^{_COVERED}]").search
         self.merge = self.tok.model.tokenize
         self.letters = {b: c for c, b in _byte_letters().items()}
-        self.costs = _Memory(dict.fromkeys(whole, 1), lambda s: len(self._merged(s)))
-        self.bytes = _Memory(
-            {s: i.to_bytes(4, "little") for s, i in whole.items()}, lambda s: self._pack(t.id for t in self._merged(s))
-        )
+        self.whole = whole
+
+    @functools.cached_property
+    def costs(self) -> _Memory:
+        return _Memory(dict.fromkeys(self.whole, 1), lambda s: len(self._merged(s)))
+
+    @functools.cached_property
+    def bytes(self) -> _Memory:
+        return _Memory({s: i.to_bytes(4, "little") for s, i in self.whole.items()}, lambda s: self._pack(t.id for t in self._merged(s)))
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids

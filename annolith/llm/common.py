@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Compute df once and keep its partitions on the executors' disks, as shuffles are. For tables between two shuffles
+    of one operator: no files are committed, and what a lost executor held is computed again from the last stored table.
+    The caller lets go of them with `unpersist` once it has stored what it made of them."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete the tables and archives this application has stored; results that read them are gone with them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .common import as_row, batch_rows, stored, table
+from .common import as_row, batch_rows, held, stored, table
 from .decontaminate import split_words
 from .graph import components
 
@@ -64,7 +64,8 @@ _PER_TASK, _BLOCK = 2000, 1500
 _BROADCAST = 200_000
 #: Comparisons of unlinked nodes with those of their buckets up to which step 5 goes without hubs.
 _FEW = 5_000_000
-_WORDS_KEPT = 1 << 18
+#: Word hashes and digests that a worker remembers.
+_WORDS_KEPT = 1 << 16
 
 
 class _WordHashes(dict):
@@ -101,13 +102,13 @@ def digest_of(words: list[bytes]) -> bytes:
 
 
 def weights_of(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * (1 + IDF_GAIN * idf[(hashes >> np.uint64(64 - 18)).astype(np.int64)])
+    return counts * idf[(hashes >> np.uint64(64 - 18)).astype(np.int64)]
 
 
-def idf_of(df: np.ndarray, documents: int) -> np.ndarray:
-    """0 for a shingle of every document to 1 for one in at most RARE of them."""
+def idf_of(df: np.ndarray, documents: int, gain: float = IDF_GAIN) -> np.ndarray:
+    """1 for a shingle of every document to 1 + gain for one in at most RARE of them."""
     share = np.clip(df / max(1, documents), RARE, 1.0)
-    return (np.log(share) / np.log(RARE)).astype(np.float32)
+    return (1 + gain * np.log(share) / np.log(RARE)).astype(np.float32)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -270,9 +271,9 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """pairs (member, leader) with similar: weighted Jaccard of the whole texts is SIMILARITY or more."""
+    """pairs (member, leader) with their similarity, the weighted Jaccard of the whole texts."""
     counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / _PER_TASK).cast("int").alias("tasks"))
-    large = stored(counts.where("tasks > 1"), "dedup-large")  # a _PER_TASK-th of the pairs at most
+    large = held(counts.where("tasks > 1"))  # a _PER_TASK-th of the pairs at most
     large = F.broadcast(large) if large.count() <= _BROADCAST else large
     named = texts.withColumnRenamed("digest", "leader")
     leaders = counts.join(named, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(None).cast("binary").alias("member"), "text")
@@ -291,15 +292,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                     leader, own = of, features
                 else:
                     assert of == leader
-                    out.append((member, of, weighted_jaccard(own, features) >= SIMILARITY))
+                    out.append((member, of, weighted_jaccard(own, features)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.bool_())],
-                ["member", "leader", "similar"],
+                [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.float64())],
+                ["member", "leader", "similarity"],
             )
         _hashes.clear()
 
     ordered = leaders.unionByName(members).repartition("leader", "task").sortWithinPartitions("leader", "task", F.col("member").asc_nulls_first())
-    return ordered.mapInArrow(run, "member binary, leader binary, similar boolean")
+    return ordered.mapInArrow(run, "member binary, leader binary, similarity double")
+
+
+def _spread(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows with what `buckets` has on their bucket, for rows whose bucket it has. It was made by grouping, so it is dealt
+    out by bucket already, and joined like this the rows of a large bucket would have to come to one task. Under another
+    name for the bucket both sides are dealt out anew, and Spark may split a large bucket's rows over tasks."""
+    named = buckets.withColumn("__other", F.bitwise_not("bucket")).drop("bucket")
+    return rows.join(named, F.bitwise_not(rows["bucket"]) == F.col("__other")).drop("__other")
 
 
 def _grid(members: DataFrame, unlinked_blocks: int | None = None) -> DataFrame:
@@ -309,7 +318,7 @@ def _grid(members: DataFrame, unlinked_blocks: int | None = None) -> DataFrame:
     across = F.ceil(F.col("m") / _BLOCK).cast("int")
     used = across if unlinked_blocks is None else F.least(across, F.lit(unlinked_blocks))
     sizes = sizes.select("bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("down"), across.alias("across"), used.alias("used"))
-    dealt = members.join(sizes, "bucket")
+    dealt = _spread(members, sizes)
     hashed, rest = F.xxhash64("digest"), [c for c in members.columns if c not in ("bucket", "unlinked")]
     every = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("used") - 1)).alias("i"), F.pmod(hashed, F.col("down")).cast("int").alias("j"), F.lit(False).alias("left"), *rest)
     left = dealt.where("unlinked").withColumn("i", F.pmod(hashed, F.col("across")).cast("int")).where("i < used")
@@ -341,7 +350,7 @@ def _hubs(members: DataFrame) -> DataFrame:
 
     hubs = _grid(members.select("bucket", "digest", "component", "signature", "unlinked"), 1).applyInArrow(best, "bucket long, hub binary, total double")
     hubs = hubs.groupBy("bucket").agg(F.max(F.struct("total", "hub")).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
-    unlinked = members.where("unlinked").select("bucket", "digest").join(hubs, "bucket").where("digest != hub")
+    unlinked = _spread(members.where("unlinked").select("bucket", "digest"), hubs).where("digest != hub")
     return unlinked.select(F.col("digest").alias("member"), F.col("hub").alias("leader")).distinct()
 
 
@@ -352,9 +361,9 @@ def _not_in(pairs: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Links (a, b) between unlinked nodes and nodes of other components of their buckets."""
+    """Links (a, b, similarity) between unlinked nodes and nodes of other components of their buckets."""
     shared = members.groupBy("bucket").agg(F.max("unlinked").alias("u"), F.count_distinct("component").alias("c")).where("u AND c > 1").select("bucket")
-    whole = members.join(shared, "bucket", "left_semi").select("bucket", "digest", "component", "signature", "unlinked").join(texts, "digest")
+    whole = _spread(members, shared).select("bucket", "digest", "component", "signature", "unlinked").join(texts, "digest")
 
     def compare(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
         digest, component, signature, a, b = _cell(cell)
@@ -371,17 +380,18 @@ def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
             agree = (signature[b] == signature[x]).mean(axis=1)
             for y in b[np.argsort(-agree, kind="stable")]:
                 p, q = root[component[x]], root[component[y]]
-                if p != q and weighted_jaccard(of(int(x)), of(int(y))) >= SIMILARITY:
-                    found.append((digest[x], digest[y]))
+                if p != q and (s := weighted_jaccard(of(int(x)), of(int(y)))) >= SIMILARITY:
+                    found.append((digest[x], digest[y], s))
                     root[root == p] = q
-        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+        kinds = {"a": pa.binary(), "b": pa.binary(), "similarity": pa.float64()}
+        return pa.table({c: pa.array([p[i] for p in found], k) for i, (c, k) in enumerate(kinds.items())})
 
-    return _grid(whole).applyInArrow(compare, "a binary, b binary")
+    return _grid(whole).applyInArrow(compare, "a binary, b binary, similarity double")
 
 
-def _classes(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """A row per document: key, digest (null without words), component (its node, or the least one linked to it) and
-    class_id, the smallest key of the component."""
+def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
+    """A row per document: key, digest (null without words), component (its node, or the least one linked to it),
+    class_id, the smallest key of the component, n_links and similarity of its text."""
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} is no integer")
     spark = docs.sparkSession
@@ -389,35 +399,39 @@ def _classes(docs: DataFrame, text: str, key: str) -> DataFrame:
     read = stored(_read(docs, text, key), "dedup-read")
     rows = read.where("task IS NULL").select("key", "digest")
     df, documents = _sum_counts(read.where("task IS NOT NULL"))
-    idf = spark.sparkContext.broadcast(idf_of(df, documents))
+    idf = spark.sparkContext.broadcast(idf_of(df, documents, gain))
 
     signed = stored(_sign(docs, text, idf).dropDuplicates(["digest"]), "dedup-signed")
     placed = signed.select("digest", F.explode("buckets").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(placed.join(sizes, "bucket").select("bucket", "digest", "n"), "dedup-shared")
+    shared = held(_spread(placed, sizes).select("bucket", "digest", "n"))
     places = shared.groupBy("digest").agg(F.sum("n").alias("places"))
     most = shared.join(places, "digest").groupBy("bucket").agg(F.max(F.struct("places", "digest")).alias("l"))
-    members = stored(shared.join(most, "bucket").select("bucket", "digest", F.col("l.digest").alias("leader")), "dedup-members")
-    pairs = stored(members.where("digest != leader").select(F.col("digest").alias("member"), "leader").distinct(), "dedup-pairs")
+    members = held(_spread(shared, most).select("bucket", "digest", F.col("l.digest").alias("leader")))
+    pairs = held(members.where("digest != leader").select(F.col("digest").alias("member"), "leader").distinct())
+    shared.unpersist()
 
-    copies = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"))
-    copies = stored(copies, "dedup-copies")
+    copies = held(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     wanted = copies.join(pairs.select(F.col("member").alias("digest")).union(pairs.select("leader")).distinct(), "digest")
     texts = stored(_texts(docs, text, key, wanted), "dedup-texts")
 
-    judged = stored(_verify(pairs, texts, idf), "dedup-judged")
-    links = judged.where("similar").select(F.col("member").alias("a"), F.col("leader").alias("b"))
+    judged = held(_verify(pairs, texts, idf))
+    links = _links(judged)
     labels = components(links)
     signatures = signed.select("digest", "signature")
+    rounds = [pairs, judged]
 
     def open_buckets() -> DataFrame:
         """Nodes of the buckets in which a node is not in its leader's component."""
         of = labels.select(F.col("node").alias("digest"), "component")
         known = members.join(of, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
         lead = known.where("digest = leader").select("bucket", F.col("component").alias("lead"))
-        known = known.join(lead, "bucket").withColumn("unlinked", F.col("component") != F.col("lead"))
+        known = held(_spread(known, lead).withColumn("unlinked", F.col("component") != F.col("lead")))
         hit = known.where("unlinked").select("bucket").distinct()
-        return stored(known.join(hit, "bucket", "left_semi").join(signatures, "digest"), "dedup-open")
+        found = held(_spread(known, hit).join(signatures, "digest"))
+        known.unpersist()
+        rounds.append(found)
+        return found
 
     def comparisons() -> int:
         per = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("unlinked"), 1)).alias("m"))
@@ -425,38 +439,62 @@ def _classes(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     rest = open_buckets()
     while comparisons() > _FEW:
-        hubs = stored(_not_in(_hubs(rest), judged), "dedup-hubs")
+        hubs = held(_not_in(_hubs(rest), judged))
+        rounds.append(hubs)
         if hubs.isEmpty():
             break
-        more = stored(_verify(hubs, texts, idf), "dedup-judged")
+        more = held(_verify(hubs, texts, idf))
+        rounds.append(more)
         judged = judged.unionByName(more)
-        new = more.where("similar").select(F.col("member").alias("a"), F.col("leader").alias("b"))
+        new = _links(more)
         if new.isEmpty():
             break
         links = links.unionByName(new)
         labels = components(links)
         rest = open_buckets()
     if not rest.isEmpty():
-        new = stored(_links_in_cells(rest, texts, idf), "dedup-links")
+        new = held(_links_in_cells(rest, texts, idf))
+        rounds.append(new)
         if not new.isEmpty():
-            labels = components(links.unionByName(new))
+            links = links.unionByName(new)
+            labels = components(links)
 
-    linked = copies.join(labels.withColumnRenamed("node", "digest"), "digest")
+    each = links.select(F.explode(F.array(F.struct(F.col("a").alias("digest"), F.col("b").alias("other")), F.struct(F.col("b").alias("digest"), F.col("a").alias("other")))).alias("l"), "similarity")
+    each = each.groupBy("l.digest", "l.other").agg(F.max("similarity").alias("similarity"))
+    of_node = each.groupBy("digest").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
+    linked = held(copies.join(labels.withColumnRenamed("node", "digest"), "digest").join(of_node, "digest"))
     classes = linked.groupBy("component").agg(F.min("key").alias("class_id"))
-    of_linked = linked.join(classes, "component").select("digest", "component", "class_id")
+    other = classes.select(F.col("component").alias("__component"), "class_id")
+    of_linked = linked.join(other, F.col("component") == F.col("__component")).select("digest", "component", "class_id", "n_links", "similarity")
     of_copies = copies.where("n > 1").join(labels.select(F.col("node").alias("digest")), "digest", "left_anti")
-    of_copies = of_copies.select("digest", F.col("digest").alias("component"), F.col("key").alias("class_id"))
+    of_copies = of_copies.select("digest", F.col("digest").alias("component"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("similarity"))
     found = stored(of_linked.unionByName(of_copies), "dedup-classes")
-    joined = rows.join(found.withColumn("found", F.lit(True)), "digest", "left")
-    return joined.select("key", "digest", F.coalesce("component", "digest").alias("component"), F.when(F.col("found"), F.col("class_id")).otherwise(F.col("key")).alias("class_id"))
+    for frame in (*rounds, members, copies, linked):
+        frame.unpersist()
+
+    joined = rows.where("digest IS NOT NULL").join(found.withColumn("found", F.lit(True)), "digest", "left")
+    classed = joined.select(
+        "key", "digest", F.coalesce("component", "digest").alias("component"),
+        F.when(F.col("found"), F.col("class_id")).otherwise(F.col("key")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "similarity",
+    )
+    nothing = F.lit(None)
+    alone = rows.where("digest IS NULL").select("key", "digest", nothing.cast("binary").alias("component"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), nothing.cast("double").alias("similarity"))
+    return classed.unionByName(alone)
+
+
+def _links(judged: DataFrame) -> DataFrame:
+    return judged.where(F.col("similarity") >= SIMILARITY).select(F.col("member").alias("a"), F.col("leader").alias("b"), "similarity")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per document: `key` and class_id, the smallest key of its class."""
-    return _classes(docs, text, key).select(F.col("key").cast(docs.schema[key].dataType).alias(key), "class_id")
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", idf_gain: float = IDF_GAIN) -> DataFrame:
+    """A row per document: `key`; class_id, the smallest key of its class, which stands for it; n_links, with how many
+    other texts its text is verified to be similar (copies of a text are one; a text is compared until it is in its
+    class, not with everyone in it); similarity, the largest of these (null without a link)."""
+    found = _classes(docs, text, key, idf_gain)
+    return found.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "class_id", "n_links", "similarity")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", idf_gain: float = IDF_GAIN) -> DataFrame:
     """One document of each class: that with the smallest id, one row of it if it repeats. Of a class without ids one
     row stays."""
 
@@ -465,7 +503,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         words = (split_words(x) if x else [] for x in t)
         return pd.Series([digest_of(w) if w else None for w in words], dtype=object)
 
-    classes = stored(_classes(docs, text, key), "dedup-kept")
+    classes = _classes(docs, text, key, idf_gain)
     first = classes.where("key = class_id AND digest IS NOT NULL").groupBy("component").agg(F.min(F.struct("key", "digest")).alias("f")).select("f.key", "f.digest")
     first = first.unionByName(classes.where("key IS NOT NULL AND digest IS NULL").select("key", "digest").distinct())
     rows = as_row(docs, text).withColumn("__key", F.col(f"__row.`{key}`").cast("long"))
