@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,24 +43,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/annolith-{spark.sparkContext.applicationId}"
 
 
+#: Where the shared folder is a mounted one: files without a checksum file beside each. Without the native library Hadoop
+#: starts a shell command for every file's permissions, four for a file and its checksums, and each of them shares the
+#: executor's memory for a moment, which counts it twice.
+_RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it cuts the lineage, survives the loss of
     any executor, and unlike a checkpoint of rows is columnar and compressed."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(_RAW_FILES if path.startswith("file:") else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Compute df once and keep its partitions on the executors' disks, as shuffles are. For tables between two shuffles
-    of one operator: no files are committed, and what a lost executor held is computed again from the last stored table.
-    The caller lets go of them with `unpersist` once it has stored what it made of them."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
-
-
 def clean_up(spark: SparkSession) -> None:
     """Delete the tables and archives this application has stored; results that read them are gone with them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))

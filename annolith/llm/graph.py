@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, stored
+from .common import stored
 
 #: Edges up to which one task joins them up; more take the rounds.
 ONE_TASK = 250_000
@@ -19,13 +19,10 @@ def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
     A set of edges that is known to fit a task is joined up by one. A larger one goes through rounds, each of which
     halves the depth of the label trees and is written to the shared folder, so lineage stays short. What a node gathers
     is a minimum, which is combined before the shuffle; nothing is gathered as a list or on the driver."""
-    edges = held(edges.select("a", "b").distinct())
+    edges = edges.select("a", "b")
     if edges.count() <= (ONE_TASK if one_task is None else one_task):
-        labels = stored(_in_one_task(edges), "components")
-        edges.unpersist()
-        return labels
-    both = held(edges.union(edges.select("b", "a")).distinct())
-    edges.unpersist()
+        return stored(_in_one_task(edges), "components")
+    both = stored(edges.union(edges.select("b", "a")).distinct(), "components-both")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "components")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
@@ -34,7 +31,6 @@ def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
         new = stored(lower.join(root, "component").select("node", "was", F.least("component", "root").alias("component")), "components")
         labels = new.select("node", "component")
         if new.where(F.col("was") != F.col("component")).isEmpty():
-            both.unpersist()
             return labels
 
 

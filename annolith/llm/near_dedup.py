@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .common import as_row, batch_rows, held, stored, table
+from .common import as_row, batch_rows, stored, table
 from .decontaminate import split_words
 from .graph import components
 
@@ -273,7 +273,7 @@ def _texts(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame
 def _verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """pairs (member, leader) with their similarity, the weighted Jaccard of the whole texts."""
     counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / _PER_TASK).cast("int").alias("tasks"))
-    large = held(counts.where("tasks > 1"))  # a _PER_TASK-th of the pairs at most
+    large = counts.where("tasks > 1")  # a _PER_TASK-th of the pairs at most
     large = F.broadcast(large) if large.count() <= _BROADCAST else large
     named = texts.withColumnRenamed("digest", "leader")
     leaders = counts.join(named, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(None).cast("binary").alias("member"), "text")
@@ -404,34 +404,29 @@ def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
     signed = stored(_sign(docs, text, idf).dropDuplicates(["digest"]), "dedup-signed")
     placed = signed.select("digest", F.explode("buckets").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = held(_spread(placed, sizes).select("bucket", "digest", "n"))
+    shared = _spread(placed, sizes).select("bucket", "digest", "n")
     places = shared.groupBy("digest").agg(F.sum("n").alias("places"))
     most = shared.join(places, "digest").groupBy("bucket").agg(F.max(F.struct("places", "digest")).alias("l"))
-    members = held(_spread(shared, most).select("bucket", "digest", F.col("l.digest").alias("leader")))
-    pairs = held(members.where("digest != leader").select(F.col("digest").alias("member"), "leader").distinct())
-    shared.unpersist()
+    members = stored(_spread(shared, most).select("bucket", "digest", F.col("l.digest").alias("leader")), "dedup-members")
+    pairs = stored(members.where("digest != leader").select(F.col("digest").alias("member"), "leader").distinct(), "dedup-pairs")
 
-    copies = held(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n")))
+    copies = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"))
     wanted = copies.join(pairs.select(F.col("member").alias("digest")).union(pairs.select("leader")).distinct(), "digest")
     texts = stored(_texts(docs, text, key, wanted), "dedup-texts")
 
-    judged = held(_verify(pairs, texts, idf))
+    judged = stored(_verify(pairs, texts, idf), "dedup-judged")
     links = _links(judged)
     labels = components(links)
     signatures = signed.select("digest", "signature")
-    rounds = [pairs, judged]
 
     def open_buckets() -> DataFrame:
         """Nodes of the buckets in which a node is not in its leader's component."""
         of = labels.select(F.col("node").alias("digest"), "component")
         known = members.join(of, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
         lead = known.where("digest = leader").select("bucket", F.col("component").alias("lead"))
-        known = held(_spread(known, lead).withColumn("unlinked", F.col("component") != F.col("lead")))
+        known = _spread(known, lead).withColumn("unlinked", F.col("component") != F.col("lead"))
         hit = known.where("unlinked").select("bucket").distinct()
-        found = held(_spread(known, hit).join(signatures, "digest"))
-        known.unpersist()
-        rounds.append(found)
-        return found
+        return stored(_spread(known, hit).join(signatures, "digest"), "dedup-open")
 
     def comparisons() -> int:
         per = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("unlinked"), 1)).alias("m"))
@@ -439,12 +434,10 @@ def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
 
     rest = open_buckets()
     while comparisons() > _FEW:
-        hubs = held(_not_in(_hubs(rest), judged))
-        rounds.append(hubs)
+        hubs = stored(_not_in(_hubs(rest), judged), "dedup-hubs")
         if hubs.isEmpty():
             break
-        more = held(_verify(hubs, texts, idf))
-        rounds.append(more)
+        more = stored(_verify(hubs, texts, idf), "dedup-judged")
         judged = judged.unionByName(more)
         new = _links(more)
         if new.isEmpty():
@@ -453,8 +446,7 @@ def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
         labels = components(links)
         rest = open_buckets()
     if not rest.isEmpty():
-        new = held(_links_in_cells(rest, texts, idf))
-        rounds.append(new)
+        new = stored(_links_in_cells(rest, texts, idf), "dedup-links")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
@@ -462,15 +454,13 @@ def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
     each = links.select(F.explode(F.array(F.struct(F.col("a").alias("digest"), F.col("b").alias("other")), F.struct(F.col("b").alias("digest"), F.col("a").alias("other")))).alias("l"), "similarity")
     each = each.groupBy("l.digest", "l.other").agg(F.max("similarity").alias("similarity"))
     of_node = each.groupBy("digest").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
-    linked = held(copies.join(labels.withColumnRenamed("node", "digest"), "digest").join(of_node, "digest"))
+    linked = copies.join(labels.withColumnRenamed("node", "digest"), "digest").join(of_node, "digest")
     classes = linked.groupBy("component").agg(F.min("key").alias("class_id"))
     other = classes.select(F.col("component").alias("__component"), "class_id")
     of_linked = linked.join(other, F.col("component") == F.col("__component")).select("digest", "component", "class_id", "n_links", "similarity")
     of_copies = copies.where("n > 1").join(labels.select(F.col("node").alias("digest")), "digest", "left_anti")
     of_copies = of_copies.select("digest", F.col("digest").alias("component"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("similarity"))
     found = stored(of_linked.unionByName(of_copies), "dedup-classes")
-    for frame in (*rounds, members, copies, linked):
-        frame.unpersist()
 
     joined = rows.where("digest IS NOT NULL").join(found.withColumn("found", F.lit(True)), "digest", "left")
     classed = joined.select(
