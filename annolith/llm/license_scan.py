@@ -1,17 +1,23 @@
 """License scan by conditional compression.
 
-A text is cut into sentences. Candidate blocks are runs of sentences made mostly of words that the templates use, with
-a trigger word somewhere, and around every trigger outside the notices found in these, a window of as many words on each
-side as the longest template has, where a notice must hold a trigger itself. What has a trigger and is in no notice
-counts as unconfirmed, but for a sentence of other words with no more than the bare word `license`. Each block is compressed alone and with each template as a raw zstandard dictionary; the
-relative reduction ranks the templates. All are aligned with the block word by word, each with any stretch of it, and the
-stretch gets the template with the fewest exact wording differences (the better ranked of equal ones), if they are few
-enough and all words that tell this license from its relatives are there; otherwise the block counts as unconfirmed. A
-long block may hold several notices: what a confirmed template does not cover is examined again, and counts as
-unconfirmed if it has a trigger.
-
-Defined cases: a null text is empty and has no license; repeated rows and blocks are judged each; texts are read whole;
-an empty table gives an empty result; other columns are ignored.
+1. Candidates. A text is cut into sentences, and long ones into overlapping windows of WINDOW words. Each is compressed
+   alone and with all templates together as one raw zstandard dictionary; where that saves GATE of its size or SAVED
+   bytes, it is a candidate, and so is one that has all the telling words of a template, as a short notice saves little
+   in a long window. No other word decides. Candidates that are near each other make a block, with what is around it.
+2. Ranking. A block is compressed with each template as raw dictionary; the relative reductions rank the templates.
+3. Confirming. All templates are aligned with the block word by word (Myers' bit vectors), each with any stretch of it.
+   A stretch confirms a template if at most TOLERANCE of the template's words are replaced, missing or added and all
+   words that tell this license from its relatives are there. Where stretches overlap, the one with more words in
+   agreement less differences stands, of equal ones that of the better ranked template. Templates of which more words are
+   missing from the block than the tolerance allows cannot be confirmed and are passed over.
+4. A candidate outside the notices counts as unconfirmed if it is much like a template (UNKNOWN), or speaks of a license
+   with words of the templates beside; a bare `license` says nothing.
+
+`SPDX-License-Identifier:` tags are read as what they are: an expression of identifiers, each a finding.
+
+Defined cases: a null text is empty and has no license; of equally good stretches the first one stands, of equally ranked
+templates that of the smaller name; repeated rows and blocks are judged each; texts of any length are read whole, in time
+linear in the length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,60 +32,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch_rows, table
+from .license_texts import TEMPLATES, Template, from_folder
+
+__all__ = ["TEMPLATES", "Finding", "LicenseScanner", "Template", "from_folder", "op2", "scan_licenses"]
 
-# Public license notices, and the words that must be present for each.
-TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "MIT": ("Released under the MIT License.", ("mit",)),
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-        ("permission", "sublicense"),
-    ),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", ("apache", "2", "0")),
-    "Apache-2.0-text": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        ("apache", "2", "0", "compliance"),
-    ),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", ("gnu", "general", "3")),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "2")),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "3")),
-    "GPL-3.0-text": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version.",
-        ("gnu", "general", "3", "redistribute"),
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        ("mozilla", "2", "0"),
-    ),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", ("bsd", "3")),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", ("bsd", "2")),
-    "BSD-text": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met:",
-        ("redistribution", "source", "binary"),
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", ("cc", "by", "4", "0")),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", ("cc", "by", "sa", "4", "0")),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", ("cc", "by", "nc", "4", "0")),
-    "CC0-1.0": ("Released into the public domain under CC0 1.0.", ("cc0", "1", "0")),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.", ("unencumbered",)),
-    "Proprietary": ("All rights reserved.", ("rights", "reserved")),
-}
-_TRIGGER = re.compile(r"(?i)licen[cs]e|permission is hereby|redistribut|public domain|rights reserved|source code form|free software")
-#: A trigger that says nothing by itself.
-_BARE = re.compile(r"(?i)\blicen[cs]es?\b(?![ -]identifier)")
 _SENTENCE = re.compile(r"[^\n]+?(?:[.:;!?](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
-#: Differing words allowed: as a share of the template, and in any case.
-TOLERANCE, ALWAYS = 0.2, 3
-#: Share of a sentence's words that templates use, for a candidate.
-FAMILIAR = 0.6
+#: An identifier, any number of others after operators, and parentheses.
+_ID = r"\(*[ \t]*[A-Za-z0-9][A-Za-z0-9.+-]*[ \t]*\)*"
+_TAG = re.compile(rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]*\b(?:AND|OR|WITH)\b[ \t]*{_ID})*)")
+_IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+_LICENSE = re.compile(r"licen[cs]e[ds]?|copyleft")
+#: Words of a window, and how many of them the next one shares.
+WINDOW, SHARED = 40, 20
+#: Characters around a candidate that belong to its block.
+NEAR = 200
+#: Share of the size, or bytes, that the dictionary of all templates must save for a candidate.
+GATE, SAVED = 0.2, 8
+#: Differing words allowed, as a share of the template's words.
+TOLERANCE = 0.25
+#: Share of the size saved by which a candidate without any notice is a license of some kind.
+UNKNOWN = 0.45
 
 
 def words_of(text: str) -> tuple[str, ...]:
@@ -108,6 +81,8 @@ def distances(own: tuple[str, ...], block: tuple[str, ...], anchored: bool = Fal
 
 @dataclass(frozen=True)
 class Finding:
+    """start and end in code points; license None: unconfirmed."""
+
     start: int
     end: int
     license: str | None
@@ -116,148 +91,158 @@ class Finding:
 
 
 class LicenseScanner:
-    def __init__(self, templates: dict[str, tuple[str, tuple[str, ...]]] | None = None):
-        self.templates = templates or TEMPLATES
-        self.words = {n: words_of(t) for n, (t, _) in self.templates.items()}
-        self.keys = {n: frozenset(w for k in keys for w in words_of(k)) for n, (_, keys) in self.templates.items()}
-        #: Templates that have all words of another in one piece, by that one.
-        self.longer = {
-            n: [m for m in self.words if m != n and any(self.words[m][i : i + len(ws)] == ws for i in range(len(self.words[m]) - len(ws) + 1))]
-            for n, ws in self.words.items()
-        }
-        self.vocabulary = frozenset(w for ws in self.words.values() for w in ws)
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES):
+        self.templates = templates
+        self.words = [words_of(t.text) for t in templates]
+        self.sets = [frozenset(ws) for ws in self.words]
+        self.telling = [frozenset(words_of(t.telling)) for t in templates]
+        self.keys = sorted({keys for keys in self.telling if keys}, key=sorted)
+        self.limits = [int(TOLERANCE * len(ws)) for ws in self.words]
+        self.vocabulary = frozenset(w for ws in self.words for w in ws)
         plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-        self.alone = zstandard.ZstdCompressor(level=3, **plain)
-        self.given = {
-            n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)
-            for n, (t, _) in self.templates.items()
-        }
+
+        def settings(size: int) -> zstandard.ZstdCompressionParameters:
+            """Of the same kind for all, with a hash table that has room for every place of the dictionary."""
+            room = max(12, size.bit_length() + 1)
+            return zstandard.ZstdCompressionParameters(
+                compression_level=3, strategy=zstandard.STRATEGY_DFAST, min_match=5, hash_log=room, chain_log=room, window_log=max(17, room), **plain
+            )
+
+        def given(text: str) -> zstandard.ZstdCompressor:
+            content = text.lower().encode()
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(compression_params=settings(len(content)))
+            return zstandard.ZstdCompressor(dict_data=words, compression_params=settings(len(content)))
+
+        self.alone = zstandard.ZstdCompressor(compression_params=settings(0))
+        self.each = [given(t.text) for t in templates]
+        self.all = given("\n".join(t.text for t in templates))
         self.judge = functools.lru_cache(maxsize=4096)(self._judge)
 
-    def candidates(self, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Runs of familiar sentences with a trigger, and other sentences with a trigger."""
-        if not _TRIGGER.search(text):
-            return [], []
-        spans, run, others = [], [], []
+    def reduction(self, block: str, compressor: zstandard.ZstdCompressor | None = None) -> tuple[float, int]:
+        """The share of the block's compressed size that a dictionary saves, and the bytes; by all templates if none is named."""
+        data = block.lower().encode("utf-8", "surrogatepass")
+        size = len(self.alone.compress(data))
+        saved = size - len((compressor or self.all).compress(data))
+        return saved / size, saved
+
+    def candidates(self, text: str) -> list[tuple[int, int, float, int]]:
+        """(start, end, share saved, bytes saved) of the sentences and windows that templates help to compress, or that
+        have the telling words of one."""
+        out, has = [], set(words_of(text))
+        telling = [keys for keys in self.keys if keys <= has]
         for m in _SENTENCE.finditer(text):
-            ws = words_of(m[0])
-            if ws and sum(w in self.vocabulary for w in ws) >= FAMILIAR * len(ws):
-                run.append(m.span())
-            elif ws:
-                spans.append(run)
-                run = []
-                if _TRIGGER.search(m[0]):
-                    others.append(m.span())
-        spans.append(run)
-        return [(r[0][0], r[-1][1]) for r in spans if r and _TRIGGER.search(text, r[0][0], r[-1][1])], others
-
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        """Reduction of the compressed size by each template, largest first, equal ones by name."""
-        data = block.lower().encode()
-        alone = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def stretches(self, block: tuple[str, ...], name: str, triggers: list[bool] | None = None) -> list[tuple[int, int, int]]:
-        """(differing words, start, end) where the block has the template within its tolerance, with its telling words
-        and, if it is told which words begin triggers, with one of them, fewest differences first."""
-        own, keys = self.words[name], self.keys[name]
-        if not keys <= set(block):
-            return []
-        limit = max(ALWAYS, int(TOLERANCE * len(own)))
-        found = {}
-        for n, end in sorted((n, i + 1) for i, n in enumerate(distances(own, block)) if n <= limit):
+            for lo, hi in self._windows(text, *m.span()):
+                share, saved = self.reduction(text[lo:hi])
+                if share >= GATE or saved >= SAVED or telling and any(keys.issubset(words_of(text[lo:hi])) for keys in telling):
+                    out.append((lo, hi, share, saved))
+        return out
+
+    @staticmethod
+    def _windows(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+        if hi - lo <= 4 * WINDOW:  # of words of three letters at least
+            return [(lo, hi)]
+        starts = [m.start() for m in re.finditer(r"\S+", text[lo:hi])]
+        if len(starts) <= WINDOW:
+            return [(lo, hi)]
+        firsts = range(0, max(1, len(starts) - SHARED), WINDOW - SHARED)
+        return [(lo + starts[i], lo + starts[i + WINDOW] if i + WINDOW < len(starts) else hi) for i in firsts]
+
+    def rank(self, block: str, which: list[int]) -> dict[int, tuple[float, int]]:
+        """Reduction by each of these templates and its rank, largest first, equal ones by name."""
+        found = {i: self.reduction(block, self.each[i])[0] for i in which}
+        order = sorted(which, key=lambda i: (-found[i], self.templates[i].license, i))
+        return {i: (found[i], k) for k, i in enumerate(order)}
+
+    def stretches(self, block: tuple[str, ...], i: int) -> list[tuple[int, int, int]]:
+        """(differing words, start, end) of the stretches of a block that confirm a template."""
+        own, limit, found, ends = self.words[i], self.limits[i], [], []
+        for n, end in sorted((n, k + 1) for k, n in enumerate(distances(own, block)) if n <= limit):
+            k = bisect.bisect_left(ends, end)  # one stretch for all ends of an occurrence
+            if any(abs(x - end) <= len(own) // 2 for x in ends[max(0, k - 1) : k + 1]):
+                continue
             back = distances(own[::-1], block[max(0, end - len(own) - limit) : end][::-1], anchored=True)
-            start = end - min((x, abs(i + 1 - len(own)), i + 1) for i, x in enumerate(back))[2]
-            while start < end and block[start] not in own and not _TRIGGER.search(block[start]):
+            start = end - min((x, abs(j + 1 - len(own)), j + 1) for j, x in enumerate(back))[2]
+            while start < end and block[start] not in self.sets[i]:
                 start += 1
-            while start < end and block[end - 1] not in own and not _TRIGGER.search(block[end - 1]):
-                end -= 1
-            if keys <= set(block[start:end]) and (triggers is None or any(triggers[start:end])):
-                found.setdefault((start, end), n)
-        return [(n, a, b) for (a, b), n in found.items()]
-
-    def _judge(self, block: str, window: bool = False) -> tuple[tuple[int, int, str | None, float, int], ...]:
-        low = block.replace("\u0130", "i").lower()  # of the same length
+            last = end
+            while start < last and block[last - 1] not in self.sets[i]:
+                last -= 1
+            if self.telling[i] <= set(block[start:last]):
+                bisect.insort(ends, end)
+                found.append((n, start, last))
+        return found
+
+    def _judge(self, block: str) -> tuple[tuple[int, int, str, float, int], ...]:
+        """(start, end, license, reduction, differences) of the notices in a block, which do not overlap."""
+        low = block.replace("İ", "i").lower()  # of the same length
         places = [m.span() for m in _WORD.finditer(low)]
         ws = tuple(low[a:b] for a, b in places)
-        if not ws:
-            return ()
-        begins = [m.start() for m in _TRIGGER.finditer(block)]
-        triggers = [bisect.bisect_left(begins, a) < bisect.bisect_left(begins, b) for a, b in places] if window else None
-        ranked = self.rank(block)
-        confirmed = {name: (reduction, at) for reduction, name in ranked if (at := self.stretches(ws, name, triggers))}
-        for name in list(confirmed):  # a short notice inside its long form is not one of its own
-            longer = [(a, b) for m in self.longer[name] if m in confirmed for _, a, b in confirmed[m][1]]
-            at = [x for x in confirmed[name][1] if not any(a <= x[1] and x[2] <= b for a, b in longer)]
-            confirmed[name] = (confirmed[name][0], at)
-        confirmed = {name: x for name, x in confirmed.items() if x[1]}
-        if not confirmed:
-            return ((0, len(block), None, ranked[0][0], 0),)
-        name, (reduction, at) = min(confirmed.items(), key=lambda x: x[1][1][0][0])
-        n, found, done = at[0][0], [], 0
-        for a, b in [*sorted(x[1:] for x in at if x[0] == n), (len(ws), len(ws))]:
-            if a < done:
-                continue
-            if done < a:
-                lo, hi = places[done][0], places[a - 1][1]
-                if _TRIGGER.search(block, lo, hi):
-                    found += [(lo + x[0], lo + x[1], *x[2:]) for x in (self._judge(block[lo:hi], True) if window else self.judge(block[lo:hi]))]
-            if a < b:
-                found.append((places[a][0], places[b - 1][1], name, reduction, n))
-            done = b
-        return tuple(found)
+        has = set(ws)
+        able = [i for i, own in enumerate(self.sets) if self.telling[i] <= has and len(own - has) <= self.limits[i]]
+        ranked = self.rank(block, able)
+        found = [(len(self.words[i]) - 2 * n, -ranked[i][1], -a, b, i, n) for i in able for n, a, b in self.stretches(ws, i)]
+        taken: list[tuple[int, int, int, int]] = []
+        for _, _, a, b, i, n in sorted(found, reverse=True):
+            a = -a
+            k = bisect.bisect_left(taken, (a,))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                taken.insert(k, (a, b, i, n))
+        return tuple((places[a][0], places[b - 1][1], self.templates[i].license, ranked[i][0], n) for a, b, i, n in taken)
 
     def scan(self, text: str) -> list[Finding]:
-        runs, others = self.candidates(text)
-        found = [Finding(lo + a, lo + b, *rest) for lo, hi in runs for a, b, *rest in self.judge(text[lo:hi])]
-        sure = [f for f in found if f.license]
-        windows = self.windows(text, sure) if others or len(sure) < len(found) else []
-        if not windows:
-            return found
-        for lo, hi in windows:
-            sure += [Finding(lo + a, lo + b, *rest) for a, b, *rest in self._judge(text[lo:hi], True) if rest[0]]
-        sure.sort(key=lambda f: f.start)
-        unsure = [Finding(a, b, None, f.reduction, 0) for f in found if not f.license for a, b in self.rests(text, f.start, f.end, sure)]
-        firsts, ends = zip(*windows)
-        for lo, hi in others:
-            near = [(max(lo, a), min(hi, b)) for a, b in windows[bisect.bisect_right(ends, lo) : bisect.bisect_left(firsts, hi)]]
-            for a, b in (x for part in near for x in self.rests(text, *part, sure)):
-                said = _BARE.sub(" ", text[a:b])
-                if _TRIGGER.search(said) or any(w in self.vocabulary for w in words_of(said)):
-                    unsure.append(Finding(a, b, None, self.rank(text[a:b])[0][0], 0))
-        return sorted([*sure, *unsure], key=lambda f: f.start)
-
-    def windows(self, text: str, sure: list[Finding]) -> list[tuple[int, int]]:
-        """Stretches around the triggers outside the notices, without notices; where they overlap, as one."""
-        low = text.replace("\u0130", "i").lower()
-        places = [m.span() for m in _WORD.finditer(low)]
-        starts = [a for a, _ in places]
-        firsts, size = [f.start for f in sure], max(map(len, self.words.values()))
-        out: list[tuple[int, int]] = []
-        for m in _TRIGGER.finditer(text):
-            k = bisect.bisect_right(firsts, m.start())
-            if k and m.start() < sure[k - 1].end:
-                continue
-            i = max(0, bisect.bisect_right(starts, m.start()) - 1)
-            lo = max(places[max(0, i - size)][0], sure[k - 1].end if k else 0)
-            hi = min(places[min(len(places) - 1, i + size)][1], sure[k].start if k < len(sure) else len(text))
-            if out and lo < out[-1][1]:
-                out[-1] = out[-1][0], max(hi, out[-1][1])
+        tags = [
+            Finding(m.start(1) + x.start(), m.start(1) + x.end(), x[0], 1.0, 0)
+            for m in _TAG.finditer(text)
+            for x in _IDENTIFIER.finditer(m[1])
+            if x[0] not in ("AND", "OR", "WITH")
+        ]
+        candidates = self.candidates(text)
+        blocks: list[list[int]] = []
+        for lo, hi, *_ in candidates:
+            lo, hi = max(0, lo - NEAR), min(len(text), hi + NEAR)
+            if blocks and lo <= blocks[-1][1]:
+                blocks[-1][1] = max(hi, blocks[-1][1])
             else:
-                out.append((lo, hi))
-        return out
+                blocks.append([lo, hi])
+        found = [Finding(lo + a, lo + b, *rest) for lo, hi in blocks for a, b, *rest in self.judge(text[lo:hi])]
+        known = sorted([*tags, *found], key=lambda f: f.start)
+        unsure: list[Finding] = []
+        starts, ends = [f.start for f in known], [f.end for f in known]
+        for lo, hi, share, _ in candidates:
+            if unsure and lo < unsure[-1].end or bisect.bisect_right(ends, lo) < bisect.bisect_left(starts, hi):
+                for a, b in self._rests(lo if not unsure else max(lo, unsure[-1].end), hi, known, starts, ends):
+                    if self._speaks(text[a:b], True):
+                        unsure.append(Finding(a, b, None, self.reduction(text[a:b])[0], 0))
+            elif share >= UNKNOWN and len(words_of(text[lo:hi])) > 4 or self._speaks(text[lo:hi]):
+                unsure.append(Finding(lo, hi, None, share, 0))
+        return sorted([*known, *unsure], key=lambda f: f.start)
 
     @staticmethod
-    def rests(text: str, lo: int, hi: int, sure: list[Finding]) -> list[tuple[int, int]]:
-        """What of a stretch is in no notice and has a trigger."""
-        inside = sure[bisect.bisect_right(sure, lo, key=lambda f: f.end) : bisect.bisect_left(sure, hi, key=lambda f: f.start)]
-        cuts = [lo, *(min(max(x, lo), hi) for f in inside for x in (f.start, f.end)), hi]
-        return [(a, b) for a, b in zip(cuts[::2], cuts[1::2]) if _TRIGGER.search(text, a, b)]
+    def _rests(lo: int, hi: int, known: list[Finding], starts: list[int], ends: list[int]):
+        """What of a candidate is in no notice."""
+        at = lo
+        for f in known[bisect.bisect_right(ends, lo) : bisect.bisect_left(starts, hi)]:
+            if f.start > at:
+                yield at, f.start
+            at = max(at, f.end)
+        if at < hi:
+            yield at, hi
+
+    def _speaks(self, text: str, rest: bool = False) -> bool:
+        """Whether a candidate speaks of a license and has more of the templates' words around than a bare mention has;
+        what is left over beside a notice needs as many."""
+        ws = words_of(text)
+        spoken = [i for i, w in enumerate(ws) if _LICENSE.fullmatch(w)]
+        near = {j for i in spoken for j in range(max(0, i - 4), min(len(ws), i + 5)) if j not in spoken}
+        return bool(spoken) and sum(ws[j] in self.vocabulary for j in near) > 2
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: tuple[Template, ...] = TEMPLATES
+) -> DataFrame:
     """`keep` columns, licenses (sorted names), n_confirmed, n_unconfirmed, n_differences, spans (name:start:end of
-    code points, `unknown` if unconfirmed). One pass without a shuffle."""
+    code points, `unknown` if unconfirmed). One pass without a shuffle; the templates go to the tasks with the code."""
     batch_rows(docs.sparkSession, 1000)
     schema = docs.select(*keep).schema.add("licenses", "string", False)
     for c in ("n_confirmed", "n_unconfirmed", "n_differences"):
@@ -265,7 +250,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     schema = schema.add("spans", "string", False)
 
     def run(batches):
-        scanner = LicenseScanner()
+        scanner = LicenseScanner(templates)
         for batch in batches:
             found = [scanner.scan(t or "") for t in batch.column(len(keep)).to_pylist()]
             arrays = [
