@@ -52,7 +52,7 @@ GATE, SAVED = 0.2, 8
 #: Differing words allowed, as a share of the template's words.
 TOLERANCE = 0.25
 #: Share of the size saved by which a candidate without any notice is a license of some kind.
-UNKNOWN = 0.45
+UNKNOWN = 0.35
 
 
 def words_of(text: str) -> tuple[str, ...]:
