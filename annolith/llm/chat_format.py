@@ -2,14 +2,17 @@
 
 A conversation's rows are gathered in turn order, an automaton over the roles (a transition table in the template)
 validates the order, and the template turns every row into text segments with a loss flag. The formatted text is the
-concatenation of the segments, so the loss mask of a character is the flag of its segment.
+concatenation of the segments, so the loss mask of a character is the flag of its segment; the mask is kept as a flag for
+every turn's text.
 
 Escaping is reversible: the escape character and the marker opener of the template are replaced inside texts and roles,
-so no marker can occur there, and `read_back` splits the formatted text at the markers and undoes the replacement.
+so no marker can occur there, and `read_back` splits the formatted text at the markers and undoes the replacement. It takes
+roles, texts and what is learned from the formatted text and the mask alone.
 
 Defined cases: a null text is empty; a null role is the empty role, which no transition accepts; a null turn sorts
 first; equal turns are ordered by role, then text, and all are kept, as are repeated rows; a null conversation id is a
-conversation of its own; an empty table gives an empty result; other columns are ignored.
+conversation of its own; texts and conversations of any length are formatted whole, in time linear in their length; an
+empty table gives an empty result; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -68,7 +71,8 @@ def _run_automaton(turns: Column, t: Template) -> Column:
 
 
 def format_conversations(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, valid_order (the automaton accepts), segments array<struct<text, loss>>, formatted."""
+    """conv_id, valid_order (the automaton accepts), segments array<struct<text, loss>>, mask array<boolean> (whether a
+    turn's text is learned), formatted."""
     t = template or Template()
     rows = conversations.select(
         "conv_id",
@@ -94,12 +98,14 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     return grouped.select(
         "conv_id",
         F.coalesce(_run_automaton(F.col("turns"), t).isin(*t.accepting), F.lit(False)).alias("valid_order"),
+        F.transform("turns", lambda x: x["role"].isin(*t.learned)).alias("mask"),
         F.flatten(F.transform("turns", of_turn)).alias("segments"),
     ).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, turns array<struct<role, text>> parsed from the text alone, learned: the text under the loss mask."""
+    """conv_id, valid_order, turns array<struct<role, text>> parsed from the text alone, learned: the text under the loss
+    mask, formatted_chars."""
     t = template or Template()
     parts = F.split("formatted", "\\Q" + t.turn_close + "\\E")
     bodies = F.slice(parts, F.lit(1), F.size(parts) - 1)
@@ -110,12 +116,13 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
         text = F.substring(x, cut + len(t.role_end), F.length(x))
         return F.struct(_unescape(role, t).alias("role"), _unescape(text, t).alias("text"))
 
-    under_mask = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"])
-    return formatted.select(
+    parsed = formatted.withColumn("turns", F.transform(bodies, parse))
+    under_mask = F.filter("turns", lambda x, i: F.get("mask", i))
+    return parsed.select(
         "conv_id",
         "valid_order",
-        F.transform(bodies, parse).alias("turns"),
-        _unescape(F.array_join(under_mask, ""), t).alias("learned"),
+        "turns",
+        F.array_join(F.transform(under_mask, lambda x: x["text"]), "").alias("learned"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -135,6 +142,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2(F.col("learned"), 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid_order",
     )
 
 
@@ -150,10 +158,12 @@ WITH rows_ AS (
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
     sum(length('<turn ') + length({_ESC.format(c="role")}) + 2 + length({_ESC.format(c="text")}) + length('</turn>') + 1)
-      AS formatted_chars
+      AS formatted_chars,
+    string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn NULLS FIRST, role, text)
+      AS roles
   FROM rows_ GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
-  CAST(formatted_chars AS BIGINT) AS formatted_chars
+  CAST(formatted_chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid_order
 FROM agg
 """

@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annolith.llm import bpe, chat_format, language_id, license_scan, quality_rules, secret_scan, token_count
 from annolith.llm.common import table, tokenizer_path
@@ -43,8 +44,6 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def clashing(edges):
-    from pyspark.sql import functions as F
-
     names = ("kept", "n_words", "n_tokens", "spans", "__text", "score", "task", "digest", "key", "length", "place")
     return edges.select("*", *[F.lit("x").alias(c) for c in names])
 
@@ -399,6 +398,24 @@ def test_chat_round_trip_and_order(spark):
     assert {c: r.learned for c, r in got.items()} == {c: "".join(t for r, t in x if r == "assistant") for c, x in want.items()}
     assert {c: r.valid_order for c, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, None: False}
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+    clashing = df.select("*", *[F.lit("x").alias(c) for c in ("turns", "segments", "mask", "formatted", "valid_order", "learned", "t")])
+    again = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(clashing)).collect()}
+    assert again == got
+
+
+def test_chat_long_conversations_and_texts(spark):
+    long = "a <b> & c\n" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    many = spark.range(20_001).selectExpr("2L AS conv_id", "id AS turn", "CASE WHEN id = 0 THEN 'system' WHEN id % 2 = 1 THEN 'user' ELSE 'assistant' END AS role", "concat('<', id, '>') AS text")
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df.unionByName(many))).collect()}
+    assert got[1].learned == long and got[1].valid_order and got[2].valid_order
+    assert len(got[2].turns) == 20_001 and got[2].learned == "".join(f"<{i}>" for i in range(2, 20_001, 2))
+
+
+def test_chat_order_decides(spark, sf_dir):
+    """The query's verdict comes from the automaton: its plan has the aggregate over the transitions."""
+    plan = chat_format.op7(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "primed" in plan and "answered" in plan
 
 
 def test_chat_plan_has_no_python(spark, sf_dir):
