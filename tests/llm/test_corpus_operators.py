@@ -359,7 +359,7 @@ def test_missing_and_shared_ids(spark):
 def test_pipeline_against_brute_force(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    stats = {i: quality_rules.measure(t) for i, t in rows}
+    stats = {i: quality_rules.Stats(t) for i, t in rows}
     good = [(i, t) for i, t in rows if not quality_rules.base_failed(stats[i]) and not any(f(stats[i]) for f in quality_rules.RULES.values())]
     counts = np.zeros(near_dedup.DF_SLOTS)
     for _, t in good:

@@ -51,18 +51,26 @@ def clashing(edges):
 # ---- quality rules
 
 
-def _repeat_brute(words):
-    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+def _repeat_brute(words, size):
+    windows = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(size)}
     return len(hit)
 
 
-def test_repeated_words_against_brute_force():
+@pytest.mark.parametrize("size", [3, 10])
+def test_repeated_words_against_brute_force(size):
     rng = random.Random(1)
-    for n in (0, 1, 2, 3, 4, 5, 30, 80):
-        for _ in range(20):
-            words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)]
-            assert quality_rules.repeated_words(words) == _repeat_brute(words)
+    for n in (0, 1, 2, 3, 4, 5, 9, 10, 11, 12, 30, 80):
+        for letters in (1, 2, 4, 60):
+            words = [b"%d" % rng.randrange(letters) for _ in range(n)]
+            for ws in (words, words + words[: n // 2]):
+                assert quality_rules.repeated_words(quality_rules.word_codes(ws), size) == _repeat_brute(ws, size)
+
+
+def test_repeated_words_of_large_vocabularies():
+    words = [b"%d" % i for i in range(70_000)]
+    assert quality_rules.repeated_words(quality_rules.word_codes(words + words[5:25]), 10) == 40
+    assert quality_rules.repeated_words(quality_rules.word_codes(words + words[5:7] + [b"x"] + words[5:8]), 3) == 6
 
 
 def test_cascade_order_does_not_change_the_verdict(spark, sf_dir):
@@ -72,10 +80,51 @@ def test_cascade_order_does_not_change_the_verdict(spark, sf_dir):
     assert one.equals(other.sort_values("doc_id").reset_index(drop=True))
 
 
+def _junk(kind, i):
+    words = [f"w{i}x{j}" for j in range(60)]
+    return " ".join({"symbols": words + ["#"] * 30, "shouting": [w.upper() for w in words], "letterless": words[:20] + ["12", "--", "3.4"] * 10 + [f"{i}{j}" for j in range(40)]}.get(kind, words))
+
+
 def test_cascade_puts_rejection_per_cost_first():
-    texts = [" ".join(f"w{i}x{j}" for j in range(60)) + " #" * 30 for i in range(40)]
-    order = quality_rules.plan_cascade(texts)
-    assert order[0][1] == 1.0 and all(g == 0 for _, g, _ in order[1:])
+    outcomes = [quality_rules.outcome(_junk("symbols", i), quality_rules.RULES) for i in range(40)]
+    order = quality_rules.plan_cascade(outcomes)
+    assert order[0][0] == "symbols" and order[0][1] == 1.0 and all(g == 0 for _, g, _ in order[1:])
+
+
+def test_cascade_order_saves_work(spark):
+    """Rules that are asked, and the work behind them, by the planned order and by its reverse."""
+    texts = [_junk(("symbols", "symbols", "letterless", "plain", "shouting")[i % 5], i) for i in range(200)]
+    outcomes = [x for t in texts if (x := quality_rules.outcome(t, quality_rules.RULES))]
+    planned = [n for n, _, _ in quality_rules.plan_cascade(outcomes)]
+    cost = dict(zip(quality_rules.RULES, np.array([s for _, s in outcomes]).sum(axis=0)))
+
+    def work(order):
+        asked = seconds = 0
+        for t in texts:
+            s = quality_rules.Stats(t)
+            for n in order:
+                asked, seconds = asked + 1, seconds + cost[n]
+                if quality_rules.RULES[n](s):
+                    break
+        return asked, seconds
+
+    assert len(outcomes) == 200 and set(planned) == set(quality_rules.RULES)
+    assert work(planned)[0] < work(planned[::-1])[0] and work(planned)[1] < 0.8 * work(planned[::-1])[1]
+
+
+def test_rules_by_example():
+    def by(text):
+        s = quality_rules.Stats(text)
+        return None if quality_rules.base_failed(s) else [n for n, rule in quality_rules.RULES.items() if rule(s)]
+
+    lines = [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(12)]
+    assert by("\n".join(lines)) == []
+    assert by("\n".join(" - " + x for x in lines)) == ["marked"] and by("\n".join(x + "... " for x in lines)) == ["broken_off"]
+    assert by("\n".join(lines).upper()) == ["shouting"] and by("\n".join(lines).replace("w", "").replace("x", "-")) == ["letterless"]
+    assert by(" ".join(lines[:5] + lines[:2] + lines[7:])) == []
+    assert by(" ".join(lines[:6] + [x for y in lines[:6] for x in y.split()[:3]])) == []
+    recited = " ".join(lines[:6]).split()
+    assert by(" ".join(recited + recited[:11] + [f"y{j}" for j in range(10)] + recited[30:41])) == ["recited"]
 
 
 def test_quality_edges(edges, empty, clashing):
