@@ -7,8 +7,9 @@ of the benchmark's words too short for the shortest window is left out. That los
 backward search through wavelet ranks, occurrences are located by sampled suffix positions, and overlapping or touching
 ones are merged into removal spans.
 
-The windows are broadcast in blocks of at most BLOCK_BYTES of benchmark text; a larger benchmark takes several passes
-over the documents, each adding to the spans and items found so far, so that any size works.
+The windows are broadcast in blocks of about BLOCK_BYTES of benchmark text, which take some ten times that on the driver
+and in a worker; a larger benchmark takes several passes over the documents, each adding to the spans and items found so
+far. What a pass found is stored before the next one, so no task ever has the windows of two blocks.
 
 Defined cases: null texts have no words; repeated documents are searched each; an item given twice counts once; a null
 item_id is written as an empty string; an empty benchmark leaves every document clean; empty tables give empty results;
@@ -18,8 +19,7 @@ other columns are ignored unless kept.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, batch_rows, table
+from .common import as_row, batch_rows, stored, table
 from .fm_index import SEPARATOR, FMIndex
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: A shard ends once it holds so many indexed symbols or so many bytes of pending texts.
 SHARD_SYMBOLS = 1 << 19
 SHARD_BYTES = 16 << 20
@@ -50,27 +50,47 @@ def split_words(text: str) -> list[bytes]:
 
 @dataclass
 class Windows:
-    """The distinct windows of a block of items, as rows of word numbers, and the items of each."""
+    """The distinct windows of a block of items as rows of word numbers (0 beyond a shorter one's end), and of window k
+    the items names[i] for i in owners[first[k] : first[k + 1]]. Arrays take about 10 bytes a byte of benchmark text."""
 
     words: dict[bytes, int]
     rows: np.ndarray
     lengths: np.ndarray
-    items: list[tuple[str, ...]]
+    first: np.ndarray
+    owners: np.ndarray
+    names: list[str]
     shortest: int
 
     @classmethod
-    def of(cls, items: list[tuple[str, str | None]], window: int = WINDOW) -> Windows:
+    def of(cls, items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> Windows:
         words: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        names: dict[str, int] = {}
+        ids, starts, lengths, owners, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], [], 0
         for item, text in items:
-            ids = [words.setdefault(w, len(words) + 1) for w in split_words(text or "")]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[i : i + window])].add(item)
-        rows = np.zeros((len(owners), window), np.int64)
-        lengths = np.array([len(w) for w in owners], np.int64)
-        for k, w in enumerate(owners):
-            rows[k, : len(w)] = w
-        return cls(words, rows, lengths, [tuple(sorted(x)) for x in owners.values()], int(lengths.min(initial=window)))
+            own = np.fromiter((words.setdefault(w, len(words) + 1) for w in split_words(text or "")), np.int32)
+            if not len(own):
+                continue
+            size = min(window, len(own))
+            many = len(own) - size + 1
+            ids.append(own)
+            starts.append(np.arange(at, at + many))
+            lengths.append(np.full(many, size, np.int32))
+            owners.append(np.full(many, names.setdefault(item, len(names)), np.int32))
+            at += len(own)
+        ids.append(np.zeros(window, np.int32))
+        every, start = np.concatenate(ids), np.concatenate(starts)
+        length = np.concatenate([np.zeros(0, np.int32), *lengths])
+        rows = np.empty((len(start), window), np.int32)
+        for k in range(window):
+            rows[:, k] = np.where(k < length, every[start + k], 0)
+        _, one, which = np.unique(rows.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(which * len(names) + np.concatenate([np.zeros(0, np.int32), *owners])) if names else np.zeros(0, np.int64)
+        many = max(1, len(names))
+        first = np.searchsorted(pairs, np.arange(len(one) + 1) * many)
+        return cls(words, rows[one], length[one], first, (pairs % many).astype(np.int32), list(names), int(length.min(initial=window)))
+
+    def items(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.first[k] : self.first[k + 1]]]
 
 
 def candidate_runs(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +171,7 @@ class Shard:
             spans[docs[a]].append((int(places[a]), int(places[b]) + 1))
         pairs = np.unique(docs[at] * len(n) + which)
         for p in pairs.tolist():
-            items[p // len(n)].update(w.items[p % len(n)])
+            items[p // len(n)].update(w.items(p % len(n)))
         return spans, items
 
 
@@ -180,14 +200,14 @@ def excise(text: str, spans: list[tuple[int, int]]) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size, dealt by hash."""
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[bool, Iterator[tuple[str, str | None]]]]:
+    """The items in blocks of bounded size, dealt by hash, and whether it is the last block."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = -(-total // BLOCK_BYTES) or 1
     for k in range(n):
         block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in block.toLocalIterator()]
+        yield k == n - 1, ((r.i, r.t) for r in block.toLocalIterator())
 
 
 def find_contamination(
@@ -199,8 +219,12 @@ def find_contamination(
     empty = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<long>>)").alias("spans"),
                         F.expr("cast(array() as array<string>)").alias("items"), F.col(text).alias("__text"))
     found = empty
-    for block in _blocks(benchmark, item, item_text):
-        found = found.mapInArrow(_pass(spark.sparkContext.broadcast(Windows.of(block, window)), len(keep), empty.columns), empty.schema)
+    for last, block in _blocks(benchmark, item, item_text):
+        windows = spark.sparkContext.broadcast(Windows.of(block, window))
+        found = found.mapInArrow(_pass(windows, len(keep), empty.columns), empty.schema)
+        if not last:
+            found = stored(found, "contamination")
+            windows.destroy()
     return found
 
 

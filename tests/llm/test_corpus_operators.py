@@ -168,6 +168,34 @@ def test_contamination_against_brute_force(spark, monkeypatch, block_bytes):
     assert got == _brute_contamination(docs, items)
 
 
+def test_windows_of_a_block_stay_small():
+    rng = random.Random(2)
+    items = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(2_000))) for i in range(100)]
+    items += items[:10]
+    windows = decontaminate.Windows.of(items)
+    size = sum(len(t) for _, t in items)
+    arrays = (windows.rows, windows.lengths, windows.first, windows.owners)
+    assert sum(x.nbytes for x in arrays) < 10 * size
+    wanted = collections.defaultdict(set)
+    numbers = windows.words
+    for item, t in items:
+        ws = t.encode().split()
+        for i in range(len(ws) - 9):
+            wanted[tuple(numbers[w] for w in ws[i : i + 10])].add(item)
+    got = {tuple(row): set(windows.items(k)) for k, row in enumerate(windows.rows.tolist())}
+    assert got == wanted and set(windows.lengths) == {10}
+
+
+def test_a_pass_is_stored_before_the_next_one(spark, monkeypatch):
+    """With several blocks no plan has the windows of two of them."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    items = [(i, " ".join(f"{c}{i}" for c in "abcdefghijkl")) for i in range(20)]
+    d = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
+    found = decontaminate.find_contamination(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: list(r["items"]) for r in found.collect()} == {i: [str(i)] for i, _ in items}
+
+
 def test_contamination_edges(spark, sf_dir):
     docs = spark.createDataFrame(EDGES, DOCS).select("*", F.lit("x").alias("spans"), F.lit("x").alias("items"), F.lit("x").alias("__text"))
     none = spark.createDataFrame([], "item_id long, text string")
