@@ -4,16 +4,20 @@ Write: a record per page, each a gzip member of its own, into one archive file p
 whose payload (of at least MIN_REVISIT bytes) also belongs to a page with a larger id becomes a revisit record: no
 payload, but the digest, the HTTP header with the payload's length, and the page it refers to.
 Index: a line per record (reversed-host URL key, page id, place), sorted by range over the cluster and written in
-compressed blocks; the directory holds the first and last key of each block and where it lies, and nothing per page.
-Read: the directory gives the blocks whose key range holds a key, a block is read by range and searched by bisection,
-and records are read by range from the archives. Reading everything back goes block by block the same way.
+compressed blocks, a file per task. A file ends with its directory: the first line of each block and where it lies. The
+directory of files has the first and last line of each, so it grows with the tasks, not with the pages, and goes to all
+readers.
+Read: a capture is looked up by its key and page id. Bisection in the directory of files, in a file's directory and in a
+block, each read by range, leads to its lines, and they to its records, read by range from the archives. Many captures
+are looked up in key order, so a task reads a block once, and a batch's records in the order of the archives.
 
 A task names its files freshly at every attempt and returns the names with its rows, which are stored as a table before
 anyone reads them. So a file of a lost or repeated attempt is never referred to.
 
 Defined cases: a null html is empty; a null url has the key "-"; a null page_id is written empty and read back as null;
-repeated rows get a record each, and if rows of the largest page_id repeat, all of them are responses; an empty table
-gives empty archives and results; other columns are ignored.
+repeated rows get a record each, and if rows of the largest page_id repeat, all of them are responses; payloads of any
+length are written and read whole, a record at a time; an empty table gives empty archives and results; other columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from .common import batch_rows, scratch, stored, table
 
 MIN_REVISIT = 1000
 BLOCK_LINES = 1000
+#: Records, and bytes of payload, that a task reads at a time.
+READ_RECORDS, READ_BYTES = 10_000, 16 << 20
 #: Payload groups up to which the table of revisited pages is broadcast (about 60 bytes each); beyond it is a join.
 BROADCAST_GROUPS = 500_000
 _GZIP = 31
@@ -48,7 +54,7 @@ def url_key(url: str | None) -> str:
         parts = urlsplit(url.strip())
         host, port = (parts.hostname or "").lower(), parts.port
     except ValueError:
-        return "-" + url.replace("\n", " ")
+        return "-" + re.sub(r"[\n\t]", " ", url)
     host = host.removeprefix("www.")
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "")
     path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
@@ -134,11 +140,11 @@ class _Ranges:
 
 @dataclass
 class Archive:
-    """Where the files are, and the directory: first_key, last_key, file, offset, length, n of every block."""
+    """Where the files are, and the directory of index files: first and last line (key, page id), file, where the file's
+    own directory lies and how many blocks it has."""
 
     folder: str
-    directory: DataFrame
-    blocks: int
+    files: DataFrame
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -155,8 +161,11 @@ def revisits(pages: DataFrame) -> DataFrame:
     groups = stored(groups, "warc-groups")
     if groups.count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
-    other = (F.octet_length("html") >= MIN_REVISIT) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("holder")))
-    joined = named.join(groups, named.payload_digest == groups.d, "left")
+    large = F.octet_length("html") >= MIN_REVISIT
+    other = F.col("page_id").isNull() | (F.col("page_id") != F.col("holder"))
+    # small payloads, of which many may be equal, take no part in the join: their key is null, and a null salted by the row
+    on = F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = named.withColumn("__on", on).join(groups, F.col("__on") == groups.d, "left")
     return joined.select("page_id", "url", "html", "payload_digest", F.when(other, F.col("holder")).alias("refers_to"))
 
 
@@ -190,76 +199,154 @@ def write_archive(pages: DataFrame) -> Archive:
 
     def blocks(batches) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
-        name, out, at, pending, found = f"index-{uuid.uuid4().hex}.cdxz", None, 0, [], []
+        name, out, at, pending, directory, last = f"index-{uuid.uuid4().hex}.cdxz", None, 0, [], [], None
 
-        def close_block():
+        def append(rows: list[tuple]) -> tuple[int, int]:
             nonlocal at
-            body = zlib.compress("\n".join("\t".join(x) for x in pending).encode(), 6)
+            body = zlib.compress("\n".join("\t".join("" if x is None else str(x) for x in row) for row in rows).encode(), 6)
             out.write(body)
-            found.append((pending[0][0], pending[-1][0], name, at, len(body), len(pending)))
             at += len(body)
+            return at - len(body), len(body)
+
+        def close_block() -> None:
+            directory.append((*pending[0][:2], *append(pending)))
             pending.clear()
 
         for batch in batches:
             out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                pending.append(tuple("" if x is None else str(x) for x in row))
+            for last in zip(*(c.to_pylist() for c in batch.columns)):
+                pending.append(last)
                 if len(pending) == BLOCK_LINES:
                     close_block()
         if pending:
             close_block()
+        if directory:
+            rows = [(*directory[0][:2], *last[:2], name, *append(directory), len(directory))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _FILE_KINDS.values())], list(_FILE_KINDS))
         if out:
             out.close()
-        if found:
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], ["first_key", "last_key", "file", "offset", "length", "n"])
 
     ordered = lines.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    directory = stored(
-        ordered.mapInArrow(blocks, "first_key string, last_key string, file string, offset long, length long, n long"), "warc-directory"
-    )
-    return Archive(folder, directory, directory.count())
+    schema = "first_key string, first_id long, last_key string, last_id long, file string, offset long, length long, n long"
+    return Archive(folder, stored(ordered.mapInArrow(blocks, schema), "warc-files"))
+
+
+_FILE_KINDS = {
+    "first_key": pa.string(), "first_id": pa.int64(), "last_key": pa.string(), "last_id": pa.int64(),
+    "file": pa.string(), "offset": pa.int64(), "length": pa.int64(), "n": pa.int64(),
+}
+#: A missing page id sorts before all others.
+_NO_ID = -(1 << 63) - 1
+
+
+def _line(key: str, page_id: int | str | None) -> tuple[str, int]:
+    return key, _NO_ID if page_id in (None, "") else int(page_id)
+
+
+class IndexReader:
+    """Finds captures by bisection in the directory of files, in a file's directory and in a block. Holds the directory
+    and the block that it used last, as captures are looked up in key order."""
+
+    def __init__(self, folder: str, files: list[tuple]):
+        """files: (first key, first id, last key, last id, file, offset, length, n) in order."""
+        self.ranges = _Ranges(folder)
+        self.files = files
+        self.lasts = [_line(f[2], f[3]) for f in files]
+        self.held: dict[str, tuple] = {}
+        self.reads = 0
+
+    def _lines(self, what: str, file: str, offset: int, length: int) -> tuple[list[tuple[str, int]], list[list[str]]]:
+        """(keys, lines) of a directory or block."""
+        if self.held.get(what, (None,))[0] != (file, offset):
+            rows = [x.split("\t") for x in zlib.decompress(self.ranges.read(file, offset, length)).decode().split("\n")]
+            self.held[what] = (file, offset), ([_line(*row[:2]) for row in rows], rows)
+            self.reads += 1
+        return self.held[what][1]
+
+    def find(self, key: str, page_id: int | None = None, any_id: bool = False) -> Iterator[tuple[str, int, int]]:
+        """(archive, offset, length) of the records of a capture, or of all captures of a key."""
+        low = (key, _NO_ID) if any_id else _line(key, page_id)
+        high = (key, 1 << 64) if any_id else low
+        for k in range(bisect.bisect_left(self.lasts, low), len(self.files)):
+            first_key, first_id, _, _, file, offset, length, _ = self.files[k]
+            if _line(first_key, first_id) > high:
+                return
+            firsts, blocks = self._lines("directory", file, offset, length)
+            for b in range(max(0, bisect.bisect_left(firsts, low) - 1), len(blocks)):
+                if firsts[b] > high:
+                    return
+                keys, lines = self._lines("block", file, int(blocks[b][2]), int(blocks[b][3]))
+                for line in lines[bisect.bisect_left(keys, low) : bisect.bisect_right(keys, high)]:
+                    yield line[2], int(line[3]), int(line[4])
+
+
+def _files_of(archive: Archive) -> list[tuple]:
+    """The directory of files, in order; a row per task that wrote an index file."""
+    rows = [tuple(r) for r in archive.files.select(*_FILE_KINDS).collect()]
+    return sorted(rows, key=lambda r: (_line(r[0], r[1]), _line(r[2], r[3])))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """(key, page_id) of the pages, each once."""
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, batch.column("page_id")], ["key", "page_id"])
 
-def _lines(ranges: _Ranges, file: str, offset: int, length: int) -> list[list[str]]:
-    return [x.split("\t") for x in zlib.decompress(ranges.read(file, offset, length)).decode().split("\n")]
+    return pages.select("page_id", "url").mapInArrow(run, "key string, page_id long").distinct()
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """All records, read through the index: page_id, url, record_type, payload_bytes, payload_digest, refers_to."""
+def read_captures(archive: Archive, wanted: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of the wanted captures (key, page_id), each found through the index: page_id, url, payload_bytes,
+    payload_digest, record_type, refers_to and, unless it is not asked for, payload (null for revisits)."""
     folder = archive.folder
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    files = archive.files.sparkSession.sparkContext.broadcast(_files_of(archive))
+    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    if payload:
+        schema, kinds = schema + ", payload binary", [*kinds, pa.binary()]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        ranges = _Ranges(folder)
+        index, records = IndexReader(folder, files.value), _Ranges(folder)
+
+        def flush(places: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
+            for place in sorted(places):
+                r = decode_record(records.read(*place))
+                rows.append((r.page_id, r.url, r.payload_bytes, r.digest, r.kind, r.refers_to, r.payload)[: len(names)])
+                size += len(r.payload or b"") if payload else 0
+                if size > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
         for batch in batches:
-            for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
-                entries = sorted((x[2], int(x[3]), int(x[4])) for x in _lines(ranges, file, offset, length))
-                rows = []
-                for entry in entries:
-                    r = decode_record(ranges.read(*entry))
-                    rows.append((r.page_id, r.payload_bytes, r.digest, r.kind, r.refers_to))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
+            places: list[tuple[str, int, int]] = []
+            for key, page_id in zip(*(c.to_pylist() for c in batch.columns)):
+                for place in index.find(key, page_id):
+                    places.append(place)
+                    if len(places) == READ_RECORDS:
+                        yield from flush(places)
+                        places = []
+            yield from flush(places)
 
-    tasks = max(1, min(20_000, -(-archive.blocks // 4)))
-    return archive.directory.repartition(tasks, "file", "offset").mapInArrow(run, schema)
+    ordered = wanted.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    return ordered.mapInArrow(run, schema)
 
 
 def lookup(archive: Archive, url: str) -> list[Record]:
-    """The records of one URL: the directory's blocks that may hold its key, bisection in each, range reads."""
-    key = url_key(url)
-    ranges, found = _Ranges(archive.folder), []
-    for b in archive.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect():
-        lines = _lines(ranges, b.file, b.offset, b.length)
-        keys = [x[0] for x in lines]
-        for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            found.append(decode_record(ranges.read(x[2], int(x[3]), int(x[4]))))
-    return found
+    """The records of one URL, found through the index, in order of their page ids."""
+    index, records = IndexReader(archive.folder, _files_of(archive)), _Ranges(archive.folder)
+    return [decode_record(records.read(*place)) for place in index.find(url_key(url), any_id=True)]
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archive(write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = read_captures(write_archive(pages), captures(pages), payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """

@@ -234,7 +234,9 @@ def test_archive_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     rows, pages = _pages(spark)
     archive = warc.write_archive(pages)
-    got = collections.Counter(tuple(r) for r in warc.read_archive(archive).collect())
+    records = warc.read_captures(archive, warc.captures(pages)).collect()
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in records)
+    assert all(hashlib.sha1(r.payload).hexdigest() == r.payload_digest for r in records if r.record_type == "response")
     holder = {}
     for p, _, h in rows:
         if p is not None:
@@ -248,7 +250,40 @@ def test_archive_round_trip(spark, monkeypatch):
     found = warc.lookup(archive, "https://b.example.com/p?q=1")
     assert sorted((r.page_id, r.kind) for r in found) == [(1, "revisit"), (4, "response"), (7, "revisit")]
     assert warc.lookup(archive, "http://nowhere.example/") == []
-    assert warc.read_archive(warc.write_archive(pages.limit(0))).count() == 0
+    assert [r.page_id for r in found] == [1, 4, 7]
+    empty = warc.write_archive(pages.limit(0))
+    assert warc.read_captures(empty, warc.captures(pages)).count() == 0 and warc.lookup(empty, "http://z.org") == []
+
+
+def test_captures_are_found_by_bisection(spark, monkeypatch):
+    """Of an index of many files and blocks a lookup reads one directory and one block, and lookups in order every block once."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id % 700, '.org/', id % 3) AS url", "cast(id AS string) AS html").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    archive = warc.write_archive(pages)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = warc._files_of(archive)
+    blocks = sum(f[-1] for f in files)
+    assert blocks >= 300 and len(files) > 1
+    rows = [(warc.url_key(r.url), r.page_id) for r in pages.collect()]
+    for key, page_id in rows[:40]:
+        index = warc.IndexReader(archive.folder, files)
+        assert len(list(index.find(key, page_id))) == 1 and index.reads <= 4
+        assert len(list(index.find(key, any_id=True))) == sum(k == key for k, _ in rows)
+        assert list(index.find(key + "x", page_id)) == [] and list(index.find(key, -1)) == []
+    index = warc.IndexReader(archive.folder, files)
+    for key, page_id in sorted(rows):
+        assert len(list(index.find(key, page_id))) == 1
+    assert index.reads <= blocks + 2 * len(files)
+
+
+def test_archive_of_long_pages_and_clashing_columns(spark):
+    long = "<p>é" * 3_000_000
+    names = ("key", "file", "offset", "length", "d", "holder", "payload_digest", "refers_to", "__on")
+    pages = spark.createDataFrame([(1, "http://a.org", long), (2, "http://a.org", long), (3, "http://a.org", "x")], "page_id long, url string, html string")
+    clashing = pages.select("*", *[F.lit("x").alias(c) for c in names])
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.refers_to) for r in warc.read_captures(warc.write_archive(clashing), warc.captures(clashing)).collect()}
+    assert got == {1: ("revisit", 15_000_000, 2), 2: ("response", 15_000_000, None), 3: ("response", 1, None)}
 
 
 def test_damage_is_noticed():
