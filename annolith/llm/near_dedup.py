@@ -59,7 +59,7 @@ _TABLE = 1 << 12
 #: Share of samples (three standard deviations under the threshold) that agree for a node to count for a hub of step 5.
 _AGREE = 0.8 - 3 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of a leader verified in one task, and the side of a block of step 5.
-_PER_TASK, _BLOCK = 2000, 1500
+_PER_TASK, _BLOCK = 400, 1500
 #: Leaders of more than _PER_TASK nodes up to which their list is broadcast.
 _BROADCAST = 200_000
 #: Comparisons of unlinked nodes with those of their buckets up to which step 5 goes without hubs.
