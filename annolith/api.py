@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import analytics, encoder, features, ivf, knn, mapping, vote
+from .session import stored
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,9 @@ def label_embeddings(cells: DataFrame, reference: Reference, n_probe: int = ivf.
 def label_cells(
     expression: DataFrame, genes: DataFrame, vocabulary: DataFrame, model: encoder.Encoder, reference: Reference, projector=None, **how
 ) -> DataFrame:
-    """Q8: align, normalise, embed, search, vote, and place on the map if a projector is given. One lazy plan."""
-    cells = embed_cells(expression, genes, vocabulary, model)
+    """Q8: align, normalise, embed, search, vote, and place on the map if a projector is given. The embeddings, which all
+    further steps read, are computed once and stored."""
+    cells = stored(embed_cells(expression, genes, vocabulary, model), "cells")
     labelled = label_embeddings(cells, reference, **how)
     if projector is None:
         return labelled

@@ -55,31 +55,37 @@ def user_index_id(created_ms: Column, token: Column | None = None) -> Column:
     return F.concat_ws("-", F.lit("user"), created_ms.cast("string"), token if token is not None else F.substring(F.uuid(), 1, 8))
 
 
-@F.pandas_udf(T.StringType())
-def encode_floats(v: pd.Series) -> pd.Series:
-    """little-endian 32-bit floats in base64."""
+def _packed(v: pd.Series, kind: str) -> pd.Series:
+    """Base64 of typed arrays: the values of all rows are converted at once, a row's bytes are a stretch of them."""
     import base64
 
-    return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
+    sizes = v.map(lambda x: 0 if x is None else len(x)).to_numpy(np.int64)
+    data = np.concatenate([np.zeros(0, kind), *(x for x in v if x is not None)]).astype(kind).tobytes()
+    ends = np.cumsum(sizes) * np.dtype(kind).itemsize
+    return pd.Series([None if x is None else base64.b64encode(data[a:b]).decode() for x, a, b in zip(v, np.append(0, ends[:-1]), ends)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def decode_floats(v: pd.Series) -> pd.Series:
+def _unpacked(v: pd.Series, kind: str, out: type) -> pd.Series:
     import base64
 
-    return v.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), "<f4"))
+    return v.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), kind).astype(out))
 
 
-@F.pandas_udf(T.StringType())
-def encode_bytes(v: pd.Series) -> pd.Series:
-    """codes 0..255 in base64."""
-    import base64
+def _codec(kind: str, out: type, element: T.DataType):
+    """columns of arrays to base64 of little-endian values, and back."""
 
-    return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, np.uint8).tobytes()).decode())
+    @F.pandas_udf(T.StringType())
+    def encode(v: pd.Series) -> pd.Series:
+        return _packed(v, kind)
 
+    @F.pandas_udf(T.ArrayType(element))
+    def decode(v: pd.Series) -> pd.Series:
+        return _unpacked(v, kind, out)
+
+    return encode, decode
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def decode_bytes(v: pd.Series) -> pd.Series:
-    import base64
 
-    return v.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), np.uint8).astype(np.int32))
+#: 32-bit floats, 16-bit integers, bytes.
+encode_floats, decode_floats = _codec("<f4", np.float32, T.FloatType())
+encode_shorts, decode_shorts = _codec("<i2", np.int32, T.IntegerType())
+encode_bytes, decode_bytes = _codec("u1", np.int32, T.IntegerType())

@@ -11,20 +11,22 @@ import json
 import math
 from collections import defaultdict
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import clustering
-from .kernels import Best, matrix, merged, nearest, offer_matrix, query_blocks, squared_distances
+from .kernels import QUERY_BYTES, Best, matrix, merged, nearest, offer_matrix, paired, query_block, squared_distances, usable_rows
 from .pq import ProductQuantizer, code_matrix, train_quantizer, usable
 
 VERSION = "residual-1.1"
 #: Defaults of an online search.
 K, N_PROBE = 50, 4
+#: Rows of a list in one task of a search with more queries than a broadcast holds.
+LIST_ROWS = 200_000
 #: Lists above which the distributed trainer is used.
 DRIVER_LISTS = 4096
 
@@ -51,6 +53,10 @@ class IvfPqIndex:
     def n_partitions(self) -> int:
         return len(self.centroids)
 
+    def describe(self) -> dict:
+        """Q20: the metadata of lists and codes."""
+        return {"ivf": dict(self.metadata), "pq": self.pq.metadata()}
+
 
 def populate(
     vectors: DataFrame, centroids: np.ndarray, pq: ProductQuantizer, id_col: str = "vec_id", vector_col: str = "embedding", partition_ids: np.ndarray | None = None
@@ -168,14 +174,56 @@ def search(
     contribute nothing. `payload` adds an integer column of the lists. metric "l2" takes the root (A4)."""
     if metric not in ("l2sq", "l2"):
         raise ValueError("metric is l2sq or l2")
-    parts = [_search_block(index, ids, q, n_probe, k, payload) for ids, q in query_blocks(queries, id_col, vector_col)]
     columns = ["query_id", "rank", "vec_id", "dist", *([payload] if payload else [])]
-    if not parts:
+    block = query_block(queries, id_col, vector_col)
+    if block is None:
+        parts = _search_lists(usable_rows(queries, id_col, vector_col), index, n_probe, k, payload)
+    elif not len(block[0]):
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, dist double" + (f", {payload} long" if payload else ""))
-    found = reduce(DataFrame.unionByName, [merged(p, k) for p in parts]).select(*columns)
+    else:
+        parts = _search_block(index, *block, n_probe, k, payload)
+    found = merged(parts, k).select(*columns)
     return found.withColumn("dist", F.sqrt("dist")) if metric == "l2" else found
 
 
+def _search_lists(queries: DataFrame, index: IvfPqIndex, n_probe: int, k: int, payload: str | None) -> DataFrame:
+    """Queries beyond a broadcast: each goes to the lists it probes, and meets them where they are, list by list."""
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast((index.centroids, index.partition_ids.astype(np.int32)))
+
+    def probes(batches):
+        c, names = shared.value
+        for batch in batches:
+            near, _ = probes_of(matrix(batch.column(1), c.shape[1]), c, n_probe)
+            rows = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names[near.ravel()]), batch.column(0).take(rows), batch.column(1).take(rows)], ["partition_id", "i", "v"])
+
+    visits = stored(queries.mapInArrow(probes, queries.select(F.lit(0).alias("partition_id"), "i", "v").schema), "probes")
+    lists = index.lists.select("partition_id", F.col("vec_id").alias("i"), "codes", *([F.col(payload).cast("long").alias(payload)] if payload else []))
+    t = visits.groupBy("partition_id").agg(F.ceil(F.count("*") / max(1, QUERY_BYTES // (8 * index.dimensions))).alias("t"))
+    s = lists.groupBy("partition_id").agg(F.ceil(F.count("*") / LIST_ROWS).alias("s"))
+    where = spark.sparkContext.broadcast(({int(p): i for i, p in enumerate(index.partition_ids)}, index.centroids, index.pq))
+    names = ["query_id", "vec_id", "dist", *([payload] if payload else [])]
+
+    def kernel(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        number, centroids, pq = where.value
+        best = Best(left.num_rows, k)
+        if left.num_rows and right.num_rows:
+            q = matrix(left.column("v"), pq.d) - centroids[number[key[0].as_py()]]
+            vec, codes = right.column("i").to_numpy(), code_matrix(right.column("codes").combine_chunks(), pq.m)
+            extra = right.column(payload).to_numpy() if payload else None
+            for lo in range(0, len(q), 512):
+                part = np.arange(lo, min(lo + 512, len(q)))
+                tables = pq.table(q[part])
+                for at in range(0, len(vec), 8192):
+                    offer_matrix(best, part, pq.distances(tables, codes[at : at + 8192]), vec[at : at + 8192], None if extra is None else extra[at : at + 8192])
+        n, found, dist, extra = best.rows()
+        arrays = [pa.array(left.column("i").to_numpy()[n]), pa.array(found), pa.array(dist)] + ([pa.array(extra)] if payload else [])
+        return pa.table(dict(zip(names, arrays)))
+
+    return paired(visits, lists, t.join(s, "partition_id"), ["partition_id"], kernel, "query_id long, vec_id long, dist double" + (f", {payload} long" if payload else ""))
+
+
 def _search_block(index: IvfPqIndex, ids: np.ndarray, q: np.ndarray, n_probe: int, k: int, payload: str | None) -> DataFrame:
     spark = index.lists.sparkSession
     near, _ = probes_of(q, index.centroids, n_probe)
@@ -215,8 +263,7 @@ def _search_block(index: IvfPqIndex, ids: np.ndarray, q: np.ndarray, n_probe: in
         yield pa.RecordBatch.from_arrays(arrays, names)
 
     lists = index.lists.select("partition_id", "vec_id", "codes", *([F.col(payload).cast("long").alias(payload)] if payload else []))
-    if len(by_name) <= 1000:  # few lists: their numbers prune the scan
-        lists = lists.where(F.col("partition_id").isin(sorted(by_name)))
+    lists = lists.where(F.col("partition_id").isin(sorted(by_name)))  # their numbers prune the scan
     return lists.mapInArrow(run, "query_id long, vec_id long, dist double" + (f", {payload} long" if payload else ""))
 
 

@@ -1,21 +1,24 @@
 """Numpy kernels and the plumbing that feeds them with Arrow batches.
 
-The searches share one shape: the queries, whose number is bounded by cutting them into blocks of BLOCK_BYTES, are
-broadcast block by block; every task walks its own rows of the large side once and keeps the k best per query; the
-tasks' bests are merged in the JVM. The large side is never shuffled, and no pair is ever a row.
+The searches have two shapes. Queries that fit a broadcast (BLOCK_BYTES, checked by counting) go to all tasks; every task
+walks its own rows of the large side once and keeps the k best per query; the large side is not shuffled. More queries
+than that stay on the executors: both sides are dealt into blocks, a task gets one block of each, and nothing passes the
+driver. In both the tasks' bests are merged in the JVM, and no pair is ever a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors (as doubles) in one broadcast block.
+#: Bytes of query vectors (as doubles) that are broadcast.
 BLOCK_BYTES = 64 << 20
+#: Bytes of query vectors and of searched vectors (as doubles) in the blocks of a task.
+QUERY_BYTES, ROW_BYTES = 8 << 20, 64 << 20
 #: Cells of one distance matrix.
 _CELLS = 1 << 22
 
@@ -128,19 +131,32 @@ def offer_matrix(best: Best, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray
     offer_pairs(best, rows, i, dist[i, j], ids[j], None if extra is None else extra[j])
 
 
-def query_blocks(queries: DataFrame, id_col: str, vector_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of the queries in blocks that fit a broadcast, dealt by hash of the id."""
-    rows = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
+def query_block(queries: DataFrame, id_col: str, vector_col: str, block_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, vectors) of the queries if they fit a broadcast, None if they do not; then nothing is collected."""
+    rows = usable_rows(queries, id_col, vector_col)
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    if not shape.n:
-        return
-    blocks = -(-shape.n * max(1, shape.d) * 8 // block_bytes)
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        found = part.toArrow()
-        ids = found.column("i").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        yield ids[order], matrix(found.column("v"), shape.d)[order]
+    if shape.n * max(1, shape.d or 0) * 8 > (BLOCK_BYTES if block_bytes is None else block_bytes):
+        return None
+    found = rows.toArrow()
+    ids = found.column("i").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix(found.column("v"), shape.d or 0)[order]
+
+
+def usable_rows(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """i, v of the rows that have both."""
+    return rows.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
+
+
+def paired(left: DataFrame, right: DataFrame, sizes: DataFrame, on: list[str], kernel: Callable, schema: str) -> DataFrame:
+    """Every row of `left` meets every row of `right` with equal `on`, block by block: left is dealt by the hash of its id
+    `i` into t blocks, right into s blocks (columns of `sizes`, one row per key), and a task gets one block of each. A
+    block is copied to each block of the other side, so a large key costs s copies of its queries and t of its rows, and
+    no task has more than two blocks. kernel(key, left table, right table) gives a table of `schema`."""
+    a = left.join(sizes, on).withColumns({"__t": F.pmod(F.xxhash64("i"), F.col("t")), "__s": F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))})
+    b = right.join(sizes, on).withColumns({"__s": F.pmod(F.xxhash64("i"), F.col("s")), "__t": F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1))})
+    keys = [*on, "__s", "__t"]
+    return a.drop("s", "t").groupBy(*keys).cogroup(b.drop("s", "t").groupBy(*keys)).applyInArrow(kernel, schema)
 
 
 def merged(parts: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:

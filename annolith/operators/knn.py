@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Best, matrix, merged, offer_exact, query_blocks
+from .kernels import QUERY_BYTES, ROW_BYTES, Best, matrix, merged, offer_exact, paired, query_block, usable_rows
 
 METRICS = ("l2sq", "l2", "cosine")
 
@@ -21,11 +19,15 @@ def exact_knn(
     a zero vector has no cosine and finds, and is found by, nothing."""
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
-    usable = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
-    parts = [_block(usable, ids, q, k, metric) for ids, q in query_blocks(queries, id_col, vector_col)]
-    if not parts:
+    usable = usable_rows(vectors, id_col, vector_col)
+    block = query_block(queries, id_col, vector_col)
+    if block is None:
+        parts = _blocks(usable_rows(queries, id_col, vector_col), usable, k, metric)
+    elif not len(block[0]):
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, dist double")
-    return reduce(DataFrame.unionByName, [merged(p, k) for p in parts]).select("query_id", "rank", "vec_id", "dist")
+    else:
+        parts = _broadcast(usable, *block, k, metric)
+    return merged(parts, k).select("query_id", "rank", "vec_id", "dist")
 
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +36,24 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[good] / size[good, None], good
 
 
-def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> DataFrame:
+def _offer(best: Best, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: str) -> None:
+    if metric == "cosine":
+        x, good = _unit(x)
+        ids = ids[good]
+    if len(x) and len(q):
+        offer_exact(best, q, x, ids)
+
+
+def _found(best: Best, names: np.ndarray, metric: str) -> dict[str, pa.Array]:
+    n, found, dist, _ = best.rows()
+    dist = dist / 2 if metric == "cosine" else np.sqrt(dist) if metric == "l2" else dist
+    return {"query_id": pa.array(names[n]), "vec_id": pa.array(found), "dist": pa.array(dist)}
+
+
+_SCHEMA = "query_id long, vec_id long, dist double"
+
+
+def _broadcast(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> DataFrame:
     if metric == "cosine":
         q, good = _unit(q)
         ids = ids[good]
@@ -44,16 +63,27 @@ def _block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: s
         names, q = shared.value
         best = Best(len(names), k)
         for batch in batches:
-            if not batch.num_rows or not len(names):
-                continue
-            x, own = matrix(batch.column(1), q.shape[1]), batch.column(0).to_numpy()
-            if metric == "cosine":
-                x, good = _unit(x)
-                own = own[good]
-            if len(x):
-                offer_exact(best, q, x, own)
-        n, found, dist, _ = best.rows()
-        dist = dist / 2 if metric == "cosine" else np.sqrt(dist) if metric == "l2" else dist
-        yield pa.RecordBatch.from_arrays([pa.array(names[n]), pa.array(found), pa.array(dist)], ["query_id", "vec_id", "dist"])
-
-    return vectors.mapInArrow(run, "query_id long, vec_id long, dist double")
+            if batch.num_rows and len(names):
+                _offer(best, q, matrix(batch.column(1), q.shape[1]), batch.column(0).to_numpy(), metric)
+        found = _found(best, names, metric)
+        yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
+
+    return vectors.mapInArrow(run, _SCHEMA)
+
+
+def _blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+    shapes = [x.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first() for x in (queries, vectors)]
+    counts = [max(1, -(-s.n * max(1, s.d or 0) * 8 // most)) for s, most in zip(shapes, (QUERY_BYTES, ROW_BYTES))]
+    sizes = F.broadcast(queries.sparkSession.createDataFrame([(0, *counts)], "one int, t long, s long"))
+    d = shapes[0].d
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, names = matrix(left.column("v"), d), left.column("i").to_numpy()
+        if metric == "cosine":
+            q, good = _unit(q)
+            names = names[good]
+        best = Best(len(names), k)
+        _offer(best, q, matrix(right.column("v"), d), right.column("i").to_numpy(), metric)
+        return pa.table(_found(best, names, metric))
+
+    return paired(queries.withColumn("one", F.lit(0)), vectors.withColumn("one", F.lit(0)), sizes, ["one"], kernel, _SCHEMA)

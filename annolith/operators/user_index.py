@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import decode_floats, encode_floats
@@ -72,6 +72,20 @@ class UserIndexStore:
     def get(self, index_id: str) -> tuple[DataFrame, DataFrame]:
         return self.list().where(F.col("id") == index_id), self._read("rows", ROWS).where(F.col("index_id") == index_id)
 
+    def describe(self, index_id: str) -> DataFrame:
+        """Q20: id, name, base_model_id, cell_count, partition_count; no row if there is no such index."""
+        meta, rows = self.get(index_id)
+        lists = rows.agg(F.count_distinct("partition_id").alias("partition_count"))
+        return meta.select("id", "name", "base_model_id", "cell_count").join(F.broadcast(lists))
+
+    def coordinates(self, index_id: str) -> DataFrame:
+        """Q20: pos, x, y of its cells."""
+        return self.get(index_id)[1].select("pos", "x", "y")
+
+    def labels(self, index_id: str) -> DataFrame:
+        """Q20: label_id, label by the dictionary of the index."""
+        return self.get(index_id)[0].select(F.posexplode("labels").alias("label_id", "label"))
+
     def delete(self, index_id: str) -> None:
         jvm = self.spark._jvm
         for table in ("rows", "meta"):
@@ -90,52 +104,84 @@ class UserIndexStore:
         return index_id
 
 
+def _bytes(items: Column, one) -> Column:
+    """Binary of the items' bytes, each given as hexadecimal digits; linear in their number."""
+    return F.unhex(F.array_join(F.transform(items, one), ""))
+
+
+def _int16(x: Column) -> Column:
+    """Hexadecimal digits of a 16-bit integer's little-endian bytes."""
+    low, high = F.pmod(x, F.lit(256)), F.pmod(F.shiftright(x, 8), F.lit(256))
+    return F.concat(F.lpad(F.hex(low.cast("long")), 2, "0"), F.lpad(F.hex(high.cast("long")), 2, "0"))
+
+
 def to_json(meta: DataFrame, rows: DataFrame) -> DataFrame:
-    """Id, json: one document per index, arrays as base64 of little-endian bytes, the time as an ISO string. The
-    document holds the whole index, as the format does; a list keeps its cells' positions beside codes and labels."""
-    one = F.struct("pos", "codes", "label_id", "x", "y")
-    grouped = rows.groupBy("index_id", "partition_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
+    """Id, json: a document per index in the format that is exchanged: the time as an ISO string; x, y and
+    labelIndices of all cells in order of their positions, as base64 of little-endian 32-bit floats and 16-bit integers;
+    partitions, an object by list number with the cells' codes, how many they are, and their labels. Beside these a list
+    has the positions of its cells, which other readers leave out. The document holds the whole index, as the format does."""
+    grouped = rows.groupBy("index_id", "partition_id").agg(F.array_sort(F.collect_list(F.struct("pos", "codes", "label_id"))).alias("e"))
     entry = F.struct(
-        F.col("partition_id").alias("partition"),
-        F.base64(F.expr("aggregate(e.codes, cast('' as binary), (a, x) -> concat(a, x))")).alias("pqCodes"),
+        F.base64(_bytes(F.col("e"), lambda x: F.hex(x["codes"]))).alias("pqCodes"),
         F.size("e").alias("pqCodeCount"),
-        F.col("e.label_id").alias("labelIndices"),
+        F.base64(_bytes(F.col("e"), lambda x: _int16(x["label_id"]))).alias("labelIndices"),
         F.col("e.pos").alias("positions"),
-        encode_floats(F.col("e.x").cast("array<float>")).alias("x"),
-        encode_floats(F.col("e.y").cast("array<float>")).alias("y"),
     )
-    lists = grouped.select("index_id", entry.alias("p")).groupBy("index_id").agg(F.array_sort(F.collect_list("p")).alias("partitions"))
+    named = grouped.select("index_id", F.struct(F.col("partition_id").cast("string").alias("key"), entry.alias("value")).alias("p"))
+    lists = named.groupBy("index_id").agg(F.map_from_entries(F.collect_list("p")).alias("partitions"))
+    cells = rows.groupBy(F.col("index_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "label_id"))).alias("c"))
     document = F.struct(
         "id", "name", F.col("base_model_id").alias("baseModelId"), F.date_format("created", _ISO).alias("created"),
-        F.col("cell_count").alias("cellCount"), "category", "labels", "partitions",
+        F.col("cell_count").alias("cellCount"), "category", "labels",
+        encode_floats(F.col("c.x").cast("array<float>")).alias("x"), encode_floats(F.col("c.y").cast("array<float>")).alias("y"),
+        F.base64(_bytes(F.col("c"), lambda x: _int16(x["label_id"]))).alias("labelIndices"), "partitions",
     )
-    return meta.join(lists, meta.id == lists.index_id).select("id", F.to_json(document).alias("json"))
+    return meta.join(lists, meta.id == lists.index_id).join(cells, meta.id == F.col("__id")).select("id", F.to_json(document).alias("json"))
 
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 _DOCUMENT = (
-    "id string, name string, baseModelId string, created string, cellCount long, category string, labels array<string>, partitions array<struct<"
-    "partition:int, pqCodes:string, pqCodeCount:int, labelIndices:array<int>, positions:array<long>, x:string, y:string>>"
+    "id string, name string, baseModelId string, created string, cellCount long, category string, labels array<string>, x string, y string, labelIndices string, "
+    "partitions map<string, struct<pqCodes:string, pqCodeCount:int, labelIndices:string, positions:array<long>>>"
 )
 
 
 def from_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(meta, rows) of exported documents in a column json."""
+    """(meta, rows) of exported documents in a column json. A document of another layout is an error. Where a document
+    does not say the positions of a list's cells, they are numbered list by list and have no coordinates; those of all
+    cells are what `map_points` gives."""
     d = documents.select(F.from_json("json", _DOCUMENT).alias("d")).select("d.*")
+    known = F.col("id").isNotNull() & F.col("partitions").isNotNull() & F.col("labelIndices").isNotNull()
+    whole = F.coalesce(F.forall(F.map_values("partitions"), lambda p: p["pqCodes"].isNotNull() & p["pqCodeCount"].isNotNull() & p["labelIndices"].isNotNull()), F.lit(False))
+    d = d.withColumn("partitions", F.when(known & whole, F.col("partitions")).otherwise(F.raise_error(F.lit("no user index: lists by number with codes and labels are missing"))))
     meta = d.select(
         "id", "name", F.col("baseModelId").alias("base_model_id"), F.to_timestamp("created", _ISO).alias("created"),
         F.col("cellCount").alias("cell_count"), "category", "labels",
     )
-    part = d.select(F.col("id").alias("index_id"), F.explode("partitions").alias("p")).select(
-        "index_id", "p.*", F.unbase64("p.pqCodes").alias("all"), decode_floats("p.x").alias("xs"), decode_floats("p.y").alias("ys")
-    )
-    cells = part.select("*", F.posexplode("positions").alias("at", "pos"), (F.length("all") / F.col("pqCodeCount")).cast("int").alias("m"))
-    return meta, cells.select(
-        "index_id",
-        F.col("partition").alias("partition_id"),
-        "pos",
-        F.expr("substring(all, at * m + 1, m)").alias("codes"),
-        F.col("labelIndices")[F.col("at")].alias("label_id"),
-        F.col("xs")[F.col("at")].cast("double").alias("x"),
-        F.col("ys")[F.col("at")].cast("double").alias("y"),
-    )
+    lists = F.array_sort(F.transform(F.map_entries("partitions"), lambda e: F.struct(e["key"].cast("int").alias("partition_id"), e["value"].alias("v"))))
+    part = d.select(F.col("id").alias("index_id"), decode_floats("x").alias("xs"), decode_floats("y").alias("ys"), lists.alias("lists"))
+    part = part.select("index_id", "xs", "ys", F.transform("lists", lambda p: p["v"]["pqCodeCount"]).alias("counts"), F.posexplode("lists").alias("nth", "p"))
+    before = F.aggregate(F.slice("counts", F.lit(1), F.col("nth")), F.lit(0).cast("long"), lambda n, c: n + c)
+    part = part.select("index_id", "xs", "ys", "p.partition_id", "p.v.positions", "p.v.pqCodeCount", before.alias("before"), F.unbase64("p.v.pqCodes").alias("all"), F.unbase64("p.v.labelIndices").alias("labels"))
+    cells = part.where("pqCodeCount > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("pqCodeCount") - 1)).alias("at"), (F.length("all") / F.col("pqCodeCount")).cast("int").alias("m"))
+    cells = cells.select(
+        "index_id", "partition_id", F.coalesce(F.get("positions", F.col("at")), F.col("before") + F.col("at")).alias("pos"),
+        F.expr("substring(all, at * m + 1, m)").alias("codes"), _label("labels", "at").alias("label_id"), "xs", "ys", F.col("positions").isNotNull().alias("placed"),
+    )
+    rank = (F.row_number().over(Window.partitionBy("index_id").orderBy("pos")) - 1).alias("rank")
+    xy = [F.when(F.col("placed"), F.get(c + "s", F.col("rank"))).cast("double").alias(c) for c in ("x", "y")]
+    return meta, cells.select("*", rank).select("index_id", "partition_id", "pos", "codes", "label_id", *xy)
+
+
+def _label(data: str, at: str) -> Column:
+    """The at-th 16-bit integer of little-endian bytes."""
+    value = F.expr(f"cast(conv(concat(hex(substring({data}, 2 * {at} + 2, 1)), hex(substring({data}, 2 * {at} + 1, 1))), 16, 10) as int)")
+    return F.when(value >= 32768, value - 65536).otherwise(value)
+
+
+def map_points(documents: DataFrame) -> DataFrame:
+    """index_id, pos, x, y, label_id of all cells of exported documents, in the order in which they were given."""
+    d = documents.select(F.from_json("json", _DOCUMENT).alias("d")).select("d.*")
+    rows = d.select(F.col("id").alias("index_id"), decode_floats("x").alias("xs"), decode_floats("y").alias("ys"), F.unbase64("labelIndices").alias("labels"))
+    rows = rows.select("index_id", F.posexplode("xs").alias("pos", "x"), "ys", "labels")
+    return rows.select("index_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"), F.get("ys", F.col("pos")).cast("double").alias("y"), _label("labels", "pos").alias("label_id"))

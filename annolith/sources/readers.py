@@ -6,6 +6,7 @@ S9-S11, S13-S21 (S1: cells). Everything goes through Spark's readers, so any sto
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ivf, pq
+
 MTX_FILES = ("matrix.mtx.gz", "barcodes.tsv.gz", "features.tsv.gz")
 
 
@@ -65,9 +68,45 @@ def embeddings(spark: SparkSession, path: str, low: int = 0, high: int | None =
     return (rows if high is None else rows.where(F.col("vec_id") < high)).select(*columns)
 
 
-def npy_vectors(spark: SparkSession, path: str, max_vectors: int | None = None, rows_per_batch: int = 10_000) -> DataFrame:
-    """vec_id, embedding of an .npy file of floats in C order, the first rows if asked for. The format has no
-    splits: one task reads the file and hands its rows on in batches; a corpus is kept as Parquet."""
+def local_path(path: str) -> str:
+    """The place of a file on a mounted path; other stores have none."""
+    if "://" in path and not path.startswith("file://") or ":" in path.split("/")[0] and not path.startswith("file:"):
+        raise ValueError(f"{path} is on no mounted path")
+    return re.sub("^file:(//)?", "", path)
+
+
+def npy_vectors(spark: SparkSession, path: str, max_vectors: int | None = None, rows_per_batch: int = 10_000, rows_per_task: int = 1_000_000) -> DataFrame:
+    """vec_id, embedding of an .npy file of floats in C order, the first rows if asked for. A file on a mounted path is
+    read by ranges of rows, each task its own; one in another store is read whole by one task, as Spark's reader for it
+    has no splits."""
+
+    def rows_of(x: np.ndarray, low: int, high: int):
+        for lo in range(low, high, rows_per_batch):
+            part = np.ascontiguousarray(x[lo : min(high, lo + rows_per_batch)], np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, x.shape[1]), pa.int32()), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), flat], ["vec_id", "embedding"])
+
+    def checked(x: np.ndarray) -> int:
+        if x.ndim != 2:
+            raise ValueError("an npy file of vectors is two-dimensional")
+        return len(x) if max_vectors is None else min(max_vectors, len(x))
+
+    schema = "vec_id long, embedding array<float>"
+    try:
+        place = local_path(path)
+    except ValueError:
+        place = None
+    if place is not None:
+        n = checked(np.load(place, mmap_mode="r", allow_pickle=False))
+
+        def ranges(batches):
+            for batch in batches:
+                x = np.load(place, mmap_mode="r", allow_pickle=False)
+                for low in batch.column(0).to_pylist():
+                    yield from rows_of(x, low, min(n, low + rows_per_task))
+
+        tasks = max(1, -(-n // rows_per_task))
+        return spark.range(0, n, rows_per_task, tasks).mapInArrow(ranges, schema)
 
     def parse(batches):
         import io
@@ -75,38 +114,55 @@ def npy_vectors(spark: SparkSession, path: str, max_vectors: int | None = None,
         for batch in batches:
             for content in batch.column(0):
                 x = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
-                if x.ndim != 2:
-                    raise ValueError("an npy file of vectors is two-dimensional")
-                x = x[: len(x) if max_vectors is None else max_vectors].astype(np.float32)
-                for lo in range(0, len(x), rows_per_batch):
-                    part = np.ascontiguousarray(x[lo : lo + rows_per_batch])
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, x.shape[1]), pa.int32()), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), flat], ["vec_id", "embedding"])
+                yield from rows_of(x, 0, checked(x))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)
+
+
+def LIST_ENTRY(m: int) -> np.dtype:
+    """An entry of a list file: a signed 32-bit id and m bytes."""
+    return np.dtype([("id", "<i4"), ("codes", "u1", (m,))])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "vec_id long, embedding array<float>")
+
+_LIST_FILE = re.compile(r"partition_(\d{4,})\.bin$")
 
 
 def read_inverted_lists(spark: SparkSession, folder: str, m: int) -> DataFrame:
-    """partition_id, vec_id, codes of the binary list files `NNNN.bin`: a header of two unsigned 32-bit integers (how
-    many, m), then per vector a signed 32-bit id and m bytes. The partition is the file's number; m must agree."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", "content")
+    """partition_id, vec_id, codes of the list files `partition_NNNN.bin`: a header of two unsigned 32-bit integers
+    (how many, m), then the entries. The list is the file's number; m and the size must agree, and a file of another name
+    is an error."""
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
 
     def parse(batches):
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, own = np.frombuffer(raw, "<u4", 2)
+                name = _LIST_FILE.search(path)
+                if not name:
+                    raise ValueError(f"{path} is no list file")
+                n, own = (int(x) for x in np.frombuffer(raw, "<u4", 2))
                 if own != m:
                     raise ValueError(f"{path} has codes of {own} bytes, not {m}")
-                rows = np.frombuffer(raw, np.dtype([("id", "<i4"), ("codes", "u1", (m,))]), int(n), 8)
-                p = int(path.rsplit("/", 1)[1].split(".")[0])
+                if len(raw) != 8 + n * (4 + m):
+                    raise ValueError(f"{path} does not have {n} entries")
+                rows = np.frombuffer(raw, LIST_ENTRY(m), n, 8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, p, np.int32)), pa.array(rows["id"].astype(np.int64)), pa.array([c.tobytes() for c in rows["codes"]], pa.binary())],
+                    [pa.array(np.full(n, int(name[1]), np.int32)), pa.array(rows["id"].astype(np.int64)), pa.array([c.tobytes() for c in rows["codes"]], pa.binary())],
                     ["partition_id", "vec_id", "codes"],
                 )
 
     return files.mapInArrow(parse, "partition_id int, vec_id long, codes binary")
 
 
+def read_binary_index(spark: SparkSession, folder: str) -> ivf.IvfPqIndex:
+    """The index whose files `write_binary_index` and others write."""
+    meta, own = read_json(spark, f"{folder}/ivf_metadata.json"), read_json(spark, f"{folder}/pq_metadata.json")
+    centroids = read_centroids(spark, f"{folder}/ivf_centroids.bin")
+    if centroids.shape != (meta["n_partitions"], meta["d"]):
+        raise ValueError(f"centroids have the shape {centroids.shape}, the metadata say {meta['n_partitions']} x {meta['d']}")
+    book = read_codebook(spark, f"{folder}/pq_codebooks.bin", own)
+    return ivf.IvfPqIndex(centroids, pq.ProductQuantizer(np.where(book > 3e38, np.inf, book)), read_inverted_lists(spark, f"{folder}/partitions", own["m"]), None, meta)
+
+
 def _content(spark: SparkSession, path: str) -> bytes:
     """A small file: centroids, codebook, metadata."""
     return bytes(spark.read.format("binaryFile").load(path).first().content)
@@ -124,7 +180,7 @@ def read_centroids(spark: SparkSession, path: str) -> np.ndarray:
 def read_codebook(spark: SparkSession, path: str, metadata: dict) -> np.ndarray:
     """Floats without a header, the shape from the metadata."""
     x = np.frombuffer(_content(spark, path), "<f4")
-    shape = tuple(metadata["codebooks_shape"])
+    shape = metadata["m"], metadata["k"], metadata["d_sub"]
     if x.size != np.prod(shape):
         raise ValueError(f"{path} has {x.size} floats, the metadata say {shape}")
     return x.reshape(shape).astype(np.float64)

@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import quoted
 from ..operators.ivf import IvfPqIndex
+from ..operators.kernels import matrix
+from ..operators.pq import code_matrix
+from .readers import LIST_ENTRY, local_path
 
 
 def result_rows(cells: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def write_labels_csv(cells: DataFrame, path: str) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """K1, K3, K7: a table clustered by id, which range scans prune by."""
+    """K1, K3, K7: a table clustered by id, which range scans prune by. `write_npy` writes the file of the same rows."""
     vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.mode("overwrite").parquet(path)
 
 
@@ -41,8 +45,29 @@ def write_label_columns(labels: DataFrame, path: str) -> None:
     labels.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def list_file(partition: Column, m: int) -> Column:
-    return F.concat(F.lpad(partition.cast("string"), 4, "0"), F.lit(".bin"))
+def write_npy(vectors: DataFrame, path: str) -> None:
+    """K1, K3: an .npy file of floats whose row number is the vector's id, on a mounted path that all machines share: it
+    is made in full size first, then every task writes its rows where they belong. Ids go from 0 without a gap."""
+    place = local_path(path)
+    shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).first()
+    if shape.n and (shape.low, shape.high) != (0, shape.n - 1):
+        raise ValueError("ids of an npy file go from 0 without a gap")
+    np.lib.format.open_memmap(place, "w+", np.float32, (shape.n, shape.d or 0)).flush()
+    d = shape.d or 0
+
+    def put(batches):
+        for batch in batches:
+            rows = np.load(place, mmap_mode="r+")
+            rows[batch.column(0).to_numpy()] = matrix(batch.column(1), d)
+            rows.flush()
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    if shape.n:
+        vectors.select("vec_id", "embedding").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def list_file(number: int) -> str:
+    return f"partition_{number:04d}.bin"
 
 
 def _put(spark: SparkSession, path: str, data: bytes) -> None:
@@ -56,20 +81,39 @@ def _put(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def write_binary_index(index: IvfPqIndex, folder: str) -> None:
-    """K4, K5: the interoperable files: centroids, codebook, metadata, and a file per list that has vectors. Lists are
-    encoded by the executors and come to the driver one at a time; the format is that of small, local indexes."""
+#: Lists that the names of list files have room for.
+MOST_LISTS = 10_000
+
+
+def write_binary_index(index: IvfPqIndex, folder: str) -> int:
+    """K4, K5: the interoperable files: ivf_centroids.bin, ivf_metadata.json, pq_codebooks.bin, pq_metadata.json, and of
+    every list that has vectors partitions/partition_NNNN.bin, written by the task that has the list. How many lists were
+    written. The folder is one that `pyarrow.fs` knows on all machines."""
     spark = index.lists.sparkSession
-    c = index.centroids.astype("<f4")
-    _put(spark, f"{folder}/centroids.bin", np.array(c.shape, "<u4").tobytes() + c.tobytes())
-    book = index.pq.codebook
-    _put(spark, f"{folder}/codebook.bin", np.where(np.isfinite(book), book, 3.4e38).astype("<f4").tobytes())
-    _put(spark, f"{folder}/metadata.json", json.dumps(index.metadata).encode())
+    if index.n_partitions >= MOST_LISTS:
+        raise ValueError(f"list files have numbers below {MOST_LISTS}")
+    c, book, m = index.centroids.astype("<f4"), index.pq.codebook, index.pq.m
+    _put(spark, f"{folder}/ivf_centroids.bin", np.array(c.shape, "<u4").tobytes() + c.tobytes())
+    _put(spark, f"{folder}/pq_codebooks.bin", np.where(np.isfinite(book), book, 3.4e38).astype("<f4").tobytes())
+    _put(spark, f"{folder}/ivf_metadata.json", json.dumps(index.metadata).encode())
     _put(spark, f"{folder}/pq_metadata.json", json.dumps(index.pq.metadata()).encode())
-    entry = F.struct("vec_id", "codes")
-    for r in index.lists.groupBy("partition_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).toLocalIterator():
-        body = b"".join(int(x.vec_id).to_bytes(4, "little", signed=True) + bytes(x.codes) for x in r.e)
-        _put(spark, f"{folder}/lists/{r.partition_id:04d}.bin", np.array([len(r.e), index.pq.m], "<u4").tobytes() + body)
+
+    def put(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        ids = rows.column("vec_id").to_numpy()
+        if len(ids) and not -(1 << 31) <= ids.min() <= ids.max() < 1 << 31:
+            raise ValueError("list files have ids of 32 bits")
+        order = np.argsort(ids, kind="stable")
+        entries = np.empty(len(ids), LIST_ENTRY(m))
+        entries["id"], entries["codes"] = ids[order], code_matrix(rows.column("codes"), m)[order]
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(f"{root}/partitions", recursive=True)
+        with store.open_output_stream(f"{root}/partitions/{list_file(key[0].as_py())}", compression=None) as out:
+            out.write(np.array([len(ids), m], "<u4").tobytes() + entries.tobytes())
+        return pa.table({"n": pa.array([len(ids)], pa.int64())})
+
+    return index.lists.select("partition_id", "vec_id", "codes").groupBy("partition_id").applyInArrow(put, "n long").count()
 
 
 def write_map(points: DataFrame, dictionary: DataFrame, metadata: dict, folder: str) -> None:

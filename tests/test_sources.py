@@ -5,12 +5,14 @@ from __future__ import annotations
 import csv
 import glob
 import gzip
+import struct
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annolith.operators import encoder, features, ivf, mapping, sampling
+from annolith.operators import encoder, features, ivf, mapping, sampling, user_index
 from annolith.sources import discovery, readers, writers
 from annolith.streaming import labelling
 
@@ -61,13 +63,94 @@ def test_binary_index_round_trip(spark, tmp_path):
     index = ivf.build(frame(spark, x), m=2, k=8, max_iter=5)
     folder = f"file://{tmp_path}/bin"
     writers.write_binary_index(index, folder)
-    lists = readers.read_inverted_lists(spark, f"{folder}/lists", 2)
-    assert sorted(map(tuple, lists.collect())) == sorted(map(tuple, index.lists.collect()))
-    assert np.allclose(readers.read_centroids(spark, f"{folder}/centroids.bin"), index.centroids, atol=1e-6)
-    book = readers.read_codebook(spark, f"{folder}/codebook.bin", readers.read_json(spark, f"{folder}/pq_metadata.json"))
-    assert np.allclose(book, index.pq.codebook, atol=1e-6)
+    again = readers.read_binary_index(spark, folder)
+    assert sorted(map(tuple, again.lists.collect())) == sorted(map(tuple, index.lists.collect()))
+    assert np.allclose(again.centroids, index.centroids, atol=1e-6) and np.allclose(again.pq.codebook, index.pq.codebook, atol=1e-6)
+    assert again.describe() == index.describe()
+    q = frame(spark, x[:5])
+    key = lambda found: [(r.query_id, r.rank, r.vec_id) for r in sorted(found.collect())]
+    assert key(ivf.search(q, again, 3, 5)) == key(ivf.search(q, index, 3, 5))
     with pytest.raises(Exception, match="codes of 2 bytes"):
-        readers.read_inverted_lists(spark, f"{folder}/lists", 4).collect()
+        readers.read_inverted_lists(spark, f"{folder}/partitions", 4).collect()
+    with pytest.raises(Exception, match="32 bits"):
+        writers.write_binary_index(replace(index, lists=index.lists.withColumn("vec_id", F.lit(1 << 40))), f"file://{tmp_path}/large")
+
+
+def test_binary_index_by_the_byte(spark, tmp_path):
+    """Files written by hand from the format: two lists of four dimensions, two subspaces of four words."""
+    folder = tmp_path / "hand"
+    (folder / "partitions").mkdir(parents=True)
+    (folder / "ivf_metadata.json").write_text('{"d": 4, "n_partitions": 2, "pq_m": 2, "pq_k": 4, "max_iterations": 1, "inertia": 0.5, "centroids_shape": [2, 4], "version": "residual-1.1"}')
+    (folder / "pq_metadata.json").write_text('{"m": 2, "k": 4, "d_sub": 2, "version": "1.0"}')
+    (folder / "ivf_centroids.bin").write_bytes(struct.pack("<II8f", 2, 4, 0, 0, 0, 0, 1, 1, 1, 1))
+    (folder / "pq_codebooks.bin").write_bytes(struct.pack("<16f", 1, 0, 0, 1, -1, 0, 0, -1, 0, 1, 1, 0, 0, -1, -1, 0))
+    (folder / "partitions" / "partition_0001.bin").write_bytes(struct.pack("<II", 3, 2) + struct.pack("<iBB", 7, 0, 0) + struct.pack("<iBB", -2, 1, 1) + struct.pack("<iBB", 9, 0, 1))
+    index = readers.read_binary_index(spark, f"file://{folder}")
+    assert sorted((r.partition_id, r.vec_id, bytes(r.codes)) for r in index.lists.collect()) == [(1, -2, b"\1\1"), (1, 7, b"\0\0"), (1, 9, b"\0\1")]
+    found = ivf.search(frame(spark, [[2, 1, 1, 2]]), index, 1, 3).collect()  # residual (1, 0, 0, 1)
+    assert [(r.vec_id, r.dist) for r in found] == [(7, 0.0), (9, 2.0), (-2, 4.0)]
+    writers.write_binary_index(index, f"file://{tmp_path}/again")
+    body = (tmp_path / "again" / "partitions" / "partition_0001.bin").read_bytes()
+    assert body == struct.pack("<II", 3, 2) + struct.pack("<iBB", -2, 1, 1) + struct.pack("<iBB", 7, 0, 0) + struct.pack("<iBB", 9, 0, 1)
+    for name in ("ivf_centroids.bin", "pq_codebooks.bin"):
+        assert (tmp_path / "again" / name).read_bytes() == (folder / name).read_bytes()
+    (folder / "partitions" / "0000.bin").write_bytes(b"x")
+    with pytest.raises(Exception, match="no list file"):
+        readers.read_inverted_lists(spark, f"file://{folder}/partitions", 2).collect()
+    (folder / "partitions" / "0000.bin").unlink()
+    (folder / "partitions" / "partition_0000.bin").write_bytes(struct.pack("<II", 3, 2))
+    with pytest.raises(Exception, match="3 entries"):
+        readers.read_inverted_lists(spark, f"file://{folder}/partitions", 2).collect()
+
+
+def test_user_index_document_by_the_byte(spark, tmp_path):
+    """A document as others write it: lists by number, labels of 16 bits, coordinates of all cells beside."""
+    import base64
+    import json
+
+    def b64(data):
+        return base64.b64encode(data).decode()
+
+    document = {
+        "id": "user-1", "name": "mine", "baseModelId": "base", "created": "2026-01-02T03:04:05.678Z", "cellCount": 3, "category": "kind", "labels": ["a", "b"],
+        "x": b64(struct.pack("<3f", 0.5, 1.5, 2.5)), "y": b64(struct.pack("<3f", -0.5, -1.5, -2.5)), "labelIndices": b64(struct.pack("<3h", 0, 300, -1)),
+        "partitions": {
+            "12": {"pqCodes": b64(bytes([1, 2, 3, 4])), "pqCodeCount": 2, "labelIndices": b64(struct.pack("<2h", 0, -1))},
+            "3": {"pqCodes": b64(bytes([255, 0])), "pqCodeCount": 1, "labelIndices": b64(struct.pack("<h", 300))},
+        },
+    }
+    (tmp_path / "index.json").write_text(json.dumps(document, indent=2))
+    store = user_index.UserIndexStore(spark, f"file://{tmp_path}/store")
+    assert store.load(f"file://{tmp_path}/index.json") == "user-1"
+    rows = store.get("user-1")[1].orderBy("pos").collect()
+    assert [(r.partition_id, r.pos, bytes(r.codes), r.label_id, r.x) for r in rows] == [(3, 0, b"\xff\0", 300, None), (12, 1, b"\1\2", 0, None), (12, 2, b"\3\4", -1, None)]
+    assert tuple(store.describe("user-1").first()) == ("user-1", "mine", "base", 3, 2) and store.describe("none").count() == 0
+    assert [tuple(r) for r in store.labels("user-1").collect()] == [(0, "a"), (1, "b")]
+    text = spark.read.text(f"file://{tmp_path}/index.json", wholetext=True).withColumnRenamed("value", "json")
+    points = [tuple(r)[1:] for r in user_index.map_points(text).orderBy("pos").collect()]
+    assert points == [(0, 0.5, -0.5, 0), (1, 1.5, -1.5, 300), (2, 2.5, -2.5, -1)]
+    written = json.loads(store.export("user-1").first().json)
+    for number, part in document["partitions"].items():
+        assert {k: written["partitions"][number][k] for k in part} == part
+    assert {k: written[k] for k in ("id", "name", "baseModelId", "created", "cellCount", "category", "labels")} == {k: document[k] for k in ("id", "name", "baseModelId", "created", "cellCount", "category", "labels")}
+    for broken in ({**document, "partitions": [{"partition": 1}]}, {k: v for k, v in document.items() if k != "labelIndices"}, {**document, "partitions": {"1": {"codes": ""}}}):
+        (tmp_path / "broken.json").write_text(json.dumps(broken))
+        with pytest.raises(Exception, match="no user index"):
+            store.load(f"file://{tmp_path}/broken.json")
+
+
+def test_npy_file_is_written_and_read_by_ranges(spark, tmp_path):
+    x = np.random.default_rng(4).standard_normal((1000, 6)).astype(np.float32)
+    writers.write_npy(frame(spark, x), f"file://{tmp_path}/v.npy")
+    assert (np.load(tmp_path / "v.npy") == x).all()
+    found = readers.npy_vectors(spark, f"file://{tmp_path}/v.npy", rows_per_batch=30, rows_per_task=90)
+    assert found.rdd.getNumPartitions() == 12
+    rows = found.orderBy("vec_id").collect()
+    assert [r.vec_id for r in rows] == list(range(1000)) and (np.array([r.embedding for r in rows], np.float32) == x).all()
+    with pytest.raises(ValueError, match="without a gap"):
+        writers.write_npy(frame(spark, x[:2], np.array([0, 5])), f"file://{tmp_path}/w.npy")
+    with pytest.raises(ValueError, match="mounted"):
+        writers.write_npy(frame(spark, x[:2]), "hdfs://x/w.npy")
 
 
 def test_map_round_trip(spark, tmp_path):

@@ -70,11 +70,45 @@ def test_exact_search_against_brute_force(spark, clustered):
     assert (got.vec_id.to_numpy().reshape(40, 7) == want).all()
 
 
-def test_query_blocks_do_not_change_the_result(spark, clustered, monkeypatch):
+@pytest.fixture
+def few_bytes(monkeypatch):
+    """A broadcast has room for 7 queries, a task for 3 queries and 40 rows; collecting vectors is an error."""
+    monkeypatch.setattr(kernels, "BLOCK_BYTES", 8 * 32 * 7)
+    for module in (knn, ivf):
+        monkeypatch.setattr(module, "QUERY_BYTES", 8 * 32 * 3)
+    monkeypatch.setattr(knn, "ROW_BYTES", 8 * 32 * 40)
+    monkeypatch.setattr(ivf, "LIST_ROWS", 10)
+
+    def refuse(self):
+        raise AssertionError("vectors came to the driver")
+
+    monkeypatch.setattr(type_of_frame(), "toArrow", refuse)
+
+
+def type_of_frame():
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    return DataFrame
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "l2", "cosine"])
+def test_many_queries_search_as_few_do(spark, clustered, request, metric):
     q, v = frame(spark, clustered[:30]), frame(spark, clustered[:300])
-    whole = sorted(map(tuple, knn.exact_knn(q, v, 5).collect()))
-    monkeypatch.setattr(knn, "query_blocks", lambda *a: kernels.query_blocks(*a, block_bytes=8 * 32 * 7))
-    assert sorted(map(tuple, knn.exact_knn(q, v, 5).collect())) == whole
+    few = {(r.query_id, r.rank): (r.vec_id, round(r.dist, 9)) for r in knn.exact_knn(q, v, 5, metric).collect()}
+    request.getfixturevalue("few_bytes")
+    many = {(r.query_id, r.rank): (r.vec_id, round(r.dist, 9)) for r in knn.exact_knn(q, v, 5, metric).collect()}
+    assert many == few and len(few) == 150
+
+
+@pytest.mark.parametrize("payload", [None, "label_id"])
+def test_many_queries_search_lists_as_few_do(spark, clustered, index, request, payload):
+    own = ivf.IvfPqIndex(index.centroids, index.pq, index.lists.withColumn("label_id", (F.col("vec_id") % 7).cast("int")), index.partition_ids, index.metadata)
+    q = frame(spark, clustered[:60])
+    few = sorted((*r[:3], round(r[3], 9), *r[4:]) for r in ivf.search(q, own, 4, 10, payload=payload).collect())
+    request.getfixturevalue("few_bytes")
+    found = ivf.search(q, own, 4, 10, payload=payload)
+    assert sorted((*r[:3], round(r[3], 9), *r[4:]) for r in found.collect()) == few and len(few) == 600
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_search_edges(spark, index):
