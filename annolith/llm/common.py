@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import clean_up, scratch, shared_dir, stored, table
+
+__all__ = ["BYTE_BPE", "as_row", "batch_rows", "clean_up", "scratch", "shared_dir", "stored", "table", "tokenizer_path"]
+
 #: The tokenizer file that the token contracts name.
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -22,48 +23,6 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="annolith-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/annolith-{spark.sparkContext.applicationId}"
-
-
-#: Where the shared folder is a mounted one: files without a checksum file beside each. Without the native library Hadoop
-#: starts a shell command for every file's permissions, four for a file and its checksums, and each of them shares the
-#: executor's memory for a moment, which counts it twice.
-_RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: it cuts the lineage, survives the loss of
-    any executor, and unlike a checkpoint of rows is columnar and compressed."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.options(**(_RAW_FILES if path.startswith("file:") else {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete the tables and archives this application has stored; results that read them are gone with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def batch_rows(spark: SparkSession, n: int) -> None:
     """Rows and bytes per Arrow batch, lower than the defaults so that batches of long texts stay small."""
     for key, most, default in (("maxRecordsPerBatch", n, 10_000), ("maxBytesPerBatch", 32 << 20, 2**31 - 1)):
