@@ -3,8 +3,12 @@
     python -m annolith.cli train VECTORS OUT [--pq-m 16] [--max-vectors N] [--training-rows N] [--test]
     python -m annolith.cli measure-recall VECTORS INDEX [--queries 100]
     python -m annolith.cli label VECTORS REFERENCE OUT [--neighbours 50]
+    python -m annolith.cli export VECTORS OUT [--labels NAME ...] [--max-vectors N] [--table]
+    python -m annolith.cli map-train VECTORS OUT [--label NAME] [--training-rows N]
+    python -m annolith.cli map VECTORS MODEL OUT [--max-vectors N]
+    python -m annolith.cli map-export POINTS VECTORS OUT [--labels NAME ...]
 
-VECTORS and REFERENCE are Parquet tables (vec_id, embedding; the reference also label), or .npy files.
+VECTORS and REFERENCE are Parquet tables (vec_id, embedding; label columns where they are needed), or .npy files.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ingest
 from .operators import analytics, ivf, knn, sampling, vote
 from .session import build_session
 from .sources import readers, writers
@@ -52,6 +57,23 @@ def label(spark: SparkSession, a: argparse.Namespace) -> None:
     writers.write_results(votes.select(F.col("query_id").alias("cell_id"), F.col("label_id").cast("string").alias("label"), "confidence"), a.out)
 
 
+def export(spark: SparkSession, a: argparse.Namespace) -> None:
+    print(ingest.export(_vectors(spark, a.vectors), a.out, tuple(a.labels), a.max_vectors, not a.table).first().asDict())
+
+
+def map_train(spark: SparkSession, a: argparse.Namespace) -> None:
+    ingest.train_map(_vectors(spark, a.vectors), a.label, a.out, a.training_rows)
+
+
+def map_place(spark: SparkSession, a: argparse.Namespace) -> None:
+    points = ingest.place_on_map(_vectors(spark, a.vectors), ingest.load_projector(spark, a.model), a.max_vectors)
+    writers.write_vectors(points, a.out)
+
+
+def map_export(spark: SparkSession, a: argparse.Namespace) -> None:
+    ingest.export_map(spark.read.parquet(a.points), _vectors(spark, a.vectors), tuple(a.labels), a.out)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(prog="annolith", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = p.add_subparsers(required=True)
@@ -77,6 +99,31 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     c.add_argument("reference")
     c.add_argument("out")
     c.add_argument("--neighbours", type=int, default=50)
+    c = commands.add_parser("export")
+    c.set_defaults(run=export)
+    c.add_argument("vectors")
+    c.add_argument("out")
+    c.add_argument("--labels", nargs="*", default=[])
+    c.add_argument("--max-vectors", type=int)
+    c.add_argument("--table", action="store_true")
+    c = commands.add_parser("map-train")
+    c.set_defaults(run=map_train)
+    c.add_argument("vectors")
+    c.add_argument("out")
+    c.add_argument("--label")
+    c.add_argument("--training-rows", type=int, default=ingest.TRAINING_ROWS)
+    c = commands.add_parser("map")
+    c.set_defaults(run=map_place)
+    c.add_argument("vectors")
+    c.add_argument("model")
+    c.add_argument("out")
+    c.add_argument("--max-vectors", type=int, default=ingest.MAP_ROWS)
+    c = commands.add_parser("map-export")
+    c.set_defaults(run=map_export)
+    c.add_argument("points")
+    c.add_argument("vectors")
+    c.add_argument("out")
+    c.add_argument("--labels", nargs="*", default=[])
     a = p.parse_args(argv)
     a.run(spark or build_session(), a)
 

@@ -44,6 +44,8 @@ class IvfPqIndex:
             self.partition_ids = np.arange(len(self.centroids))
         if self.centroids.shape[1] != self.pq.d:
             raise ValueError(f"centroids have {self.centroids.shape[1]} dimensions, the quantizer {self.pq.d}")
+        known = {"d": self.pq.d, "n_partitions": len(self.centroids), "pq_m": self.pq.m, "pq_k": self.pq.k, "centroids_shape": list(self.centroids.shape), "version": VERSION}
+        self.metadata = {**known, **self.metadata}
 
     @property
     def dimensions(self) -> int:
@@ -168,14 +170,15 @@ def probe(queries: DataFrame, index: IvfPqIndex, n_probe: int = N_PROBE, id_col:
 
 def search(
     queries: DataFrame, index: IvfPqIndex, n_probe: int = N_PROBE, k: int = K, metric: str = "l2sq", payload: str | None = None,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    id_col: str = "vec_id", vector_col: str = "embedding", broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, dist by asymmetric distance over the probed lists, ties by vec_id; lists without vectors
-    contribute nothing. `payload` adds an integer column of the lists. metric "l2" takes the root (A4)."""
+    contribute nothing. `payload` adds an integer column of the lists. metric "l2" takes the root (A4).
+    Queries of up to `broadcast_bytes` (BLOCK_BYTES) are broadcast; beyond that each goes to the lists it probes."""
     if metric not in ("l2sq", "l2"):
         raise ValueError("metric is l2sq or l2")
     columns = ["query_id", "rank", "vec_id", "dist", *([payload] if payload else [])]
-    block = query_block(queries, id_col, vector_col)
+    block = query_block(queries, id_col, vector_col, broadcast_bytes)
     if block is None:
         parts = _search_lists(usable_rows(queries, id_col, vector_col), index, n_probe, k, payload)
     elif not len(block[0]):

@@ -13,14 +13,16 @@ METRICS = ("l2sq", "l2", "cosine")
 
 
 def exact_knn(
-    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
+    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", id_col: str = "vec_id", vector_col: str = "embedding",
+    broadcast_bytes: int | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id, dist for the k nearest of every query, ties by vec_id. Null ids and vectors are left out;
-    a zero vector has no cosine and finds, and is found by, nothing."""
+    a zero vector has no cosine and finds, and is found by, nothing. Queries of up to `broadcast_bytes` (BLOCK_BYTES) are
+    broadcast; beyond that both sides are dealt into blocks."""
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
     usable = usable_rows(vectors, id_col, vector_col)
-    block = query_block(queries, id_col, vector_col)
+    block = query_block(queries, id_col, vector_col, broadcast_bytes)
     if block is None:
         parts = _blocks(usable_rows(queries, id_col, vector_col), usable, k, metric)
     elif not len(block[0]):

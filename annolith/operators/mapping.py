@@ -87,7 +87,7 @@ def encode_category(df: DataFrame, column: str, dictionary: DataFrame | None = N
     """df with `<column>_code`, -1 where the value is missing or not in the dictionary."""
     d = category_dictionary(df, column) if dictionary is None else dictionary
     d = d.select(F.col("code").alias("__code"), F.col("category").alias("__cat"))
-    joined = df.join(F.broadcast(d), df[column].cast("string") == F.col("__cat"), "left")
+    joined = df.join(d, df[column].cast("string") == F.col("__cat"), "left")  # Spark broadcasts it if it is small enough
     return joined.withColumn(f"{column}_code", F.coalesce("__code", F.lit(-1))).drop("__code", "__cat")
 
 

@@ -11,9 +11,28 @@ def first_n(df: DataFrame, n: int, id_col: str = "vec_id") -> DataFrame:
     return df.where(F.col(id_col) < n)
 
 
-def random_subset(df: DataFrame, n: int, id_col: str = "vec_id", seed: int = 42) -> DataFrame:
-    """The n rows of smallest hash, so any partitioning draws the same ones. Each task keeps its own n."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+def _unit(id_col: str, seed: int) -> Column:
+    """The id's place in 0..1 by hash."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def _share(wanted: Column | float, of: Column | float):
+    """A share of the hash range that holds the wanted rows but once in a billion times, and seldom many more."""
+    return (wanted + 6 * wanted**0.5 + 20) / of
+
+
+def random_subset(df: DataFrame, n: int, id_col: str = "vec_id", seed: int = 42, order: Column | None = None) -> DataFrame:
+    """The n rows of smallest hash (or first by another order), so any partitioning draws the same ones. What
+    is sorted is little more than n rows: those of a share of the hash range that is sure to hold them; should it not, all."""
+    if order is not None:
+        return df.orderBy(order, id_col).limit(n)
+    place, total = _unit(id_col, seed), df.count()
+    few = df
+    if total and (share := _share(float(n), float(total))) < 1:
+        few = df.where(place < share)
+        if few.count() < n:
+            few = df
+    return few.orderBy(place, id_col).limit(n)
 
 
 class StrataError(ValueError):
@@ -42,8 +61,16 @@ def stratified_sample(df: DataFrame, label: str, n: int, id_col: str = "vec_id",
     shares = counts.withColumn("__base", base).withColumn("__rest", exact - base)
     missing = F.lit(n) - F.sum("__base").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc("__rest"), label))
-    quota = shares.withColumn("__quota", F.col("__base") + F.when(place <= missing, 1).otherwise(0)).select(F.col(label).alias("__l"), "__quota")
-    first = Window.partitionBy(label).orderBy(order if order is not None else F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    quota = shares.withColumn("__quota", F.col("__base") + F.when(place <= missing, 1).otherwise(0)).select(F.col(label).alias("__l"), "__quota", "__c")
+    rows = df.join(quota, df[label].eqNullSafe(F.col("__l")))
+    if order is None:
+        # of a label only the rows of a share of the hash range are ranked; should it lack rows of a label, all are
+        order = _unit(id_col, seed)
+        few = rows.where(order < _share(F.col("__quota"), F.col("__c")))
+        have = few.groupBy("__l", "__quota").agg(F.count("*").alias("__n"))
+        short = quota.alias("a").join(have.alias("b"), F.col("a.__l").eqNullSafe(F.col("b.__l")), "left").where("coalesce(__n, 0) < a.__quota")
+        rows = few if short.isEmpty() else rows
+    first = Window.partitionBy("__l").orderBy(order, id_col)
     # no label has a quota over n: with that constant each task sorts and sends n rows of a label at most
-    ranked = df.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n)
-    return ranked.join(F.broadcast(quota), ranked[label].eqNullSafe(F.col("__l"))).where("__r <= __quota").drop("__r", "__l", "__quota")
+    ranked = rows.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= n)
+    return ranked.where("__r <= __quota").select(*df.columns)

@@ -1,6 +1,6 @@
 """The registered queries and the SQL that checks them."""
 
-from . import matrix, search, tables
+from . import files, matrix, search, tables
 
-QUERIES = {**search.QUERY, **matrix.QUERY, **tables.QUERY}
-ORACLE_SQL = {**search.SQL, **matrix.SQL, **tables.SQL}
+QUERIES = {**search.QUERY, **matrix.QUERY, **tables.QUERY, **files.QUERY}
+ORACLE_SQL = {**search.SQL, **matrix.SQL, **tables.SQL, **files.SQL}

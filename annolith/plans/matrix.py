@@ -180,27 +180,3 @@ def occlusion_importance(spark: SparkSession, d: str) -> DataFrame:
     found = encoder.importance(aligned(spark, d), linear(spark, d))
     first = encoder.top_genes(found.withColumn("importance", F.round("importance", 9)), vocabulary(spark, d))
     return first.select("cell_id", "rank", "gene", F.round("importance", 6).alias("importance"), F.round("expression", 4).alias("expression"))
-
-
-@query("mlp_embed")
-def mlp_embed(spark: SparkSession, d: str) -> DataFrame:
-    """A two-layer encoder with fixed random weights, unit output."""
-    rng, n = np.random.default_rng(7), vocabulary(spark, d).count()
-    e = encoder.MlpEncoder(((rng.standard_normal((n, 16)), np.zeros(16)), (rng.standard_normal((16, 8)), np.zeros(8))))
-    return encoder.embed(aligned(spark, d), e).select("cell_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
-
-
-@query("label_cells")
-def label_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Q8, the whole online path: align, embed, search an index of the embedded cells, vote, decode, result line."""
-    from ..operators import ivf, vote
-    from ..sources.writers import result_rows
-
-    cells = encoder.embed(aligned(spark, d), linear(spark, d)).withColumnRenamed("cell_id", "vec_id").persist()
-    index = ivf.build(cells, m=2, k=16, max_iter=20)
-    known = cells.select("vec_id", (F.col("vec_id") % 4).cast("int").alias("label_id"))
-    near = vote.with_labels(ivf.search(cells, index, 4, 10), known)
-    votes = vote.all_queries(cells, vote.majority_vote(near, 10))
-    names = spark.createDataFrame([(i, f"group {i}") for i in range(4)], "label_id int, label string")
-    named = vote.decode_labels(votes, names).select(F.col("query_id").cast("string").alias("cell_id"), "label", "confidence")
-    return result_rows(named)

@@ -43,6 +43,13 @@ def exact_knn(spark: SparkSession, d: str) -> DataFrame:
     return knn.exact_knn(q, v, K).select("query_id", "rank", "vec_id", r6("dist"))
 
 
+@query("exact_knn_many", SQL["exact_knn"])
+def exact_knn_many(spark: SparkSession, d: str) -> DataFrame:
+    """The same with both sides in blocks, as for more queries than a broadcast holds."""
+    v, q = vectors_and_queries(spark, d)
+    return knn.exact_knn(q, v, K, broadcast_bytes=0).select("query_id", "rank", "vec_id", r6("dist"))
+
+
 @query(
     "exact_knn_cosine",
     f"""WITH {VECTORS_SQL}, cs AS (
@@ -167,6 +174,20 @@ def ivfpq_search(spark: SparkSession, d: str) -> DataFrame:
     return ivf.search(q, rule_index(v), N_PROBE, K).select("query_id", "rank", "vec_id", r6("dist"))
 
 
+@query("ivfpq_search_many", SQL["ivfpq_search"])
+def ivfpq_search_many(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the queries going to the lists they probe, as for more queries than a broadcast holds."""
+    v, q = vectors_and_queries(spark, d)
+    return ivf.search(q, rule_index(v), N_PROBE, K, broadcast_bytes=0).select("query_id", "rank", "vec_id", r6("dist"))
+
+
+@query("list_order", f"WITH {PROBE_SQL}{search_sql(1, k=1000000)} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM found")
+def list_order(spark: SparkSession, d: str) -> DataFrame:
+    """T5: every vector of the nearest list, in order of its distance."""
+    v, q = vectors_and_queries(spark, d)
+    return ivf.search(q, rule_index(v), 1, 1_000_000, broadcast_bytes=0).select("query_id", "rank", "vec_id", r6("dist"))
+
+
 @query("adc_search_all_lists", f"WITH {PROBE_SQL}{search_sql(1000000)} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(sqrt(dist), 6) AS dist FROM found")
 def adc_search_all_lists(spark: SparkSession, d: str) -> DataFrame:
     v, q = vectors_and_queries(spark, d)
@@ -181,6 +202,21 @@ def ivfpq_label(spark: SparkSession, d: str) -> DataFrame:
     return vote.majority_vote(near, K_VOTE).select("query_id", "label_id", "votes", r6("confidence"))
 
 
+@query("ivfpq_label_many", SQL["ivfpq_label"])
+def ivfpq_label_many(spark: SparkSession, d: str) -> DataFrame:
+    v, q = vectors_and_queries(spark, d)
+    near = vote.with_labels(ivf.search(q, rule_index(v), N_PROBE, K_VOTE, broadcast_bytes=0), _labels(v))
+    return vote.majority_vote(near, K_VOTE).select("query_id", "label_id", "votes", r6("confidence"))
+
+
+@query("labelled_only", SQL["ivfpq_label"].replace("lab AS (SELECT f.*, label FROM found f JOIN v USING (vec_id))", "lab AS (SELECT f.*, label FROM found f JOIN v USING (vec_id) WHERE label < 2)").replace("k=50", "k=50"))
+def labelled_only(spark: SparkSession, d: str) -> DataFrame:
+    """Only queries that a vote has labelled, where most vectors have no label."""
+    v, q = vectors_and_queries(spark, d)
+    near = vote.with_labels(ivf.search(q, rule_index(v), N_PROBE, K_VOTE), _labels(v).where("label_id < 2"))
+    return vote.labelled_only(vote.all_queries(q, vote.majority_vote(near, K_VOTE))).select("query_id", "label_id", "votes", r6("confidence"))
+
+
 @query("ivfpq_refined", f"""{_FOUND.replace("rank <= 10", "rank <= 40")}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM (
   SELECT query_id, vec_id, e.dist, row_number() OVER (PARTITION BY query_id ORDER BY round(e.dist, 9), vec_id) AS rank

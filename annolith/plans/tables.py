@@ -75,11 +75,6 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_sample(docs, "lang", 100, "doc_id", order=F.col("doc_id")).select("doc_id", "lang")
 
 
-@query("training_sample")
-def training_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.random_subset(table(spark, d, "embeddings"), 100).select("vec_id", "label")
-
-
 @query("first_n_subset", "SELECT vec_id, label FROM embeddings WHERE vec_id < 300")
 def first_n_subset(spark: SparkSession, d: str) -> DataFrame:
     return sampling.first_n(table(spark, d, "embeddings"), 300).select("vec_id", "label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,11 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.mode("overwrite").parquet(path)
 
 
+def write_training_ids(sample: DataFrame, path: str) -> None:
+    """K7: the ids of a training sample."""
+    sample.select("vec_id").repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.mode("overwrite").parquet(path)
+
+
 def write_label_columns(labels: DataFrame, path: str) -> None:
     """K2."""
     labels.write.mode("overwrite").option("compression", "snappy").parquet(path)
@@ -52,6 +58,7 @@ def write_npy(vectors: DataFrame, path: str) -> None:
     shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).first()
     if shape.n and (shape.low, shape.high) != (0, shape.n - 1):
         raise ValueError("ids of an npy file go from 0 without a gap")
+    os.makedirs(os.path.dirname(place) or ".", exist_ok=True)
     np.lib.format.open_memmap(place, "w+", np.float32, (shape.n, shape.d or 0)).flush()
     d = shape.d or 0
 

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annolith import api, cli
+from annolith import api, cli, ingest
 from annolith.operators import analytics, encoder, ivf, mapping, user_index
+from annolith.sources import readers
 
 from .test_vectors import frame
 
@@ -84,3 +85,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.count("find themselves first") == 4
     cli.main(["label", f"file://{tmp_path}/v.npy", f"file://{tmp_path}/ref", f"file://{tmp_path}/out"], spark)
     assert sum(len(open(f).readlines()) - 1 for f in glob.glob(f"{tmp_path}/out/*.csv")) == 200
+
+
+def test_export_and_map_commands(spark, tmp_path, capsys):
+    x = np.random.default_rng(2).standard_normal((120, 6)).astype(np.float32)
+    frame(spark, x).withColumn("kind", F.concat(F.lit("k"), (F.col("vec_id") % 3).cast("string"))).write.parquet(f"{tmp_path}/v")
+    out = f"file://{tmp_path}"
+    cli.main(["export", f"{out}/v", f"{out}/e", "--labels", "kind", "--max-vectors", "100"], spark)
+    assert capsys.readouterr().out.strip() == "{'n_both': 100, 'n_missing': 0, 'n_different': 0, 'n_different_kind': 0}"
+    assert (np.load(tmp_path / "e" / "embeddings.npy") == x[:100]).all() and spark.read.parquet(f"{out}/e/labels.parquet").count() == 100
+    cli.main(["map-train", f"{out}/v", f"{out}/m", "--label", "kind", "--training-rows", "30"], spark)
+    ids = spark.read.parquet(f"{out}/m/training_ids").selectExpr("vec_id % 3 AS k").groupBy("k").count().collect()
+    assert sorted(r["count"] for r in ids) == [10, 10, 10]
+    cli.main(["map", f"{out}/v", f"{out}/m", f"{out}/p", "--max-vectors", "90"], spark)
+    cli.main(["map-export", f"{out}/p", f"{out}/v", f"{out}/files", "--labels", "kind"], spark)
+    points, names, meta = readers.read_map(spark, f"{out}/files")
+    rows = points.orderBy("vec_id").collect()
+    assert meta["numPoints"] == 90 and [r.kind for r in rows] == [i % 3 for i in range(90)] and max(abs(v) for r in rows for v in (r.x, r.y)) == 1
+    assert [r.category for r in names.orderBy("code").collect()] == ["k0", "k1", "k2"]
+
+
+def test_ingest_numbers_cells_by_name(spark, world):
+    kinds, expression, genes, vocabulary, model = world
+    obs = spark.createDataFrame([(f"c{i}", f"k{k}", f"c{i}") for i, k in enumerate(kinds) if i % 10], "cell_id string, kind string, name string")
+    got = ingest.ingest(expression, genes, vocabulary, model, obs, ("kind", "missing"), 200).collect()
+    names = sorted({f"c{i}" for i in range(300)} & {r.cell_id for r in expression.select("cell_id").distinct().collect()})
+    assert sorted((r.vec_id, r.cell_id) for r in got) == list(enumerate(names))[:200]
+    assert all(r.kind == (f"k{kinds[int(r.cell_id[1:])]}" if int(r.cell_id[1:]) % 10 else None) for r in got)
