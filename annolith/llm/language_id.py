@@ -4,14 +4,18 @@ The kernel of two texts is the blended spectrum of character n-grams (n = 1, 2,
 both have, over the geometric mean of how many each has. n-grams are hashed to SLOTS places. Texts are mapped to the
 kernel values with m landmark texts and whitened (Nystroem), and one ridge regression per language (+1 against -1) is
 solved in that space. Whitening and regression fold into one m x languages matrix, so a batch of texts is scored by two
-matrix products: presence x landmarks and kernel x weights.
+matrix products: presence x landmarks and kernel x weights. A text longer than BLOCK characters is scored in blocks, all
+of them, and its score is their mean by length: the places of one set of n-grams would fill up, and any text then look
+the same.
 
-Fitting sees a bounded sample, TRAIN_PER_LANGUAGE texts of every language at most, taken as a share of the hash range
-of the training rows; only their presence bits (SLOTS / 8 bytes each) come to the driver, never the texts.
+Fitting sees a bounded sample, TRAIN_PER_LANGUAGE texts of every language at most, those of the smallest hash of their
+row (of a text longer than a block, one block, by the same hash); only their presence bits (SLOTS / 8 bytes each) are
+ranked and come to the driver, never the texts.
 
 Defined cases: a null text or one without a letter is `und` with score 0; equal scores go to the first language in
-alphabetical order; a training set without any labelled text makes everything `und`; texts are read whole; repeated
-rows are scored each; an empty table gives an empty result; other columns are ignored.
+alphabetical order; a training set without any labelled text makes everything `und`; texts are read whole, however long;
+repeated rows are scored each, and of those with one hash the sample takes any; an empty table gives an empty result;
+other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_rows, table
@@ -31,6 +35,8 @@ ORDERS = 3
 TRAIN_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 24
 RIDGE = 1e-2
+#: Characters scored together.
+BLOCK = 1 << 14
 #: Rows scored by one matrix product.
 _ROWS = 256
 _LETTER = regex.compile(r"\p{L}")
@@ -47,6 +53,13 @@ def presence(text: str) -> np.ndarray:
     return bits
 
 
+def blocks(text: str) -> list[str]:
+    """A text in parts of about equal length, none longer than BLOCK."""
+    n = max(1, -(-len(text) // BLOCK))
+    size = -(-len(text) // n) or 1
+    return [text[i : i + size] for i in range(0, len(text), size)] or [""]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -61,14 +74,16 @@ class LanguageModel:
         names, confidence = ["und"] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, confidence
-        usable = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        for lo in range(0, len(usable), _ROWS):
-            part = usable[lo : lo + _ROWS]
-            s = self.scores(np.stack([presence(texts[i]) for i in part]))
-            best = s.argmax(axis=1)
-            for i, b, v in zip(part, best, s[np.arange(len(part)), best]):
-                names[i] = self.languages[b]
-                confidence[i] = min(1.0, max(0.0, (float(v) + 1) / 2))
+        parts = [(i, b) for i, t in enumerate(texts) if t and _LETTER.search(t) for b in blocks(t)]
+        total = np.zeros((len(texts), len(self.languages)))
+        for lo in range(0, len(parts), _ROWS):
+            some = parts[lo : lo + _ROWS]
+            s = self.scores(np.stack([presence(b) for _, b in some]))
+            np.add.at(total, [i for i, _ in some], s * np.array([[len(b) / len(texts[i])] for i, b in some]))
+        for i in {i for i, _ in parts}:
+            best = int(total[i].argmax())
+            names[i] = self.languages[best]
+            confidence[i] = min(1.0, max(0.0, (float(total[i, best]) + 1) / 2))
         return names, confidence
 
 
@@ -97,24 +112,30 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """Fit on a bounded sample. `key` only deals rows into the sample, by its hash."""
     spark = labelled.sparkSession
     batch_rows(spark, 1000)
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("lid")), F.lit(1 << 30)).alias("h")
-    )
+    hashed = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("lid")), F.lit(1 << 30))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), hashed.alias("h"))
     totals = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return fit(np.zeros((0, SLOTS), bool), [])
-    share = F.create_map(*[F.lit(x) for l, n in totals.items() for x in (l, int(min(1.0, TRAIN_PER_LANGUAGE / n) * (1 << 30)))])
+    # a share of the hash range that is sure to hold the sample, of which the first rows by hash are taken
+    wide = TRAIN_PER_LANGUAGE + 6 * TRAIN_PER_LANGUAGE**0.5
+    share = F.create_map(*[F.lit(x) for l, n in totals.items() for x in (l, int(min(1.0, wide / n) * (1 << 30)))])
 
     def bits(batches):
         for batch in batches:
-            kept = [(l, np.packbits(presence(t)).tobytes(), h) for l, t, h in zip(*(c.to_pylist() for c in batch.columns)) if _LETTER.search(t)]
+            kept = []
+            for l, t, h in zip(*(c.to_pylist() for c in batch.columns)):
+                if _LETTER.search(t):
+                    parts = blocks(t)
+                    kept.append((l, np.packbits(presence(parts[h % len(parts)])).tobytes(), h))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.binary()), pa.array([x[2] for x in kept], pa.int64())],
                 ["l", "b", "h"],
             )
 
-    sample = rows.where(F.col("h") < F.try_element_at(share, F.col("l"))).limit(2 * TRAIN_PER_LANGUAGE * len(totals))
-    drawn = sorted(sample.mapInArrow(bits, "l string, b binary, h long").collect(), key=lambda r: (r.h, r.l, bytes(r.b)))
+    sample = rows.where(F.col("h") < F.try_element_at(share, F.col("l"))).mapInArrow(bits, "l string, b binary, h long")
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "b"))
+    drawn = sorted(sample.withColumn("n", first).where(F.col("n") <= TRAIN_PER_LANGUAGE).collect(), key=lambda r: (r.h, r.l, bytes(r.b)))
     data = [np.unpackbits(np.frombuffer(bytes(r.b), np.uint8)).astype(bool) for r in drawn]
     return fit(np.stack(data) if data else np.zeros((0, SLOTS), bool), [r.l for r in drawn] if data else [])
 

@@ -488,7 +488,63 @@ def test_kernel_against_sets():
     assert a.sum() == len(grams) and b.sum() == 0
 
 
-def test_language_edges(spark, edges, empty):
+def test_scores_against_a_plain_kernel_and_ridge():
+    """The same from sets of n-grams, the whole kernel matrix of the landmarks and one linear system per language."""
+    rng = random.Random(6)
+    alphabets = {"aa": "abcde ", "bb": "defgh ", "cc": "ghijk "}
+    texts = [("".join(rng.choice(alphabets[l]) for _ in range(rng.randint(5, 60))), l) for l in alphabets for _ in range(40)]
+    rng.shuffle(texts)
+    slots = [frozenset(np.flatnonzero(language_id.presence(t)).tolist()) for t, _ in texts]
+    model = language_id.fit(np.stack([language_id.presence(t) for t, _ in texts]), [l for _, l in texts])
+
+    def k(a, b):
+        return len(a & b) / (max(1, len(a)) * max(1, len(b))) ** 0.5
+
+    marks = [s for l in sorted(alphabets) for s in [x for x, (_, y) in zip(slots, texts) if y == l][: language_id.LANDMARKS_PER_LANGUAGE]]
+    inner = np.array([[k(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    good = values > 1e-8 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = np.array([[k(a, b) for b in marks] for a in slots]) @ root
+    counts = {l: sum(y == l for _, y in texts) for l in alphabets}
+    weight = np.array([1 / counts[y] for _, y in texts])
+    want = []
+    for l in sorted(alphabets):
+        target = np.array([1.0 if y == l else -1.0 for _, y in texts])
+        w = np.linalg.solve((phi * weight[:, None]).T @ phi + language_id.RIDGE * np.eye(phi.shape[1]), (phi * weight[:, None]).T @ target)
+        want.append(phi @ w)
+    got = model.scores(np.stack([language_id.presence(t) for t, _ in texts]))
+    assert np.abs(got - np.array(want).T).max() < 2e-3
+    names, score = model.predict([t for t, _ in texts])
+    assert np.mean([a == b for a, (_, b) in zip(names, texts)]) > 0.9 and np.allclose(score, np.clip((got.max(axis=1) + 1) / 2, 0, 1), atol=1e-6)
+
+
+def test_long_texts_of_large_alphabets_stay_apart():
+    """Two scripts' worth of characters each, 200,000 of them in a text: the places of a whole text would all be taken."""
+    rng = np.random.default_rng(3)
+    letters = {"x": np.arange(0x4E00, 0x5E00), "y": np.arange(0x5A00, 0x6A00)}
+
+    def text(l, n):
+        p = 1 / (1 + np.arange(4096.0))
+        return "".join(map(chr, rng.choice(letters[l], n, p=p / p.sum())))
+
+    training = [(text(l, 300), l) for l in letters for _ in range(60)]
+    model = language_id.fit(np.stack([language_id.presence(t) for t, _ in training]), [l for _, l in training])
+    assert model.predict([text("x", 200_000), text("y", 200_000), text("x", 50)])[0] == ["x", "y", "x"]
+    assert "".join(language_id.blocks("ab" * 50_001)) == "ab" * 50_001 and max(map(len, language_id.blocks("a" * 100_000))) <= language_id.BLOCK
+
+
+def test_training_sample_is_bounded_by_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_PER_LANGUAGE", 20)
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda bits, labels: seen.append(labels))
+    rows = [(1, f"common text number {i}", "aa") for i in range(3000)] + [(i, f"seldom {i}", "bb") for i in range(5)]
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert seen[0].count("aa") == 20 and seen[0].count("bb") == 5
+
+
+def test_language_edges(spark, edges, empty, clashing):
+    assert language_id.identify(clashing, language_id.train(clashing)).count() == len(EDGES)
     model = language_id.train(edges)
     got = {r.doc_id: r for r in language_id.identify(edges, model).collect()}
     assert model.predict(["12 ² Ⅷ _!", None, "a"])[0][:2] == ["und", "und"]
