@@ -11,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,11 +94,19 @@ def _gather(aligned: DataFrame) -> DataFrame:
     return rows.select("cell_id", F.col("e.i").alias("i"), F.col("e.v").alias("v"))
 
 
-def _dense(i: list, v: list, n: int) -> np.ndarray:
-    x = np.zeros((len(i), n))
-    for row, (own, values) in enumerate(zip(i, v)):
-        x[row, own] = values
-    return x
+class _Rows:
+    """Gathered rows of an Arrow batch: the entries of all rows side by side, and where each row's begin."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.i = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null values are NaN
+        self.starts = np.append(0, np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)))
+
+    def dense(self, low: int, high: int, n: int) -> np.ndarray:
+        x = np.zeros((high - low, n))
+        a, b = self.starts[low], self.starts[high]
+        x[np.repeat(np.arange(high - low), np.diff(self.starts[low : high + 1])), self.i[a:b]] = self.v[a:b]
+        return x
 
 
 def embed(aligned: DataFrame, encoder: Encoder) -> DataFrame:
@@ -110,9 +119,10 @@ def embed(aligned: DataFrame, encoder: Encoder) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            i, v = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            y = np.concatenate([e.encode(_dense(i[lo : lo + 256], v[lo : lo + 256], e.n_genes)) for lo in range(0, len(i), 256)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(y), pa.list_(pa.float64()))], ["cell_id", "embedding"])
+            rows, n = _Rows(batch), batch.num_rows
+            y = np.concatenate([e.encode(rows.dense(lo, min(n, lo + 256), e.n_genes)) for lo in range(0, n, 256)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cell_id", "embedding"])
 
     from pyspark.sql import types as T
 
@@ -127,10 +137,12 @@ def importance(aligned: DataFrame, encoder: Encoder, above: float = 0.1, batch:
     def run(batches):
         e = shared.value
         for b in batches:
-            for cell, i, v in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = _dense([i], [v], e.n_genes)
+            rows = _Rows(b)
+            for k, cell in enumerate(b.column(0)):
+                x = rows.dense(k, k + 1, e.n_genes)
                 base = e.encode(x)
-                own = np.array([k for k, value in zip(i, v) if value is not None and value > above], np.int64)
+                entries = slice(rows.starts[k], rows.starts[k + 1])
+                own = rows.i[entries][rows.v[entries] > above]
                 moved = np.zeros(len(own))
                 for lo in range(0, len(own), batch):
                     part = own[lo : lo + batch]

@@ -78,6 +78,24 @@ def from_csr(cells: DataFrame) -> DataFrame:
     return pairs.select("cell_id", F.col("e.indices").alias("gene_idx"), F.col("e.data").alias("value"))
 
 
+def running_total(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over all rows of smaller keys, which are unique: within ranges of the key by a window,
+    across them by a sum per range, which is all that reaches the driver."""
+    from pyspark.sql import Window
+
+    from ..session import stored
+
+    ranged = stored(rows.repartitionByRange(key).withColumn("__range", F.spark_partition_id()), "ranged")
+    at, offsets = 0, []
+    for r in sorted(ranged.groupBy("__range").agg(F.min(key).alias("low"), F.sum(value).alias("total")).collect(), key=lambda r: r.low):
+        offsets.append((r["__range"], at))
+        at += r.total or 0
+    before = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    ranges = rows.sparkSession.createDataFrame(offsets, "__range int, __offset long")
+    return inside.join(F.broadcast(ranges), "__range").withColumn(name, F.col(name) + F.col("__offset")).drop("__range", "__offset")
+
+
 def csr_slices(indptr: DataFrame, entries: DataFrame) -> DataFrame:
     """S7 on the stored triple: indptr (pos, start), entries (pos, gene_idx, value), both by position. Every stored entry
     finds its row by its place, without a join by ranges: the starts are laid among the entries of their block and carried

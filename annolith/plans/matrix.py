@@ -117,8 +117,8 @@ def csr_row_slices(spark: SparkSession, d: str) -> DataFrame:
     """A matrix stored as entries by position and row starts, cut into its rows again."""
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("cell"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
     counts = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = rows.join(F.broadcast(starts.select("cell", "start")), "cell").withColumn("pos", F.col("start") + F.row_number().over(Window.partitionBy("cell").orderBy("k")) - 1)
+    starts = features.running_total(counts, "cell", "n", "start")
+    placed = rows.join(starts.select("cell", "start"), "cell").withColumn("pos", F.col("start") + F.row_number().over(Window.partitionBy("cell").orderBy("k")) - 1)
     entries = placed.select("pos", F.lit(0).alias("gene_idx"), F.col("v").alias("value"))
     found = features.csr_slices(starts.select(F.col("cell").alias("pos"), "start"), entries)
     return found.groupBy("cell_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))

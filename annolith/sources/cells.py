@@ -8,6 +8,7 @@ loaded where it is used: without it only these reads fail, and say so.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,11 @@ def _open(path: str):
         import h5py
     except ImportError as e:
         raise RuntimeError("HDF5 cell files need h5py, which is not installed; convert the file to Parquet or MatrixMarket") from e
+    place = path.removeprefix("file://")
+    if not os.path.exists(place):
+        raise ValueError(f"{path} is not on this machine: cell files must be in a folder that all machines mount")
     try:
-        return h5py.File(path.removeprefix("file://"), "r")
+        return h5py.File(place, "r")
     except OSError as e:
         raise ValueError(f"Failed to extract data: {path} is no HDF5 file") from e
 
@@ -38,30 +42,42 @@ def _text(values) -> list[str]:
     return [x.decode() if isinstance(x, bytes) else str(x) for x in values]
 
 
-def read_strings(group, key: str) -> list[str] | None:
-    """A flat column or a categorical one {categories, codes}; a code below 0 gives an empty string."""
+def read_strings(group, key: str, low: int = 0, high: int | None = None) -> list[str] | None:
+    """Rows of a flat column or a categorical one {categories, codes}; a code below 0 gives an empty string."""
     node = group[key]
     if not _is_group(node):
-        return _text(node[:])
+        return _text(node[low:high])
     if "categories" in node.keys() and "codes" in node.keys():
         names = _text(node["categories"][:])
-        return [names[c] if c >= 0 else "" for c in np.asarray(node["codes"][:], np.int64)]
+        return [names[c] if c >= 0 else "" for c in np.asarray(node["codes"][low:high], np.int64)]
     return None
 
 
-def cell_names(file) -> list[str]:
-    """Of an obs dataset the first field of each record, of a group the first readable candidate."""
+def _cell_column(file):
+    """The obs dataset, of which a record's first field is the name, or the first readable candidate of the group."""
     if "obs" not in file.keys():
         raise NotFound("no obs in the file")
     obs = file["obs"]
     if not _is_group(obs):
-        return _text(r[0] for r in obs[:])
+        return None
     for key in CELL_NAMES:
-        if key in obs.keys() and (names := read_strings(obs, key)) is not None:
-            return names
+        if key in obs.keys() and (not _is_group(obs[key]) or {"categories", "codes"} <= set(obs[key].keys())):
+            return key
     raise NotFound(f"no cell names among: {', '.join(obs.keys())}")
 
 
+def cell_names(file, low: int = 0, high: int | None = None) -> list[str]:
+    """The names of the cells from `low` to below `high`; no others are read."""
+    key = _cell_column(file)
+    return _text(r[0] for r in file["obs"][low:high]) if key is None else read_strings(file["obs"], key, low, high)
+
+
+def n_cells(file) -> int:
+    key = _cell_column(file)
+    node = file["obs"] if key is None else file["obs"][key]
+    return int((node["codes"] if _is_group(node) else node).shape[0])
+
+
 def gene_symbols(file) -> list[str]:
     """The first candidate with two markers or more, then the first column; in upper case."""
     from ..operators.features import MARKERS
@@ -91,8 +107,9 @@ def raw_counts(file):
     return node
 
 
-def rows_between(node, low: int, high: int, n_genes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, gene numbers and values of the stored entries (sparse) or the nonzero ones (dense)."""
+def rows_between(node, low: int, high: int, n_genes: int, zeros: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, gene numbers and values of the stored entries (sparse), or of a dense matrix the nonzero ones and all
+    of the genes that `zeros` marks: where two columns have one symbol, the last one counts, with its zeros as well."""
     if _is_group(node):
         ptr = np.asarray(node["indptr"][low : high + 1], np.int64)
         a, b = int(ptr[0]), int(ptr[-1])
@@ -103,7 +120,7 @@ def rows_between(node, low: int, high: int, n_genes: int) -> tuple[np.ndarray, n
         x = np.asarray(node[low:high, :n_genes], np.float64)
     else:
         raise ValueError(f"a matrix of {len(node.shape)} dimensions")
-    i, j = np.nonzero(x)
+    i, j = np.nonzero(x if zeros is None else (x != 0) | zeros)
     return i + low, j, x[i, j]
 
 
@@ -122,7 +139,7 @@ class CellReader(DataSourceReader):
         if self.table != "matrix":
             return [_Rows(0, 0)]
         with _open(self.path) as f:
-            n = len(cell_names(f))
+            n = n_cells(f)
         n = n if self.limit is None else min(n, self.limit)
         return [_Rows(lo, min(n, lo + self.rows)) for lo in range(0, n, self.rows)] or [_Rows(0, 0)]
 
@@ -135,10 +152,12 @@ class CellReader(DataSourceReader):
                 names = gene_symbols(f)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array(names)], ["gene_idx", "symbol"])
             elif partition.high > partition.low:
-                cells, genes = np.array(cell_names(f), object), np.array(gene_symbols(f), object)
-                row, gene, value = rows_between(raw_counts(f), partition.low, partition.high, len(genes))
+                cells = np.array(cell_names(f, partition.low, partition.high), object)
+                genes = np.array(gene_symbols(f), object)
+                _, which, times = np.unique(genes.astype(str), return_inverse=True, return_counts=True)
+                row, gene, value = rows_between(raw_counts(f), partition.low, partition.high, len(genes), times[which] > 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells[row], pa.string()), pa.array(gene.astype(np.int32)), pa.array(genes[gene], pa.string()), pa.array(value)],
+                    [pa.array(cells[row - partition.low], pa.string()), pa.array(gene.astype(np.int32)), pa.array(genes[gene], pa.string()), pa.array(value)],
                     ["cell_id", "gene_idx", "symbol", "value"],
                 )
 

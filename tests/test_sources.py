@@ -316,6 +316,34 @@ def test_cell_files(spark, tmp_path, form):
         spark.read.format("cells").option("path", f"{tmp_path}/no.h5ad").load().collect()
 
 
+def test_dense_zeros_of_colliding_genes_count(spark, tmp_path):
+    """Of two columns with one symbol the last one stands, a zero included; other zeros are no rows."""
+    from annolith.sources import cells
+
+    cells.register(spark)
+    x = np.array([[7, 1, 0], [7, 0, 2]], np.float32)
+    path = _cell_file(tmp_path, "z.h5ad", obs__barcode=np.array(["A", "B"]), var__symbol=np.array(["ACTB", "GAPDH", "actb"]), X=x)
+    long = spark.read.format("cells").option("path", path).option("rows", 1).load()
+    assert sorted(map(tuple, long.select("cell_id", "gene_idx", "value").collect())) == [("A", 0, 7.0), ("A", 1, 1.0), ("A", 2, 0.0), ("B", 0, 7.0), ("B", 2, 2.0)]
+    voc = spark.createDataFrame([(0, "ACTB"), (1, "GAPDH")], "model_idx int, symbol string")
+    got = features.align(long, long.select("gene_idx", "symbol").distinct(), voc)
+    assert sorted(map(tuple, got.collect())) == [("A", 0, 0.0), ("A", 1, 1.0), ("B", 0, 2.0)]
+    with pytest.raises(Exception, match="all machines mount"):
+        spark.read.format("cells").option("path", "/nowhere/c.h5ad").load().collect()
+
+
+def test_running_total_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("id * 3 AS k", "id % 7 AS n").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = sorted(map(tuple, features.running_total(rows, "k", "n", "t").select("k", "t").collect()))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, at = [], 0
+    for i in range(1000):
+        want.append((3 * i, at))
+        at += i % 7
+    assert got == want
+
+
 def test_align_normalise_gather_shuffle_once(spark):
     genes = spark.createDataFrame([(i, f"g{i}") for i in range(9)], "gene_idx int, symbol string")
     voc = genes.withColumnRenamed("gene_idx", "model_idx")
