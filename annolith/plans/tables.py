@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_color
 from ..operators import analytics, mapping, sampling, vote
-from ..session import table
+from ..session import scratch, table
 from ..sources.discovery import decode_categorical
 from ..sources.writers import result_rows
-from ..streaming.labelling import cell_stream, count_stream, label_stream
+from ..streaming.labelling import cell_stream, count_stream, upsert_stream
 
 QUERY: dict = {}
 SQL: dict[str, str] = {}
@@ -203,11 +201,10 @@ def id_set_operations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    """A place for a stream's progress: in the shared folder, or a local one where none is set."""
+    """A place for a stream's progress in the shared folder."""
     import uuid
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='annolith-stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -228,8 +225,9 @@ def streaming_label_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("streaming_cell_state", "SELECT user_id AS cell_id, max_by(event_type, (ts, event_id)) AS label FROM events GROUP BY 1")
 def streaming_cell_state(spark: SparkSession, d: str) -> DataFrame:
-    """Cells labelled batch by batch, and the last state of each."""
+    """Cells labelled batch by batch, and the last state of each, kept by key."""
     cells = _event_stream(spark, d)
     out = _checkpoint(spark)
-    label_stream(cells, lambda b: b.select(F.col("user_id").alias("cell_id"), F.col("event_type").alias("label"), "ts", "event_id"), f"{out}/rows", f"{out}/progress").awaitTermination()
-    return mapping.latest_state(spark.read.parquet(f"{out}/rows"), order=("ts", "event_id")).select("cell_id", "label")
+    rows = lambda b: b.select(F.col("user_id").alias("cell_id"), F.col("event_type").alias("label"), "ts", "event_id")
+    upsert_stream(cells, rows, f"{out}/state", f"{out}/progress", order=("ts", "event_id")).awaitTermination()
+    return spark.read.parquet(f"{out}/state").select("cell_id", "label")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.mapping import latest_state
+from ..session import stored
+from ..sources.readers import exists
 
 
 def cell_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -44,6 +46,32 @@ def current_cells(spark: SparkSession, out: str, key: str = "cell_id") -> DataFr
     return latest_state(spark.read.parquet(out), key)
 
 
+def upsert_stream(
+    cells: DataFrame, label: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "cell_id", order: tuple[str, ...] = ("batch_seq",),
+    buckets: int = 64, available_now: bool = True,
+) -> StreamingQuery:
+    """A table of the last state of every cell, kept by key. A micro-batch reads and replaces only the buckets (of the
+    key's hash) that its cells fall into, so reading the table needs no grouping and a batch does not touch the history.
+    The merge takes the last row by `order`, so a repeated batch changes nothing."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = label(batch)
+        rows = rows if "batch_seq" in rows.columns else rows.withColumn("batch_seq", F.lit(n).cast("long"))
+        new = stored(latest_state(rows, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "upsert")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        if exists(spark, out):
+            old = spark.read.parquet(out).where(F.col("bucket").isin(touched))
+            # stored before its place is written to
+            new = stored(latest_state(old.unionByName(new), key, order), "upsert")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+
+    writer = cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
+
+
 class Progress(StreamingQueryListener):
     """R2: rows and batches so far, for a progress display."""
 

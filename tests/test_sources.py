@@ -275,6 +275,24 @@ def test_label_stream_writes_once(spark, tmp_path):
     assert sum(r.n for r in spark.table("counts_test").collect()) == 30
 
 
+def test_state_is_kept_by_key(spark, tmp_path):
+    """Of every cell the row of the latest time, whichever batch it came in; a batch leaves other buckets' files alone."""
+    schema = "cell_id long, label string, t long"
+    batches = ([(i, "a", 10) for i in range(50)], [(3, "b", 20), (60, "b", 5)], [(3, "late", 15), (3, "c", 30), (7, "c", 10 + 1)])
+    state = {}
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = labelling.cell_stream(spark, f"{tmp_path}/in", spark.createDataFrame(rows, schema).schema)
+        before = set(glob.glob(f"{tmp_path}/out/*/*.parquet"))
+        labelling.upsert_stream(stream, lambda b: b, f"file://{tmp_path}/out", f"{tmp_path}/cp", order=("t",), buckets=16).awaitTermination()
+        for cell, label, t in rows:
+            state[cell] = max(state.get(cell, (0, "")), (t, label))
+        got = {r.cell_id: (r.t, r.label) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+        assert got == state
+        if n:
+            assert len(before & set(glob.glob(f"{tmp_path}/out/*/*.parquet"))) >= len(before) - 2
+
+
 def test_replaceable_request(spark):
     r = labelling.Replaceable(spark)
     assert r.run(lambda: spark.range(5).count()) == 5 and r.run(lambda: spark.range(6).count()) == 6
