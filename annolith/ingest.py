@@ -14,28 +14,13 @@ from pyspark.sql import functions as F
 
 from . import api
 from .operators import clustering, encoder, mapping, sampling
-from .session import stored
+from .session import number_rows, stored
 from .sources import readers, writers
 
 #: Training rows of a map, and vectors placed on it.
 TRAINING_ROWS, MAP_ROWS = 250_000, 1_000_000
 
 
-def number_rows(rows: DataFrame, key: str, name: str = "vec_id") -> DataFrame:
-    """rows with their place in the order of a key that is unique. They are sorted by range and stored once; what goes
-    through the driver is a count per partition."""
-    ordered = stored(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__place", F.monotonically_increasing_id()), "numbered")
-    part, place = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r.p: r.n for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    starts, at = [], 0
-    for p in sorted(counts):
-        starts.append((p, at))
-        at += counts[p]
-    first = rows.sparkSession.createDataFrame(starts, "__p long, __first long")
-    numbered = ordered.join(F.broadcast(first), part == F.col("__p"))
-    return numbered.withColumn(name, F.col("__first") + place).drop("__place", "__p", "__first")
-
-
 def ingest(
     expression: DataFrame, genes: DataFrame, vocabulary: DataFrame, model: encoder.Encoder, obs: DataFrame | None = None,
     label_columns: tuple[str, ...] = (), max_cells: int | None = None, key: str = "cell_id",

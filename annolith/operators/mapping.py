@@ -120,6 +120,11 @@ def latest_state(updates: DataFrame, key: str = "cell_id", order: tuple[str, ...
     return last.select(key, *[F.col(f"s.{c}").alias(c) for c in rest])
 
 
-def category_columns(dictionary: DataFrame) -> DataFrame:
-    """The names of the columns that have categories."""
-    return dictionary.select("column").distinct()
+def category_columns(dictionary: DataFrame, user_index: DataFrame | None = None, default: str | None = None) -> DataFrame:
+    """Column, is_default: the names of the columns that have categories; of a user index (its metadata) the one
+    category it was made for. Without a default the first name is it."""
+    if user_index is not None:
+        return user_index.select(F.col("category").alias("column"), F.lit(True).alias("is_default"))
+    names = dictionary.select("column").distinct()
+    first = F.lit(default) if default is not None else F.min("column").over(Window.partitionBy())
+    return names.select("column", (F.col("column") == first).alias("is_default"))

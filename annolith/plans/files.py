@@ -116,11 +116,16 @@ def map_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("label", "code").join(names, "code").select("vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.col("code").cast("int").alias("code"), "category")
 
 
-@query("map_categories", "SELECT 'label' AS column_, count(DISTINCT label) AS n FROM embeddings")
+@query("map_categories", "SELECT * FROM (VALUES ('base', 'lang', false), ('base', 'source', true), ('first', 'lang', true), ('first', 'source', false), ('user', 'mine', true)) t(kind, column_, is_default)")
 def map_categories(spark: SparkSession, d: str) -> DataFrame:
-    """S20."""
-    names = mapping.category_dictionary(table(spark, d, "embeddings"), "label").withColumn("column", F.lit("label"))
-    return mapping.category_columns(names).join(names.groupBy("column").agg(F.count("*").alias("n")), "column").withColumnRenamed("column", "column_")
+    """Of a model with a default, of one without, of a user index."""
+    docs = table(spark, d, "documents")
+    names = [mapping.category_dictionary(docs, c).select(F.lit(c).alias("column"), "code", "category") for c in ("lang", "source")]
+    both = names[0].unionByName(names[1])
+    user = spark.createDataFrame([("mine",)], "category string")
+    parts = (("base", mapping.category_columns(both, default="source")), ("first", mapping.category_columns(both)), ("user", mapping.category_columns(both, user)))
+    frames = [f.select(F.lit(k).alias("kind"), F.col("column").alias("column_"), "is_default") for k, f in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 @query("artefact_bytes", "SELECT 128 + count(*) * 64 * 4 AS bytes FROM embeddings")

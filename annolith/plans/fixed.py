@@ -70,6 +70,12 @@ codes AS (
   WHERE r = 1
 )""" % (L2.format(a="v.e", b="c.c"), L2.format(a="list_slice(own.res, book.j * 8 + 1, book.j * 8 + 8)", b="book.w"))
 
+def index_sql(m: int) -> str:
+    """INDEX_SQL with another number of subspaces."""
+    size = 64 // m
+    return INDEX_SQL.replace("range(8)", f"range({m})").replace("j * 8 + 1, book.j * 8 + 8", f"j * {size} + 1, book.j * {size} + {size}").replace("j * 8 + 1, j * 8 + 8", f"j * {size} + 1, j * {size} + {size}")
+
+
 PROBE_SQL = INDEX_SQL + """,
 near AS (
   SELECT query_id, partition_id, d2, e, c, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 12), partition_id) AS rank

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import norm, residual
 from ..operators import analytics, clustering, ivf, knn, pq, user_index, vote
 from ..session import table
-from .fixed import INDEX_SQL, PROBE_SQL, QUERIES, VECTORS_SQL, rule_index, search_sql, vectors_and_queries
+from .fixed import INDEX_SQL, PROBE_SQL, QUERIES, VECTORS_SQL, index_sql, rule_index, search_sql, vectors_and_queries
 
 K, K_VOTE, N_PROBE = 10, 50, 4
 
@@ -438,6 +438,30 @@ def sweep_summary(spark: SparkSession, d: str) -> DataFrame:
     return mean.join(bw, "n_probe").join(F.broadcast(storage)).select("n_probe", "recall", "lists", "bytes", "storage")
 
 
+_SUBSPACES = (4, 8, 16)
+
+
+def _subspace_sql(m: int) -> str:
+    found = search_sql(4).replace("j * 8 + 1, j * 8 + 8", f"j * {64 // m} + 1, j * {64 // m} + {64 // m}")
+    near = PROBE_SQL[len(INDEX_SQL) :]
+    return f"""SELECT {m} AS n_sub, round(avg(recall), 6) AS recall, (SELECT CAST(sum(n * (4 + {m}) + 8) AS BIGINT) FROM (SELECT count(*) AS n FROM own GROUP BY partition_id)) AS storage
+    FROM (SELECT q.query_id, count(f.vec_id) / 10.0 AS recall FROM q LEFT JOIN (SELECT f.* FROM found f JOIN exact e USING (query_id, vec_id) WHERE e.rank <= 10) f USING (query_id) GROUP BY 1)""", f"WITH {index_sql(m)}{near}{found}"
+
+
+@query("sweep_subvectors", " UNION ALL ".join(f"SELECT * FROM ({ctes} {body})" for body, ctes in map(_subspace_sql, _SUBSPACES)))
+def sweep_subvectors(spark: SparkSession, d: str) -> DataFrame:
+    """A21 along the number of subspaces: recall and bytes of the lists."""
+    v, q = vectors_and_queries(spark, d)
+    exact, out = knn.exact_knn(q, v, K), None
+    for m in _SUBSPACES:
+        index = rule_index(v, m)
+        recall = analytics.recall_per_query(exact, ivf.search(q, index, N_PROBE, K), K).agg(F.round(F.avg("recall"), 6).alias("recall"))
+        storage = ivf.partition_stats(index.lists).agg(F.sum(F.col("n") * (4 + m) + 8).alias("storage"))
+        row = recall.join(F.broadcast(storage)).select(F.lit(m).alias("n_sub"), "recall", "storage")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("self_accuracy_perturbed")
 def self_accuracy_perturbed(spark: SparkSession, d: str) -> DataFrame:
     """A17 on exact and on perturbed queries."""

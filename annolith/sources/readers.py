@@ -5,8 +5,13 @@ S9-S11, S13-S21 (S1: cells). Everything goes through Spark's readers, so any sto
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
+import shutil
+import urllib.request
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -197,15 +202,52 @@ def read_map(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, di
     meta = read_json(spark, f"{folder}/metadata.json")
     n = meta["numPoints"]
     columns = {"x": "<f4", "y": "<f4", **{c: "<i2" for c in meta["categories"]}}
-    data = {}
-    for name, kind in columns.items():
-        values = np.frombuffer(_content(spark, f"{folder}/{name}.bin"), kind)
-        if len(values) != n if name in "xy" else len(values) < n:
-            raise ValueError(f"{name}.bin has {len(values)} values for {n} points")
-        data[name] = values[:n].astype(np.float64 if kind == "<f4" else np.int32)
-    points = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), **{c: pa.array(v) for c, v in data.items()}}))
     rows = [(c, k, name) for c, names in meta["categories"].items() for k, name in enumerate(names)]
-    return points, spark.createDataFrame(rows or [], "column string, code int, category string"), meta
+    dictionary = spark.createDataFrame(rows or [], "column string, code int, category string")
+    try:
+        place = local_path(folder)
+    except ValueError:  # small files of another store come through the driver
+        place, data = None, {c: np.frombuffer(_content(spark, f"{folder}/{c}.bin"), kind) for c, kind in columns.items()}
+        sizes = {c: len(v) for c, v in data.items()}
+    else:
+        sizes = {c: os.path.getsize(f"{place}/{c}.bin") // np.dtype(kind).itemsize for c, kind in columns.items()}
+    for c, size in sizes.items():
+        if size != n if c in "xy" else size < n:
+            raise ValueError(f"{c}.bin has {size} values for {n} points")
+
+    def arrays(values: dict, low: int, high: int) -> list[pa.Array]:
+        out = [np.arange(low, high)] + [values[c][low:high].astype(np.float64 if kind == "<f4" else np.int32) for c, kind in columns.items()]
+        return [pa.array(v) for v in out]
+
+    if place is None:
+        return spark.createDataFrame(pa.table(dict(zip(["vec_id", *columns], arrays(data, 0, n))))), dictionary, meta
+
+    def ranges(batches):
+        for batch in batches:
+            values = {c: np.memmap(f"{place}/{c}.bin", kind, "r") for c, kind in columns.items()} if n else {}
+            for low in batch.column(0).to_pylist():
+                for at in range(low, min(n, low + _MAP_ROWS), 10_000):
+                    yield pa.RecordBatch.from_arrays(arrays(values, at, min(n, low + _MAP_ROWS, at + 10_000)), ["vec_id", *columns])
+
+    schema = "vec_id long, " + ", ".join(f"`{c}` {'double' if kind == '<f4' else 'int'}" for c, kind in columns.items())
+    return spark.range(0, n, _MAP_ROWS, max(1, -(-n // _MAP_ROWS))).mapInArrow(ranges, schema), dictionary, meta
+
+
+#: Points of a map that a task reads.
+_MAP_ROWS = 1_000_000
+
+
+def fetch(url: str, cache: str) -> str:
+    """A file by its URL, kept in a folder under a name made of the URL: fetched once, under another name until it is
+    whole. The place of the file; the folder is one that all machines share."""
+    place = os.path.join(local_path(cache), hashlib.sha256(url.encode()).hexdigest()[:32] + "-" + re.sub(r"[^A-Za-z0-9._-]", "_", url.rsplit("/", 1)[-1])[-80:])
+    if not os.path.exists(place):
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        part = f"{place}.{uuid.uuid4().hex}"
+        with urllib.request.urlopen(url) as source, open(part, "wb") as f:
+            shutil.copyfileobj(source, f)
+        os.replace(part, place)
+    return place
 
 
 def models(spark: SparkSession, path: str, user_indexes: DataFrame | None = None) -> DataFrame:

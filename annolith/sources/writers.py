@@ -14,6 +14,7 @@ from ..functions.labels import quoted
 from ..operators.ivf import IvfPqIndex
 from ..operators.kernels import matrix
 from ..operators.pq import code_matrix
+from ..session import number_rows
 from .readers import LIST_ENTRY, local_path
 
 
@@ -124,15 +125,37 @@ def write_binary_index(index: IvfPqIndex, folder: str) -> int:
 
 
 def write_map(points: DataFrame, dictionary: DataFrame, metadata: dict, folder: str) -> None:
-    """K6: x, y and label code files and the metadata, points in id order. The files are what a browser loads, so their
-    size is bounded by that; the table itself is written by write_vectors and write_label_columns."""
+    """K6: x, y and label code files and the metadata, points in id order. On a mounted folder the files are made in full
+    size and every task writes its stretch of them; elsewhere they pass through the driver, their size being bounded by what
+    a browser loads."""
     spark = points.sparkSession
     categories: dict[str, list[str]] = {}
     for r in dictionary.orderBy("column", "code").collect():
         categories.setdefault(r.column, []).append(r.category)
-    rows = points.orderBy("vec_id").toPandas()
-    for c in ("x", "y"):
-        _put(spark, f"{folder}/{c}.bin", rows[c].to_numpy().astype("<f4").tobytes())
-    for c in categories:
-        _put(spark, f"{folder}/{c}.bin", rows[c].to_numpy().astype("<i2").tobytes())
-    _put(spark, f"{folder}/metadata.json", json.dumps({**metadata, "categories": categories, "numPoints": len(rows)}).encode())
+    kinds = {"x": "<f4", "y": "<f4", **dict.fromkeys(categories, "<i2")}
+    try:
+        place = local_path(folder)
+    except ValueError:
+        rows = points.orderBy("vec_id").toPandas()
+        n = len(rows)
+        for c, kind in kinds.items():
+            _put(spark, f"{folder}/{c}.bin", rows[c].to_numpy().astype(kind).tobytes())
+    else:
+        numbered = number_rows(points.select("vec_id", *kinds), "vec_id", "__at").select("__at", *kinds)
+        n = numbered.count()
+        os.makedirs(place, exist_ok=True)
+        for c, kind in kinds.items():
+            with open(f"{place}/{c}.bin", "wb") as f:
+                f.truncate(n * np.dtype(kind).itemsize)
+
+        def put(batches):
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                for k, (c, kind) in enumerate(kinds.items() if len(at) else ()):
+                    values = np.memmap(f"{place}/{c}.bin", kind, "r+")
+                    values[at] = batch.column(k + 1).to_numpy(zero_copy_only=False)
+                    values.flush()
+                yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], ["n"])
+
+        numbered.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    _put(spark, f"{folder}/metadata.json", json.dumps({**metadata, "categories": categories, "numPoints": n}).encode())

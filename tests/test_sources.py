@@ -153,6 +153,30 @@ def test_npy_file_is_written_and_read_by_ranges(spark, tmp_path):
         writers.write_npy(frame(spark, x[:2]), "hdfs://x/w.npy")
 
 
+def test_fetch_keeps_what_it_has(tmp_path):
+    (tmp_path / "a b.bin").write_bytes(b"one")
+    url = f"file://{tmp_path}/a%20b.bin"
+    place = readers.fetch(url, f"file://{tmp_path}/cache")
+    (tmp_path / "a b.bin").write_bytes(b"two")
+    assert readers.fetch(url, f"file://{tmp_path}/cache") == place and open(place, "rb").read() == b"one"
+    with pytest.raises(OSError):
+        readers.fetch(f"file://{tmp_path}/none", f"{tmp_path}/cache")
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+
+
+def test_map_files_are_written_and_read_by_stretches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "_MAP_ROWS", 70)
+    rows = spark.range(500).selectExpr("id * 2 AS vec_id", "id / 500 AS x", "-id / 500 AS y", "cast(id % 3 - 1 AS int) AS kind").repartition(5)
+    names = spark.createDataFrame([("kind", 0, "a"), ("kind", 1, "b")], "column string, code int, category string")
+    writers.write_map(rows, names, {}, f"file://{tmp_path}/map")
+    back, _, meta = readers.read_map(spark, f"file://{tmp_path}/map")
+    got = back.orderBy("vec_id").collect()
+    assert meta["numPoints"] == 500 and [r.kind for r in got] == [i % 3 - 1 for i in range(500)] and all(abs(r.x - i / 500) < 1e-6 for i, r in enumerate(got))
+    (tmp_path / "map" / "y.bin").write_bytes(b"1234")
+    with pytest.raises(ValueError, match="1 values for 500 points"):
+        readers.read_map(spark, f"file://{tmp_path}/map")
+
+
 def test_map_round_trip(spark, tmp_path):
     rows = [(i, float(i), -float(i), "ab"[i % 2] if i else None) for i in range(5)]
     pts = spark.createDataFrame(rows, "vec_id long, x double, y double, kind string")
