@@ -323,7 +323,7 @@ def _grid(members: DataFrame, unlinked_blocks: int | None = None) -> DataFrame:
     every = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("used") - 1)).alias("i"), F.pmod(hashed, F.col("down")).cast("int").alias("j"), F.lit(False).alias("left"), *rest)
     left = dealt.where("unlinked").withColumn("i", F.pmod(hashed, F.col("across")).cast("int")).where("i < used")
     left = left.select("bucket", "i", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), F.lit(True).alias("left"), *rest)
-    return every.unionByName(left).groupBy("bucket", "i", "j")
+    return every.unionByName(left)
 
 
 def _cell(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -348,7 +348,8 @@ def _hubs(members: DataFrame) -> DataFrame:
         found = len(b) > 0 and total[k] > 0
         return pa.table({"bucket": pa.array([key[0].as_py()] if found else [], pa.int64()), "hub": pa.array([digest[b[k]]] if found else [], pa.binary()), "total": pa.array([total[k]] if found else [], pa.float64())})
 
-    hubs = _grid(members.select("bucket", "digest", "component", "signature", "unlinked"), 1).applyInArrow(best, "bucket long, hub binary, total double")
+    cells = _grid(members.select("bucket", "digest", "component", "signature", "unlinked"), 1).groupBy("bucket", "i", "j")
+    hubs = cells.applyInArrow(best, "bucket long, hub binary, total double")
     hubs = hubs.groupBy("bucket").agg(F.max(F.struct("total", "hub")).alias("h")).select("bucket", F.col("h.hub").alias("hub"))
     unlinked = _spread(members.where("unlinked").select("bucket", "digest"), hubs).where("digest != hub")
     return unlinked.select(F.col("digest").alias("member"), F.col("hub").alias("leader")).distinct()
@@ -362,8 +363,7 @@ def _not_in(pairs: DataFrame, judged: DataFrame) -> DataFrame:
 
 def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """Links (a, b, similarity) between unlinked nodes and nodes of other components of their buckets."""
-    shared = members.groupBy("bucket").agg(F.max("unlinked").alias("u"), F.count_distinct("component").alias("c")).where("u AND c > 1").select("bucket")
-    whole = _spread(members, shared).select("bucket", "digest", "component", "signature", "unlinked").join(texts, "digest")
+    cells = _grid(members.select("bucket", "digest", "component", "signature", "unlinked")).join(texts, "digest")
 
     def compare(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
         digest, component, signature, a, b = _cell(cell)
@@ -386,7 +386,7 @@ def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
         kinds = {"a": pa.binary(), "b": pa.binary(), "similarity": pa.float64()}
         return pa.table({c: pa.array([p[i] for p in found], k) for i, (c, k) in enumerate(kinds.items())})
 
-    return _grid(whole).applyInArrow(compare, "a binary, b binary, similarity double")
+    return cells.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, similarity double")
 
 
 def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
@@ -404,13 +404,13 @@ def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
     signed = stored(_sign(docs, text, idf).dropDuplicates(["digest"]), "dedup-signed")
     placed = signed.select("digest", F.explode("buckets").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = _spread(placed, sizes).select("bucket", "digest", "n")
+    shared = stored(_spread(placed, sizes).select("bucket", "digest", "n"), "dedup-shared")
     places = shared.groupBy("digest").agg(F.sum("n").alias("places"))
     most = shared.join(places, "digest").groupBy("bucket").agg(F.max(F.struct("places", "digest")).alias("l"))
     members = stored(_spread(shared, most).select("bucket", "digest", F.col("l.digest").alias("leader")), "dedup-members")
     pairs = stored(members.where("digest != leader").select(F.col("digest").alias("member"), "leader").distinct(), "dedup-pairs")
 
-    copies = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    copies = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n")), "dedup-copies")
     wanted = copies.join(pairs.select(F.col("member").alias("digest")).union(pairs.select("leader")).distinct(), "digest")
     texts = stored(_texts(docs, text, key, wanted), "dedup-texts")
 
