@@ -41,6 +41,8 @@ MIN_REVISIT = 1000
 BLOCK_LINES = 1000
 #: Records, and bytes of payload, that a task reads at a time.
 READ_RECORDS, READ_BYTES = 10_000, 16 << 20
+#: Records read by a task, unless more tasks would be needed.
+TASK_RECORDS, MOST_TASKS = 5_000, 20_000
 #: Payload groups up to which the table of revisited pages is broadcast (about 60 bytes each); beyond it is a join.
 BROADCAST_GROUPS = 500_000
 _GZIP = 31
@@ -141,7 +143,7 @@ class _Ranges:
 @dataclass
 class Archive:
     """Where the files are, and the directory of index files: first and last line (key, page id), file, where the file's
-    own directory lies and how many blocks it has."""
+    own directory lies and how many blocks and lines it has."""
 
     folder: str
     files: DataFrame
@@ -199,7 +201,7 @@ def write_archive(pages: DataFrame) -> Archive:
 
     def blocks(batches) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
-        name, out, at, pending, directory, last = f"index-{uuid.uuid4().hex}.cdxz", None, 0, [], [], None
+        name, out, at, pending, directory, last, lines_ = f"index-{uuid.uuid4().hex}.cdxz", None, 0, [], [], None, 0
 
         def append(rows: list[tuple]) -> tuple[int, int]:
             nonlocal at
@@ -216,24 +218,25 @@ def write_archive(pages: DataFrame) -> Archive:
             out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
             for last in zip(*(c.to_pylist() for c in batch.columns)):
                 pending.append(last)
+                lines_ += 1
                 if len(pending) == BLOCK_LINES:
                     close_block()
         if pending:
             close_block()
         if directory:
-            rows = [(*directory[0][:2], *last[:2], name, *append(directory), len(directory))]
+            rows = [(*directory[0][:2], *last[:2], name, *append(directory), len(directory), lines_)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _FILE_KINDS.values())], list(_FILE_KINDS))
         if out:
             out.close()
 
     ordered = lines.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    schema = "first_key string, first_id long, last_key string, last_id long, file string, offset long, length long, n long"
+    schema = "first_key string, first_id long, last_key string, last_id long, file string, offset long, length long, n long, lines long"
     return Archive(folder, stored(ordered.mapInArrow(blocks, schema), "warc-files"))
 
 
 _FILE_KINDS = {
     "first_key": pa.string(), "first_id": pa.int64(), "last_key": pa.string(), "last_id": pa.int64(),
-    "file": pa.string(), "offset": pa.int64(), "length": pa.int64(), "n": pa.int64(),
+    "file": pa.string(), "offset": pa.int64(), "length": pa.int64(), "n": pa.int64(), "lines": pa.int64(),
 }
 #: A missing page id sorts before all others.
 _NO_ID = -(1 << 63) - 1
@@ -248,7 +251,7 @@ class IndexReader:
     and the block that it used last, as captures are looked up in key order."""
 
     def __init__(self, folder: str, files: list[tuple]):
-        """files: (first key, first id, last key, last id, file, offset, length, n) in order."""
+        """files: (first key, first id, last key, last id, file, offset, length, blocks, lines) in order."""
         self.ranges = _Ranges(folder)
         self.files = files
         self.lasts = [_line(f[2], f[3]) for f in files]
@@ -268,7 +271,7 @@ class IndexReader:
         low = (key, _NO_ID) if any_id else _line(key, page_id)
         high = (key, 1 << 64) if any_id else low
         for k in range(bisect.bisect_left(self.lasts, low), len(self.files)):
-            first_key, first_id, _, _, file, offset, length, _ = self.files[k]
+            first_key, first_id, _, _, file, offset, length, *_ = self.files[k]
             if _line(first_key, first_id) > high:
                 return
             firsts, blocks = self._lines("directory", file, offset, length)
@@ -301,7 +304,8 @@ def read_captures(archive: Archive, wanted: DataFrame, payload: bool = True) ->
     """The records of the wanted captures (key, page_id), each found through the index: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to and, unless it is not asked for, payload (null for revisits)."""
     folder = archive.folder
-    files = archive.files.sparkSession.sparkContext.broadcast(_files_of(archive))
+    directory = _files_of(archive)
+    files = archive.files.sparkSession.sparkContext.broadcast(directory)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     if payload:
@@ -333,7 +337,9 @@ def read_captures(archive: Archive, wanted: DataFrame, payload: bool = True) ->
                         places = []
             yield from flush(places)
 
-    ordered = wanted.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # a task's work is the records it reads, not the keys it is given
+    tasks = max(1, min(MOST_TASKS, -(-sum(f[-1] for f in directory) // TASK_RECORDS)))
+    ordered = wanted.select("key", "page_id").repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     return ordered.mapInArrow(run, schema)
 
 

@@ -263,7 +263,8 @@ def test_captures_are_found_by_bisection(spark, monkeypatch):
     archive = warc.write_archive(pages)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = warc._files_of(archive)
-    blocks = sum(f[-1] for f in files)
+    blocks = sum(f[-2] for f in files)
+    assert sum(f[-1] for f in files) == 3000
     assert blocks >= 300 and len(files) > 1
     rows = [(warc.url_key(r.url), r.page_id) for r in pages.collect()]
     for key, page_id in rows[:40]:
@@ -369,6 +370,58 @@ def test_classes_against_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+def _all_links(docs, idf):
+    """Every pair of documents whose weighted similarity is 0.8 or more. Weights are between 1 and 1 + gain an occurrence,
+    so such a pair has a plain similarity over 0.64 as multisets, and shares one of the rarest 36 % of either's elements."""
+    features, elements, seen = [], [], collections.Counter()
+    for _, t in docs:
+        h, n = near_dedup.shingles(decontaminate.split_words(t or ""))
+        features.append((h, near_dedup.weights_of(h, n, idf)))
+        elements.append([(x, k) for x, m in zip(h.tolist(), n.tolist()) for k in range(m)])
+        seen.update(elements[-1])
+    holders, links = collections.defaultdict(list), []
+    for i in sorted(range(len(docs)), key=lambda i: len(elements[i])):
+        rare = sorted(elements[i], key=lambda e: (seen[e], e))
+        rare = rare[: len(rare) - int(np.ceil(0.64 * len(rare))) + 1] if rare else []
+        for j in {j for e in rare for j in holders[e]}:
+            if len(elements[j]) >= 0.6 * len(elements[i]) and (s := near_dedup.weighted_jaccard(features[i], features[j])) >= near_dedup.SIMILARITY:
+                links.append((docs[i][0], docs[j][0], s))
+        for e in rare:
+            holders[e].append(i)
+    return links
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_classes_of_the_tables_against_all_pairs(spark, sf_dir, size):
+    d = sf_dir.replace("sf0.001", size)
+    docs = [(r.doc_id, r.text) for r in table(spark, d, "documents").collect()]
+    counts = np.zeros(near_dedup.DF_SLOTS)
+    for _, t in docs:
+        h, _ = near_dedup.shingles(decontaminate.split_words(t or ""))
+        counts[np.unique((h >> np.uint64(64 - 18)).astype(np.int64))] += 1
+    links = _all_links(docs, near_dedup.idf_of(counts, len(docs)))
+    parent = {i: i for i, _ in docs}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b, _ in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    rows = near_dedup.near_duplicates(table(spark, d, "documents")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: find(i) for i, _ in docs} and len(links) > 50
+    best = collections.defaultdict(float)
+    words = {i: near_dedup.digest_of(decontaminate.split_words(t or "")) for i, t in docs}
+    for a, b, s in links:
+        if words[a] != words[b]:
+            best[a], best[b] = max(best[a], s), max(best[b], s)
+    linked = [r for r in rows if r.n_links]
+    assert linked and all(near_dedup.SIMILARITY <= r.similarity <= best[r.doc_id] + 1e-9 for r in linked)
+    assert {r.doc_id for r in linked} == set(best)
+
+
 def test_pairs_of_a_bucket_are_verified_whatever_their_samples(spark):
     text = " ".join(f"w{i}" for i in range(60))
     unlike = " ".join(f"v{i}" for i in range(60))
