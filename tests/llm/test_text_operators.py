@@ -166,6 +166,15 @@ def test_memory_limit_keeps_results(monkeypatch):
     assert encoder.count(text) == len(bpe.load_tokenizer(path).encode(text, add_special_tokens=False).ids)
 
 
+def test_latin_pattern_finds_what_the_pattern_finds():
+    letters = [c for c in map(chr, range(256)) if not bpe._UNLIKE.search(c)]
+    find, latin = bpe.pattern().findall, bpe._LATIN.findall
+    for a in letters:
+        for b in letters:
+            s = f"{a}{b} {a}{b}{a} {b}x{a}{b}1{b}!{a}  {b}\n{a}'s{b}'ll {a}'{b}"
+            assert latin(s) == find(s)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_count_by_their_library(spark, edges, name):
     got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(edges.where("doc_id <> 5"), name=name).collect()}
