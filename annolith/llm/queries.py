@@ -11,6 +11,7 @@ from .packing import op3
 from .quality_rules import OP4_SQL, op4
 from .secret_scan import op9
 from .token_count import op5
+from .vector_codes import OP11_SQL, op11
 from .warc import OP6_SQL, op6
 
 QUERIES = {
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_benchmark_decontamination": op8,
     "op9_secret_scans": op9,
     "op10_minhash_near_dedup": op10,
+    "op11_vector_codes": op11,
 }
 ORACLE_SQL = {
     "op4_quality_rules": OP4_SQL,
     "op6_warc": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
