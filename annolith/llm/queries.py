@@ -9,6 +9,7 @@ from .license_scan import op2
 from .near_dedup import op10
 from .packing import op3
 from .quality_rules import OP4_SQL, op4
+from .repeats import op12
 from .secret_scan import op9
 from .token_count import op5
 from .vector_codes import OP11_SQL, op11
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_secret_scans": op9,
     "op10_minhash_near_dedup": op10,
     "op11_vector_codes": op11,
+    "op12_suffix_array_dedup": op12,
 }
 ORACLE_SQL = {
     "op4_quality_rules": OP4_SQL,
