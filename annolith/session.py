@@ -53,7 +53,7 @@ def scratch(spark: SparkSession) -> str:
 #: Where the shared folder is a mounted one: files without a checksum file beside each. Without the native library Hadoop
 #: starts a shell command for every file's permissions, four for a file and its checksums, and each of them shares the
 #: executor's memory for a moment, which counts it twice.
-_RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -61,7 +61,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     any executor, and unlike a checkpoint of rows is columnar and compressed."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.options(**(_RAW_FILES if path.startswith("file:") else {})).parquet(path)
+    df.write.options(**(RAW_FILES if path.startswith("file:") else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
