@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import analytics, encoder, features, ivf, knn, mapping, vote
-from .session import stored
+from .session import number_rows, stored
 
 
 @dataclass(frozen=True)
@@ -26,12 +26,13 @@ def embed_cells(expression: DataFrame, genes: DataFrame, vocabulary: DataFrame,
 
 
 def number_cells(cells: DataFrame, key: str = "cell_id") -> DataFrame:
-    """A long id per cell by hash of its name, with an error where two names share one."""
+    """A long id per cell: the hash of its name, or, should two names share one (which is to be expected from some 10^9 cells on), its place in their order."""
     numbered = cells.withColumn("vec_id", F.xxhash64(key))
-    twice = numbered.groupBy("vec_id").agg(F.count_distinct(key).alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        raise ValueError("two cell names have the same hash; give the cells numeric ids")
-    return numbered
+    twice = numbered.groupBy("vec_id").agg(F.min(key).alias("a"), F.max(key).alias("z")).where("a <> z")
+    if twice.isEmpty():
+        return numbered
+    places = number_rows(cells.select(key).where(F.col(key).isNotNull()).distinct(), key)
+    return cells.join(places, key, "left")
 
 
 def label_embeddings(cells: DataFrame, reference: Reference, n_probe: int = ivf.N_PROBE, k: int = ivf.K, tie: str = "smallest", key: str = "cell_id") -> DataFrame:

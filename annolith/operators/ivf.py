@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import ranked_by_range, stored
 from . import clustering
 from .kernels import QUERY_BYTES, Best, matrix, merged, nearest, offer_matrix, paired, query_block, squared_distances, usable_rows
 from .pq import ProductQuantizer, code_matrix, train_quantizer, usable
@@ -189,10 +189,9 @@ def search(
     return found.withColumn("dist", F.sqrt("dist")) if metric == "l2" else found
 
 
-def _search_lists(queries: DataFrame, index: IvfPqIndex, n_probe: int, k: int, payload: str | None) -> DataFrame:
-    """Queries beyond a broadcast: each goes to the lists it probes, and meets them where they are, list by list."""
-    spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast((index.centroids, index.partition_ids.astype(np.int32)))
+def _visits(queries: DataFrame, index: IvfPqIndex, n_probe: int) -> DataFrame:
+    """partition_id, i, v: each query in the lists it probes. Stored."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.partition_ids.astype(np.int32)))
 
     def probes(batches):
         c, names = shared.value
@@ -201,30 +200,70 @@ def _search_lists(queries: DataFrame, index: IvfPqIndex, n_probe: int, k: int, p
             rows = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(names[near.ravel()]), batch.column(0).take(rows), batch.column(1).take(rows)], ["partition_id", "i", "v"])
 
-    visits = stored(queries.mapInArrow(probes, queries.select(F.lit(0).alias("partition_id"), "i", "v").schema), "probes")
+    return stored(queries.mapInArrow(probes, queries.select(F.lit(0).alias("partition_id"), "i", "v").schema), "probes")
+
+
+def _meet(visits: DataFrame, index: IvfPqIndex, payload: str | None, kernel, schema: str) -> DataFrame:
+    """kernel(queries less their list's centroid, query ids, codes, vector ids, payloads) gives the columns of a table, for
+    blocks of the queries that visit a list and blocks of its rows."""
+    spark = visits.sparkSession
     lists = index.lists.select("partition_id", F.col("vec_id").alias("i"), "codes", *([F.col(payload).cast("long").alias(payload)] if payload else []))
     t = visits.groupBy("partition_id").agg(F.ceil(F.count("*") / max(1, QUERY_BYTES // (8 * index.dimensions))).alias("t"))
     s = lists.groupBy("partition_id").agg(F.ceil(F.count("*") / LIST_ROWS).alias("s"))
     where = spark.sparkContext.broadcast(({int(p): i for i, p in enumerate(index.partition_ids)}, index.centroids, index.pq))
-    names = ["query_id", "vec_id", "dist", *([payload] if payload else [])]
 
-    def kernel(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         number, centroids, pq = where.value
-        best = Best(left.num_rows, k)
-        if left.num_rows and right.num_rows:
-            q = matrix(left.column("v"), pq.d) - centroids[number[key[0].as_py()]]
-            vec, codes = right.column("i").to_numpy(), code_matrix(right.column("codes").combine_chunks(), pq.m)
-            extra = right.column(payload).to_numpy() if payload else None
-            for lo in range(0, len(q), 512):
-                part = np.arange(lo, min(lo + 512, len(q)))
-                tables = pq.table(q[part])
-                for at in range(0, len(vec), 8192):
-                    offer_matrix(best, part, pq.distances(tables, codes[at : at + 8192]), vec[at : at + 8192], None if extra is None else extra[at : at + 8192])
-        n, found, dist, extra = best.rows()
-        arrays = [pa.array(left.column("i").to_numpy()[n]), pa.array(found), pa.array(dist)] + ([pa.array(extra)] if payload else [])
+        q = matrix(left.column("v"), pq.d) - centroids[number[key[0].as_py()]]
+        codes = code_matrix(right.column("codes").combine_chunks(), pq.m) if right.num_rows else np.zeros((0, pq.m), np.uint8)
+        return kernel(pq, q, left.column("i").to_numpy(), codes, right.column("i").to_numpy(), right.column(payload).to_numpy() if payload else None)
+
+    return paired(visits, lists, t.join(s, "partition_id"), ["partition_id"], run, schema)
+
+
+def _search_lists(queries: DataFrame, index: IvfPqIndex, n_probe: int, k: int, payload: str | None) -> DataFrame:
+    """Queries beyond a broadcast: each goes to the lists it probes, and meets them where they are, list by list."""
+    names = ["query_id", "vec_id", "dist", *([payload] if payload else [])]
+
+    def kernel(pq: ProductQuantizer, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, vec: np.ndarray, extra: np.ndarray | None) -> pa.Table:
+        best = Best(len(q), k)
+        for lo in range(0, len(q), 512):
+            part = np.arange(lo, min(lo + 512, len(q)))
+            tables = pq.table(q[part])
+            for at in range(0, len(vec), 8192):
+                offer_matrix(best, part, pq.distances(tables, codes[at : at + 8192]), vec[at : at + 8192], None if extra is None else extra[at : at + 8192])
+        n, found, dist, payloads = best.rows()
+        arrays = [pa.array(ids[n]), pa.array(found), pa.array(dist)] + ([pa.array(payloads)] if payload else [])
         return pa.table(dict(zip(names, arrays)))
 
-    return paired(visits, lists, t.join(s, "partition_id"), ["partition_id"], kernel, "query_id long, vec_id long, dist double" + (f", {payload} long" if payload else ""))
+    return _meet(_visits(queries, index, n_probe), index, payload, kernel, "query_id long, vec_id long, dist double" + (f", {payload} long" if payload else ""))
+
+
+#: Distances of a full order that one task hands on as one row.
+_ORDER_ROWS = 4096
+
+
+def order_lists(queries: DataFrame, index: IvfPqIndex, n_probe: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """T5: query_id, rank, vec_id, dist of every vector in the probed lists, in order of (dist, vec_id) for each query: a full sort
+    without a limit. The distances leave the kernels in arrays and are sorted by ranges over the cluster, so neither a query's lists
+    nor a query need fit a task; a rank is a row's place in the sorted whole less that of its query's first row."""
+
+    def kernel(pq: ProductQuantizer, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, vec: np.ndarray, extra: None) -> pa.Table:
+        owners, names, dists = [], [], []
+        for lo in range(0, len(q), 512):
+            tables = pq.table(q[lo : lo + 512])
+            for at in range(0, len(vec), _ORDER_ROWS):
+                d = pq.distances(tables, codes[at : at + _ORDER_ROWS])
+                owners.append(ids[lo : lo + 512])
+                names += [vec[at : at + _ORDER_ROWS]] * len(d)
+                dists += list(d)
+        arrays = [np.concatenate(owners) if owners else np.zeros(0, np.int64), pa.array(names, pa.list_(pa.int64())), pa.array(dists, pa.list_(pa.float64()))]
+        return pa.table(arrays, ["query_id", "vec_ids", "dists"])
+
+    visits = _visits(usable_rows(queries, id_col, vector_col), index, n_probe)
+    blocks = _meet(visits, index, None, kernel, "query_id long, vec_ids array<long>, dists array<double>")
+    every = blocks.select("query_id", F.explode(F.arrays_zip("vec_ids", "dists")).alias("r")).select("query_id", F.col("r.vec_ids").alias("vec_id"), F.col("r.dists").alias("dist"))
+    return ranked_by_range(every, ["query_id"], ["dist", "vec_id"]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "dist")
 
 
 def _search_block(index: IvfPqIndex, ids: np.ndarray, q: np.ndarray, n_probe: int, k: int, payload: str | None) -> DataFrame:

@@ -64,13 +64,16 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Best:
-    """The k smallest (distance, id) per query, gathered from batches; payload numbers follow the ids."""
+    """The k smallest (distance, id) per query, gathered from batches; payload numbers follow the ids. As wide as what the
+    fullest query has found, so k may be any number."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.dist = np.full((n, k), np.inf)
-        self.ids = np.full((n, k), np.iinfo(np.int64).max)
-        self.extra = np.full((n, k), -1, np.int64)
+        self.dist, self.ids, self.extra = _blank((n, 0))
+
+    def worst(self, rows: np.ndarray) -> np.ndarray:
+        """What a candidate must not exceed to matter."""
+        return self.dist[rows, -1] if self.dist.shape[1] == self.k else np.full(len(rows), np.inf)
 
     def offer(self, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
         """dist: len(rows) x candidates; ids: candidates, or a row of them for each query."""
@@ -80,7 +83,12 @@ class Best:
         i = np.concatenate([self.ids[rows], ids], axis=1)
         e = np.concatenate([self.extra[rows], extra], axis=1)
         order = np.lexsort((i, d), axis=1)[:, : self.k]
-        self.dist[rows], self.ids[rows], self.extra[rows] = (np.take_along_axis(x, order, 1) for x in (d, i, e))
+        d, i, e = (np.take_along_axis(x, order, 1) for x in (d, i, e))
+        used = max(self.dist.shape[1], int(np.isfinite(d).sum(axis=1).max(initial=0)))
+        if used > self.dist.shape[1]:
+            more = _blank((len(self.dist), used - self.dist.shape[1]))
+            self.dist, self.ids, self.extra = (np.concatenate([a, b], axis=1) for a, b in zip((self.dist, self.ids, self.extra), more))
+        self.dist[rows], self.ids[rows], self.extra[rows] = d[:, :used], i[:, :used], e[:, :used]
 
     def rows(self) -> tuple[np.ndarray, ...]:
         """Query numbers, ids, distances and payloads of what was found."""
@@ -88,6 +96,10 @@ class Best:
         return q, self.ids[q, c], self.dist[q, c], self.extra[q, c]
 
 
+def _blank(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.full(shape, np.inf), np.full(shape, np.iinfo(np.int64).max), np.full(shape, -1, np.int64)
+
+
 def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, distance: Callable | None = None) -> None:
     """Offer a batch of vectors to all queries: candidates by the product, their distances from differences."""
     step = max(1, _CELLS // max(1, len(x)))
@@ -96,7 +108,7 @@ def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray,
         d = squared_distances(q, x)
         rows = np.arange(lo, lo + len(q))
         if len(x) > best.k:
-            limit = np.minimum(np.partition(d, best.k - 1, axis=1)[:, best.k - 1], best.dist[rows, -1]) + 1e-9
+            limit = np.minimum(np.partition(d, best.k - 1, axis=1)[:, best.k - 1], best.worst(rows)) + 1e-9
         else:
             limit = np.full(len(q), np.inf)
         i, j = np.nonzero(d <= limit[:, None])
@@ -124,7 +136,7 @@ def offer_pairs(best: Best, rows: np.ndarray, i: np.ndarray, dist: np.ndarray, i
 def offer_matrix(best: Best, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
     """Offer exact distances of queries x candidates."""
     if dist.shape[1] > best.k:
-        limit = np.minimum(np.partition(dist, best.k - 1, axis=1)[:, best.k - 1], best.dist[rows, -1])
+        limit = np.minimum(np.partition(dist, best.k - 1, axis=1)[:, best.k - 1], best.worst(rows))
         i, j = np.nonzero(dist <= limit[:, None])
     else:
         i, j = np.nonzero(np.isfinite(dist))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import ingest
+from .. import api, ingest
 from ..functions import labels as scalar
 from ..functions.vectors import ratio
 from ..operators import analytics, encoder, ivf, mapping, pq, sampling, user_index, vote
@@ -309,21 +309,19 @@ SELECT CAST(query_id AS VARCHAR) AS cell_id, 'group ' || label AS label, votes /
 
 @query("label_cells", _LABEL_SQL)
 def label_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Q8, the whole online path: align, embed, search an index by a rule over the embedded cells, vote, decode. Distances
-    are rounded before they are ranked, as cells with equal codes are many and sums differ in their last digits."""
+    """Q8, the whole online path: align, embed, search an index by a rule over the embedded cells, vote, decode."""
     from ..session import stored
 
-    cells = stored(encoder.embed(aligned(spark, d), linear(spark, d)).withColumnRenamed("cell_id", "vec_id"), "cells")
+    model = linear(spark, d)
+    known = stored(encoder.embed(aligned(spark, d), model).withColumnRenamed("cell_id", "vec_id"), "cells")
     quantizer = pq.from_words([np.array(_WORDS), np.array(_WORDS)])
     centroids = np.array([(0.0,) * 4, _FAR])
-    index = ivf.IvfPqIndex(centroids, quantizer, ivf.populate(cells, centroids, quantizer))
-    found = ivf.search(cells, index, 2, 1_000_000).withColumn("dist", F.round("dist", 6))
-    order = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    found = found.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-    known = cells.select("vec_id", (F.col("vec_id") % 4).cast("int").alias("label_id"))
-    votes = vote.all_queries(cells, vote.majority_vote(vote.with_labels(found, known), 10))
+    index = ivf.IvfPqIndex(centroids, quantizer, ivf.populate(known, centroids, quantizer))
     names = spark.createDataFrame([(i, f"group {i}") for i in range(4)], "label_id int, label string")
-    return vote.decode_labels(votes, names).select(F.col("query_id").cast("string").alias("cell_id"), "label", "confidence")
+    reference = api.Reference(index, known.select("vec_id", (F.col("vec_id") % 4).cast("int").alias("label_id")), names)
+    cells = expression(spark, d).withColumn("cell_id", F.col("cell_id").cast("string"))
+    found = api.label_cells(cells, genes(spark, d), vocabulary(spark, d), model, reference, n_probe=2, k=10)
+    return found.select("cell_id", "label", "confidence")
 
 
 @query("training_sample", "SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) WHERE r <= 100")

@@ -185,7 +185,7 @@ def ivfpq_search_many(spark: SparkSession, d: str) -> DataFrame:
 def list_order(spark: SparkSession, d: str) -> DataFrame:
     """T5: every vector of the nearest list, in order of its distance."""
     v, q = vectors_and_queries(spark, d)
-    return ivf.search(q, rule_index(v), 1, 1_000_000, broadcast_bytes=0).select("query_id", "rank", "vec_id", r6("dist"))
+    return ivf.order_lists(q, rule_index(v)).select("query_id", "rank", "vec_id", r6("dist"))
 
 
 @query("adc_search_all_lists", f"WITH {PROBE_SQL}{search_sql(1000000)} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(sqrt(dist), 6) AS dist FROM found")

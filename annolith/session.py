@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -84,3 +87,45 @@ def number_rows(rows: DataFrame, key: str, name: str = "vec_id") -> DataFrame:
     first = rows.sparkSession.createDataFrame(starts, "__p long, __first long")
     numbered = ordered.join(F.broadcast(first), part == F.col("__p"))
     return numbered.withColumn(name, F.col("__first") + place).drop("__place", "__p", "__first")
+
+
+def ranked_by_range(rows: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """rows with their rank (long, from 1) within `by` (not null), in an order that has no ties. Sorted by ranges of both,
+    so that a large group lies in many tasks; each task counts along its rows, and what goes through the driver are the first
+    and the last group of each task and the size of the latter there."""
+    from pyspark import TaskContext
+
+    names = rows.columns
+    at = [names.index(c) for c in by]
+
+    def count_along(batches):
+        task, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in at]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            new[0] = last != tuple(k[0] for k in keys)
+            place = np.arange(batch.num_rows)
+            start = np.maximum.accumulate(np.where(new, place, -1))
+            rank = np.where(start < 0, n + place, place - start) + 1
+            last, n = tuple(k[-1] for k in keys), int(rank[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rank.astype(np.int64)), pa.array(np.full(len(place), task, np.int32))], [*names, "__rank", "__task"])
+
+    schema = StructType([*rows.schema.fields, StructField("__rank", LongType()), StructField("__task", IntegerType())])
+    ordered = stored(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).mapInArrow(count_along, schema), "ranked")
+    group = F.struct(*by)
+    ends = ordered.groupBy("__task").agg(F.min(group).alias("a"), F.max(F.struct(group.alias("g"), F.col("__rank").alias("n"))).alias("z"))
+    before, group_before, n = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["__task"]):
+        same = group_before is not None and r.z.g == group_before
+        if group_before is not None and r.a == group_before:
+            before.append((r["__task"], r.a, n))
+        group_before, n = r.z.g, r.z.n + (n if same else 0)
+    rank = F.col("__rank")
+    if before:
+        known = rows.sparkSession.createDataFrame(before, ends.select(F.col("__task").alias("t"), F.col("a").alias("__g"), F.lit(0).cast("long").alias("before")).schema)
+        ordered = ordered.join(F.broadcast(known), (F.col("__task") == F.col("t")) & (group == F.col("__g")), "left")
+        rank = rank + F.coalesce("before", F.lit(0))
+    return ordered.select(*names, rank.alias(name))
