@@ -4,10 +4,11 @@ The base patterns run over the text itself. Then a worklist unwraps layers. A la
 by character, the place in the document that it came from. Two steps lead from a layer to deeper ones:
 
 * unescape: every percent escape and every backslash escape (`\\uXXXX`, `\\u{X}`, `\\UXXXXXXXX`, `\\xXX`) is replaced by
-  what it stands for. Where that is `%` or a backslash, it is read on together with what follows, so an escape that was
-  escaped any number of times (`%252525..20`) is peeled in this one step, in time linear in its length;
-* base64: every run of base64 (wrapped or not, either alphabet) that encodes text, inflated further through all gzip and
-  zlib members, is replaced by that text. Runs that encode other data are a layer each, read byte by byte and, where NULs
+  what it stands for, and so are quotes and ends of lines behind one backslash or more, as in JSON. Where an escape stands for
+  `%` or a backslash, it is read on together with what follows, so one that was escaped any number of times
+  (`%252525..20`) is peeled in this one step, in time linear in its length;
+* base64: every run of base64 (wrapped and indented or not, either alphabet) that encodes text, inflated further through
+  all members of gzip, zlib, bzip2 and xz and whole streams of bare deflate, is replaced by that text. Runs that encode other data are a layer each, read byte by byte and, where NULs
   alternate, as UTF-16; matches in them map to the whole run.
 
 Only what changed is entered: the maximal runs of characters that can belong to a pattern, an escape or a base64 run
@@ -16,9 +17,9 @@ text would. Layers already seen at the same place are not entered again, so the
 that unpacks to itself. Each layer is scanned with the same patterns; matches with a decoded character are mapped back to
 code points of the text and added to the base matches. There is no recursion, so nesting has no limit.
 
-Data that inflates beyond IN_MEMORY bytes is not held: it is inflated and searched piece by piece, whatever its size, and
-what it has counts for the run as a whole. Pieces overlap by OVERLAP bytes; in such data only, a base64 run longer than a
-piece is decoded in parts.
+Data that inflates beyond IN_MEMORY bytes is not held: it is inflated and searched as it comes, whatever its size, and
+what it has counts for the run as a whole. It is read in pieces that overlap; a run of base64 in it that is longer than the
+overlap is decoded as it comes and searched in the same way, and so on (`_Search`).
 
 Base patterns (fixed values): assign, access, hex as in `KINDS`.
 
@@ -32,11 +33,16 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import bz2
+import contextlib
 import hashlib
+import itertools
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +61,15 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Runs of all characters that a pattern, an escape or a base64 run can have.
-_REACH = re.compile(r"""[A-Za-z0-9+/_.=%\\{}"':\x20\r\n-]+""")
+_REACH = re.compile(r"""[A-Za-z0-9+/_.=%\\{}"':\x20\t\r\n-]+""")
 _OPENER = re.compile(r"[%\\]")
 _PERCENT = re.compile(r"[0-9A-Fa-f]{2}")
 _BACKSLASH = re.compile(r"u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})")
-#: Lines of 16 characters or more, and one last line of any length.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]{1,15})?={0,2}")
+#: Quotes and ends of lines as strings of programs and JSON have them, escaped once or more often.
+_QUOTED = re.compile(r"""\\*(["'nrt])""")
+_MEANING = {"n": 10, "r": 13, "t": 9}
+#: Lines of 16 characters or more, indented or not, and one last line of any length.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15})?={0,2}")
 #: NULs that alternate with other bytes, as in UTF-16.
 _WIDE = re.compile(rb"(?:[^\x00]\x00){4}")
 #: Bytes of the shortest secret, `token=` and six characters; no escape or base64 run of one is shorter.
@@ -82,13 +91,42 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 # ---- packed data
 
+#: How packed data begin (fixed values); zlib data by its check of the first two bytes.
+_MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(47)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ)))
+_BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
+
 
 def _packed(data: bytes) -> bool:
-    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0
+    return _unpacker(data) is not None
+
+
+def _unpacker(data: bytes):
+    for magic, make in _MAGIC:
+        if data[: len(magic)] == magic:
+            return make
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
+        return lambda: zlib.decompressobj(47)
+    return None
+
+
+#: Bytes that tell whether data are packed.
+_HEAD = 6
+
+
+def _pieces(z, data: bytes) -> Iterator[bytes]:
+    """What an unpacker makes of more data, in pieces."""
+    if hasattr(z, "unconsumed_tail"):
+        while data and not z.eof:
+            yield z.decompress(data, PIECE)
+            data = z.unconsumed_tail
+    else:
+        yield z.decompress(data, PIECE)
+        while not z.eof and not z.needs_input:
+            yield z.decompress(b"", PIECE)
 
 
 def _members(source: Iterator[bytes]) -> Iterator[bytes]:
-    """What the gzip and zlib members of a stream hold, all joined, and then what follows them as it is."""
+    """What the packed members of a stream hold, all joined, and then what follows them as it is."""
     z, rest, first = None, b"", True
     for chunk in source:
         rest += chunk
@@ -96,22 +134,23 @@ def _members(source: Iterator[bytes]) -> Iterator[bytes]:
             if z is None:
                 if not first:  # members may be padded
                     rest = rest.lstrip(b"\0")
+                if len(rest) < _HEAD and (more := next(source, b"")):
+                    rest += more
+                    continue
                 if not rest:
                     break
-                if len(rest) > 1 and not _packed(rest):
+                if (make := _unpacker(rest)) is None:
                     yield rest
                     yield from source
                     return
-                z, first = zlib.decompressobj(47), False
+                z, first = make(), False
             try:
-                piece = z.decompress(rest, PIECE)
-            except zlib.error:
+                yield from filter(None, _pieces(z, rest))
+            except _BROKEN:
                 yield rest
                 yield from source
                 return
-            if piece:
-                yield piece
-            rest = z.unconsumed_tail
+            rest = b""
             if z.eof:
                 rest, z = z.unused_data, None
 
@@ -134,34 +173,217 @@ def _unpack(data: bytes) -> tuple[bytes, Iterator[bytes] | None]:
     return data, None
 
 
+def _raw_deflate(data: bytes) -> Iterator[bytes] | None:
+    """What data hold that are one whole stream of deflate without a header, which nothing but trying tells."""
+    if len(data) < SHORTEST:
+        return None
+    z = zlib.decompressobj(-15)
+    try:
+        for _ in _pieces(z, data):
+            pass
+    except zlib.error:
+        return None
+    return _pieces(zlib.decompressobj(-15), data) if z.eof and not z.unused_data else None
+
+
+def _bounded(stream: Iterator[bytes]) -> tuple[bytes, Iterator[bytes] | None]:
+    """All of a stream, or if that is larger than IN_MEMORY the stream from its start on."""
+    parts, size = [], 0
+    for piece in stream:
+        parts.append(piece)
+        size += len(piece)
+        if size > IN_MEMORY:
+            return b"", itertools.chain(parts, stream)
+    return b"".join(parts), None
+
+
 def _whole(stream: Iterator[bytes]) -> Iterator[bytes]:
     """A stream without the packed layers it still has."""
     while True:
         head = next(stream, b"")
-        while 0 < len(head) < 2 and (more := next(stream, b"")):
+        while 0 < len(head) < _HEAD and (more := next(stream, b"")):
             head += more
-        rest = _with_head(head, stream)
+        rest = itertools.chain((head,), stream)
         if not _packed(head):
             return rest
         stream = _members(rest)
 
 
-def _with_head(head: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
-    yield head
-    yield from rest
+# ---- data of any size, searched as they come
+
+
+#: 1: characters of base64; 2: ends of lines and NULs between them; 3: indentation, which counts after one of these.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"]] = 1
+_CLASS[[*b"\r\n\0"]] = 2
+_CLASS[[*b" \t"]] = 3
+
+
+def _in_run(data: bytes, after_line: bool = False) -> np.ndarray:
+    """Per byte whether a run of base64 may go on with it, whatever stands before."""
+    c = _CLASS[np.frombuffer(data, np.uint8)]
+    at = np.maximum.accumulate(np.where(c != 3, np.arange(len(c)), -1))
+    before = np.where(at < 0, 2 if after_line else 0, c[np.maximum(at, 0)])
+    return (c == 1) | (c == 2) | (c == 3) & (before == 2)
+
+
+class _Search:
+    """Kinds of secrets in data of any size, which come piece by piece. They are read in pieces that overlap by OVERLAP
+    bytes. What is shorter than that is wholly in a piece; a run of base64 that is longer goes on, while it lasts, into searches of
+    their own of what it encodes: one for each place among four where its groups of four may begin, as what stands before it may
+    look like a part of it. What they get is unpacked first."""
+
+    def __init__(self, found: set[int] | None = None):
+        self.found = set() if found is None else found
+        self.held, self.run = b"", None
+
+    def feed(self, data: bytes) -> None:
+        for lo in range(0, len(data), PIECE):
+            self._take(data[lo : lo + PIECE])
+
+    def _take(self, data: bytes) -> None:
+        if len(self.found) == len(KINDS):
+            return
+        if self.run is not None:
+            self.run.feed(data)
+            if self.run.ended:
+                self.run = None
+        self.held += data
+        if len(self.held) < PIECE + OVERLAP:
+            return
+        self.found |= _kinds_of(self.held)
+        if self.run is None:
+            bad = np.flatnonzero(~_in_run(self.held))
+            start = int(bad[-1]) + 1 if len(bad) else 0
+            if len(self.held) - start > OVERLAP // 2:
+                self.run = _LongRun(self.found)
+                self.run.feed(self.held[start:])
+        self.held = self.held[-OVERLAP:]
+
+    def finish(self) -> set[int]:
+        if self.run is not None:
+            self.run.finish()
+            self.run = None
+        if len(self.found) < len(KINDS):
+            self.found |= _kinds_of(self.held)
+        return self.found
+
+
+class _LongRun:
+    """A run of base64 as it comes, decoded from each of four places on."""
+
+    def __init__(self, found: set[int]):
+        self.readers = [_Opened(found) for _ in range(4)]
+        self.rest = [b""] * 4
+        self.skip = [0, 1, 2, 3]
+        self.after_line, self.ended = False, False
+
+    def feed(self, data: bytes) -> None:
+        if self.ended or not data:
+            return
+        bad = np.flatnonzero(~_in_run(data, self.after_line))
+        part = data[: int(bad[0])] if len(bad) else data
+        if part:
+            self.after_line = part.rstrip(b" \t")[-1:] in (b"\r", b"\n", b"\0") or self.after_line and not part.strip(b" \t")
+        chars = part.translate(bytes.maketrans(b"-_", b"+/"), b"\r\n\0 \t")
+        for k, reader in enumerate(self.readers):
+            own = self.rest[k] + chars[self.skip[k] :]
+            self.skip[k] -= min(self.skip[k], len(chars))
+            whole = len(own) // 4 * 4
+            self.rest[k] = own[whole:]
+            reader.feed(binascii.a2b_base64(own[:whole]))
+        if len(bad):
+            self.finish()
+
+    def finish(self) -> None:
+        if not self.ended:
+            self.ended = True
+            for reader, rest in zip(self.readers, self.rest):
+                if len(rest) > 1:
+                    reader.feed(binascii.a2b_base64(rest + b"=" * (4 - len(rest))))
+                reader.finish()
+
+
+class _Opened:
+    """Data as they come, less the packed layers they begin with, into a search; if they may be deflate without a header,
+    into another one too."""
+
+    def __init__(self, found: set[int]):
+        self.found, self.head, self.next = found, b"", []
+
+    def feed(self, data: bytes) -> None:
+        if not self.next:
+            self.head += data
+            if len(self.head) < 1024:
+                return
+            data = self._begin()
+        for x in self.next:
+            x.feed(data)
+
+    def _begin(self) -> bytes:
+        head, self.head = self.head, b""
+        if (make := _unpacker(head)) is not None:
+            self.next = [_Inflating(self.found, make)]
+        else:
+            self.next = [_Search(self.found)]
+            with contextlib.suppress(zlib.error):
+                zlib.decompressobj(-15).decompress(head, PIECE)
+                self.next.append(_Inflating(self.found, lambda: zlib.decompressobj(-15)))
+        return head
+
+    def finish(self) -> None:
+        if not self.next:
+            head = self._begin()
+            for x in self.next:
+                x.feed(head)
+        for x in self.next:
+            x.finish()
+
+
+class _Inflating:
+    """Packed data as they come: members one after another, and what follows them as it is."""
+
+    def __init__(self, found: set[int], make):
+        self.found, self.z, self.next, self.head = found, make(), _Opened(found), b""
+
+    def feed(self, data: bytes) -> None:
+        while data:
+            if self.z is None:  # between members
+                data = (self.head + data).lstrip(b"\0") if self.head is not None else data
+                make = _unpacker(data) if self.head is not None else None
+                if make is None:
+                    if self.head is not None and len(data) < _HEAD:
+                        self.head = data
+                        return
+                    self.head = None
+                    self.next.feed(data)
+                    return
+                self.z, self.head = make(), b""
+            try:
+                for piece in _pieces(self.z, data):
+                    self.next.feed(piece)
+            except _BROKEN:
+                self.z, self.head = None, None
+                self.next.feed(data)
+                return
+            data = b""
+            if self.z.eof:
+                data, self.z = self.z.unused_data, None
+
+    def finish(self) -> None:
+        if self.head:
+            self.next.feed(self.head)
+        self.next.finish()
 
 
 def _kinds_in(stream: Iterator[bytes]) -> set[int]:
-    """Kinds of secrets that data of any size has, read in overlapping pieces."""
-    found, held = set(), b""
+    """Kinds of secrets that data of any size has."""
+    search = _Search()
     for piece in stream:
-        held += piece
-        if len(held) >= PIECE:
-            found |= _kinds_of(held)
-            held = held[-OVERLAP:]
-            if len(found) == len(KINDS):
-                return found
-    return found | _kinds_of(held)
+        search.feed(piece)
+        if len(search.found) == len(KINDS):
+            break
+    return search.finish()
 
 
 def _kinds_of(data: bytes) -> set[int]:
@@ -177,7 +399,7 @@ def _as_text(data: bytes) -> str | None:
 
 
 def _from_base64(run: str) -> bytes | None:
-    body = re.sub(r"[\r\n=]", "", run).replace("-", "+").replace("_", "/")
+    body = re.sub(r"[\r\n\t =]", "", run).replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -210,6 +432,8 @@ def _escaped(text: str, at: int) -> tuple[int, int, bool] | None:
         else:
             m = _BACKSLASH.match(text, at)
             code = int(m[m.lastindex], 16) if m else -1
+            if m is None and (m := _QUOTED.match(text, at)):
+                return m.end(), _MEANING.get(m[1], ord(m[1])), False
         if m is None:
             return found
         at, found = m.end(), (m.end(), code, opener == "%")
@@ -277,6 +501,13 @@ def base64_hits(text: str, others: list[tuple[int, int, str | set[int]]]) -> Ite
                 others.append((at, at + len(run), _kinds_in(stream)))
             elif plain is None:
                 others += [(at, at + len(run), reading) for reading in _readings(data)]
+                if not packed and (raw := _raw_deflate(data)) is not None:
+                    data, stream = _bounded(_whole(raw))
+                    if stream is not None:
+                        others.append((at, at + len(run), _kinds_in(stream)))
+                    else:
+                        said = _as_text(data)
+                        others += [(at, at + len(run), reading) for reading in ([said] if said else _readings(data))]
             else:
                 yield at, at + len(run), plain
             if plain is not None or packed:

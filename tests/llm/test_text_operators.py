@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import time
@@ -734,3 +736,81 @@ def test_license_edges(edges, empty, clashing):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(secret_scan.joined([]).encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+# ---- secrets in data that are searched as they come
+
+
+@pytest.fixture
+def small_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "IN_MEMORY", 20_000)
+    monkeypatch.setattr(secret_scan, "PIECE", 3000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1000)
+
+
+def _hides(data: bytes) -> list[tuple[int, int, int]]:
+    return secret_scan.find_secrets(f"a, {base64.b64encode(gzip.compress(data, mtime=0)).decode()} b")[1]
+
+
+@pytest.mark.parametrize("inner", ["plain", "lines", "indented", "gzip", "bzip2", "xz", "deflate", "twice", "wide"])
+def test_long_runs_in_large_data_are_decoded_at_every_phase(small_pieces, inner):
+    rng = random.Random(inner)
+    prose = lambda n: "".join(rng.choice("ghijklmn ,.") for _ in range(n)).encode()
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    for offset in range(9):
+        for place in (100, 4_000, 9_000, 13_000):
+            body = prose(place) + b" password=hunter2xyz " + prose(14_000 - place)
+            if inner in ("gzip", "bzip2", "xz", "deflate"):
+                body = noise(7_000) + b" password=hunter2xyz " + noise(7_000)  # does not shrink
+                pack = zlib.compressobj(9, zlib.DEFLATED, -15)
+                body = {"gzip": gzip.compress, "bzip2": bz2.compress, "xz": lzma.compress, "deflate": lambda b: pack.compress(b) + pack.flush()}[inner](body)
+            run = base64.b64encode(body)
+            if inner == "lines":
+                run = base64.encodebytes(body)
+            elif inner == "indented":
+                run = base64.encodebytes(body).replace(b"\n", b"\r\n    ")
+            elif inner == "twice":
+                run = base64.b64encode(run)
+            elif inner == "wide":
+                run = run.decode().encode("utf-16-le")
+            data = prose(17_000 + offset) + b"!" + run + b"!" + prose(5_000)
+            assert {k for _, k, _ in _hides(data)} == {0}, (offset, place)
+
+
+def test_large_data_without_secrets_have_none(small_pieces):
+    rng = random.Random(1)
+    body = "".join(rng.choice("ghijkl ,.") for _ in range(40_000)).encode()
+    assert _hides(body + b"!" + base64.b64encode(body) + b"!" + base64.b64encode(bytes(rng.randrange(256) for _ in range(30_000)))) == []
+
+
+@pytest.mark.parametrize("shift", range(4))
+def test_a_secret_in_a_long_run_of_data_over_sixteen_megabytes(shift):
+    rng = np.random.default_rng(shift)
+    noise = rng.integers(97, 120, 1_000_000, np.uint8).tobytes()
+    run = base64.b64encode(noise + b" password=hunter2xyz " + noise[:300_000])
+    data = b"x" * shift + b"! some words, " * 1_200_000 + run + b" and more"
+    assert {k for _, k, _ in _hides(data)} == {0}
+
+
+def test_data_that_inflate_a_lot_are_searched_in_linear_time():
+    data = b"some words, no secret; " * 4_000_000
+    began = time.process_time()
+    assert _hides(data + b" token: abcdefgh ") != []
+    assert time.process_time() - began < 40
+
+
+@pytest.mark.parametrize("pack", [bz2.compress, lzma.compress, lambda b: zlib.compress(b)[2:-4], lambda b: bz2.compress(b[:9]) + bz2.compress(b[9:])])
+def test_more_codecs_under_base64(pack):
+    for data in (b"password=hunter2xyz and some words", b"\x01\x02 password=hunter2xyz \xff"):
+        run = base64.b64encode(pack(data)).decode()
+        assert {k for _, k, _ in secret_scan.find_secrets(f"a, {run} b")[1]} == {0}
+
+
+def test_indented_lines_and_quotes_of_programs():
+    run = base64.encodebytes(b"some words before it, password=hunter2xyz, and words after it, and more of them").decode().rstrip("\n")
+    for end in ("\n  ", "\n\t\t", "\r\n      ", "\\n", "\\r\\n"):
+        text = f"data: {run.replace(chr(10), end)}, x"
+        assert {k for _, k, _ in secret_scan.find_secrets(text)[1]} == {0}, end
+    for text in ('{\\"password\\":\\"hunter2xyz\\"}', '{\\\\\\"password\\\\\\": \\\\\\"hunter2xyz\\\\\\"}', "\\'token\\' = \\'abcdefgh\\'"):
+        base, every = secret_scan.find_secrets(text)
+        assert len(every) == 1 and text[every[0][0] :][:5] in ("passw", "token"), text
