@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, table
 
-#: Rows at most from which cost and selectivity are estimated; the verdict does not depend on them.
+#: Rows, about, from which cost and selectivity are estimated; the verdict does not depend on them.
 SAMPLE_ROWS = 400
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -165,11 +165,10 @@ def plan_cascade(outcomes: list[Outcome], rules: dict[str, Callable[[Stats], boo
 
 
 def estimate(docs: DataFrame, text: str = "text", rules: dict | None = None, rows: int = SAMPLE_ROWS) -> list[Outcome]:
-    """Outcomes of about `rows` texts, twice as many at most: a share of the hash range, run where the rows are. Only
-    verdicts and times reach the driver."""
+    """Outcomes of about `rows` texts, each drawn by itself so that copies of one do not all come, run where the rows are.
+    Only verdicts and times reach the driver."""
     rules = rules or RULES
-    one_in = max(1, docs.count() // rows)
-    few = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(one_in)) == 0)
+    few = docs.select(F.col(text).alias("t")).where(F.rand(4) * docs.count() < rows)
 
     def run(batches):
         for batch in batches:
@@ -178,7 +177,7 @@ def estimate(docs: DataFrame, text: str = "text", rules: dict | None = None, row
                 [pa.array([r for r, _ in found], pa.list_(pa.bool_())), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["rejects", "seconds"]
             )
 
-    return [(r.rejects, r.seconds) for r in few.limit(2 * rows).mapInArrow(run, "rejects array<boolean>, seconds array<double>").collect()]
+    return [(r.rejects, r.seconds) for r in few.mapInArrow(run, "rejects array<boolean>, seconds array<double>").collect()]
 
 
 def quality_rules(
