@@ -8,8 +8,9 @@ backward search through wavelet ranks, occurrences are located by sampled suffix
 ones are merged into removal spans.
 
 The windows are broadcast in blocks of about BLOCK_BYTES of benchmark text, which take some ten times that on the driver
-and in a worker; a larger benchmark takes several passes over the documents, each adding to the spans and items found so
-far. What a pass found is stored before the next one, so no task ever has the windows of two blocks.
+and in a worker; a larger benchmark takes several passes over the documents, so no task ever has the windows of two blocks.
+A pass before the last stores only what it found, by the digest of the text (spans and items depend on nothing else), and the
+last one meets it.
 
 Defined cases: null texts have no words; repeated documents are searched each; an item given twice counts once; a null
 item_id is written as an empty string; an empty benchmark leaves every document clean; empty tables give empty results;
@@ -18,6 +19,7 @@ other columns are ignored unless kept.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,10 +27,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, batch_rows, stored, table
+from .common import as_row, batch_rows, lookup, stored, table
 from .fm_index import SEPARATOR, FMIndex
 
 WINDOW = 10
@@ -218,14 +220,37 @@ def find_contamination(
     batch_rows(spark, 1000)
     empty = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<long>>)").alias("spans"),
                         F.expr("cast(array() as array<string>)").alias("items"), F.col(text).alias("__text"))
-    found = empty
+    earlier = []
     for last, block in _blocks(benchmark, item, item_text):
         windows = spark.sparkContext.broadcast(Windows.of(block, window))
-        found = found.mapInArrow(_pass(windows, len(keep), empty.columns), empty.schema)
-        if not last:
-            found = stored(found, "contamination")
+        if last:
+            found = empty.mapInArrow(_pass(windows, len(keep), empty.columns), empty.schema)
+        else:
+            rows = empty.select(_digest(F.col("__text")).alias("__sha"), "n_words", "spans", "items", "__text")
+            hits = rows.mapInArrow(_pass(windows, 1, rows.columns), rows.schema).where(F.size("spans") > 0)
+            earlier.append(stored(hits.groupBy("__sha").agg(F.first("spans").alias("s"), F.first("items").alias("i"), F.count("*").alias("__n")), "contamination"))
             windows.destroy()
-    return found
+    return _with_earlier(found, earlier, keep) if earlier else found
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _with_earlier(found: DataFrame, earlier: list[DataFrame], keep: tuple[str, ...]) -> DataFrame:
+    """What the last pass found, and what the passes before it found in the same texts."""
+    every = functools.reduce(DataFrame.unionByName, earlier)
+    texts = every.groupBy("__sha").agg(F.flatten(F.collect_list("s")).alias("__spans"), F.flatten(F.collect_list("i")).alias("__items"), F.max("__n").alias("__n"))
+    both = lookup(found.withColumn("__sha", _digest(F.col("__text"))), stored(texts, "contamination"), "__sha", "__n", ["__sha", *keep])
+
+    @F.udf("array<array<bigint>>", useArrow=True)
+    def merged(a, b):
+        return [list(x) for x in merge_spans([tuple(x) for x in a], [tuple(x) for x in b])]
+
+    some = F.col("__spans").isNotNull()
+    spans = F.when(some, merged("spans", F.coalesce("__spans", "spans"))).otherwise(F.col("spans"))
+    items = F.when(some, F.array_sort(F.array_union("items", "__items"))).otherwise(F.col("items"))
+    return both.withColumns({"spans": spans, "items": items}).select(*found.columns)
 
 
 def _pass(windows, kept: int, names: list[str]):
@@ -234,12 +259,10 @@ def _pass(windows, kept: int, names: list[str]):
         at = 0
         for batch in pending:
             n = batch.num_rows
-            s = [merge_spans([tuple(x) for x in old], new) if old else new for old, new in zip(batch.column(kept + 1).to_pylist(), spans[at : at + n])]
-            i = [sorted({*old, *new}) for old, new in zip(batch.column(kept + 2).to_pylist(), items[at : at + n])]
             arrays = [
                 pa.array(shard.n_words[at : at + n], pa.int64()),
-                pa.array([[list(x) for x in row] for row in s], pa.list_(pa.list_(pa.int64()))),
-                pa.array(i, pa.list_(pa.string())),
+                pa.array([[list(x) for x in row] for row in spans[at : at + n]], pa.list_(pa.list_(pa.int64()))),
+                pa.array([sorted(x) for x in items[at : at + n]], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *arrays, batch.columns[kept + 3]], names)
             at += n

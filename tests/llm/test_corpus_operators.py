@@ -524,3 +524,15 @@ def test_copies_are_linked_through_their_original(spark):
         counts[np.unique((h >> np.uint64(64 - 18)).astype(np.int64))] += 1
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
     assert got == _classes(docs, near_dedup.idf_of(counts, len(docs)))
+
+
+def test_passes_store_what_they_found_without_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    kept, inside = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, what: kept.append(inside(df, what)) or kept[-1])
+    items = [(i, " ".join(f"{c}{i}" for c in "abcdefghijkl")) for i in range(20)]
+    texts = [f"{items[3][1]} and {items[4][1]}"] * 40 + [f"clean words {i}" for i in range(60)]  # copies that are hit in two passes
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.find_contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(rows) == 100 and all((list(r["items"]) == ["3", "4"]) == (r.doc_id < 40) for r in rows)
+    assert len(kept) > 3 and all("__text" not in k.columns for k in kept) and sum(k.count() for k in kept) <= 3
