@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from ..session import ranked_by_range, stored
 from . import clustering
 from .kernels import QUERY_BYTES, Best, matrix, merged, nearest, offer_matrix, paired, query_block, squared_distances, usable_rows
-from .pq import ProductQuantizer, code_matrix, train_quantizer, usable
+from .pq import ProductQuantizer, code_matrix, refine_words, train_quantizer, usable
 
 VERSION = "residual-1.1"
 #: Defaults of an online search.
 K, N_PROBE = 50, 4
 #: Rows of a list in one task of a search with more queries than a broadcast holds.
 LIST_ROWS = 200_000
-#: Lists above which the distributed trainer is used.
+#: Lists up to which the driver trains.
 DRIVER_LISTS = 4096
 
 
@@ -91,7 +91,9 @@ def build(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> IvfPqIndex:
-    """Train on a bounded sample, index every row. n_partitions defaults to the root of the number of vectors."""
+    """Train on a sample of `training_rows` (40 for each list, if not given), index every row. n_partitions defaults to the root of the
+    number of vectors. Up to DRIVER_LISTS lists and clustering.SAMPLE_ROWS rows are trained on the driver; more lists by the
+    two-level k-means over the whole sample, and code words of a larger sample are refined over all of it."""
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     n = rows.count()
     if not n:
@@ -99,15 +101,20 @@ def build(
     lists = n_partitions or max(1, math.isqrt(n))
     if lists > n:
         raise ValueError(f"{lists} lists need as many vectors, there are {n}")
-    sample = clustering.bounded_sample(vectors, training_rows or max(10_000, 40 * lists), id_col, vector_col, seed)
-    if lists <= DRIVER_LISTS:
+    wanted = min(n, training_rows or max(10_000, 40 * lists))
+    sample = clustering.bounded_sample(vectors, min(wanted, clustering.SAMPLE_ROWS), id_col, vector_col, seed)
+    if lists <= DRIVER_LISTS and wanted <= clustering.SAMPLE_ROWS:
         centroids = clustering.train_kmeans(sample, lists, max_iter, seed)
+        whole = None
     else:
-        centroids = clustering.train_kmeans_distributed(rows, lists, max_iter, seed, vector_col)
+        whole = clustering.training_table(vectors, wanted, id_col, vector_col, seed)
+        centroids = clustering.train_kmeans_two_level(whole, lists, max_iter, seed)
     own, dist = nearest(sample, centroids)
     pq = train_quantizer(sample - centroids[own], m, k, min(max_iter, 50), seed, vectors.sparkSession)
+    if wanted > len(sample):
+        pq = refine_words(whole, pq, centroids)
     metadata = {
-        "d": pq.d, "n_partitions": len(centroids), "pq_m": pq.m, "pq_k": pq.k, "max_iterations": max_iter,
+        "d": pq.d, "n_partitions": len(centroids), "pq_m": pq.m, "pq_k": pq.k, "max_iterations": max_iter, "training_rows": wanted,
         "inertia": float(dist.sum()), "centroids_shape": list(centroids.shape), "version": VERSION,
     }
     return IvfPqIndex(centroids, pq, populate(vectors, centroids, pq, id_col, vector_col), None, metadata)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clustering import bounded_sample, train_kmeans
-from .kernels import matrix
+from .kernels import matrix, nearest
 
 _CELLS = 1 << 22
 
@@ -110,6 +110,34 @@ def train_quantizer_on(vectors: DataFrame, m: int, k: int = 256, max_iter: int =
     return train_quantizer(bounded_sample(vectors, sample, seed=seed, **cols), m, k, max_iter, seed, vectors.sparkSession)
 
 
+def refine_words(sample: DataFrame, pq: ProductQuantizer, centroids: np.ndarray, rounds: int = 5) -> ProductQuantizer:
+    """The words after Lloyd steps over the residuals of a whole table (i, v), each a pass in which a task sends a row of
+    sums for each word."""
+    shared, m, w = sample.sparkSession.sparkContext.broadcast(centroids), pq.m, pq.d_sub
+    for _ in range(rounds):
+        words = sample.sparkSession.sparkContext.broadcast(pq)
+
+        def run(batches, words=words):
+            q, c = words.value, shared.value
+            total = np.zeros((m, q.k, w + 1))
+            for batch in batches:
+                x = matrix(batch.column(0), q.d)
+                own, _ = nearest(x, c)
+                res = x - c[own]
+                codes = q.encode(res)
+                for j in range(m):
+                    np.add.at(total[j], codes[:, j], np.concatenate([np.ones((len(x), 1)), res[:, j * w : (j + 1) * w]], axis=1))
+            j, code = np.nonzero(total[:, :, 0])
+            yield pa.RecordBatch.from_arrays([pa.array((j * q.k + code).astype(np.int32)), pa.array(list(total[j, code]), pa.list_(pa.float64()))], ["p", "s"])
+
+        sums = sample.select("v").mapInArrow(run, "p int, s array<double>").groupBy("p").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(w + 1)]).alias("s"))
+        book = pq.codebook.copy()
+        for r in sums.collect():
+            book[r.p // pq.k, r.p % pq.k] = np.array(r.s[1:]) / r.s[0]
+        pq = ProductQuantizer(book)
+    return pq
+
+
 def encode_vectors(vectors: DataFrame, pq: ProductQuantizer, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, codes (a byte each)."""
     shared = vectors.sparkSession.sparkContext.broadcast(pq)

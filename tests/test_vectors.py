@@ -166,9 +166,9 @@ def test_reconstruction_bounds(clustered):
 
 def test_kmeans_trainers(spark, clustered):
     one = clustering.train_kmeans(clustered[:500], 12, 30)
-    two = clustering.train_kmeans_distributed(frame(spark, clustered[:500]), 12, 10)
+    two = clustering.train_kmeans_two_level(clustering.training_table(frame(spark, clustered[:500]), 500), 12)
     inertia = [kernels.nearest(clustered[:500].astype(float), c)[1].sum() for c in (one, two)]
-    assert inertia[0] < 1.3 * inertia[1] and len(clustering.train_kmeans(np.ones((9, 2)), 4)) == 1
+    assert inertia[1] < 1.3 * inertia[0] and len(clustering.train_kmeans(np.ones((9, 2)), 4)) == 1
     step = clustering.lloyd_step(frame(spark, clustered[:500]), one).agg(F.sum("n"), F.sum("inertia")).first()
     assert step[0] == 500 and abs(step[1] - inertia[0]) < 1e-6 * inertia[0]
 
