@@ -4,7 +4,7 @@
     python -m annolith.cli measure-recall VECTORS INDEX [--queries 100]
     python -m annolith.cli label VECTORS REFERENCE OUT [--neighbours 50]
     python -m annolith.cli export VECTORS OUT [--labels NAME ...] [--max-vectors N] [--table]
-    python -m annolith.cli map-train VECTORS OUT [--label NAME] [--training-rows N]
+    python -m annolith.cli map-train VECTORS OUT [--label NAME] [--training-rows N] [--method neighbours|components]
     python -m annolith.cli map VECTORS MODEL OUT [--max-vectors N]
     python -m annolith.cli map-export POINTS VECTORS OUT [--labels NAME ...]
 
@@ -62,7 +62,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def map_train(spark: SparkSession, a: argparse.Namespace) -> None:
-    ingest.train_map(_vectors(spark, a.vectors), a.label, a.out, a.training_rows)
+    ingest.train_map(_vectors(spark, a.vectors), a.label, a.out, a.training_rows, method=a.method)
 
 
 def map_place(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -112,6 +112,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     c.add_argument("out")
     c.add_argument("--label")
     c.add_argument("--training-rows", type=int, default=ingest.TRAINING_ROWS)
+    c.add_argument("--method", choices=("neighbours", "components"), default="neighbours")
     c = commands.add_parser("map")
     c.set_defaults(run=map_place)
     c.add_argument("vectors")

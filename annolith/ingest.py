@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .operators import clustering, encoder, mapping, sampling
+from .operators import clustering, encoder, mapping, neighbour_map, sampling
 from .session import number_rows, stored
 from .sources import readers, writers
 
@@ -55,9 +55,11 @@ def export(vectors: DataFrame, out: str, label_columns: tuple[str, ...] = (), ma
     return api.validate_export(rows, back, list(label_columns))
 
 
-def train_map(vectors: DataFrame, label: str | None, out: str, n: int = TRAINING_ROWS, seed: int = 42) -> mapping.Projector:
+def train_map(vectors: DataFrame, label: str | None, out: str, n: int = TRAINING_ROWS, seed: int = 42, method: str = "neighbours", **how):
     """Fits the projection on a sample, by shares of a label if one is named, and writes the ids of the sample
-    and the projection."""
+    and the projection: of a neighbour map (`neighbour_map.train`, which takes `how`), or the plane of the principal components ("components")."""
+    if method not in ("neighbours", "components"):
+        raise ValueError("method is neighbours or components")
     spark = vectors.sparkSession
     if label:
         sample = sampling.stratified_sample(sampling.labelled_strata(vectors, label), label, n, seed=seed)
@@ -65,15 +67,27 @@ def train_map(vectors: DataFrame, label: str | None, out: str, n: int = TRAINING
         sample = sampling.random_subset(vectors, n, seed=seed)
     sample = stored(sample.select("vec_id", "embedding"), "map-sample")
     writers.write_training_ids(sample, f"{out}/training_ids")
-    p = mapping.Projector.fit(clustering.bounded_sample(sample, n))
-    model = json.dumps({"mean": p.mean.tolist(), "axes": p.axes.tolist()})
-    spark.createDataFrame([(model,)], "projector string").coalesce(1).write.mode("overwrite").parquet(f"{out}/projector")
+    if method == "neighbours":
+        p, _ = neighbour_map.train(sample, seed=seed, **how)
+    else:
+        p = mapping.Projector.fit(clustering.bounded_sample(sample, min(n, clustering.SAMPLE_ROWS)))
+    save_projector(spark, p, out)
     return p
 
 
-def load_projector(spark: SparkSession, folder: str) -> mapping.Projector:
+def save_projector(spark: SparkSession, p, folder: str) -> None:
+    if isinstance(p, mapping.Projector):
+        model = {"mean": p.mean.tolist(), "axes": p.axes.tolist()}
+    else:
+        model = {"landmarks": p.landmarks.tolist(), "width": p.width, "weights": p.weights.tolist()}
+    spark.createDataFrame([(json.dumps(model),)], "projector string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/projector")
+
+
+def load_projector(spark: SparkSession, folder: str):
     model = json.loads(spark.read.parquet(f"{folder}/projector").first()[0])
-    return mapping.Projector(np.array(model["mean"]), np.array(model["axes"]))
+    if "axes" in model:
+        return mapping.Projector(np.array(model["mean"]), np.array(model["axes"]))
+    return neighbour_map.NeighbourProjector(np.array(model["landmarks"]), model["width"], np.array(model["weights"]))
 
 
 def place_on_map(vectors: DataFrame, projector, max_vectors: int | None = MAP_ROWS) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, residual
-from ..operators import analytics, clustering, ivf, knn, pq, user_index, vote
+from ..operators import analytics, clustering, ivf, knn, mapping, neighbour_map, pq, user_index, vote
 from ..session import table
-from .fixed import INDEX_SQL, PROBE_SQL, QUERIES, VECTORS_SQL, index_sql, rule_index, search_sql, vectors_and_queries
+from .fixed import INDEX_SQL, L2, PROBE_SQL, QUERIES, VECTORS_SQL, index_sql, rule_index, search_sql, vectors_and_queries
 
 K, K_VOTE, N_PROBE = 10, 50, 4
 
@@ -492,3 +492,40 @@ def lut_distances(spark: SparkSession, d: str) -> DataFrame:
     out = rows.select("query_id", "partition_id", F.posexplode(table_of("r")).alias("p", "d"))
     return out.select("query_id", "partition_id", F.floor(F.col("p") / k).cast("int").alias("j"), (F.col("p") % k).cast("int").alias("code"), r6("d"))
 
+
+# ---- the neighbour map
+
+
+_NEAR_ALL = f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+near AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(dist, 9), b) AS rank FROM (
+  SELECT x.vec_id AS a, y.vec_id AS b, {L2.format(a="x.e", b="y.e")} AS dist FROM v x, v y WHERE x.vec_id <> y.vec_id))"""
+
+
+@query("neighbour_graph", f"WITH {_NEAR_ALL} SELECT least(a, b) AS a, greatest(a, b) AS b, bool_or(rank = 1) AS certain FROM near WHERE rank <= 10 GROUP BY 1, 2")
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Q13: the edges of the fuzzy graph; those to a nearest neighbour have weight 1."""
+    g = neighbour_map.neighbour_graph(table(spark, d, "embeddings"))
+    return g.select("a", "b", (F.col("weight") > 1 - 1e-9).alias("certain"))
+
+
+@query(
+    "map_trustworthiness",
+    f"""WITH {_NEAR_ALL},
+    plane AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS place FROM (
+      SELECT x.vec_id AS a, y.vec_id AS b, (x.e[1] - y.e[1]) * (x.e[1] - y.e[1]) + (x.e[2] - y.e[2]) * (x.e[2] - y.e[2]) AS dist FROM v x, v y WHERE x.vec_id <> y.vec_id AND x.vec_id % 20 = 0)),
+    n AS (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 20 = 0) AS q FROM v)
+    SELECT round(1 - 2.0 / ((SELECT q FROM n) * 10 * (2 * (SELECT n FROM n) - 31)) * sum(greatest(rank - 10, 0)), 9) AS trustworthiness FROM plane JOIN near USING (a, b) WHERE place <= 10""",
+)
+def map_trustworthiness(spark: SparkSession, d: str) -> DataFrame:
+    """Q13: of the plane of the first two components."""
+    v, q = vectors_and_queries(spark, d)
+    plane = v.select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return neighbour_map.trustworthiness(v, plane, 10, q).select(F.round("trustworthiness", 9).alias("trustworthiness"))
+
+
+@query("neighbour_map")
+def placed_by_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Q13: a neighbour map trained on the vectors, and all of them placed by its projector."""
+    v = table(spark, d, "embeddings")
+    projector, _ = neighbour_map.train(v, rounds=2, epochs=10)
+    return mapping.normalise(mapping.project(v, projector)).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
