@@ -70,7 +70,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def clean_up(spark: SparkSession) -> None:
     """Delete the tables and archives this application has stored; results that read them are gone with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    remove(spark, scratch(spark))
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a file or folder, if there is one, wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -89,17 +89,11 @@ def _put(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-#: Lists that the names of list files have room for.
-MOST_LISTS = 10_000
-
-
 def write_binary_index(index: IvfPqIndex, folder: str) -> int:
     """K4, K5: the interoperable files: ivf_centroids.bin, ivf_metadata.json, pq_codebooks.bin, pq_metadata.json, and of
-    every list that has vectors partitions/partition_NNNN.bin, written by the task that has the list. How many lists were
+    every list that has vectors partitions/partition_NNNN.bin (more digits from 10,000 on), written by the task that has the list. How many lists were
     written. The folder is one that `pyarrow.fs` knows on all machines."""
     spark = index.lists.sparkSession
-    if index.n_partitions >= MOST_LISTS:
-        raise ValueError(f"list files have numbers below {MOST_LISTS}")
     c, book, m = index.centroids.astype("<f4"), index.pq.codebook, index.pq.m
     _put(spark, f"{folder}/ivf_centroids.bin", np.array(c.shape, "<u4").tobytes() + c.tobytes())
     _put(spark, f"{folder}/pq_codebooks.bin", np.where(np.isfinite(book), book, 3.4e38).astype("<f4").tobytes())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.mapping import latest_state
-from ..session import stored
+from ..session import remove, stored
 from ..sources.readers import exists
 
 
@@ -52,26 +52,33 @@ def upsert_stream(
 ) -> StreamingQuery:
     """A table of the last state of every cell, kept by key. A micro-batch reads and replaces only the buckets (of the
     key's hash) that its cells fall into, so reading the table needs no grouping and a batch does not touch the history.
-    The merge takes the last row by `order`, so a repeated batch changes nothing."""
+
+    Replacing a bucket removes it first. A batch therefore writes its buckets, merged and whole, beside the checkpoint before it touches the
+    table. If it is stopped then, wherever, it comes again with the same number, finds them there, and only replaces the
+    buckets once more; it does not merge with a table that may lack some. The merge takes the last row by `order`."""
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = label(batch)
-        rows = rows if "batch_seq" in rows.columns else rows.withColumn("batch_seq", F.lit(n).cast("long"))
-        new = stored(latest_state(rows, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "upsert")
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        if exists(spark, out):
-            old = spark.read.parquet(out).where(F.col("bucket").isin(touched))
-            # stored before its place is written to
-            new = stored(latest_state(old.unionByName(new), key, order), "upsert")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+        spark, pending = batch.sparkSession, f"{checkpoint.rstrip('/')}-pending"
+        if not exists(spark, f"{pending}/{n}/_SUCCESS"):
+            rows = label(batch)
+            rows = rows if "batch_seq" in rows.columns else rows.withColumn("batch_seq", F.lit(n).cast("long"))
+            new = stored(latest_state(rows, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "upsert")
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # of `buckets` at most
+            if exists(spark, out):
+                old = spark.read.parquet(out).where(F.col("bucket").isin(touched))
+                new = latest_state(old.unionByName(new), key, order)
+            new.write.mode("overwrite").parquet(f"{pending}/{n}")
+        _replace_buckets(spark, f"{pending}/{n}", out)
+        remove(spark, f"{pending}/{n - 1}")
 
     writer = cells.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
+def _replace_buckets(spark: SparkSession, pending: str, out: str) -> None:
+    spark.read.parquet(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+
+
 class Progress(StreamingQueryListener):
     """R2: rows and batches so far, for a progress display."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import glob
 import gzip
+import os
 import struct
 from dataclasses import replace
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annolith.operators import encoder, features, ivf, mapping, sampling, user_index
+from annolith.operators import encoder, features, ivf, mapping, pq, sampling, user_index
 from annolith.sources import discovery, readers, writers
 from annolith.streaming import labelling
 
@@ -317,6 +318,55 @@ def test_state_is_kept_by_key(spark, tmp_path):
             assert len(before & set(glob.glob(f"{tmp_path}/out/*/*.parquet"))) >= len(before) - 2
 
 
+@pytest.mark.parametrize("stopped", ["before the table is touched", "after buckets are removed", "after buckets are written"])
+def test_state_survives_a_batch_that_is_stopped(spark, tmp_path, monkeypatch, stopped):
+    """The batch comes again and no cell is lost, also of buckets that were gone."""
+    import shutil
+
+    schema = "cell_id long, label string, t long"
+    inside = labelling._replace_buckets
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        go()
+
+    def go():
+        stream = labelling.cell_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        labelling.upsert_stream(stream, lambda b: b, f"file://{tmp_path}/out", f"{tmp_path}/cp", order=("t",), buckets=4).awaitTermination()
+
+    def dies(spark, pending, out):
+        if stopped == "after buckets are removed":
+            for r in spark.read.parquet(pending).select("bucket").distinct().collect():
+                shutil.rmtree(f"{tmp_path}/out/bucket={r.bucket}")
+        elif stopped == "after buckets are written":
+            inside(spark, pending, out)
+        raise RuntimeError("stopped")
+
+    run([(i, "a", 10) for i in range(40)])
+    monkeypatch.setattr(labelling, "_replace_buckets", dies)
+    with pytest.raises(Exception, match="stopped"):
+        run([(i, "b", 20) for i in range(5)] + [(50, "b", 20)])
+    monkeypatch.setattr(labelling, "_replace_buckets", inside)
+    go()
+    got = {r.cell_id: r.label for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {**{i: "a" for i in range(40)}, **{i: "b" for i in range(5)}, 50: "b"}
+    run([(50, "c", 30)])
+    assert {r.cell_id: r.label for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {**got, 50: "c"}
+    assert len(glob.glob(f"{tmp_path}/cp-pending/*")) == 1
+
+
+def test_list_files_beyond_four_digits(spark, tmp_path):
+    """Of an index of so many lists those with numbers of five digits have vectors."""
+    n = 10_003
+    lists = spark.createDataFrame([(9_999, 1, bytearray(b"\0\1")), (10_000, 2, bytearray(b"\1\1")), (10_002, 3, bytearray(b"\1\0"))], "partition_id int, vec_id long, codes binary")
+    quantizer = pq.from_words([np.array([[0.0], [1.0]])] * 2)
+    written = ivf.IvfPqIndex(np.zeros((n, 2)) + np.arange(n)[:, None], quantizer, lists)
+    assert writers.write_binary_index(written, f"file://{tmp_path}/index") == 3
+    assert sorted(os.path.basename(p) for p in glob.glob(f"{tmp_path}/index/partitions/*")) == ["partition_10000.bin", "partition_10002.bin", "partition_9999.bin"]
+    back = readers.read_inverted_lists(spark, f"file://{tmp_path}/index/partitions", 2)
+    assert sorted((r.partition_id, r.vec_id, bytes(r.codes)) for r in back.collect()) == [(9_999, 1, b"\0\1"), (10_000, 2, b"\1\1"), (10_002, 3, b"\1\0")]
+
+
 def test_replaceable_request(spark):
     r = labelling.Replaceable(spark)
     assert r.run(lambda: spark.range(5).count()) == 5 and r.run(lambda: spark.range(6).count()) == 6
