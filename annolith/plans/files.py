@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import api, ingest
 from ..functions import labels as scalar
-from ..functions.vectors import ratio
+from ..functions.vectors import compression_ratio, ratio
 from ..operators import analytics, encoder, ivf, mapping, pq, sampling, user_index, vote
 from ..session import scratch, table
 from ..sources import discovery, readers, writers
@@ -229,12 +229,18 @@ def tsv_labels(spark: SparkSession, d: str) -> DataFrame:
     return readers.tsv_labels(spark, at).select(F.col("pos").cast("long").alias("pos"), "label")
 
 
-@query("registry_scan", "SELECT name, kind, id FROM (VALUES ('model-a', 'model', 'model-a'), ('model b', 'model', 'model b'), ('mine', 'user', 'user-1')) t(name, kind, id)")
+@query(
+    "registry_scan",
+    """SELECT DISTINCT p_brand AS name, 'model' AS kind, p_brand AS id FROM part
+    UNION ALL SELECT n_name, 'user', 'user-' || n_nationkey FROM nation""",
+)
 def registry_scan(spark: SparkSession, d: str) -> DataFrame:
-    """S19, D16."""
+    """A registry of models by line, with blanks around names and empty lines, and the user indexes."""
     at = folder(spark)
-    spark.createDataFrame([("model-a",), ("",), (" model b ",)], "value string").coalesce(1).write.text(at)
-    return readers.models(spark, at, spark.createDataFrame([("mine", "user-1")], "name string, id string"))
+    brands = table(spark, d, "part").select("p_brand").distinct()
+    brands.select(F.concat(F.lit(" "), "p_brand", F.lit(" \n ")).alias("value")).write.text(at)
+    mine = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("user-"), F.col("n_nationkey").cast("string")).alias("id"))
+    return readers.models(spark, at, mine)
 
 
 _CANDIDATES = "s AS (SELECT n_name AS gene_ids, CASE WHEN n_nationkey = 3 THEN 'actb' WHEN n_nationkey = 7 THEN 'Tp53' ELSE 'x' || n_nationkey END AS symbol, n_nationkey AS barcode FROM nation)"
@@ -251,11 +257,22 @@ def name_discovery(spark: SparkSession, d: str) -> DataFrame:
     return discovery.gene_names(rows).select("symbol", F.lit(cells).alias("cells"), F.lit(found).alias("genes"))
 
 
-@query("raw_count_discovery", "SELECT * FROM (VALUES ('online', 'layers/spliced', false), ('offline', 'raw/X', false), ('last', 'X', true)) t(kind, place, doubtful)")
+@query(
+    "raw_count_discovery",
+    """WITH f AS (SELECT user_id AS file, list(DISTINCT CASE event_type WHEN 'click' THEN 'spliced' WHEN 'purchase' THEN 'raw_counts' WHEN 'signup' THEN 'unspliced' ELSE event_type END) AS l,
+      user_id % 3 = 0 AS has_raw, user_id % 7 <> 0 AS has_x FROM events WHERE event_id % 5 = 0 AND event_type <> 'view' GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN list_contains(l, 'counts') THEN 'layers/counts' WHEN list_contains(l, 'raw_counts') THEN 'layers/raw_counts' WHEN list_contains(l, 'raw') THEN 'layers/raw' WHEN list_contains(l, 'count') THEN 'layers/count'
+      WHEN list_contains(l, 'spliced') THEN 'layers/spliced' WHEN list_contains(l, 'unspliced') THEN 'layers/unspliced' WHEN has_raw THEN 'raw/X' WHEN has_x THEN 'X' END AS online,
+      CASE WHEN list_contains(l, 'counts') THEN 'layers/counts' WHEN list_contains(l, 'raw_counts') THEN 'layers/raw_counts' WHEN list_contains(l, 'raw') THEN 'layers/raw' WHEN has_raw THEN 'raw/X' WHEN has_x THEN 'X' END AS offline FROM f)
+    SELECT file, 'online' AS kind, online AS place, coalesce(online = 'X', false) AS doubtful FROM p UNION ALL SELECT file, 'offline', offline, coalesce(offline = 'X', false) FROM p""",
+)
 def raw_count_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """S6, S6b."""
-    cases = (("online", (["spliced", "x"], True, True, False)), ("offline", (["spliced", "x"], True, True, True)), ("last", (["x"], False, True, False)))
-    return spark.createDataFrame([(kind, *discovery.raw_counts_key(*case)) for kind, case in cases], "kind string, place string, doubtful boolean")
+    """A file for each user, whose kinds of events are its layers."""
+    kind = F.when(F.col("event_type") == "click", "spliced").when(F.col("event_type") == "purchase", "raw_counts").when(F.col("event_type") == "signup", "unspliced").otherwise(F.col("event_type"))
+    files = table(spark, d, "events").where("event_id % 5 = 0 AND event_type <> 'view'").groupBy(F.col("user_id").alias("file")).agg(F.collect_set(kind).alias("layers"))
+    files = files.withColumns({"has_raw": F.col("file") % 3 == 0, "has_x": F.col("file") % 7 != 0})
+    parts = [discovery.raw_counts_places(files, k == "offline").select("file", F.lit(k).alias("kind"), "place", "doubtful") for k in ("online", "offline")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -369,12 +386,23 @@ def typed_arrays(spark: SparkSession, d: str) -> DataFrame:
     return back.select("vec_id", "shorts", "bytes", total("s", F.lit(0)).cast("long").alias("short_sum"), total("b", F.lit(0)).cast("long").alias("byte_sum"), F.round(total("f", F.lit(0.0)), 6).alias("float_sum"))
 
 
-@query("ratios", "SELECT r AS m, 64 * 32 / (r * 8.0) AS compression, round(64 * 4.0 / (4 + r), 6) AS reduction FROM (VALUES (8), (16), (32)) t(r)")
+@query(
+    "ratios",
+    """SELECT label, CAST(m AS INTEGER) AS m, d * 32 / (m * 8.0) AS compression, round(sum_all / (count_all * (4.0 + m)), 6) AS reduction,
+      CASE WHEN zero = 0 THEN 'NaN'::DOUBLE ELSE round(count_all / zero, 6) END AS odds
+    FROM (SELECT label, len(embedding) AS d, sum(len(embedding) * 4.0) AS sum_all, count(*) AS count_all, count(*) FILTER (WHERE vec_id % 50 = label) AS zero FROM embeddings GROUP BY ALL), (VALUES (8), (16), (32)) t(m)""",
+)
 def ratios(spark: SparkSession, d: str) -> DataFrame:
-    """F13, F20."""
-    rows = spark.createDataFrame([(8,), (16,), (32,)], "m int")
-    own = spark.createDataFrame([(m, float(pq.ProductQuantizer(np.zeros((m, 4, 64 // m))).compression_ratio)) for m in (8, 16, 32)], "m int, compression double")
-    return rows.join(own, "m").select("m", "compression", F.round(ratio(F.lit(64 * 4.0), (4 + F.col("m")).cast("double")), 6).alias("reduction"))
+    """of each label's vectors, what codes save, and a ratio whose divisor may be 0."""
+    v = table(spark, d, "embeddings")
+    facts = v.groupBy("label", F.size("embedding").alias("d")).agg(
+        F.sum(F.size("embedding") * 4).alias("bytes"), F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % 50 == F.col("label"), 1)).alias("some")
+    )
+    rows = facts.withColumn("m", F.explode(F.array(*[F.lit(m) for m in (8, 16, 32)])))
+    return rows.select(
+        "label", "m", compression_ratio(F.col("d"), F.col("m")).cast("double").alias("compression"),
+        F.round(ratio(F.col("bytes"), F.col("n") * (F.col("m") + 4)), 6).alias("reduction"), F.round(ratio(F.col("n"), F.col("some")), 6).alias("odds"),
+    )
 
 
 @query("user_index_ids", "SELECT user_id, 'user-' || (user_id * 1000) || '-' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS id FROM (SELECT DISTINCT user_id FROM events)")

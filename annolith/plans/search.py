@@ -471,6 +471,28 @@ def self_accuracy_perturbed(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+_MOVED = PROBE_SQL.replace(
+    "q AS (SELECT vec_id AS query_id, e FROM v WHERE mod(vec_id, 20) = 0)",
+    "q AS (SELECT vec_id AS query_id, list_transform(e, lambda x, i: x + ((vec_id * 7 + (i - 1) * 13) % 11 - 5) / 200.0) AS e FROM v WHERE mod(vec_id, 20) = 0)",
+)
+
+
+@query(
+    "self_accuracy",
+    f"""SELECT 'exact' AS queries, (WITH {PROBE_SQL}{search_sql(8, k=1)} SELECT round(count(*) FILTER (WHERE query_id = vec_id) / (SELECT count(*) FROM q), 6) FROM found) AS recall
+    UNION ALL SELECT 'moved', (WITH {_MOVED}{search_sql(8, k=1)} SELECT round(count(*) FILTER (WHERE query_id = vec_id) / (SELECT count(*) FROM q), 6) FROM found)""",
+)
+def self_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """How many queries find themselves first, as they are and moved by a rule."""
+    v, q = vectors_and_queries(spark, d)
+    index = rule_index(v)
+    step = (F.pmod(F.col("vec_id") * 7 + F.col("i") * 13, F.lit(11)) - 5) / 200.0
+    moved = q.select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", (F.col("x").cast("double") + step).alias("x"))
+    moved = moved.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("e")).select("vec_id", F.col("e.x").alias("embedding"))
+    parts = [analytics.self_accuracy(rows, index).select(F.lit(name).alias("queries"), F.round("recall", 6).alias("recall")) for name, rows in (("exact", q), ("moved", moved))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("lut_distances", f"WITH {PROBE_SQL}{search_sql(4)} SELECT query_id, CAST(partition_id AS INTEGER) AS partition_id, CAST(j AS INTEGER) AS j, code, round(d, 6) AS d FROM lut_found")
 def lut_distances(spark: SparkSession, d: str) -> DataFrame:
     """F5 as rows; a search builds the same tables inside its kernel."""

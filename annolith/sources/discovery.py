@@ -67,6 +67,15 @@ def raw_counts_key(layers: list[str], has_raw: bool, has_x: bool, offline: bool
     raise NotFound("no raw counts in layers, raw/X or X")
 
 
+def raw_counts_places(files: DataFrame, offline: bool = False) -> DataFrame:
+    """S6, S6b for a table of files (layers, an array of names; has_raw, has_x): their columns with place, null where there are no raw counts, and doubtful."""
+    wanted = F.array(*[F.lit(c) for c in (RAW_LAYERS_OFFLINE if offline else RAW_LAYERS)])
+    first = F.get(F.filter(wanted, lambda c: F.array_contains("layers", c)), 0)
+    layer = F.concat(F.lit("layers/"), first)
+    place = F.when(layer.isNotNull(), layer).when(F.col("has_raw"), "raw/X").when(F.col("has_x"), "X")
+    return files.withColumns({"place": place, "doubtful": F.coalesce(place == "X", F.lit(False))})
+
+
 def decode_categorical(codes: DataFrame, categories: DataFrame, code: str = "code") -> DataFrame:
     """Codes with `value` from a dictionary (code, category); negative or unknown codes give an empty string."""
     d = categories.select(F.col("code").alias("__c"), F.col("category").alias("value"))
