@@ -5,11 +5,12 @@
    bytes, it is a candidate, and so is one that has all the telling words of a template, as a short notice saves little
    in a long window. No other word decides. Candidates that are near each other make a block, with what is around it.
 2. Ranking. A block is compressed with each template as raw dictionary; the relative reductions rank the templates.
-3. Confirming. All templates are aligned with the block word by word (Myers' bit vectors), each with any stretch of it.
-   A stretch confirms a template if at most TOLERANCE of the template's words are replaced, missing or added and all
-   words that tell this license from its relatives are there. Where stretches overlap, the one with more words in
-   agreement less differences stands, of equal ones that of the better ranked template. Templates of which more words are
-   missing from the block than the tolerance allows cannot be confirmed and are passed over.
+3. Confirming. Down the ranking, each template is aligned with the block word by word (Myers' bit vectors), with any
+   stretch of it. A stretch confirms it if at most TOLERANCE of the template's words are replaced, missing or added and
+   all words that tell this license from its relatives are there. The first one that is confirmed decides the license; among the
+   wordings of that license the one with most words in agreement less differences stands in that place. What is left before and
+   behind it is ranked again. Templates of which more words are missing from the block than the tolerance allows cannot
+   be confirmed and are passed over.
 4. A candidate outside the notices counts as unconfirmed if it is much like a template (UNKNOWN), or speaks of a license
    with words of the templates beside; a bare `license` says nothing.
 
@@ -178,17 +179,27 @@ class LicenseScanner:
         low = block.replace("İ", "i").lower()  # of the same length
         places = [m.span() for m in _WORD.finditer(low)]
         ws = tuple(low[a:b] for a, b in places)
-        has = set(ws)
-        able = [i for i, own in enumerate(self.sets) if self.telling[i] <= has and len(own - has) <= self.limits[i]]
-        ranked = self.rank(block, able)
-        found = [(len(self.words[i]) - 2 * n, -ranked[i][1], -a, b, i, n) for i in able for n, a, b in self.stretches(ws, i)]
-        taken: list[tuple[int, int, int, int]] = []
-        for _, _, a, b, i, n in sorted(found, reverse=True):
-            a = -a
-            k = bisect.bisect_left(taken, (a,))
-            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
-                taken.insert(k, (a, b, i, n))
-        return tuple((places[a][0], places[b - 1][1], self.templates[i].license, ranked[i][0], n) for a, b, i, n in taken)
+        taken: list[tuple[int, int, int, int, float]] = []
+        rests = [(0, len(ws))]
+        while rests:
+            lo, hi = rests.pop()
+            own = ws[lo:hi]
+            has = set(own)
+            able = [i for i, words in enumerate(self.sets) if self.telling[i] <= has and len(words - has) <= self.limits[i]]
+            if not able:
+                continue
+            ranked = self.rank(low[places[lo][0] : places[hi - 1][1]], able)
+            for i in sorted(able, key=lambda i: ranked[i][1]):
+                if found := self.stretches(own, i):
+                    n, a, b = min(found)
+                    # the ranking has chosen the license; of its wordings the one that agrees in most words stands there
+                    same = [k for k in able if self.templates[k].license == self.templates[i].license]
+                    close = [(len(self.words[k]) - 2 * n_, -ranked[k][1], -x, y, k, n_) for k in same for n_, x, y in self.stretches(own, k) if x < b and a < y]
+                    _, _, a, b, i, n = max(close)
+                    taken.append((lo - a, lo + b, i, n, ranked[i][0]))
+                    rests += [(lo, lo - a), (lo + b, hi)]
+                    break
+        return tuple((places[a][0], places[b - 1][1], self.templates[i].license, share, n) for a, b, i, n, share in sorted(taken))
 
     def scan(self, text: str) -> list[Finding]:
         tags = [

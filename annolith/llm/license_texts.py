@@ -183,7 +183,7 @@ def _all() -> tuple[Template, ...]:
                 out.append(Template(f"{license_}-or-later", _gnu(subject, name, version, True), f"{telling} {number} later redistribute"))
                 out.append(Template(f"{license_}-only", _gnu(subject, name, version, False), f"{telling} {number} redistribute"))
             out += _short(license_, f"GNU {name}, version {version}", f"{telling} {number}")
-            out += _short(license_, f"{short} v{version}", f"{short} v {number}")
+            out += _short(license_, f"{short} v{version}", f"{short} v {number}") + _short(license_, f"GNU {short} v{version}", f"gnu {short} v {number}")
             out.append(Template(license_, f"{short}-{version if '.' in version else version + '.0'} License", f"{short} {number} license"))
     out += _short("MIT", "MIT License", "mit license") + [Template("MIT", "The MIT License (MIT)", "mit license")]
     out += _short("ISC", "ISC License", "isc license")
@@ -191,6 +191,7 @@ def _all() -> tuple[Template, ...]:
     out += _short("MPL-2.0", "Mozilla Public License, version 2.0", "mozilla 2 0")
     out += _short("EPL-2.0", "Eclipse Public License 2.0", "eclipse 2 0") + [Template("EPL-2.0", "Eclipse Public License - v 2.0", "eclipse 2 0")]
     out += _short("BSD-3-Clause", "BSD 3-Clause License", "bsd 3 clause") + _short("BSD-2-Clause", "BSD 2-Clause License", "bsd 2 clause")
+    out += _short("BSD-3-Clause", "3-Clause BSD License", "3 clause bsd") + _short("BSD-2-Clause", "2-Clause BSD License", "2 clause bsd")
     for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         name = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
         long = "-".join(name[x] for x in kind.split("-"))

@@ -814,3 +814,31 @@ def test_indented_lines_and_quotes_of_programs():
     for text in ('{\\"password\\":\\"hunter2xyz\\"}', '{\\\\\\"password\\\\\\": \\\\\\"hunter2xyz\\\\\\"}', "\\'token\\' = \\'abcdefgh\\'"):
         base, every = secret_scan.find_secrets(text)
         assert len(every) == 1 and text[every[0][0] :][:5] in ("passw", "token"), text
+
+
+def test_the_ranking_by_compression_decides(monkeypatch):
+    """Of two licenses that a block confirms alike, the one that compresses it better; with the ranking inverted, the other."""
+    shared = "anyone may take and keep and change and sell this little work of ours in any land and at any time for any good end at all"
+    a = license_scan.Template("A", f"{shared} provided that our names remain whole", "")
+    b = license_scan.Template("B", f"{shared} although no names need remain here", "")
+    scanner = license_scan.LicenseScanner((a, b))
+    for t in (a, b):
+        assert [(f.license, f.differences) for f in scanner.scan(f"before it. {t.text}. behind it")] == [(t.license, 0)]
+    inside = scanner.rank
+
+    def inverted(block, which):
+        return {i: (share, len(which) - 1 - k) for i, (share, k) in inside(block, which).items()}
+
+    scanner.judge.cache_clear()
+    monkeypatch.setattr(scanner, "rank", inverted)
+    for t, other in ((a, "B"), (b, "A")):
+        assert [f.license for f in scanner.scan(f"before it. {t.text}. behind it")] == [other]
+
+
+def test_what_is_left_of_a_block_is_ranked_again(monkeypatch):
+    scanner, ranked = license_scan.LicenseScanner(), []
+    inside = scanner.rank
+    monkeypatch.setattr(scanner, "rank", lambda block, which: ranked.append(block) or inside(block, which))
+    found = scanner.scan("Licensed under CC BY 4.0. Released under the MIT License. Licensed under the 3-Clause BSD License. Distributed under the GNU GPL v3.")
+    assert [f.license for f in found] == ["CC-BY-4.0", "MIT", "BSD-3-Clause", "GPL-3.0"]
+    assert len(ranked) >= 4 and len(set(map(len, ranked))) == len(ranked)
