@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm, residual
 from ..operators import analytics, clustering, ivf, knn, mapping, neighbour_map, pq, user_index, vote
+from ..operators.kernels import nearest
 from ..session import table
 from .fixed import INDEX_SQL, L2, PROBE_SQL, QUERIES, VECTORS_SQL, index_sql, rule_index, search_sql, vectors_and_queries
 
@@ -134,6 +137,29 @@ def pq_encode(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("vec_id", "partition_id", text.alias("codes"))
 
 
+@query("pq_encode_graph", SQL["pq_encode"])
+def pq_encode_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The codes by the exported graph of the quantizer, which a runtime computes in the tasks."""
+    from ..operators.encoder import OnnxEncoder
+    from ..operators.kernels import matrix
+    from ..sources.graphs import quantizer_graph
+
+    v = table(spark, d, "embeddings")
+    index = rule_index(v)
+    shared = spark.sparkContext.broadcast((OnnxEncoder(quantizer_graph(index.pq), 64), index.centroids))
+
+    def run(batches):
+        graph, centroids = shared.value
+        for batch in batches:
+            x = matrix(batch.column(1))
+            own, _ = nearest(x, centroids)
+            codes = graph.encode(x - centroids[own]).astype(int)
+            text = ["".join(f"{c:02d}" for c in row) for row in codes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(text, pa.string())], ["vec_id", "partition_id", "codes"])
+
+    return v.select("vec_id", "embedding").mapInArrow(run, "vec_id long, partition_id int, codes string")
+
+
 @query(
     "pq_decode",
     f"""WITH {INDEX_SQL}, dec AS (SELECT vec_id, flatten(list(w ORDER BY j)) AS x FROM codes JOIN book USING (j, code) GROUP BY vec_id)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
+from concurrent.futures import CancelledError, Future
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -101,17 +105,41 @@ class Progress(StreamingQueryListener):
 
 
 class Replaceable:
-    """A request whose jobs are cancelled when the next one replaces it."""
+    """A request whose jobs are cancelled when the next one replaces it. It runs in a thread of its own with a tag on
+    its jobs, so asking again returns at once; what it has written until then stays."""
 
     def __init__(self, spark: SparkSession, group: str = "importance"):
-        self.spark, self.group, self.n = spark, group, 0
+        self.spark, self.tag, self.stopped = spark, f"{group}-{uuid.uuid4().hex}", None
 
-    def run(self, action: Callable[[], object]) -> object:
+    def submit(self, action: Callable[[], object]) -> Future:
+        """Ends the request before and starts this one; its result, or its error, comes with the future."""
         self.cancel()
-        self.n += 1
-        self.spark.sparkContext.setJobGroup(f"{self.group}-{self.n}", self.group, interruptOnCancel=True)
-        return action()
+        done, stopped, tag = Future(), threading.Event(), f"{self.tag}-{uuid.uuid4().hex}"
+        self.stopped, self.current = stopped, tag
+        sc = self.spark.sparkContext
+
+        def work() -> None:
+            sc.addJobTag(tag)
+            try:
+                result = action()
+            except BaseException as e:
+                done.set_exception(e)
+            else:
+                if stopped.is_set():
+                    done.set_exception(CancelledError("the request was cancelled"))
+                else:
+                    done.set_result(result)
+            finally:
+                sc.removeJobTag(tag)
+
+        InheritableThread(target=work, daemon=True).start()
+        return done
+
+    def run(self, action: Callable[[], object]) -> object:
+        return self.submit(action).result()
 
     def cancel(self) -> None:
-        if self.n:
-            self.spark.sparkContext.cancelJobGroup(f"{self.group}-{self.n}")
+        """Ends the jobs of the current request, and gives it no result if it goes on."""
+        if self.stopped is not None and not self.stopped.is_set():
+            self.stopped.set()
+            self.spark.sparkContext.cancelJobsWithTag(self.current)
