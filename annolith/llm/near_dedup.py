@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .common import as_row, batch_rows, stored, table
+from .common import as_row, batch_rows, lookup, stored, table
 from .decontaminate import split_words
 from .graph import components
 
@@ -60,6 +60,8 @@ _TABLE = 1 << 12
 _AGREE = 0.8 - 3 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of a leader verified in one task, and the side of a block of step 5.
 _PER_TASK, _BLOCK = 400, 1500
+#: Bytes of text on a side of such a block.
+_BLOCK_BYTES = 8 << 20
 #: Leaders of more than _PER_TASK nodes up to which their list is broadcast.
 _BROADCAST = 200_000
 #: Comparisons of unlinked nodes with those of their buckets up to which step 5 goes without hubs.
@@ -313,13 +315,18 @@ def _spread(rows: DataFrame, buckets: DataFrame) -> DataFrame:
 
 def _grid(members: DataFrame, unlinked_blocks: int | None = None) -> DataFrame:
     """Buckets with unlinked nodes as a grid of cells (bucket, i, j): block i of the unlinked, block j of all nodes.
-    members: bucket, digest, component, unlinked and what the cells need. With `unlinked_blocks` only the first ones."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("unlinked"), 1)).alias("m")).where("m > 0")
-    across = F.ceil(F.col("m") / _BLOCK).cast("int")
+    members: bucket, digest, component, unlinked and what the cells need. With `unlinked_blocks` only the first ones. With
+    `size`, the bytes of a node's text, a block has about _BLOCK_BYTES of them at most, but for a text that is larger by itself."""
+    size = F.col("size") if "size" in members.columns else F.lit(0)
+    sizes = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("unlinked"), 1)).alias("m"), F.sum(size).alias("nb"), F.sum(F.when(F.col("unlinked"), size)).alias("mb")
+    ).where("m > 0")
+    across = F.ceil(F.greatest(F.col("m") / _BLOCK, F.col("mb") / _BLOCK_BYTES)).cast("int")
     used = across if unlinked_blocks is None else F.least(across, F.lit(unlinked_blocks))
-    sizes = sizes.select("bucket", F.ceil(F.col("n") / _BLOCK).cast("int").alias("down"), across.alias("across"), used.alias("used"))
+    down = F.ceil(F.greatest(F.col("n") / _BLOCK, F.col("nb") / _BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("bucket", down.alias("down"), across.alias("across"), used.alias("used"))
     dealt = _spread(members, sizes)
-    hashed, rest = F.xxhash64("digest"), [c for c in members.columns if c not in ("bucket", "unlinked")]
+    hashed, rest = F.xxhash64("digest"), [c for c in members.columns if c not in ("bucket", "unlinked", "size")]
     every = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("used") - 1)).alias("i"), F.pmod(hashed, F.col("down")).cast("int").alias("j"), F.lit(False).alias("left"), *rest)
     left = dealt.where("unlinked").withColumn("i", F.pmod(hashed, F.col("across")).cast("int")).where("i < used")
     left = left.select("bucket", "i", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), F.lit(True).alias("left"), *rest)
@@ -363,7 +370,8 @@ def _not_in(pairs: DataFrame, judged: DataFrame) -> DataFrame:
 
 def _links_in_cells(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """Links (a, b, similarity) between unlinked nodes and nodes of other components of their buckets."""
-    cells = _grid(members.select("bucket", "digest", "component", "signature", "unlinked")).join(texts, "digest")
+    sized = members.select("bucket", "digest", "component", "signature", "unlinked").join(texts.select("digest", F.octet_length("text").alias("size")), "digest")
+    cells = _grid(sized).join(texts, "digest")
 
     def compare(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
         digest, component, signature, a, b = _cell(cell)
@@ -457,12 +465,12 @@ def _classes(docs: DataFrame, text: str, key: str, gain: float) -> DataFrame:
     linked = copies.join(labels.withColumnRenamed("node", "digest"), "digest").join(of_node, "digest")
     classes = linked.groupBy("component").agg(F.min("key").alias("class_id"))
     other = classes.select(F.col("component").alias("__component"), "class_id")
-    of_linked = linked.join(other, F.col("component") == F.col("__component")).select("digest", "component", "class_id", "n_links", "similarity")
+    of_linked = linked.join(other, F.col("component") == F.col("__component")).select("digest", "n", "component", "class_id", "n_links", "similarity")
     of_copies = copies.where("n > 1").join(labels.select(F.col("node").alias("digest")), "digest", "left_anti")
-    of_copies = of_copies.select("digest", F.col("digest").alias("component"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("similarity"))
-    found = stored(of_linked.unionByName(of_copies), "dedup-classes")
+    of_copies = of_copies.select("digest", "n", F.col("digest").alias("component"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("similarity"))
+    found = stored(of_linked.unionByName(of_copies).withColumn("found", F.lit(True)), "dedup-classes")
 
-    joined = rows.where("digest IS NOT NULL").join(found.withColumn("found", F.lit(True)), "digest", "left")
+    joined = lookup(rows.where("digest IS NOT NULL"), found, "digest", "n", ["key"])  # a third of all rows may have one digest
     classed = joined.select(
         "key", "digest", F.coalesce("component", "digest").alias("component"),
         F.when(F.col("found"), F.col("class_id")).otherwise(F.col("key")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "similarity",

@@ -536,3 +536,26 @@ def test_passes_store_what_they_found_without_texts(spark, monkeypatch):
     rows = decontaminate.find_contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(rows) == 100 and all((list(r["items"]) == ["3", "4"]) == (r.doc_id < 40) for r in rows)
     assert len(kept) > 3 and all("__text" not in k.columns for k in kept) and sum(k.count() for k in kept) <= 3
+
+
+def test_cells_of_long_texts_are_bounded_by_bytes(spark, monkeypatch):
+    """Many long texts in one bucket: no cell has more than a bounded stretch of them, and the classes are the same."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    texts = []
+    for i in range(40):
+        near = list(base)
+        for _ in range(12 + 3 * i):
+            near[rng.randrange(len(near))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + texts[:5])], DOCS)
+    want = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    kept, inside = [], near_dedup._grid
+    monkeypatch.setattr(near_dedup, "_BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(near_dedup, "_grid", lambda members, blocks=None: kept.append(inside(members, blocks)) or kept[-1])
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == want and len(set(want.values())) < 40
+    for cells in kept:
+        if "left" in cells.columns and cells.count():
+            most = cells.groupBy("bucket", "i", "j", "left").count().agg(F.max("count")).first()[0]
+            assert most * 18_000 < 5 * 60_000
