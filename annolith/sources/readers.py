@@ -10,6 +10,7 @@ import json
 import os
 import re
 import shutil
+import time
 import urllib.request
 import uuid
 from functools import reduce
@@ -240,7 +241,7 @@ _MAP_ROWS = 1_000_000
 def fetch(url: str, cache: str) -> str:
     """A file by its URL, kept in a folder under a name made of the URL: fetched once, under another name until it is
     whole. The place of the file; the folder is one that all machines share."""
-    place = os.path.join(local_path(cache), hashlib.sha256(url.encode()).hexdigest()[:32] + "-" + re.sub(r"[^A-Za-z0-9._-]", "_", url.rsplit("/", 1)[-1])[-80:])
+    place = os.path.join(local_path(cache), _cached_name(url))
     if not os.path.exists(place):
         os.makedirs(os.path.dirname(place), exist_ok=True)
         part = f"{place}.{uuid.uuid4().hex}"
@@ -250,6 +251,68 @@ def fetch(url: str, cache: str) -> str:
     return place
 
 
+def _cached_name(url: str) -> str:
+    return hashlib.sha256(url.encode()).hexdigest()[:32] + "-" + re.sub(r"[^A-Za-z0-9._-]", "_", url.rsplit("/", 1)[-1])[-80:]
+
+
+def fetch_all(urls: DataFrame, cache: str, attempts: int = 3, timeout: float = 60.0) -> DataFrame:
+    """S17 for many files: url, place, length, sha256 of each row's url, fetched by the executors, a row at a time, into a folder that all machines
+    share (one that `pyarrow.fs` knows). urls: url and, if it has them, the length and sha256 that the file must have.
+
+    A file is written under another name and moved to its own when it is whole and right, so neither a task that is stopped nor one
+    that runs twice leaves a part. What is there already is not fetched again. An answer other than OK, or a
+    file of another length or digest, is tried again, so many times, and then is an error. Null urls are left out."""
+    given = {c: F.col(c) if c in urls.columns else F.lit(None) for c in ("length", "sha256")}
+    rows = urls.select("url", given["length"].cast("long").alias("length"), F.lower(given["sha256"].cast("string")).alias("sha256")).where("url IS NOT NULL").distinct()
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(cache)
+        store.create_dir(root, recursive=True)
+
+        def copied(source, out) -> tuple[int, str]:
+            n, digest = 0, hashlib.sha256()
+            while chunk := source.read(1 << 20):
+                n += len(chunk)
+                digest.update(chunk)
+                if out is not None:
+                    out.write(chunk)
+            return n, digest.hexdigest()
+
+        def one(url: str, length: int | None, sha256: str | None) -> tuple[int, str]:
+            place = f"{root}/{_cached_name(url)}"
+            if store.get_file_info(place).type == fs.FileType.File:
+                with store.open_input_stream(place, compression=None) as kept:
+                    found = copied(kept, None)
+                if length in (None, found[0]) and sha256 in (None, found[1]):
+                    return found
+            for attempt in range(attempts):
+                part = f"{place}.{uuid.uuid4().hex}"
+                try:
+                    with urllib.request.urlopen(url, timeout=timeout) as source, store.open_output_stream(part, compression=None) as out:
+                        said = source.headers.get("Content-Length")
+                        found = copied(source, out)
+                    if said is not None and int(said) != found[0] or length not in (None, found[0]) or sha256 not in (None, found[1]):
+                        raise OSError(f"{url} has {found[0]} bytes with digest {found[1]}, which is not what it should have")
+                    store.move(part, place)
+                    return found
+                except OSError:  # those of urllib among them
+                    if store.get_file_info(part).type == fs.FileType.File:
+                        store.delete_file(part)
+                    if attempt + 1 == attempts:
+                        raise
+                    time.sleep(0.2 * 2**attempt)
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            found = [one(*x) for x in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            places = [f"{cache.rstrip('/')}/{_cached_name(u)}" for u in names]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.string()), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.string())], ["url", "place", "length", "sha256"])
+
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "url").mapInArrow(run, "url string, place string, length long, sha256 string")
+
+
 def models(spark: SparkSession, path: str, user_indexes: DataFrame | None = None) -> DataFrame:
     """Name, kind, id: models by line, empty lines left out, then user indexes."""
     base = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("name"), F.lit("model").alias("kind"), F.trim("value").alias("id"))
