@@ -28,8 +28,9 @@ def bounded_sample(vectors: DataFrame, rows: int, id_col: str = "vec_id", vector
         share = (rows + 6 * rows**0.5 + 20) / n  # sure to hold `rows` but once in a billion times
         drawn = drawn.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
     found = drawn.toArrow()
-    place = found.column("h").to_numpy() % (1 << 30)
-    return matrix(found.column("v"))[np.lexsort((found.column("h").to_numpy(), place))][:rows]
+    h = found.column("h").to_numpy()
+    first = np.lexsort((h, h % (1 << 30)))[:rows]
+    return matrix(found.column("v"))[first[np.argsort(h[first], kind="stable")]]
 
 
 #: Parts of the hash range that are counted to cut a sample of a given size.
