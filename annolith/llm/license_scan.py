@@ -7,9 +7,9 @@
 2. Ranking. A block is compressed with each template as raw dictionary; the relative reductions rank the templates.
 3. Confirming. Down the ranking, each template is aligned with the block word by word (Myers' bit vectors), with any
    stretch of it. A stretch confirms it if at most TOLERANCE of the template's words are replaced, missing or added and
-   all words that tell this license from its relatives are there. The first one that is confirmed decides the license; among the
-   wordings of that license the one with most words in agreement less differences stands in that place. What is left before and
-   behind it is ranked again. Templates of which more words are missing from the block than the tolerance allows cannot
+   all words that tell this license from its relatives are there. The first one that is confirmed wins; among the wordings of
+   its license, and of those whose reduction is level with its own (LEVEL), the one with most words in agreement less
+   differences stands in that place. What is left before and behind it is ranked again. Templates of which more words are missing from the block than the tolerance allows cannot
    be confirmed and are passed over.
 4. A candidate outside the notices counts as unconfirmed if it is much like a template (UNKNOWN), or speaks of a license
    with words of the templates beside; a bare `license` says nothing.
@@ -52,6 +52,8 @@ NEAR = 200
 GATE, SAVED = 0.2, 8
 #: Differing words allowed, as a share of the template's words.
 TOLERANCE = 0.25
+#: Reductions that differ by no more than this share of them are level: compression does not tell these templates apart.
+LEVEL = 0.05
 #: Share of the size saved by which a candidate without any notice is a license of some kind.
 UNKNOWN = 0.35
 
@@ -192,8 +194,10 @@ class LicenseScanner:
             for i in sorted(able, key=lambda i: ranked[i][1]):
                 if found := self.stretches(own, i):
                     n, a, b = min(found)
-                    # the ranking has chosen the license; of its wordings the one that agrees in most words stands there
-                    same = [k for k in able if self.templates[k].license == self.templates[i].license]
+                    # the ranking has chosen the license, or licenses that it does not tell apart; of their wordings the
+                    # one that agrees in most words stands there
+                    level = ranked[i][0]
+                    same = [k for k in able if self.templates[k].license == self.templates[i].license or abs(ranked[k][0] - level) <= LEVEL * abs(level)]
                     close = [(len(self.words[k]) - 2 * n_, -ranked[k][1], -x, y, k, n_) for k in same for n_, x, y in self.stretches(own, k) if x < b and a < y]
                     _, _, a, b, i, n = max(close)
                     taken.append((lo - a, lo + b, i, n, ranked[i][0]))
