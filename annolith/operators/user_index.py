@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import decode_floats, encode_floats
+from ..functions.labels import decode_floats, decode_shorts, encode_floats
 from . import ivf
 
 ROWS = "index_id string, partition_id int, pos long, codes binary, label_id int, x double, y double"
@@ -159,29 +159,33 @@ def from_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("cellCount").alias("cell_count"), "category", "labels",
     )
     lists = F.array_sort(F.transform(F.map_entries("partitions"), lambda e: F.struct(e["key"].cast("int").alias("partition_id"), e["value"].alias("v"))))
-    part = d.select(F.col("id").alias("index_id"), decode_floats("x").alias("xs"), decode_floats("y").alias("ys"), lists.alias("lists"))
-    part = part.select("index_id", "xs", "ys", F.transform("lists", lambda p: p["v"]["pqCodeCount"]).alias("counts"), F.posexplode("lists").alias("nth", "p"))
+    part = d.select(F.col("id").alias("index_id"), lists.alias("lists"))
+    part = part.select("index_id", F.transform("lists", lambda p: p["v"]["pqCodeCount"]).alias("counts"), F.posexplode("lists").alias("nth", "p"))
     before = F.aggregate(F.slice("counts", F.lit(1), F.col("nth")), F.lit(0).cast("long"), lambda n, c: n + c)
-    part = part.select("index_id", "xs", "ys", "p.partition_id", "p.v.positions", "p.v.pqCodeCount", before.alias("before"), F.unbase64("p.v.pqCodes").alias("all"), F.unbase64("p.v.labelIndices").alias("labels"))
-    cells = part.where("pqCodeCount > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("pqCodeCount") - 1)).alias("at"), (F.length("all") / F.col("pqCodeCount")).cast("int").alias("m"))
-    cells = cells.select(
-        "index_id", "partition_id", F.coalesce(F.get("positions", F.col("at")), F.col("before") + F.col("at")).alias("pos"),
-        F.expr("substring(all, at * m + 1, m)").alias("codes"), _label("labels", "at").alias("label_id"), "xs", "ys", F.col("positions").isNotNull().alias("placed"),
-    )
+    part = part.select("index_id", "p.partition_id", "p.v.positions", "p.v.pqCodeCount", before.alias("before"), F.unbase64("p.v.pqCodes").alias("all"), F.unbase64("p.v.labelIndices").alias("labels"))
+    part = part.where("pqCodeCount > 0").withColumn("m", (F.length("all") / F.col("pqCodeCount")).cast("int"))
+    # a list is cut into its cells before they are rows: a row carries no list, and no index
+    number = F.transform(F.sequence(F.lit(0), F.col("pqCodeCount") - 1), lambda at: F.struct(
+        F.coalesce(F.get("positions", at), F.col("before") + at).alias("pos"), F.substring(F.col("all"), at * F.col("m") + 1, F.col("m")).alias("codes"), _label(F.col("labels"), at).alias("label_id")))
+    cells = part.select("index_id", "partition_id", F.col("positions").isNotNull().alias("placed"), F.inline(number))
     rank = (F.row_number().over(Window.partitionBy("index_id").orderBy("pos")) - 1).alias("rank")
-    xy = [F.when(F.col("placed"), F.get(c + "s", F.col("rank"))).cast("double").alias(c) for c in ("x", "y")]
-    return meta, cells.select("*", rank).select("index_id", "partition_id", "pos", "codes", "label_id", *xy)
+    known = cells.select("*", rank)
+    points = d.select(F.col("id").alias("index_id"), *[F.coalesce(decode_floats(c), F.array().cast("array<float>")).alias(c) for c in ("x", "y")])
+    points = points.select("index_id", F.posexplode(F.arrays_zip("x", "y")).alias("rank", "p")).select("index_id", "rank", "p.x", "p.y")
+    xy = [F.when(F.col("placed"), F.col(c)).cast("double").alias(c) for c in ("x", "y")]
+    return meta, known.join(points, ["index_id", "rank"], "left").select("index_id", "partition_id", "pos", "codes", "label_id", *xy)
 
 
-def _label(data: str, at: str) -> Column:
+def _label(data: Column, at: Column) -> Column:
     """The at-th 16-bit integer of little-endian bytes."""
-    value = F.expr(f"cast(conv(concat(hex(substring({data}, 2 * {at} + 2, 1)), hex(substring({data}, 2 * {at} + 1, 1))), 16, 10) as int)")
+    one = F.lit(1)
+    value = F.conv(F.concat(F.hex(F.substring(data, 2 * at + 2, one)), F.hex(F.substring(data, 2 * at + 1, one))), 16, 10).cast("int")
     return F.when(value >= 32768, value - 65536).otherwise(value)
 
 
 def map_points(documents: DataFrame) -> DataFrame:
     """index_id, pos, x, y, label_id of all cells of exported documents, in the order in which they were given."""
     d = documents.select(F.from_json("json", _DOCUMENT).alias("d")).select("d.*")
-    rows = d.select(F.col("id").alias("index_id"), decode_floats("x").alias("xs"), decode_floats("y").alias("ys"), F.unbase64("labelIndices").alias("labels"))
-    rows = rows.select("index_id", F.posexplode("xs").alias("pos", "x"), "ys", "labels")
-    return rows.select("index_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"), F.get("ys", F.col("pos")).cast("double").alias("y"), _label("labels", "pos").alias("label_id"))
+    rows = d.select(F.col("id").alias("index_id"), *[decode_floats(c).alias(c) for c in ("x", "y")], decode_shorts("labelIndices").alias("label_id")).where("x IS NOT NULL")
+    rows = rows.select("index_id", F.size("x").alias("n"), F.posexplode(F.arrays_zip("x", *[F.coalesce(c, F.array()).alias(c) for c in ("y", "label_id")])).alias("pos", "p")).where("pos < n")
+    return rows.select("index_id", F.col("pos").cast("long").alias("pos"), F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"), "p.label_id")
