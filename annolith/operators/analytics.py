@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ivf
-from .vote import majority_vote, vote_ranks
 
 
 def recall_per_query(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
@@ -38,19 +37,20 @@ def mean_distance(found: DataFrame) -> DataFrame:
 
 def mismatches(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
     """Queries whose votes differ: both labels and confidences, the place of the approximate label among the exact
-    votes (null if it has none), and the first three labels of both. Inputs carry label_id."""
-    e = majority_vote(exact, k, "first_seen").select("query_id", F.col("label_id").alias("exact_label"), F.col("confidence").alias("exact_confidence"))
-    a = majority_vote(approx, k, "first_seen").select("query_id", F.col("label_id").alias("approx_label"), F.col("confidence").alias("approx_confidence"))
-    ranks = vote_ranks(exact)
-
-    def top3(rows: DataFrame, name: str) -> DataFrame:
-        first = vote_ranks(rows).where("place <= 3").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "label_id"))).alias("t"))
-        return first.select("query_id", F.col("t.label_id").alias(name))
-
-    place = ranks.select("query_id", F.col("label_id").alias("approx_label"), F.col("place").alias("approx_place"))
-    return (
-        e.join(a, "query_id").where("exact_label <> approx_label").join(place, ["query_id", "approx_label"], "left")
-        .join(top3(exact, "exact_top3"), "query_id").join(top3(approx, "approx_top3"), "query_id")
+    votes (null if it has none), and the first three labels of both. Inputs carry label_id. Both searches are counted in one
+    grouping by query and label and gathered in one by query (at most k labels each), so no task sorts them side by side."""
+    both = exact.select(F.lit(True).alias("true"), "query_id", "label_id", "rank").unionByName(approx.select(F.lit(False).alias("true"), "query_id", "label_id", "rank"))
+    counted = both.groupBy("query_id", "label_id").agg(*[f.alias(c + n) for n, own in (("e", F.col("true")), ("a", ~F.col("true"))) for c, f in (
+        ("votes_", F.count(F.when(own, 1))), ("seen_", F.min(F.when(own, F.col("rank")))))])
+    # the order of votes: most first, then first seen; ranks of a query are different
+    found = counted.groupBy("query_id").agg(*[F.sort_array(F.collect_list(F.when(F.col(f"votes_{n}") > 0, F.struct((-F.col(f"votes_{n}")).alias("v"), F.col(f"seen_{n}").alias("s"), "label_id")))).alias(n) for n in ("e", "a")])
+    first = found.where("size(e) > 0 AND size(a) > 0").select(
+        "query_id", F.col("e")[0]["label_id"].alias("exact_label"), (-F.col("e")[0]["v"] / F.lit(k)).alias("exact_confidence"), F.col("a")[0]["label_id"].alias("approx_label"),
+        (-F.col("a")[0]["v"] / F.lit(k)).alias("approx_confidence"), F.col("e.label_id").alias("le"), F.slice("a.label_id", 1, 3).alias("approx_top3"),
+    )
+    return first.where("exact_label <> approx_label").select(
+        "query_id", "approx_label", "exact_label", "exact_confidence", "approx_confidence",
+        F.nullif(F.array_position("le", F.col("approx_label")), F.lit(0)).cast("int").alias("approx_place"), F.slice("le", 1, 3).alias("exact_top3"), "approx_top3",
     )
 
 
@@ -68,10 +68,10 @@ def confusion_pairs(table: DataFrame) -> DataFrame:
 
 def compare_settings(low: DataFrame, high: DataFrame) -> DataFrame:
     """Mismatching queries of two settings: fixed by the second, new in it, persistent in both."""
-    a, b = low.select("query_id").distinct(), high.select("query_id").distinct()
-    parts = [a.join(b, "query_id", "left_anti").withColumn("kind", F.lit("fixed")), b.join(a, "query_id", "left_anti").withColumn("kind", F.lit("new")),
-             a.join(b, "query_id", "left_semi").withColumn("kind", F.lit("persistent"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count("*").alias("n"))
+    both = low.select("query_id", F.lit(True).alias("low")).unionByName(high.select("query_id", F.lit(False).alias("low")))
+    each = both.groupBy("query_id").agg(F.bool_or("low").alias("a"), F.bool_or(~F.col("low")).alias("b"))
+    kind = F.when(F.col("a") & F.col("b"), "persistent").when(F.col("a"), "fixed").otherwise("new")
+    return each.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def bandwidth(probes: DataFrame, lists: DataFrame, m: int) -> DataFrame:

@@ -237,6 +237,33 @@ def test_a_cell_of_an_imported_index_carries_no_list_and_no_map(spark, tmp_path)
     assert user_index.map_points(documents).agg(F.count("*"), F.sum("x"), F.sum("label_id")).first() == cells.agg(F.count("*"), F.sum("x"), F.sum("label_id")).first()
 
 
+def test_mismatches_sort_no_searches_side_by_side(spark):
+    """Votes of two searches are compared by groupings alone, and as by hand."""
+    rng = np.random.default_rng(3)
+    draws = [{q: rng.integers(0, 4, rng.integers(0, 6)).tolist() for q in range(40)} for _ in range(3)]
+    one, two, three = (spark.createDataFrame([(q, n + 1, int(c)) for q, cs in d.items() for n, c in enumerate(cs)], "query_id long, rank int, label_id long") for d in draws)
+
+    def places(labels):
+        return sorted(set(labels), key=lambda c: (-labels.count(c), labels.index(c)))
+
+    want = set()
+    for q in range(40):
+        e, a = draws[0][q], draws[1][q]
+        pe, pa = places(e), places(a)
+        if pe and pa and pe[0] != pa[0]:
+            want.add((q, pe[0], pa[0], e.count(pe[0]) / 5, a.count(pa[0]) / 5, pe.index(pa[0]) + 1 if pa[0] in pe else None, tuple(pe[:3]), tuple(pa[:3])))
+    found = analytics.mismatches(one, two, 5)
+    got = {(r.query_id, r.exact_label, r.approx_label, r.exact_confidence, r.approx_confidence, r.approx_place, tuple(r.exact_top3), tuple(r.approx_top3)) for r in found.collect()}
+    assert got == want and len(want) > 5 and any(w[5] is None for w in want)
+    other = analytics.mismatches(one, three, 5)
+    compared = analytics.compare_settings(found, other)
+    for table in (found, compared):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    a, b = ({r.query_id for r in x.select("query_id").collect()} for x in (found, other))
+    assert {r.kind: r.n for r in compared.collect()} == {k: len(v) for k, v in (("fixed", a - b), ("new", b - a), ("persistent", a & b)) if v}
+
+
 def test_scalar_functions(spark):
     r = spark.sql("SELECT array(1f, 2f) AS a, array(4f, 6f) AS b, double('NaN') AS n, double('Infinity') AS i, array(0f, 0f) AS z").select(
         vectors.l2(F.col("a"), F.col("b")).alias("l2"),
