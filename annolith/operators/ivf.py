@@ -237,8 +237,8 @@ def _search_lists(queries: DataFrame, index: IvfPqIndex, n_probe: int, k: int, p
         for lo in range(0, len(q), 512):
             part = np.arange(lo, min(lo + 512, len(q)))
             tables = pq.table(q[part])
-            for at in range(0, len(vec), 8192):
-                offer_matrix(best, part, pq.distances(tables, codes[at : at + 8192]), vec[at : at + 8192], None if extra is None else extra[at : at + 8192])
+            for at in range(0, len(vec), 2048):
+                offer_matrix(best, part, pq.distances(tables, codes[at : at + 2048]), vec[at : at + 2048], None if extra is None else extra[at : at + 2048])
         n, found, dist, payloads = best.rows()
         arrays = [pa.array(ids[n]), pa.array(found), pa.array(dist)] + ([pa.array(payloads)] if payload else [])
         return pa.table(dict(zip(names, arrays)))
@@ -273,46 +273,72 @@ def order_lists(queries: DataFrame, index: IvfPqIndex, n_probe: int = 1, id_col:
     return ranked_by_range(every, ["query_id"], ["dist", "vec_id"]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "dist")
 
 
+#: Rows of candidates, in the results of all tasks, from which a search learns each query's limit in its nearest lists first.
+LIMIT_ROWS = 4_000_000
+#: Queries whose results a task hands on at once.
+_EMIT = 4096
+
+
 def _search_block(index: IvfPqIndex, ids: np.ndarray, q: np.ndarray, n_probe: int, k: int, payload: str | None) -> DataFrame:
-    spark = index.lists.sparkSession
+    """Queries that fit a broadcast. The rows of the probed lists are dealt by list, so that the tables of a list's visitors
+    are made once; where tasks would find very many rows, a query's
+    nearest lists give a limit for the others."""
     near, _ = probes_of(q, index.centroids, n_probe)
+    sc = index.lists.sparkSession.sparkContext
+    tasks = max(int(index.lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism)
+    limit = np.full(len(ids), np.inf)
+    some = min(near.shape[1], -(-4 * k // index.n_partitions))  # lists have about as many rows as there are lists
+    if len(ids) * min(near.shape[1], tasks) * k > LIMIT_ROWS and some < near.shape[1]:
+        kth = merged(_scan(index, ids, q, near[:, :some], k, None, limit, tasks), k).where(F.col("rank") == k).select("query_id", "dist").toArrow()
+        found = dict(zip(kth.column("query_id").to_pylist(), kth.column("dist").to_pylist()))  # a row for each query, as many as were broadcast
+        limit = np.array([found.get(int(i), np.inf) for i in ids])
+    return _scan(index, ids, q, near, k, payload, limit, tasks)
+
+
+def _scan(index: IvfPqIndex, ids: np.ndarray, q: np.ndarray, near: np.ndarray, k: int, payload: str | None, limit: np.ndarray, tasks: int) -> DataFrame:
+    """The k best of each task's rows for every query, of those up to its limit."""
+    spark = index.lists.sparkSession
     visitors: dict[int, list[int]] = defaultdict(list)
     for row, own in enumerate(near):
         for c in own:
             visitors[int(c)].append(row)
     probed = sorted(visitors)
     by_name = {int(index.partition_ids[c]): (i, np.array(visitors[c])) for i, c in enumerate(probed)}
-    shared = spark.sparkContext.broadcast((ids, q, index.centroids[probed], by_name, index.pq))
+    shared = spark.sparkContext.broadcast((ids, q, index.centroids[probed], by_name, index.pq, limit))
     names = ["query_id", "vec_id", "dist", *([payload] if payload else [])]
+    step = min(512, max(16, (1 << 20) // (index.pq.k * index.pq.d)))
 
     def run(batches):
-        ids, q, centroids, visitors, pq = shared.value
-        best = Best(len(ids), k)
-        tables: tuple[int, np.ndarray] | None = None
+        ids, q, centroids, visitors, pq, limit = shared.value
+        best = Best(len(ids), k, limit)
         for batch in batches:
-            partition = batch.column(0).to_numpy()
-            vec, codes = batch.column(1).to_numpy(), code_matrix(batch.column(2), pq.m)
+            if not batch.num_rows:
+                continue
+            partition, vec, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), code_matrix(batch.column(2), pq.m)
             extra = batch.column(3).to_numpy() if payload else None
-            for p in np.unique(partition):
-                if int(p) not in visitors:
-                    continue
-                c, rows = visitors[int(p)]
-                own = np.flatnonzero(partition == p)
-                for lo in range(0, len(rows), 512):
-                    part = rows[lo : lo + 512]
-                    if len(rows) > 512 or tables is None or tables[0] != p:
-                        tables = int(p), pq.table(q[part] - centroids[c])
-                    for at in range(0, len(own), 8192):
-                        some = own[at : at + 8192]
-                        offer_matrix(best, part, pq.distances(tables[1], codes[some]), vec[some], None if extra is None else extra[some])
-                    if len(rows) > 512:
-                        tables = None
-        n, found, dist, extra = best.rows()
-        arrays = [pa.array(ids[n]), pa.array(found), pa.array(dist)] + ([pa.array(extra)] if payload else [])
-        yield pa.RecordBatch.from_arrays(arrays, names)
+            # of rows with equal codes, which are as far from any query, those with the k smallest ids matter
+            new = np.ones(len(vec), bool)
+            new[1:] = (partition[1:] != partition[:-1]) | (codes[1:] != codes[:-1]).any(axis=1)
+            place = np.arange(len(vec))
+            kept = np.flatnonzero(place - np.maximum.accumulate(np.where(new, place, 0)) < k)
+            partition = partition[kept]
+            starts = np.append(np.flatnonzero(np.append(True, partition[1:] != partition[:-1])), len(kept))
+            for a, b in zip(starts[:-1], starts[1:]):
+                c, rows = visitors[int(partition[a])]
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    tables = pq.table(q[part] - centroids[c])
+                    for at in range(a, b, 2048):
+                        some = kept[at : min(b, at + 2048)]
+                        offer_matrix(best, part, pq.distances(tables, codes[some]), vec[some], None if extra is None else extra[some])
+        for n, found, dist, extra in best.parts(_EMIT):
+            arrays = [pa.array(ids[n]), pa.array(found), pa.array(dist)] + ([pa.array(extra)] if payload else [])
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     lists = index.lists.select("partition_id", "vec_id", "codes", *([F.col(payload).cast("long").alias(payload)] if payload else []))
     lists = lists.where(F.col("partition_id").isin(sorted(by_name)))  # their numbers prune the scan
+    pieces = -(-4 * tasks // len(by_name)) if len(by_name) < tasks else 1  # few lists are dealt in pieces; equal codes stay together
+    lists = lists.repartition(tasks, "partition_id", F.pmod(F.xxhash64("codes"), F.lit(pieces))).sortWithinPartitions("partition_id", "codes", "vec_id")
     return lists.mapInArrow(run, "query_id long, vec_id long, dist double" + (f", {payload} long" if payload else ""))
 
 

@@ -67,13 +67,14 @@ class Best:
     """The k smallest (distance, id) per query, gathered from batches; payload numbers follow the ids. As wide as what the
     fullest query has found, so k may be any number."""
 
-    def __init__(self, n: int, k: int):
-        self.k = k
+    def __init__(self, n: int, k: int, limit: np.ndarray | None = None):
+        """limit: distances beyond which a query has no use for a candidate."""
+        self.k, self.limit = k, np.full(n, np.inf) if limit is None else limit
         self.dist, self.ids, self.extra = _blank((n, 0))
 
     def worst(self, rows: np.ndarray) -> np.ndarray:
         """What a candidate must not exceed to matter."""
-        return self.dist[rows, -1] if self.dist.shape[1] == self.k else np.full(len(rows), np.inf)
+        return np.minimum(self.dist[rows, -1], self.limit[rows]) if self.dist.shape[1] == self.k else self.limit[rows]
 
     def offer(self, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
         """dist: len(rows) x candidates; ids: candidates, or a row of them for each query."""
@@ -90,37 +91,81 @@ class Best:
             self.dist, self.ids, self.extra = (np.concatenate([a, b], axis=1) for a, b in zip((self.dist, self.ids, self.extra), more))
         self.dist[rows], self.ids[rows], self.extra[rows] = d[:, :used], i[:, :used], e[:, :used]
 
-    def rows(self) -> tuple[np.ndarray, ...]:
-        """Query numbers, ids, distances and payloads of what was found."""
-        q, c = np.nonzero(np.isfinite(self.dist))
+    def rows(self, low: int = 0, high: int | None = None) -> tuple[np.ndarray, ...]:
+        """Query numbers, ids, distances and payloads of what was found for the queries from low to high."""
+        q, c = np.nonzero(np.isfinite(self.dist[low:high]))
+        q = q + low
         return q, self.ids[q, c], self.dist[q, c], self.extra[q, c]
 
+    def parts(self, queries: int):
+        """`rows` by so many queries at a time."""
+        for low in range(0, len(self.dist), queries):
+            yield self.rows(low, low + queries)
+
 
 def _blank(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.full(shape, np.inf), np.full(shape, np.iinfo(np.int64).max), np.full(shape, -1, np.int64)
 
 
-def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, distance: Callable | None = None) -> None:
-    """Offer a batch of vectors to all queries: candidates by the product, their distances from differences."""
-    step = max(1, _CELLS // max(1, len(x)))
-    for lo in range(0, len(queries), step):
-        q = queries[lo : lo + step]
-        d = squared_distances(q, x)
+def few_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows without those that are copies of k rows with smaller ids: no query has use for them."""
+    key = x @ np.random.default_rng(0).standard_normal(x.shape[1])
+    order = np.lexsort((ids, key))
+    same = np.zeros(len(x), bool)
+    same[1:] = key[order[1:]] == key[order[:-1]]
+    near = np.flatnonzero(same)
+    if not len(near):
+        return np.arange(len(x))
+    for lo in range(0, len(near), 8192):
+        part = near[lo : lo + 8192]
+        same[part] = (x[order[part]] == x[order[part - 1]]).all(axis=1)
+    place = np.arange(len(x))
+    first = np.maximum.accumulate(np.where(same, 0, place))
+    return np.sort(order[place - first < k])
+
+
+#: Queries and rows of one product of an exact search; it stays in a core's cache.
+_QUERY_STEP, _ROW_STEP = 512, 2048
+
+
+def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+    """Offer a batch of vectors to all queries: candidates by a product in single precision, less its largest possible error,
+    their distances from differences in doubles. A pair that is no candidate costs the product and one comparison."""
+    kept = few_copies(x, ids, best.k)
+    x, ids = x[kept], ids[kept]
+    center = x.mean(axis=0)
+    moved = x - center
+    norms = (moved * moved).sum(axis=1)
+    # what is compared is |x|^2 - 2 qx, to the limit less |q|^2; the norm of x is one more place of the vectors
+    right = np.concatenate([-2 * moved, norms[:, None]], axis=1).astype(np.float32).T
+    far = float(np.sqrt(norms.max(initial=0)))
+    for lo in range(0, len(queries), _QUERY_STEP):
+        q = queries[lo : lo + _QUERY_STEP]
+        own = q - center
+        size = (own * own).sum(axis=1)
+        slack = (2 * (q.shape[1] + 8) * 2.0**-24) * (2 * np.sqrt(size) * far + far * far + size) + 1e-9
+        left = np.concatenate([own, np.ones((len(q), 1))], axis=1).astype(np.float32)
         rows = np.arange(lo, lo + len(q))
-        if len(x) > best.k:
-            limit = np.minimum(np.partition(d, best.k - 1, axis=1)[:, best.k - 1], best.worst(rows)) + 1e-9
-        else:
-            limit = np.full(len(q), np.inf)
-        i, j = np.nonzero(d <= limit[:, None])
-        if not len(i):
-            continue
-        exact = np.concatenate([exact_squared(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
-        offer_pairs(best, rows, i, exact, ids[j])
+        for at in range(0, len(x), _ROW_STEP):
+            score = left @ right[:, at : at + _ROW_STEP]
+            limit = best.worst(rows) - size + slack
+            if score.shape[1] > best.k and not np.isfinite(limit).all():
+                limit = np.minimum(limit, np.partition(score, best.k - 1, axis=1)[:, best.k - 1] + 2 * slack)
+            hit = np.flatnonzero(score <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None])
+            if not len(hit):
+                continue
+            i, j = hit // score.shape[1], hit % score.shape[1] + at
+            exact = np.concatenate([exact_squared(q[i[a : a + 16384]], x[j[a : a + 16384]]) for a in range(0, len(i), 16384)])
+            near = exact <= best.worst(rows)[i]
+            if near.any():
+                offer_pairs(best, rows, i[near], exact[near], ids[j[near]])
 
 
 def offer_pairs(best: Best, rows: np.ndarray, i: np.ndarray, dist: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
     """Offer candidates as pairs: query rows[i], distance, id. Of a query's candidates (equal ones may be many) only the
     k best by distance, then id, are handed on."""
+    some, i = np.unique(i, return_inverse=True)  # queries without a candidate are left alone
+    rows = rows[some]
     order = np.lexsort((ids, dist, i))
     i, dist, ids = i[order], dist[order], ids[order]
     place = np.arange(len(i)) - np.searchsorted(i, np.arange(len(rows)))[i]
@@ -135,12 +180,12 @@ def offer_pairs(best: Best, rows: np.ndarray, i: np.ndarray, dist: np.ndarray, i
 
 def offer_matrix(best: Best, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
     """Offer exact distances of queries x candidates."""
-    if dist.shape[1] > best.k:
-        limit = np.minimum(np.partition(dist, best.k - 1, axis=1)[:, best.k - 1], best.worst(rows))
-        i, j = np.nonzero(dist <= limit[:, None])
-    else:
-        i, j = np.nonzero(np.isfinite(dist))
-    offer_pairs(best, rows, i, dist[i, j], ids[j], None if extra is None else extra[j])
+    limit = best.worst(rows)
+    if dist.shape[1] > best.k and not np.isfinite(limit).all():
+        limit = np.minimum(np.partition(dist, best.k - 1, axis=1)[:, best.k - 1], limit)
+    i, j = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+    if len(i):
+        offer_pairs(best, rows, i, dist[i, j], ids[j], None if extra is None else extra[j])
 
 
 def query_block(queries: DataFrame, id_col: str, vector_col: str, block_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import norm, residual
 from ..operators import analytics, clustering, ivf, knn, mapping, neighbour_map, pq, user_index, vote
 from ..operators.kernels import nearest
-from ..session import table
+from ..session import stored, table
 from .fixed import INDEX_SQL, L2, PROBE_SQL, QUERIES, VECTORS_SQL, index_sql, rule_index, search_sql, vectors_and_queries
 
 K, K_VOTE, N_PROBE = 10, 50, 4
@@ -259,6 +259,7 @@ def ivfpq_trained_search(spark: SparkSession, d: str) -> DataFrame:
     bounded sample of the queries (a test measures it on all)."""
     v, q = vectors_and_queries(spark, d)
     index = ivf.build(v, m=16, k=64, max_iter=20)
+    index.lists = stored(index.lists, "lists")  # every search reads them
     from ..operators.sampling import random_subset
 
     n_probe, _ = analytics.n_probe_for(random_subset(q, 64), v, index, K, 0.95, refine=20)

@@ -264,6 +264,45 @@ def test_mismatches_sort_no_searches_side_by_side(spark):
     assert {r.kind: r.n for r in compared.collect()} == {k: len(v) for k, v in (("fixed", a - b), ("new", b - a), ("persistent", a & b)) if v}
 
 
+def test_rows_of_equal_codes_give_a_search_k_of_them(spark):
+    """Of many rows with equal codes those with the smallest ids are found; tasks hand on no more than they need."""
+    quantizer = pq.from_words([np.array([[0.0], [1.0]])] * 2)
+    x = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], float)[np.arange(4000) % 4]
+    index = ivf.IvfPqIndex(np.zeros((1, 2)), quantizer, ivf.populate(frame(spark, x), np.zeros((1, 2)), quantizer))
+    q = frame(spark, x[:4], np.arange(4))
+    want = {(i, r + 1): i + 4 * r for i in range(4) for r in range(5)}
+    assert {(r.query_id, r.rank): r.vec_id for r in ivf.search(q, index, 1, 5).collect()} == want
+    kept = kernels.few_copies(x, np.arange(4000), 5)
+    assert sorted(kept.tolist()) == list(range(20))
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_exact_search_in_single_precision_loses_nothing(shift):
+    """Candidates are found by products in single precision: near ties, copies and vectors far from the origin."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16)) + shift
+    x[1000:2000] = x[:1000] + 1e-6 * rng.standard_normal((1000, 16))
+    x[2500:] = x[2499]
+    ids, q = rng.permutation(3000), np.concatenate([x[:40], x[2490:2510]])
+    best = kernels.Best(len(q), 7)
+    for lo in range(0, 3000, 1100):
+        kernels.offer_exact(best, q, x[lo : lo + 1100], ids[lo : lo + 1100])
+    for i, one in enumerate(q):
+        dist = ((one - x) ** 2).sum(axis=1)
+        order = np.lexsort((ids, dist))[:7]
+        assert (best.ids[i] == ids[order]).all() and (best.dist[i] == dist[order]).all()
+
+
+def test_a_search_with_limits_finds_the_same(spark, index, clustered, monkeypatch):
+    q = frame(spark, clustered[:50])
+    whole = [tuple(r) for r in ivf.search(q, index, index.n_partitions, 2).orderBy("query_id", "rank").collect()]
+    calls, scan = [], ivf._scan
+    monkeypatch.setattr(ivf, "_scan", lambda *a: (calls.append(a[6]), scan(*a))[1])
+    monkeypatch.setattr(ivf, "LIMIT_ROWS", 1)
+    assert [tuple(r) for r in ivf.search(q, index, index.n_partitions, 2).orderBy("query_id", "rank").collect()] == whole
+    assert len(calls) == 2 and np.isinf(calls[0]).all() and np.isfinite(calls[1]).all()
+
+
 def test_scalar_functions(spark):
     r = spark.sql("SELECT array(1f, 2f) AS a, array(4f, 6f) AS b, double('NaN') AS n, double('Infinity') AS i, array(0f, 0f) AS z").select(
         vectors.l2(F.col("a"), F.col("b")).alias("l2"),
