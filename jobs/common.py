@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the white space of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Characters of the texts whose words one task counts, groups and sorts.
+TASK_CHARACTERS = 4 << 20
 
 
 def configuration(name: str, path: str | None = None, **given) -> dict:
@@ -29,7 +31,11 @@ def logger(name: str) -> logging.Logger:
 
 def words_of(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word, n: how often a document has a word. Rows with the same key are one document; those without a key are left out."""
-    words = documents.where(F.col(key).isNotNull()).select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("word"))
+    texts = documents.where(F.col(key).isNotNull()).select(key, text)
+    # texts are dealt once, and are smaller than their words; whatever is grouped by key then is where it has to be
+    size = texts.agg(F.sum(F.length(text))).first()[0] or 0
+    texts = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_CHARACTERS)), key)
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("word"))
     return words.groupBy(key, "word").agg(F.count("*").alias("n"))
 
 

@@ -145,3 +145,16 @@ def test_command_lines(spark, sf_dir, place):
     b = [sys.executable, "-m", "jobs.annotate_documents", f"{sf_dir}/documents.parquet", f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", f"{place}/o", f"{place}/c", "--master", "local[2]"]
     done = subprocess.run(b, cwd=REPO, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and "read 200 new documents" in done.stderr
+
+
+def test_texts_are_dealt_once_and_their_words_are_not(spark):
+    """The words of a document, its total and its category meet without a further exchange of words."""
+    from annolith.operators import features
+    from jobs.common import words_of
+
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b"), (2, None), (None, "a"), (3, "")], "doc_id long, text string")
+    counts = words_of(docs)
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 2), (1, "b", 2)]
+    values = features.log_normalise(counts.selectExpr("doc_id AS cell_id", "word AS model_idx", "cast(n AS double) AS value"))
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
