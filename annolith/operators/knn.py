@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .kernels import QUERY_BYTES, ROW_BYTES, Best, matrix, merged, offer_exact, paired, query_block, usable_rows
 
 METRICS = ("l2sq", "l2", "cosine")
+#: Bytes of query vectors in a task's block, where there are more than enough blocks for the cores.
+MOST_QUERY_BYTES = 64 << 20
 
 
 def exact_knn(
@@ -46,8 +48,8 @@ def _offer(best: Best, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: st
         offer_exact(best, q, x, ids)
 
 
-def _found(best: Best, names: np.ndarray, metric: str) -> dict[str, pa.Array]:
-    n, found, dist, _ = best.rows()
+def _found(best: Best, names: np.ndarray, metric: str, low: int = 0, high: int | None = None) -> dict[str, pa.Array]:
+    n, found, dist, _ = best.rows(low, high)
     dist = dist / 2 if metric == "cosine" else np.sqrt(dist) if metric == "l2" else dist
     return {"query_id": pa.array(names[n]), "vec_id": pa.array(found), "dist": pa.array(dist)}
 
@@ -67,15 +69,19 @@ def _broadcast(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metri
         for batch in batches:
             if batch.num_rows and len(names):
                 _offer(best, q, matrix(batch.column(1), q.shape[1]), batch.column(0).to_numpy(), metric)
-        found = _found(best, names, metric)
-        yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
+        for low in range(0, len(names), 4096):
+            found = _found(best, names, metric, low, low + 4096)
+            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
     return vectors.mapInArrow(run, _SCHEMA)
 
 
 def _blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
     shapes = [x.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first() for x in (queries, vectors)]
-    counts = [max(1, -(-s.n * max(1, s.d or 0) * 8 // most)) for s, most in zip(shapes, (QUERY_BYTES, ROW_BYTES))]
+    size = [s.n * max(1, s.d or 0) * 8 for s in shapes]
+    # each block of one side is copied to every block of the other, so blocks are large, but as many as the cores need
+    pieces = max(1, -(-size[1] // ROW_BYTES))
+    counts = [max(1, -(-size[0] // MOST_QUERY_BYTES), min(-(-size[0] // QUERY_BYTES), -(-4 * queries.sparkSession.sparkContext.defaultParallelism // pieces))), pieces]
     sizes = F.broadcast(queries.sparkSession.createDataFrame([(0, *counts)], "one int, t long, s long"))
     d = shapes[0].d
 
