@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import matrix
+
 
 class Encoder(Protocol):
     n_genes: int
@@ -129,6 +131,27 @@ def embed(aligned: DataFrame, encoder: Encoder) -> DataFrame:
     return _gather(aligned).mapInArrow(run, T.StructType().add("cell_id", kind).add("embedding", T.ArrayType(T.DoubleType())))
 
 
+def embed_dense(rows: DataFrame, encoder: Encoder) -> DataFrame:
+    """cell_id, embedding from raw counts as rows of a matrix (cell_id, value: an array of n_genes). A cell without a count has no embedding."""
+    from pyspark.sql import types as T
+
+    shared = rows.sparkSession.sparkContext.broadcast(encoder)
+    schema = T.StructType().add("cell_id", rows.schema["cell_id"].dataType).add("embedding", T.ArrayType(T.DoubleType()))
+
+    def run(batches):
+        e = shared.value
+        for batch in batches:
+            x = matrix(batch.column(1), e.n_genes)
+            has = x.any(axis=1)
+            full = x[has]
+            y = np.concatenate([e.encode(full[lo : lo + 256]) for lo in range(0, len(full), 256)] or [np.zeros((0, 1))])
+            ends = np.append(0, np.cumsum(has * y.shape[1]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(y.ravel()), mask=pa.array(~has))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cell_id", "embedding"])
+
+    return rows.select("cell_id", "value").mapInArrow(run, schema)
+
+
 def importance(aligned: DataFrame, encoder: Encoder, above: float = 0.1, batch: int = 128) -> DataFrame:
     """Q10: cell_id, model_idx, expression, importance: how far the cell's vector moves (L2) when an expressed gene's
     raw count is set to 0. A cell's genes are occluded together in batches; only moves above 0 are returned."""

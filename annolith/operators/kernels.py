@@ -107,28 +107,47 @@ def _blank(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.full(shape, np.inf), np.full(shape, np.iinfo(np.int64).max), np.full(shape, -1, np.int64)
 
 
-def few_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the rows without those that are copies of k rows with smaller ids: no query has use for them."""
+def side_by_side(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which equal ones lie side by side, by id, and which rows in it are equal to the one before."""
     key = x @ np.random.default_rng(0).standard_normal(x.shape[1])
     order = np.lexsort((ids, key))
     same = np.zeros(len(x), bool)
     same[1:] = key[order[1:]] == key[order[:-1]]
     near = np.flatnonzero(same)
-    if not len(near):
-        return np.arange(len(x))
     for lo in range(0, len(near), 8192):
         part = near[lo : lo + 8192]
         same[part] = (x[order[part]] == x[order[part - 1]]).all(axis=1)
-    place = np.arange(len(x))
-    first = np.maximum.accumulate(np.where(same, 0, place))
-    return np.sort(order[place - first < k])
+    return order, same
+
+
+def _first_k(same: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the first k of their equals."""
+    place = np.arange(len(same))
+    return place - np.maximum.accumulate(np.where(same, 0, place)) < k
+
+
+def few_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows without those that are copies of k rows with smaller ids: no query has use for them."""
+    order, same = side_by_side(x, ids)
+    return np.sort(order[_first_k(same, k)])
 
 
 #: Queries and rows of one product of an exact search; it stays in a core's cache.
 _QUERY_STEP, _ROW_STEP = 512, 2048
 
 
-def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+def _distances(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, digits: int | None) -> np.ndarray:
+    """Squared distances of q[i] and x[j] from differences in doubles, rounded to so many digits."""
+    exact = np.concatenate([exact_squared(q[i[a : a + 16384]], x[j[a : a + 16384]]) for a in range(0, len(i), 16384)])
+    return exact if digits is None else np.round(exact, digits)
+
+
+def _slack(d: int, size: np.ndarray, far: float, digits: int | None) -> np.ndarray:
+    """By how much a distance from a product in single precision, of vectors up to `far` and queries of squared norm `size`, may be wrong."""
+    return (2 * (d + 24) * 2.0**-24) * (2 * np.sqrt(size) * far + far * far + size) + 1e-9 + (0 if digits is None else 10.0**-digits)
+
+
+def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, digits: int | None = None) -> None:
     """Offer a batch of vectors to all queries: candidates by a product in single precision, less its largest possible error,
     their distances from differences in doubles. A pair that is no candidate costs the product and one comparison."""
     kept = few_copies(x, ids, best.k)
@@ -143,7 +162,7 @@ def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray)
         q = queries[lo : lo + _QUERY_STEP]
         own = q - center
         size = (own * own).sum(axis=1)
-        slack = (2 * (q.shape[1] + 8) * 2.0**-24) * (2 * np.sqrt(size) * far + far * far + size) + 1e-9
+        slack = _slack(q.shape[1], size, far, digits)
         left = np.concatenate([own, np.ones((len(q), 1))], axis=1).astype(np.float32)
         rows = np.arange(lo, lo + len(q))
         for at in range(0, len(x), _ROW_STEP):
@@ -155,12 +174,120 @@ def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray)
             if not len(hit):
                 continue
             i, j = hit // score.shape[1], hit % score.shape[1] + at
-            exact = np.concatenate([exact_squared(q[i[a : a + 16384]], x[j[a : a + 16384]]) for a in range(0, len(i), 16384)])
+            exact = _distances(q, x, i, j, digits)
             near = exact <= best.worst(rows)[i]
             if near.any():
                 offer_pairs(best, rows, i[near], exact[near], ids[j[near]])
 
 
+#: Vectors of a tile and queries of a cell of a search by tiles, and the directions along which tiles have bounds.
+_TILE, _CELL, _DIRECTIONS = 1024, 512, 8
+
+
+def offer_tiled(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, digits: int | None = None) -> None:
+    """What `offer_exact` does, for many queries and vectors at once. Equal vectors are compared once. Vectors that lie near each
+    other along the main directions, and in their distance from these, are a tile, and queries a cell; a cell goes through the
+    tiles, nearest first, and a query is compared with a tile if the bounds of that leave room for a neighbour."""
+    center = x.mean(axis=0)
+    if not (np.isfinite(x).all() and np.isfinite(queries).all()):
+        return offer_exact(best, queries, x, ids, digits)
+    spread = sum((part := x[lo : lo + 8192] - center).T @ part for lo in range(0, len(x), 8192))
+    turn = np.linalg.eigh(spread)[1][:, ::-1]
+    main = _main(x, center, turn)
+    order, same = side_by_side(x, ids)
+    kept = _first_k(same, best.k)
+    order, same = order[kept], same[kept]
+    first = np.flatnonzero(~same)
+    copies, ids = np.diff(np.append(first, len(order))), ids[order]
+    tiles = _near_parts(main[order[first]], _TILE)
+    at = np.concatenate(tiles)
+    first, copies = first[at], copies[at]
+    x, main = x[order[first]], main[order[first]]
+    ends = np.cumsum([len(t) for t in tiles])
+    starts = ends - [len(t) for t in tiles]
+    low, high = np.minimum.reduceat(main, starts), np.maximum.reduceat(main, starts)
+    right = np.empty((len(x), x.shape[1] + 1), np.float32)
+    for a, b in zip(starts, ends):
+        moved = x[a:b] - center
+        right[a:b, :-1], right[a:b, -1] = -2 * moved, (moved * moved).sum(axis=1)
+    far = float(np.sqrt(right[:, -1].max(initial=0))) * (1 + 1e-6)
+    own, space = _main(queries, center, turn), np.empty(_CELL * _TILE, np.float32)
+    for rows in _near_parts(own, _CELL):
+        q, y = queries[rows], own[rows]
+        left = q - center
+        size = (left * left).sum(axis=1)
+        left = np.concatenate([left, np.ones((len(q), 1))], axis=1).astype(np.float32)
+        slack = _slack(q.shape[1], size, far, digits)
+        bound, middle = np.zeros((len(q), len(low)), np.float32), np.zeros(len(low), np.float32)
+        for c in range(y.shape[1]):
+            gap = np.maximum(low[:, c] - y[:, c, None], y[:, c, None] - high[:, c])
+            bound += np.maximum(gap, 0, out=gap) ** 2
+            middle += ((low[:, c] + high[:, c]) / 2 - y[:, c].mean()) ** 2
+        limit, held, waiting = best.worst(rows), [], 0
+        for t in np.lexsort((middle, bound.mean(axis=0))):
+            need = np.flatnonzero(bound[:, t] <= limit + slack)
+            if not len(need):
+                continue
+            score = space[: len(need) * (ends[t] - starts[t])].reshape(len(need), -1)
+            np.matmul(left if len(need) == len(q) else left[need], right[starts[t] : ends[t]].T, out=score)
+            most = (limit - size + slack)[need]
+            if score.shape[1] > best.k and not np.isfinite(most).all():
+                most = np.minimum(most, np.partition(score, best.k - 1, axis=1)[:, best.k - 1] + 2 * slack[need])
+            hit = _true_places((score <= np.nextafter(most.astype(np.float32), np.float32(np.inf))[:, None]).ravel())
+            if not len(hit):
+                continue
+            i, j = need[hit // score.shape[1]], hit % score.shape[1] + starts[t]
+            exact = _distances(q, x, i, j, digits)
+            near = exact <= limit[i]
+            i, j, exact = i[near], j[near], exact[near]
+            n = copies[j]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            held.append((np.repeat(i, n), np.repeat(exact, n), ids[np.repeat(first[j], n) + place]))
+            waiting += len(place)
+            if waiting > 2 * len(rows) or not np.isfinite(limit).all():
+                _hand_on(best, rows, held)
+                limit, held, waiting = best.worst(rows), [], 0
+        _hand_on(best, rows, held)
+
+
+def _true_places(flags: np.ndarray) -> np.ndarray:
+    """np.flatnonzero, eight flags at a time: few are set."""
+    whole = len(flags) // 8 * 8
+    some = np.flatnonzero(flags[:whole].view(np.uint64))
+    word, place = np.nonzero(flags[:whole].reshape(-1, 8)[some])
+    return np.concatenate([some[word] * 8 + place, np.flatnonzero(flags[whole:]) + whole])
+
+
+def _hand_on(best: Best, rows: np.ndarray, held: list[tuple[np.ndarray, ...]]) -> None:
+    if held:
+        i, dist, ids = (np.concatenate(x) for x in zip(*held))
+        if len(i):
+            offer_pairs(best, rows, i, dist, ids)
+
+
+def _main(x: np.ndarray, center: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Places along the main directions and the distance from these; no two vectors are nearer than they are in these places."""
+    main = np.empty((len(x), min(_DIRECTIONS, x.shape[1]) + 1), np.float32)
+    for lo in range(0, len(x), 8192):
+        turned = (x[lo : lo + 8192] - center) @ turn
+        main[lo : lo + 8192, :-1], main[lo : lo + 8192, -1] = turned[:, :_DIRECTIONS], np.sqrt((turned[:, _DIRECTIONS:] ** 2).sum(axis=1))
+    return main
+
+
+def _near_parts(places: np.ndarray, size: int) -> list[np.ndarray]:
+    """The rows in parts of up to `size`, each cut at the middle of where it is widest; neighbours follow each other."""
+    parts, left = [], [np.arange(len(places))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= size:
+            parts.append(rows)
+            continue
+        half = len(rows) // 2
+        cut = rows[np.argpartition(places[rows, places[rows].var(axis=0).argmax()], half)]
+        left += [cut[half:], cut[:half]]
+    return parts
+
+
 def offer_pairs(best: Best, rows: np.ndarray, i: np.ndarray, dist: np.ndarray, ids: np.ndarray, extra: np.ndarray | None = None) -> None:
     """Offer candidates as pairs: query rows[i], distance, id. Of a query's candidates (equal ones may be many) only the
     k best by distance, then id, are handed on."""

@@ -28,26 +28,29 @@ from annolith.session import build_session, stored
 from annolith.sources.readers import exists
 from annolith.streaming.labelling import cell_stream, label_stream
 
-from .common import configuration, logger, place_of, words_of
+from .common import configuration, logger, place_counts
 
 NAME = "annotate_documents"
+#: Distances that are equal in so many digits are: texts of few words are often equally far away, but for the order of a sum.
+DIGITS = 9
+#: Bytes of the vectors of a batch that are sent to all tasks; of more, no task gets them all.
+BROADCAST_BYTES = 1 << 20
 log = logger(NAME)
 
 
 def profiles(documents: DataFrame, dimensions: int) -> DataFrame:
-    """vec_id, embedding of the documents that have a word."""
-    counts = words_of(documents).groupBy(F.col("doc_id").alias("cell_id"), place_of(F.col("word"), dimensions).alias("model_idx")).agg(F.sum("n").cast("double").alias("value"))
-    return encoder.embed(counts, encoder.LinearEncoder(np.eye(dimensions))).withColumnRenamed("cell_id", "vec_id")
+    """vec_id, embedding of the documents; without a word there is no embedding."""
+    counts = place_counts(documents, dimensions).withColumnsRenamed({"doc_id": "cell_id", "counts": "value"})
+    return encoder.embed_dense(counts, encoder.LinearEncoder(np.eye(dimensions))).withColumnRenamed("cell_id", "vec_id")
 
 
 def annotate(documents: DataFrame, reference: DataFrame, labels: DataFrame, names: DataFrame, k: int, dimensions: int) -> DataFrame:
     """doc_id, label_id, label, votes, confidence of each document of a batch. reference: vec_id, embedding."""
-    batch = stored(profiles(documents, dimensions), "batch")
-    near = knn.exact_knn(batch, reference, k + 1).where("query_id <> vec_id")
+    batch = stored(profiles(documents, dimensions), "batch")  # the texts are read once
+    near = knn.exact_knn(batch, reference, k + 1, broadcast_bytes=BROADCAST_BYTES, digits=DIGITS).where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy("rank")
     near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    ids = documents.select(F.col("doc_id").alias("vec_id")).where("vec_id IS NOT NULL").distinct()
-    votes = vote.all_queries(ids, vote.majority_vote(vote.with_labels(near, labels), k))
+    votes = vote.all_queries(batch.select("vec_id"), vote.majority_vote(vote.with_labels(near, labels), k))
     return vote.decode_labels(votes, names).select(F.col("query_id").alias("doc_id"), "label_id", "label", "votes", "confidence")
 
 
@@ -62,13 +65,13 @@ def run(spark: SparkSession, documents: str, reference: str, labels: str, out: s
         marks = spark.read.parquet(labels).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         marks = marks.groupBy(F.col("doc_id").alias("vec_id")).agg(F.max(F.col(label).cast("int")).alias("label_id"))
         marked = spark.read.parquet(reference).select("doc_id", "text").join(marks.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-        vectors = stored(profiles(marked, dimensions), "reference")
+        vectors = stored(profiles(marked, dimensions).where("embedding IS NOT NULL"), "reference")
         log.info("reference: %d documents with label %r from %s and %s", vectors.count(), label, reference, labels)
         return vectors, marks, spark.createDataFrame([(int(c), n) for c, n in config["names"].items()], "label_id int, label string")
 
     def batch(rows: DataFrame) -> DataFrame:
         vectors, marks, names = known()
-        return annotate(stored(rows, "arrived"), vectors, marks, names, k, dimensions)  # read once
+        return annotate(rows, vectors, marks, names, k, dimensions)
 
     head, _, tail = documents.rstrip("/").rpartition("/")
     pattern = f"{head}/[{tail[0]}]{tail[1:]}"  # a pattern matches a file as well as a folder

@@ -158,3 +158,49 @@ def test_texts_are_dealt_once_and_their_words_are_not(spark):
     values = features.log_normalise(counts.selectExpr("doc_id AS cell_id", "word AS model_idx", "cast(n AS double) AS value"))
     plan = values._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_documents_as_far_away_vote_as_in_sql(spark, place):
+    """Sums of the same squares in another order are the same distance."""
+    import random
+
+    pick = random.Random(17)
+    rows = [(i, " ".join(f"w{pick.randrange(40)}" for _ in range(pick.randrange(2, 6)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{place}/a/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int").write.parquet(f"{place}/a/labels.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{place}/a/{name}.parquet/*.parquet'")
+    want = c.execute(ORACLE_SQL["job1_annotate_documents"]).fetchall()
+    assert _plain(QUERIES["job1_annotate_documents"](spark, f"{place}/a").collect()) == _plain(want)
+
+
+def test_words_are_counted_where_texts_are_read(spark, monkeypatch):
+    """Counts are dealt, not texts; rows of a document are one, wherever batches and texts are cut."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from jobs import common
+
+    texts = [(i % 40, None if i % 9 == 0 else " \t\u3000é\x1c\u00a0x ".join("ab\ncd" for _ in range(i % 13)) + "\x0b") for i in range(200)] + [(None, "a")]
+    want = np.zeros((40, 8), int)
+    for key, text in texts[:-1]:
+        for word in (text or "").encode().split():
+            want[key, int(hashlib.md5(word).hexdigest()[:8], 16) % 8] += 1
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = common.place_counts(docs.repartition(3), 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: r.counts for r in counts.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {i: list(row) for i, row in enumerate(want)}
+    plan = common.place_counts(docs, 8)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(plan) if "Exchange" in line]
+    assert len(at) == 1 and "MapInArrow" in plan[at[0] + 1]
+    monkeypatch.setattr(common, "_PIECE", 5)
+    some = pa.array([t for _, t in texts[:40]])
+    assert (common._count_words(some, 8) == [[*np.bincount(np.array([int(hashlib.md5(w).hexdigest()[:8], 16) % 8 for w in (t or "").encode().split()], int), minlength=8)] for _, t in texts[:40]]).all()

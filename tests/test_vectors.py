@@ -293,6 +293,47 @@ def test_exact_search_in_single_precision_loses_nothing(shift):
         assert (best.ids[i] == ids[order]).all() and (best.dist[i] == dist[order]).all()
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+@pytest.mark.parametrize("digits", [None, 3])
+def test_a_search_by_tiles_loses_nothing_and_leaves_out_far_tiles(shift, digits, monkeypatch):
+    """Near ties, copies, vectors far from the origin, few and many directions; what cannot be near is not compared."""
+    monkeypatch.setattr(kernels, "_TILE", 64)
+    monkeypatch.setattr(kernels, "_CELL", 32)
+    rng = np.random.default_rng(5)
+    for d in (1, 3, 16):
+        x = rng.standard_normal((3000, d)) + 40 * rng.integers(0, 4, (3000, 1)) + shift
+        x[1000:2000] = x[:1000] + 1e-6 * rng.standard_normal((1000, d))
+        x[2500:] = x[2499]
+        ids, q = rng.permutation(3000), np.concatenate([x[:90], x[2490:2510]])
+        best, compared, matmul = kernels.Best(len(q), 7), [], np.matmul
+        monkeypatch.setattr(np, "matmul", lambda *a, **b: (compared.append(len(a[0]) * a[1].shape[1]), matmul(*a, **b))[1])
+        for lo in range(0, 3000, 1100):
+            kernels.offer_tiled(best, q, x[lo : lo + 1100], ids[lo : lo + 1100], digits)
+        monkeypatch.setattr(np, "matmul", matmul)
+        for i, one in enumerate(q):
+            dist = ((one - x) ** 2).sum(axis=1)
+            dist = dist if digits is None else np.round(dist, digits)
+            order = np.lexsort((ids, dist))[:7]
+            assert (best.ids[i] == ids[order]).all() and (best.dist[i] == dist[order]).all()
+        assert 0 < sum(compared) < 0.5 * len(q) * len(x)
+
+
+def test_a_search_by_blocks_finds_a_query_once(spark, clustered, request):
+    """Vectors pass a block of queries, so there is no best of every piece of them to be merged; parts are for the cores only."""
+    request.getfixturevalue("few_bytes")
+    q, v = (kernels.usable_rows(frame(spark, clustered[:n]), "vec_id", "embedding") for n in (30, 300))
+    assert knn._blocks(q, v, 5, "l2sq", None).count() == 150
+    assert knn._deal(3_000_000, 1_200_000, 512, 16, 12) == (24, 1)
+    assert all(t * s >= 24 for t, s in (knn._deal(n, 10**7, 512, 16, 12) for n in (20_000, 200_000, 2_000_000)))
+
+
+def test_copies_are_found_by_blocks_as_elsewhere(spark, clustered):
+    x = clustered[np.arange(600) % 7]
+    few = knn.exact_knn(frame(spark, x[:50]), frame(spark, x), 9).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, knn.exact_knn(frame(spark, x[:50]), frame(spark, x), 9, broadcast_bytes=0).collect()))
+    assert len(few) == 450
+
+
 def test_a_search_with_limits_finds_the_same(spark, index, clustered, monkeypatch):
     q = frame(spark, clustered[:50])
     whole = [tuple(r) for r in ivf.search(q, index, index.n_partitions, 2).orderBy("query_id", "rank").collect()]
