@@ -3,7 +3,8 @@
 The searches have two shapes. Queries that fit a broadcast (BLOCK_BYTES, checked by counting) go to all tasks; every task
 walks its own rows of the large side once and keeps the k best per query; the large side is not shuffled. More queries
 than that stay on the executors: both sides are dealt into blocks, a task gets one block of each, and nothing passes the
-driver. In both the tasks' bests are merged in the JVM, and no pair is ever a row.
+driver; of an exact search a task gets a block of queries, which all vectors of a part pass, some at a time. In both the tasks' bests are merged
+in the JVM, and no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def offer_exact(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray,
 
 
 #: Vectors of a tile and queries of a cell of a search by tiles, and the directions along which tiles have bounds.
-_TILE, _CELL, _DIRECTIONS = 1024, 512, 8
+_TILE, _CELL, _DIRECTIONS = 1024, 512, 4
 
 
 def offer_tiled(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, digits: int | None = None) -> None:
@@ -233,10 +234,12 @@ def offer_tiled(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray,
             most = (limit - size + slack)[need]
             if score.shape[1] > best.k and not np.isfinite(most).all():
                 most = np.minimum(most, np.partition(score, best.k - 1, axis=1)[:, best.k - 1] + 2 * slack[need])
-            hit = _true_places((score <= np.nextafter(most.astype(np.float32), np.float32(np.inf))[:, None]).ravel())
-            if not len(hit):
+            most = np.nextafter(most.astype(np.float32), np.float32(np.inf))
+            some = np.flatnonzero(score.min(axis=1) <= most)  # few, soon
+            if not len(some):
                 continue
-            i, j = need[hit // score.shape[1]], hit % score.shape[1] + starts[t]
+            hit = np.flatnonzero(score[some] <= most[some, None])
+            i, j = need[some[hit // score.shape[1]]], hit % score.shape[1] + starts[t]
             exact = _distances(q, x, i, j, digits)
             near = exact <= limit[i]
             i, j, exact = i[near], j[near], exact[near]
@@ -250,14 +253,6 @@ def offer_tiled(best: Best, queries: np.ndarray, x: np.ndarray, ids: np.ndarray,
         _hand_on(best, rows, held)
 
 
-def _true_places(flags: np.ndarray) -> np.ndarray:
-    """np.flatnonzero, eight flags at a time: few are set."""
-    whole = len(flags) // 8 * 8
-    some = np.flatnonzero(flags[:whole].view(np.uint64))
-    word, place = np.nonzero(flags[:whole].reshape(-1, 8)[some])
-    return np.concatenate([some[word] * 8 + place, np.flatnonzero(flags[whole:]) + whole])
-
-
 def _hand_on(best: Best, rows: np.ndarray, held: list[tuple[np.ndarray, ...]]) -> None:
     if held:
         i, dist, ids = (np.concatenate(x) for x in zip(*held))

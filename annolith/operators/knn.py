@@ -130,7 +130,7 @@ def _blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, digits:
                     blocks.clear()
                 held.append(batch.slice(ours))
                 bytes_held += (batch.num_rows - ours) * d * 8
-                if bytes_held >= ROW_BYTES:
+                if bytes_held >= ROW_BYTES // 2:  # with copies of them in other orders
                     pass_by()
                     bytes_held = 0
         if held:
@@ -143,8 +143,9 @@ def _blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, digits:
 
 def _deal(n: int, rows: int, width: int, k: int, cores: int) -> tuple[int, int]:
     """How many blocks of queries and parts of vectors: enough tasks for the cores, by blocks of queries as far as these do not get small. A
-    vector is moved to every block; a query to every part, where it starts anew and has k results, which costs more than moving it."""
+    vector is moved to every block; a query to every part, where it starts anew and has k results, which costs as much as moving k vectors."""
     tasks = max(1, min(2 * cores, -(-n * rows // _TASK_PAIRS)))
     least, most = max(1, -(-n * width // MOST_QUERY_BYTES)), max(1, -(-n * width // QUERY_BYTES))
-    t = max(least, min(most, tasks, math.ceil(math.sqrt(tasks * n * 4 * k / max(1, rows)))))
-    return t, max(1, -(-tasks // t))
+    t = max(least, min(most, tasks, math.ceil(math.sqrt(tasks * n * k / max(1, rows)))))
+    s = max(1, -(-tasks // t))
+    return max(least, -(-tasks // s)), s

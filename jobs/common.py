@@ -77,7 +77,7 @@ def place_counts(documents: DataFrame, places: int, key: str = "doc_id", text: s
 
 
 #: Bytes of text whose words a task has side by side.
-_PIECE = 16 << 20
+_PIECE = 8 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
